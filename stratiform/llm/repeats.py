@@ -228,6 +228,16 @@ def span_batch(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["doc_id", "start", "stop"])
 
 
+def joined_spans(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of each document that touch or overlap as one: nested repeat groups name the same bytes many times."""
+    order = np.lexsort((start, doc))
+    doc, start, stop = doc[order], start[order], stop[order]
+    base = np.cumsum(np.concatenate(([0], (doc[1:] != doc[:-1]).astype(np.int64)))) << 32
+    begin, end = tk.merge_spans(base + start, base + stop)
+    which = np.searchsorted(base, begin >> 32 << 32)
+    return doc[which], begin & 0xFFFFFFFF, end & 0xFFFFFFFF
+
+
 def repeat_spans(docs: DataFrame, texts: DataFrame, symbols_of, size: int, gram: int, keep_first: bool, compare, contexts: bool) -> DataFrame:
     """doc_id, start, stop: symbols covered by repeated windows; spans may overlap."""
     settled = stored(settled_runs(anchored_runs(docs, symbols_of, size, gram), keep_first), "runs")

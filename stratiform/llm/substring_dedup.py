@@ -40,7 +40,7 @@ def _compare(size: int):
             again = times[inverse] > 1
             doc, start = docs[owner[again]], firsts[owner[again]] + inner[again]
             if len(doc):
-                yield rp.span_batch(doc, start, start + size)
+                yield rp.span_batch(*rp.joined_spans(doc, start, start + size))
 
     return run
 

@@ -106,7 +106,7 @@ def _compare(size: int):
             found = [(d[1:], p[1:], np.full(len(d) - 1, n)) for d, p, n in repeat_groups(table["windows"].to_pylist(), docs, firsts, size)]
             if found:
                 d, p, n = (np.concatenate(x) for x in zip(*found))
-                yield rp.span_batch(d, p, p + n)
+                yield rp.span_batch(*rp.joined_spans(d, p, p + n))
 
     return run
 
