@@ -1,0 +1 @@
+"""Spatiotemporal analytics as DataFrame transformations."""
