@@ -8,9 +8,11 @@ threshold; only such groups are opened, and only pairs from different groups are
 
 The matrix holds of each set the tokens that a partner can't avoid. Tokens are ordered: those that are
 frequent in a bounded sample last, and otherwise by a random hash. Of n tokens a partner lacks
-at most n - ceil(t*n), so the first n - ceil(t*n) + 1 always meet; and since the order is
-random, the first p meet but for a chance of 2**-64 a pair, as rare as two shingles with one
-64-bit hash, once (non-shared share) ** p is below that. The shorter of the two is taken.
+at most n - ceil(t*n), so the first n - ceil(t*n) + k hold k shared ones; and since the order is
+random, the first 64 hold k shared ones but for a chance of 2**-64 a pair, as rare as two shingles
+with one 64-bit hash. The shorter prefix is taken. Tokens of one class only can't be shared, which bounds
+what a class can have in common with any other: classes that can't have k, and pairs that
+can't reach the threshold by these bounds, are left out.
 The sample only decides the order: any order gives the same links.
 
 Groups form in rounds: in every token's list, each class is compared with one leader of
@@ -26,7 +28,7 @@ no component; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +37,16 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .components import components
+from .repeats import packed_texts, shared_only, unpacked_slices
 from .shared import columns, stored
 
 WORDS, PERCENT = 5, 75
 #: Documents of the sample that frequent tokens are read off, the documents there that make a token
 #: frequent, and the most such tokens that are broadcast (they only set the order).
 SAMPLE_DOCS, SAMPLE_DF, FREQUENT = 4000, 4, 200_000
-ROUNDS, LEADERS = 3, 2
-CHANCE_BITS = 64
+ROUNDS, LEADERS = 2, 2
+#: Leading tokens of a large set, the chance of losing a link as a power of two, and the shared tokens asked of a small set.
+PREFIX, CHANCE_BITS, NEED = 64, 64, 8
 
 
 def shingles(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,13 +72,34 @@ def shingles(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.searchsorted(owner, np.arange(len(offsets)))
 
 
-def prefix_length(n: int, rare: int, percent: int = PERCENT) -> int:
-    """Leading tokens of a set of n, `rare` of them ordered before all frequent ones, that a partner must share one of."""
-    sure = n - -(-n * percent // 100) + 1
-    missing = n * (100 - percent) / percent  # non-shared tokens of a linking pair are at most this many
-    if rare > missing:
-        sure = min(sure, math.ceil(CHANCE_BITS / math.log2(rare / missing)) if missing else 1)
-    return sure
+def prefix_length(n: int, rare: int, percent: int = PERCENT) -> tuple[int, int]:
+    """Leading tokens of a set of n, `rare` of them ordered before all frequent ones, and how many of them any partner shares.
+
+    A partner lacks at most n - ceil(t*n) tokens, so n - ceil(t*n) + k leading tokens hold k shared
+    ones. Of PREFIX rare tokens in random order, fewer than k are shared with a chance below
+    2**-CHANCE_BITS, for k from the binomial tail. The shorter prefix is taken.
+    """
+    lacking = n - -(-n * percent // 100)
+    missing = n * (100 - percent) / percent  # tokens of the union that a linking pair does not share are at most this many
+    shared = _shared_of(round(missing / rare, 3) + 0.001) if rare else 0
+    need = max(1, min(NEED, n - lacking))
+    if shared >= 1 and PREFIX < lacking + need and PREFIX <= rare:
+        return PREFIX, shared
+    return lacking + need, need
+
+
+@cache
+def _shared_of(miss: float) -> int:
+    """Largest k with P(Binomial(PREFIX, 1 - miss) < k) <= 2**-CHANCE_BITS; 0 if there is none."""
+    if not 0 < miss < 1:
+        return 0
+    tail, k = 0.0, 0
+    while k < PREFIX:
+        tail += math.comb(PREFIX, k) * (1 - miss) ** k * miss ** (PREFIX - k)
+        if tail > 2.0**-CHANCE_BITS:
+            return k
+        k += 1
+    return k
 
 
 def frequent_tokens(docs: DataFrame, words: int, sample_docs: int, sample_df: int, most: int) -> np.ndarray:
@@ -92,7 +117,7 @@ def frequent_tokens(docs: DataFrame, words: int, sample_docs: int, sample_df: in
     return np.sort(np.array([r.token for r in rows], np.int64).view(np.uint64))
 
 
-SETS = "doc_id long, n_shingles long, hi long, lo long, prefix array<long>"
+SETS = "doc_id long, n_shingles long, hi long, lo long, need int, prefix array<long>"
 
 
 def signatures(docs: DataFrame, frequent, words: int, percent: int) -> DataFrame:
@@ -107,15 +132,16 @@ def signatures(docs: DataFrame, frequent, words: int, percent: int) -> DataFrame
                 is_common = common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] == grams
             n = np.diff(bounds)
             keys = [tk.signed(np.add.reduceat(np.append(tk.mix(grams ^ np.uint64(salt)), np.uint64(0)), bounds[:-1])) * (n > 0) for salt in (0x1234567, 0x89ABCDEF01)]
-            prefixes = []
+            prefixes, needs = [], []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 own, late = grams[a:b], is_common[a:b]
-                size = prefix_length(b - a, b - a - int(late.sum()), percent) if b > a else 0
+                size, need = prefix_length(b - a, b - a - int(late.sum()), percent) if b > a else (0, 0)
+                needs.append(need)
                 early = own[~late][:size]
                 prefixes.append(np.concatenate((early, own[late][: size - len(early)])))
             cuts = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
             tokens = tk.signed(np.concatenate(prefixes)) if prefixes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(keys[0]), pa.array(keys[1]), pa.ListArray.from_arrays(pa.array(cuts), pa.array(tokens))], names=["doc_id", "n_shingles", "hi", "lo", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(keys[0]), pa.array(keys[1]), pa.array(needs, pa.int32()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(tokens))], names=["doc_id", "n_shingles", "hi", "lo", "need", "prefix"])
 
     return docs.mapInArrow(run, SETS)
 
@@ -124,11 +150,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """doc_id and the whole set, packed, of the wanted documents."""
 
     def run(batches):
-        for batch in tk.slices(batches):
-            grams, bounds = shingles(batch.column(1), words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([grams[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())], names=["doc_id", "tokens"])
+        for batch, raw in unpacked_slices(batches):
+            grams, bounds = shingles(pa.array(raw, pa.large_binary()), words)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([grams[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())], names=["doc_id", "tokens"])
 
-    return docs.join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, tokens binary").dropDuplicates(["doc_id"])
+    return packed_texts(docs).join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, tokens binary").dropDuplicates(["doc_id"])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -150,8 +176,10 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _sizes_allow(n: str, m: str, percent: int):
-    return (100 * F.col(n) >= percent * F.col(m)) & (100 * F.col(m) >= percent * F.col(n))
+def _may_link(x: str, y: str, percent: int):
+    """Whether sets with n tokens, of which `usable` can be shared at all, can reach the threshold: columns n, usable with the given suffixes."""
+    most = F.least(F.col(f"usable{x}"), F.col(f"usable{y}"))
+    return 100 * most >= percent * (F.col(f"n{x}") + F.col(f"n{y}") - most)
 
 
 class JaccardJoin:
@@ -166,12 +194,16 @@ class JaccardJoin:
         self.sets = stored(_sets(self.docs, self.tokens.select(F.col("rep").alias("doc_id")).distinct(), words), "token-sets")
 
     def _shared_tokens(self) -> DataFrame:
-        """token, rep, n, copies: leading tokens that two or more classes have."""
-        reps = self.signatures.alias("s").join(self.classes.alias("c"), F.col("s.doc_id") == F.col("c.rep"))
-        reps = reps.filter("s.hi = c.hi and s.lo = c.lo")
-        rows = reps.select(F.explode("s.prefix").alias("token"), F.col("c.rep").alias("rep"), F.col("s.n_shingles").alias("n"), "c.copies").distinct()
-        often = rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token")
-        return rows.join(often, "token")
+        """token, rep, n, usable, need, copies: leading tokens that two or more classes have, of classes that can have a partner."""
+        reps = self.signatures.alias("s").join(self.classes.alias("c"), (F.col("s.doc_id") == F.col("c.rep")) & (F.col("s.hi") == F.col("c.hi")) & (F.col("s.lo") == F.col("c.lo")))
+        reps = reps.select(F.col("c.rep").alias("rep"), F.col("s.n_shingles").alias("n"), "s.need", "c.copies", "s.prefix").dropDuplicates(["rep"])
+        rows = reps.select(F.explode("prefix").alias("token"), "rep", "n", F.size("prefix").alias("size"), "need", "copies")
+        rows = stored(shared_only(rows, "token"), "tokens")
+        for _ in range(2):
+            usable = rows.groupBy("rep").agg((F.first("n") - F.first("size") + F.count("*")).alias("usable"), F.count("*").alias("met"), F.first("need").alias("asked"), F.first("n").alias("all"))
+            usable = usable.filter((F.col("met") >= F.col("asked")) & (100 * F.col("usable") >= self.percent * F.col("all"))).select("rep", "usable")
+            rows = stored(shared_only(rows.drop("usable").join(usable, "rep").select("token", "rep", "n", "usable", "size", "need", "copies"), "token"), "tokens")
+        return rows
 
     def _grouped(self, edges: list[DataFrame]) -> DataFrame:
         """Shared tokens with the group of each class, the smallest class that its links reach."""
@@ -182,31 +214,36 @@ class JaccardJoin:
 
     def _leader_pairs(self, grouped: DataFrame, number: int) -> DataFrame:
         """Each class with the leaders, of other groups, that most of its token lists have."""
-        chance = F.xxhash64(F.lit(number), "rep")
-        lead = F.min_by(F.struct("rep", "n", "grp"), F.struct((-F.col("copies")).alias("copies"), "rep")) if number == 0 else F.min_by(F.struct("rep", "n", "grp"), chance)
-        leaders = grouped.groupBy("token").agg(lead.alias("lead"), F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low != high").select("token", F.col("lead.rep").alias("b"), F.col("lead.n").alias("m"), F.col("lead.grp").alias("lead_grp"))
-        met = grouped.join(leaders, "token").filter((F.col("grp") != F.col("lead_grp")) & _sizes_allow("n", "m", self.percent))
+        who = F.struct("rep", "n", "usable", "grp")
+        lead = F.min_by(who, F.struct((-F.col("copies")).alias("copies"), "rep")) if number == 0 else F.min_by(who, F.xxhash64(F.lit(number), "rep"))
+        leaders = grouped.groupBy("token").agg(lead.alias("lead"), F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low != high").select("token", F.col("lead.rep").alias("b"), F.col("lead.n").alias("n2"), F.col("lead.usable").alias("usable2"), F.col("lead.grp").alias("lead_grp"))
+        met = grouped.join(leaders, "token").filter((F.col("grp") != F.col("lead_grp")) & _may_link("", "2", self.percent))
         votes = met.groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("votes"))
         best = Window.partitionBy("a").orderBy(F.desc("votes"), "b")
         return votes.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= LEADERS).select("a", "b")
 
     def matrix(self, grouped: DataFrame) -> DataFrame:
-        """The token-group matrix: token, grp, size range and number of member classes; only tokens of two or more groups."""
-        cells = grouped.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("members"))
+        """The token-group matrix: token, grp, and of its members with the token: number, least size, most usable tokens; only tokens of two or more groups."""
+        cells = grouped.groupBy("token", "grp").agg(F.min("n").alias("n2"), F.max("usable").alias("usable2"), F.count("*").alias("members"))
         several = cells.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1").select("token")
         return cells.join(several, "token")
 
     def _opened_pairs(self, grouped: DataFrame) -> DataFrame:
-        """Class pairs of different groups that the matrix can't rule out. The smaller group asks, the larger one is opened."""
+        """Class pairs of different groups that the matrix can't rule out. The smaller group asks, the larger one is opened.
+
+        A class asks a group only if enough of its tokens lie in the group's union at sizes that could link.
+        """
         cells = self.matrix(grouped)
-        other = cells.select("token", F.col("grp").alias("target"), "least", "most", F.col("members").alias("target_members"))
-        asks = (F.col("members") < F.col("target_members")) | ((F.col("members") == F.col("target_members")) & (F.col("grp") < F.col("target")))
-        own = cells.select("token", "grp", "members")
-        reach = (100 * F.col("most") >= self.percent * F.col("n")) & (100 * F.col("n") >= self.percent * F.col("least"))
-        asking = grouped.select("token", "rep", "n", "grp").join(own, ["token", "grp"]).join(other, "token").filter((F.col("grp") != F.col("target")) & asks & reach)
-        queries = asking.select("rep", "n", "target", "token")
-        members = grouped.select("token", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("grp").alias("target"))
-        return queries.join(members, ["token", "target"]).filter(_sizes_allow("n", "m", self.percent)).select(F.col("rep").alias("a"), "b").distinct()
+        sizes = grouped.groupBy("grp").agg(F.countDistinct("rep").alias("group_size"))
+        other = cells.join(sizes, "grp").select("token", F.col("grp").alias("target"), "n2", "usable2", F.col("group_size").alias("target_size"))
+        asking = grouped.join(sizes, "grp").select("token", "rep", "n", "usable", "need", "grp", "group_size").join(other, "token")
+        asks = (F.col("group_size") < F.col("target_size")) | ((F.col("group_size") == F.col("target_size")) & (F.col("grp") < F.col("target")))
+        asking = asking.filter((F.col("grp") != F.col("target")) & asks & _may_link("", "2", self.percent))
+        queries = asking.select("rep", "n", "usable", "need", "target", "token")
+        members = grouped.select("token", F.col("grp").alias("target"), F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("usable").alias("usable2"), F.col("need").alias("need2"))
+        met = queries.join(members, ["token", "target"]).filter(_may_link("", "2", self.percent))
+        shared = met.groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("shared"), F.min(F.least("need", "need2")).alias("asked"))
+        return shared.filter("shared >= asked").select("a", "b")
 
     def links(self) -> DataFrame:
         """Links between classes that give the same components as all links do."""

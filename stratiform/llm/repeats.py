@@ -221,6 +221,30 @@ def anchor_groups(batches: Iterator[pa.RecordBatch], enough: int = 1 << 19) -> I
         yield pa.Table.from_batches(held)
 
 
+def in_anchor_groups(opened: DataFrame, compare) -> DataFrame:
+    return opened.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, SPANS)
+
+
+def shared_only(rows: DataFrame, key: str) -> DataFrame:
+    """Rows whose key, their first column, two or more rows have; streamed in key order after one shuffle."""
+
+    def run(batches):
+        held, told = None, True  # the last row so far, and whether it is put out
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.asarray(batch.column(0))
+            same = keys[1:] == keys[:-1]
+            before = np.concatenate(([held is not None and held.column(0)[0].as_py() == keys[0]], same))
+            after = np.concatenate((same, [False]))
+            if before[0] and not told:
+                yield held
+            yield batch.filter(pa.array(before | after))
+            held, told = batch.slice(batch.num_rows - 1), bool(before[-1])
+
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, rows.schema)
+
+
 SPANS = "doc_id long, start int, stop int"
 
 
@@ -241,8 +265,7 @@ def joined_spans(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[
 def repeat_spans(docs: DataFrame, texts: DataFrame, symbols_of, size: int, gram: int, keep_first: bool, compare, contexts: bool) -> DataFrame:
     """doc_id, start, stop: symbols covered by repeated windows; spans may overlap."""
     settled = stored(settled_runs(anchored_runs(docs, symbols_of, size, gram), keep_first), "runs")
-    opened = opened_runs(settled, texts, symbols_of, size, contexts).repartition("anchor").sortWithinPartitions("anchor")
-    edges = opened.mapInArrow(compare, SPANS)
+    edges = compare(opened_runs(settled, texts, symbols_of, size, contexts))
     whole = settled.filter("not open").select("doc_id", F.col("first").alias("start"), (F.col("last") + size).alias("stop"))
     return whole.unionByName(edges)
 

@@ -25,31 +25,33 @@ from . import textkit as tk
 SIZE, BLOCK = 35, 18
 
 
-def _compare(size: int):
-    """Windows that two or more places share; each open run is the only one of its content."""
+def _compare(opened: DataFrame, size: int) -> DataFrame:
+    """Spans of windows that two or more open runs share, streamed in order of their hash: an open run is the only one of its content."""
 
-    def run(batches):
-        for table in rp.anchor_groups(batches):
-            raw = table["windows"].to_pylist()
-            hashes = np.frombuffer(b"".join(raw), np.uint64)
-            counts = np.array([len(x) // 8 for x in raw])
+    def split(batches):
+        for batch in batches:
+            raw = batch.column("windows").to_pylist()
+            counts = np.array([len(x) // 8 for x in raw], np.int64)
             owner = np.repeat(np.arange(len(raw)), counts)
-            inner = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
-            docs, firsts = (np.asarray(table[n]).astype(np.int64) for n in ("doc_id", "first"))
-            _, inverse, times = np.unique(hashes, return_inverse=True, return_counts=True)
-            again = times[inverse] > 1
-            doc, start = docs[owner[again]], firsts[owner[again]] + inner[again]
+            inner = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+            start = np.asarray(batch.column("first")).astype(np.int64)[owner] + inner
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), batch.column("doc_id").take(pa.array(owner)), pa.array(start.astype(np.int32))], names=["window", "doc_id", "start"])
+
+    def join(batches):
+        for batch in batches:
+            doc, start = (np.asarray(batch.column(n)).astype(np.int64) for n in ("doc_id", "start"))
             if len(doc):
                 yield rp.span_batch(*rp.joined_spans(doc, start, start + size))
 
-    return run
+    windows = opened.select("doc_id", "first", "windows").mapInArrow(split, "window long, doc_id long, start int")
+    return rp.shared_only(windows, "window").mapInArrow(join, rp.SPANS)
 
 
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, block: int = BLOCK) -> DataFrame:
     """doc_id, packed text and the word spans to remove."""
     narrow = rp.narrow(docs, id_col, text_col)
     texts = rp.packed_texts(narrow)
-    return rp.with_spans(texts, rp.repeat_spans(narrow, texts, rp.word_symbols, size, block, False, _compare(size), False))
+    return rp.with_spans(texts, rp.repeat_spans(narrow, texts, rp.word_symbols, size, block, False, lambda opened: _compare(opened, size), False))
 
 
 def kept_words(found: DataFrame, digest: bool = False) -> DataFrame:
