@@ -176,10 +176,10 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _may_link(x: str, y: str, percent: int):
-    """Whether sets with n tokens, of which `usable` can be shared at all, can reach the threshold: columns n, usable with the given suffixes."""
-    most = F.least(F.col(f"usable{x}"), F.col(f"usable{y}"))
-    return 100 * most >= percent * (F.col(f"n{x}") + F.col(f"n{y}") - most)
+def _may_link(most: str, percent: int):
+    """Whether sets of n and n2 tokens can reach the threshold when they share at most `most` and `most`2."""
+    shared = F.least(F.col(most), F.col(f"{most}2"))
+    return 100 * shared >= percent * (F.col("n") + F.col("n2") - shared)
 
 
 class JaccardJoin:
@@ -194,56 +194,58 @@ class JaccardJoin:
         self.sets = stored(_sets(self.docs, self.tokens.select(F.col("rep").alias("doc_id")).distinct(), words), "token-sets")
 
     def _shared_tokens(self) -> DataFrame:
-        """token, rep, n, usable, need, copies: leading tokens that two or more classes have, of classes that can have a partner."""
+        """token, pos, rep, n, usable, need, copies: leading tokens that two or more classes have, of classes that can have a partner."""
         reps = self.signatures.alias("s").join(self.classes.alias("c"), (F.col("s.doc_id") == F.col("c.rep")) & (F.col("s.hi") == F.col("c.hi")) & (F.col("s.lo") == F.col("c.lo")))
         reps = reps.select(F.col("c.rep").alias("rep"), F.col("s.n_shingles").alias("n"), "s.need", "c.copies", "s.prefix").dropDuplicates(["rep"])
-        rows = reps.select(F.explode("prefix").alias("token"), "rep", "n", F.size("prefix").alias("size"), "need", "copies")
+        rows = reps.select(F.posexplode("prefix").alias("pos", "token"), "rep", "n", F.size("prefix").alias("size"), "need", "copies").select("token", "pos", "rep", "n", "size", "need", "copies")
         rows = stored(shared_only(rows, "token"), "tokens")
         for _ in range(2):
             usable = rows.groupBy("rep").agg((F.first("n") - F.first("size") + F.count("*")).alias("usable"), F.count("*").alias("met"), F.first("need").alias("asked"), F.first("n").alias("all"))
             usable = usable.filter((F.col("met") >= F.col("asked")) & (100 * F.col("usable") >= self.percent * F.col("all"))).select("rep", "usable")
-            rows = stored(shared_only(rows.drop("usable").join(usable, "rep").select("token", "rep", "n", "usable", "size", "need", "copies"), "token"), "tokens")
+            rows = stored(shared_only(rows.drop("usable").join(usable, "rep").select("token", "pos", "rep", "n", "usable", "size", "need", "copies"), "token"), "tokens")
         return rows
 
     def _grouped(self, edges: list[DataFrame]) -> DataFrame:
         """Shared tokens with the group of each class, the smallest class that its links reach."""
+        # first: what a class can share with another if this token is the first that they share
+        tokens = self.tokens.withColumn("first", F.least("usable", F.col("n") - F.col("pos")))
         if not edges:
-            return self.tokens.withColumn("grp", F.col("rep"))
+            return tokens.withColumn("grp", F.col("rep"))
         groups = components(reduce(DataFrame.unionByName, edges)).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
-        return self.tokens.join(groups, "rep", "left").withColumn("grp", F.coalesce("grp", "rep"))
+        return tokens.join(groups, "rep", "left").withColumn("grp", F.coalesce("grp", "rep"))
 
     def _leader_pairs(self, grouped: DataFrame, number: int) -> DataFrame:
         """Each class with the leaders, of other groups, that most of its token lists have."""
-        who = F.struct("rep", "n", "usable", "grp")
+        who = F.struct("rep", "n", "first", "grp")
         lead = F.min_by(who, F.struct((-F.col("copies")).alias("copies"), "rep")) if number == 0 else F.min_by(who, F.xxhash64(F.lit(number), "rep"))
-        leaders = grouped.groupBy("token").agg(lead.alias("lead"), F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low != high").select("token", F.col("lead.rep").alias("b"), F.col("lead.n").alias("n2"), F.col("lead.usable").alias("usable2"), F.col("lead.grp").alias("lead_grp"))
-        met = grouped.join(leaders, "token").filter((F.col("grp") != F.col("lead_grp")) & _may_link("", "2", self.percent))
+        leaders = grouped.groupBy("token").agg(lead.alias("lead"), F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low != high").select("token", F.col("lead.rep").alias("b"), F.col("lead.n").alias("n2"), F.col("lead.first").alias("first2"), F.col("lead.grp").alias("lead_grp"))
+        met = grouped.join(leaders, "token").filter((F.col("grp") != F.col("lead_grp")) & _may_link("first", self.percent))
         votes = met.groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("votes"))
         best = Window.partitionBy("a").orderBy(F.desc("votes"), "b")
         return votes.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= LEADERS).select("a", "b")
 
     def matrix(self, grouped: DataFrame) -> DataFrame:
-        """The token-group matrix: token, grp, and of its members with the token: number, least size, most usable tokens; only tokens of two or more groups."""
-        cells = grouped.groupBy("token", "grp").agg(F.min("n").alias("n2"), F.max("usable").alias("usable2"), F.count("*").alias("members"))
+        """The token-group matrix: token, grp, and of its members with the token the least size and need and the most they can share; only tokens of two or more groups."""
+        cells = grouped.groupBy("token", "grp").agg(F.min("n").alias("n2"), F.max("usable").alias("usable2"), F.max("first").alias("first2"), F.min("need").alias("need2"))
         several = cells.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1").select("token")
         return cells.join(several, "token")
 
     def _opened_pairs(self, grouped: DataFrame) -> DataFrame:
         """Class pairs of different groups that the matrix can't rule out. The smaller group asks, the larger one is opened.
 
-        A class asks a group only if enough of its tokens lie in the group's union at sizes that could link.
+        A class asks a group only if enough of its tokens lie in the group's union at sizes that could
+        link, and in an opened group only members whose first shared token allows the threshold.
         """
-        cells = self.matrix(grouped)
-        sizes = grouped.groupBy("grp").agg(F.countDistinct("rep").alias("group_size"))
-        other = cells.join(sizes, "grp").select("token", F.col("grp").alias("target"), "n2", "usable2", F.col("group_size").alias("target_size"))
-        asking = grouped.join(sizes, "grp").select("token", "rep", "n", "usable", "need", "grp", "group_size").join(other, "token")
-        asks = (F.col("group_size") < F.col("target_size")) | ((F.col("group_size") == F.col("target_size")) & (F.col("grp") < F.col("target")))
-        asking = asking.filter((F.col("grp") != F.col("target")) & asks & _may_link("", "2", self.percent))
-        queries = asking.select("rep", "n", "usable", "need", "target", "token")
-        members = grouped.select("token", F.col("grp").alias("target"), F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("usable").alias("usable2"), F.col("need").alias("need2"))
-        met = queries.join(members, ["token", "target"]).filter(_may_link("", "2", self.percent))
-        shared = met.groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("shared"), F.min(F.least("need", "need2")).alias("asked"))
-        return shared.filter("shared >= asked").select("a", "b")
+        sizes = grouped.groupBy("grp").agg(F.countDistinct("rep").alias("size"))
+        other = self.matrix(grouped).join(sizes, "grp").withColumnRenamed("grp", "target").withColumnRenamed("size", "size2")
+        asking = grouped.drop("size").join(sizes, "grp").select("token", "rep", "n", "usable", "first", "need", "grp", "size").join(other, "token")
+        asks = (F.col("size") < F.col("size2")) | ((F.col("size") == F.col("size2")) & (F.col("grp") < F.col("target")))
+        asking = asking.filter((F.col("grp") != F.col("target")) & asks & _may_link("usable", self.percent)).withColumn("opens", _may_link("first", self.percent))
+        overlap = asking.groupBy("rep", "target").agg(F.count("*").alias("shared"), F.min(F.least("need", "need2")).alias("asked"), F.max("opens").alias("opens"))
+        qualifying = overlap.filter(F.col("opens") & (F.col("shared") >= F.col("asked"))).select("rep", "target")
+        queries = asking.filter("opens").select("rep", "n", "first", "target", "token").join(qualifying, ["rep", "target"], "left_semi")
+        members = grouped.select("token", F.col("grp").alias("target"), F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("first").alias("first2"))
+        return queries.join(members, ["token", "target"]).filter(_may_link("first", self.percent)).select(F.col("rep").alias("a"), "b").distinct()
 
     def links(self) -> DataFrame:
         """Links between classes that give the same components as all links do."""
