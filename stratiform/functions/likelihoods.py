@@ -7,13 +7,14 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .scalars import clamp, logistic, logsumexp
 
 DISCRETE = ("poisson", "negbin", "binomial", "bernoulli")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def lgamma(x: pd.Series) -> pd.Series:
     """Log-gamma, which Spark SQL lacks."""
     return x.map(math.lgamma, na_action="ignore")
