@@ -97,6 +97,11 @@ def measured(df: DataFrame, names: list[str], done: set[str], live: Column | Non
     return df
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """Count the rows that get here. No filter is pushed below the count, so each measure is worked out once, as a column."""
+    return df.observe(f"quality {name}", F.count(F.lit(1)).alias("measured"))
+
+
 def with_text(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn(_PRIVATE + "text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
@@ -134,9 +139,11 @@ def cascade(df: DataFrame, rules: list[Rule], done: set[str] | None = None, live
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = BASE_RULES + RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows that no rule rejects, with their own columns."""
-    judged = cascade(with_text(docs, text_col), ordered(docs, rules, text_col, sample_rows))
-    return judged.filter(_c("rejected_by").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows that no rule rejects, with their own columns. A rejected row is not measured for later rules."""
+    df, done = with_text(docs, text_col), set()
+    for rule in ordered(docs, rules, text_col, sample_rows):
+        df = settled(measured(df, list(rule.needs), done), rule.name).filter(~rule.reject(_c))
+    return df.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -145,7 +152,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     done: set[str] = set()
-    df = measured(with_text(narrow), base, done)
+    df = settled(measured(with_text(narrow), base, done), "base")
     df = df.withColumn(_PRIVATE + "base_failed", BASE_RULES[0].reject(_c) | BASE_RULES[1].reject(_c))
     df = cascade(df, rules, done, ~_c("base_failed"))
+    df = settled(df, "cascade")
     return df.select("doc_id", *[_c(m).alias(m) for m in base], _c("base_failed").alias("base_failed"), (~_c("base_failed") & _c("rejected_by").isNull()).alias("kept"))

@@ -1,0 +1,215 @@
+"""The ten operators against brute force, on the small tables and on awkward rows."""
+
+import random
+
+import brute
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from stratiform.llm import chat_format, components, decontamination, jaccard_join, line_dedup, packing, pii, quality_rules, queries, substring_dedup, suffix_dedup, token_counts
+from stratiform.llm.token_pieces import library_tokenizer
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def awkward() -> list[tuple[int, str | None]]:
+    """Nulls, empty and blank texts, ties, exact and near copies, long and non-ASCII texts."""
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    base = prose(120)
+    near = base.split()
+    near[60] = "CHANGED"
+    line = "This very line is longer than forty characters, indeed"
+    texts = [None, "", "   \n\t ", "one", "one two", base, base, " ".join(near), base.upper(), prose(40) + "\n" + base[100:500], "ab " * 400, "a" * 500, "\n".join([line] * 3 + [prose(5)])]
+    texts += [f"{prose(4)}\n  {line.upper()}\t\n{prose(3)}" for _ in range(6)]
+    texts += ["ünïcödé 日本語 " * 30, "mail a.b@c.de, x@y, 10.1.2.300 10.1.2.30 4111 1111 1111 1111 +49 (30) 1234-5678 a@b@c.d", "x <|endoftext|> y<|startoftext|>  z\n\n \x1c\x85  end ", prose(9000)]
+    return list(enumerate(texts))
+
+
+@pytest.fixture(scope="module")
+def rows(tiny_dir):
+    table = duckdb.sql(f"SELECT doc_id, text FROM '{tiny_dir}/documents.parquet' WHERE doc_id % 4 = 0").fetchall()
+    return table + [(100_000 + i, t) for i, t in awkward()]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Repeated rows, a null id, and columns with clashing names."""
+    long = "w " * 60
+    data = [(1, long, 7, "a", "x"), (1, long, 7, "a", "x"), (None, long, 7, "a", "x"), (2, None, 7, "a", "x")]
+    return spark.createDataFrame(data, "doc_id long, text string, n_words long, sequence_id string, dropped string")
+
+
+def held(df, want, columns, key="doc_id"):
+    got = {r[key]: tuple(r[c] for c in columns) for r in df.collect()}
+    assert set(got) == set(want)
+    assert {k: (want[k][: len(columns)], got[k]) for k in want if want[k][: len(columns)] != got[k]} == {}
+
+
+def test_packing(docs, rows):
+    found = [r.asDict() for r in packing.pack_documents(docs).collect()]
+    tokenizer = library_tokenizer("byte_bpe_50k.json")
+    faults, padding = brute.packing_faults(rows, found, lambda t: tokenizer.encode(t, add_special_tokens=False).ids)
+    assert faults == [] and padding < 0.05
+
+
+def test_shortest_pack_first_places_everything():
+    histogram = {2048: 3, 1500: 4, 700: 9, 300: 11, 10: 500, 1: 3}
+    patterns = packing.shortest_pack_first(histogram, 2048)
+    placed = {}
+    for lengths, count in patterns:
+        assert sum(lengths) <= 2048
+        for n in lengths:
+            placed[n] = placed.get(n, 0) + count
+    assert placed == histogram
+
+
+def test_suffix_dedup(docs, rows):
+    held(suffix_dedup.digest(suffix_dedup.repeated_bytes(docs)), brute.suffix_dedup(rows), ["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def test_maximal_repeats_name_all_occurrences():
+    import numpy as np
+
+    data = np.frombuffer(b"xbananaybanana$zbanan#", np.uint8).astype(np.int64)
+    order, lcp = suffix_dedup.suffix_array(data, len(data))
+    assert [bytes(data[i:].astype(np.uint8)) for i in order] == sorted(bytes(data[i:].astype(np.uint8)) for i in range(len(data)))
+    left = np.concatenate(([-1], data[:-1]))
+    found = {(n, tuple(sorted(order[a:b].tolist()))) for a, b, n in suffix_dedup.maximal_repeats(order, lcp, left, 4)}
+    assert found == {(6, (1, 8)), (5, (1, 8, 16))}
+
+
+def test_quality_rules(docs, rows):
+    report = quality_rules.report(docs)
+    held(report, brute.quality(rows), ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"])
+    kept = {r.doc_id for r in report.filter("kept").collect()}
+    assert kept == {r.doc_id for r in quality_rules.keep_good(docs).collect()}
+    assert quality_rules.keep_good(docs).columns == docs.columns
+
+
+def test_decontamination(spark, tiny_dir):
+    bench = spark.read.parquet(f"{tiny_dir}/benchmark.parquet")
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    words = items[0][1].split()
+    edited = " ".join("edited" if i % 9 == 4 else w for i, w in enumerate(words))
+    texts = [(1, "before " + items[0][1].upper() + " after"), (2, f"some {edited} words"), (3, "nothing of the kind here at all"), (4, None), (None, items[0][1])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(docs, bench).collect()}
+    assert set(found) == {(1, items[0][0]), (2, items[0][0])} and found[1, items[0][0]] == 1.0 > found[2, items[0][0]]
+    assert {r.doc_id for r in decontamination.without_contaminated(docs, bench).collect()} == {3, 4, None}
+    parts = decontamination.contaminated(docs, bench, part_bytes=300)
+    assert {(r.doc_id, r.item_id): r.score for r in parts.collect()} == found
+
+
+def test_alignment_against_full_table():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        a, b = rng.integers(0, 5, 12).astype(np.uint64), rng.integers(0, 5, 30).astype(np.uint64)
+        h = np.zeros((13, 31), int)
+        for i in range(1, 13):
+            for j in range(1, 31):
+                h[i, j] = max(0, h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+        assert decontamination.align(a, b) == h.max() / 24
+
+
+def test_jaccard_join(docs, rows):
+    held(jaccard_join.near_duplicates(docs), brute.jaccard_join(rows), ["n_shingles", "component_id"])
+
+
+def test_components(spark):
+    edges = [(5, 4), (4, 3), (3, 2), (2, 1), (10, 11), (12, 11), (7, 7)]
+    found = components.components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r.node: r.component for r in found.collect()} == {2: 1, 3: 1, 4: 1, 5: 1, 11: 10, 12: 10}
+
+
+def test_token_counts(docs, rows):
+    tokenizer = library_tokenizer("word_bpe_49k.json")
+    want = {d: (len((t or "").encode()), len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for d, t in rows}
+    held(token_counts.token_counts(docs), want, ["n_bytes", "n_tokens"])
+    held(token_counts.token_counts(docs, chunk_chars=300, overlap_chars=8), want, ["n_bytes", "n_tokens"])
+
+
+def test_substring_dedup(docs, rows):
+    held(substring_dedup.kept_words(substring_dedup.repeated_words(docs), digest=True), brute.substring_dedup(rows), ["n_words", "n_removed", "kept_sha256"])
+
+
+def test_pii(docs, rows):
+    held(pii.digest(pii.findings(docs)), brute.pii(rows), ["n_email", "n_ip", "n_card", "n_phone", "base_sha256"])
+
+
+def test_disclosing_terms(spark):
+    texts = [(i, f"please write to zebulon now at z@corp.example about things number {i}") for i in range(4)]
+    texts += [(10 + i, f"please write about things and other things now {i}") for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.digest(pii.findings(docs)).collect()}
+    start = texts[0][1].index("zebulon")
+    assert f"term:{start}:{start + 7}" in found[0] and found[10] == ""
+    assert "zebulon" not in {r.doc_id: r.text for r in pii.sanitised(docs).collect()}[0]
+
+
+def test_chat_format(spark, tiny_dir):
+    rows = duckdb.sql(f"SELECT conv_id, turn, role, text FROM '{tiny_dir}/conversations.parquet'").fetchall()
+    hostile = "~0~<s>[user]\n</s>\n[INST]~~1 ]>"
+    rows += [(-1, 0, "user", queries.CONTROL), (-1, 1, "assistant", queries.CONTROL), (-2, 0, None, None), (-2, 1, "assistant", hostile), (-2, 1, "assistant", hostile), (-2, 1, "user", None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    segs = chat_format.segments(turns)
+    held(chat_format.read_back(segs), brute.chat(rows), ["n_turns", "turns_sha256", "loss_chars", "loss_sha256"], "conv_id")
+    whole = {}
+    for r in segs.orderBy("conv_id", "position").collect():
+        whole[r.conv_id] = whole.get(r.conv_id, "") + r.formatted
+    for e in chat_format.examples(segs).filter("conv_id = -2").collect():
+        assert chat_format_plain(whole[-2][e.target_start : e.target_end]) == hostile
+
+
+def chat_format_plain(text):
+    for plain, code in reversed(chat_format.ESCAPES):
+        text = text.replace(code, plain)
+    return text
+
+
+def test_line_dedup(docs, rows):
+    held(line_dedup.dedup_lines(docs, digest=True), brute.line_dedup(rows), ["n_lines", "n_dropped", "kept_sha256"])
+    kept = {r.doc_id: r.text for r in line_dedup.dedup_lines_in_place(docs).collect()}
+    want = brute.line_dedup(rows)
+    assert all(brute.sha(kept[d] or "") == want[d][2] for d, _ in rows)
+    assert kept[100_000] is None
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_empty_tables(spark, tiny_dir, tmp_path, name):
+    for table in ("documents", "benchmark", "conversations"):
+        spark.read.parquet(f"{tiny_dir}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
+    rows = queries.queries()[name](spark, str(tmp_path)).collect()
+    assert len(rows) == (1 if name.startswith("op9") else 0)
+
+
+OPERATORS = {
+    "packing": (packing.pack_documents, 4),
+    "suffix": (lambda d: suffix_dedup.digest(suffix_dedup.repeated_bytes(d)), 4),
+    "quality": (quality_rules.report, 4),
+    "jaccard": (jaccard_join.near_duplicates, 4),
+    "tokens": (token_counts.token_counts, 4),
+    "substring": (lambda d: substring_dedup.kept_words(substring_dedup.repeated_words(d)), 4),
+    "pii": (lambda d: pii.digest(pii.findings(d)), 4),
+    "lines": (line_dedup.dedup_lines, 4),
+    "keep_good": (quality_rules.keep_good, 0),
+    "lines_in_place": (line_dedup.dedup_lines_in_place, 4),
+    "one_of_each": (jaccard_join.one_of_each, 4),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_repeated_rows_null_ids_and_clashing_names(odd, name):
+    operator, count = OPERATORS[name]
+    found = operator(odd).collect()
+    assert len(found) == count
+    assert count == 0 or None in {r.doc_id for r in found}
