@@ -1,7 +1,70 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
+
+The others have none: token ids (1, 6) need a tokenizer library, byte windows (2) are too many rows, alignment (4) and
+span positions (8) have no SQL form. Those are tested against brute force in tests/llm.
+"""
 
 from __future__ import annotations
 
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BLANK = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
+
+OP3 = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS words FROM documents),
+w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM d),
+g AS (SELECT doc_id, pos, word || ' ' || lead(word) OVER p || ' ' || lead(word, 2) OVER p AS gram FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
+r AS (SELECT doc_id, pos, gram IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, gram) > 1 AS dup FROM g),
+c AS (SELECT doc_id, pos, dup OR coalesce(lag(dup) OVER p, false) OR coalesce(lag(dup, 2) OVER p, false) AS covered FROM r WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
+n AS (SELECT doc_id, count(*) FILTER (covered) AS n_repeat_words FROM c GROUP BY 1),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x, {_BLANK}) <> '') AS lines FROM d),
+m AS (SELECT d.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines FROM d JOIN l ON d.doc_id = l.doc_id LEFT JOIN n ON d.doc_id = n.doc_id),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+NOT base_failed AND NOT (10 * n_symbols > word_chars) AND NOT (word_chars > 25 * n_words OR word_chars < 2 * n_words) AND NOT (2 * n_dup_lines > n_lines) AS kept FROM b
+"""
+
+OP5 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_transform({_WORDS}, lambda w: {_LOWER.format("w")}) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS token FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_have FROM s a JOIN s b ON a.token = b.token AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * both_have >= 75 * (a.n + b.n - both_have)),
+reach AS (SELECT x, y FROM e UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x),
+c AS (SELECT x, min(y) AS least FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(c.least, doc_id)) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.x = doc_id
+"""
+
+OP7 = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS win, w FROM d WHERE len(w) >= 35),
+h AS (SELECT doc_id, win, md5(array_to_string(list_slice(w, win, win + 34), ' ')) AS h FROM s),
+r AS (SELECT doc_id, win FROM (SELECT doc_id, win, count(*) OVER (PARTITION BY h) AS times FROM h) WHERE times > 1),
+gone AS (SELECT DISTINCT doc_id, win + k AS pos, true AS is_gone FROM r, range(35) t(k)),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+k AS (SELECT words.doc_id, count(*) AS n_words, count(is_gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY words.pos) FILTER (is_gone IS NULL), '') AS kept FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.pos = gone.pos GROUP BY 1)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN k USING (doc_id)
+"""
+
+OP9 = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+c AS (SELECT *, 4 + length(role) + length(regexp_replace(role, '[^~<>\[\]]', '', 'g')) + 2 + length(text) + length(regexp_replace(text, '[^~<>\[\]]', '', 'g')) + 5 AS chars FROM t),
+o AS (SELECT *, row_number() OVER w AS pos, sum(chars) OVER w AS upto FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+CAST(coalesce(sum(upto) FILTER (role = 'assistant'), 0) AS BIGINT) AS formatted_chars FROM o GROUP BY conv_id
+"""
+
+OP10 = f"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, {_LOWER.format(f"trim(line, {_BLANK})")} AS key FROM l),
+h AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+j AS (SELECT doc_id, pos, line, coalesce(doc_id <> keeper, false) AS dropped FROM k LEFT JOIN h USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256 FROM j GROUP BY doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_rules": OP3, "op5_jaccard_join": OP5, "op7_substring_dedup": OP7, "op9_chat_format": OP9, "op10_line_dedup": OP10}
