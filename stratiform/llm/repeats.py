@@ -30,7 +30,9 @@ from .shared import columns, stored
 PIECE = 1 << 19
 _AT = np.uint64((1 << 24) - 1)
 
-RUNS = "anchor long, content long, doc_id long, first int, last int"
+#: state of a run: OPEN to comparison, COUNTED (a copy stands in the same slice, the run still speaks for its content) or DONE (a copy that is settled already).
+OPEN, COUNTED, DONE = 0, 1, 2
+RUNS = "anchor long, content long, doc_id long, first int, last int, state int"
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -79,11 +81,31 @@ def word_symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return tk.span_hash(tk.prefix_hash(data), starts, ends), np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(offsets) - 1))))
 
 
+def _states(anchor: np.ndarray, content: np.ndarray, doc_id: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of a slice's runs by content and place, without repeated rows, and the state of each.
+
+    One run of each content goes on to the shuffle; its copies in the slice are settled here, so a
+    content that fills many documents does not fill one task.
+    """
+    order = np.lexsort((first, doc_id, content, anchor))
+    a, c, d, f = anchor[order], content[order], doc_id[order], first[order]
+    same = np.concatenate(([False], (a[1:] == a[:-1]) & (c[1:] == c[:-1])))
+    repeated = same & np.concatenate(([False], (d[1:] == d[:-1]) & (f[1:] == f[:-1])))
+    order, same = order[~repeated], same[~repeated]
+    state = np.where(same, DONE, OPEN)
+    state[:-1][~same[:-1] & same[1:]] = COUNTED
+    return order, state
+
+
 def anchored_runs(docs: DataFrame, symbols_of, size: int, gram: int) -> DataFrame:
     def run(batches):
         for batch in tk.slices(batches):
             anchor, content, doc, first, last = runs_of(*symbols_of(batch.column(1)), size, gram)
-            yield pa.RecordBatch.from_arrays([pa.array(tk.signed(anchor)), pa.array(tk.signed(content)), batch.column(0).take(pa.array(doc)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["anchor", "content", "doc_id", "first", "last"])
+            if not len(anchor):
+                continue
+            ids = np.asarray(batch.column(0))[doc]
+            order, state = _states(anchor, content, ids, first)
+            yield pa.RecordBatch.from_arrays([pa.array(tk.signed(anchor[order])), pa.array(tk.signed(content[order])), pa.array(ids[order]), pa.array(first[order].astype(np.int32)), pa.array(last[order].astype(np.int32)), pa.array(state.astype(np.int32))], names=["anchor", "content", "doc_id", "first", "last", "state"])
 
     return docs.filter("doc_id is not null").mapInArrow(run, RUNS)
 
@@ -94,12 +116,24 @@ SETTLED = "doc_id long, first int, last int, anchor long, open boolean"
 def _settle(batches: Iterator[pa.RecordBatch], keep_first: bool) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by anchor, content, document and start. `open` rows must be compared window by window."""
     names = ["anchor", "content", "doc_id", "first", "last"]
+
+    def told(dd, ff, ll, aa, is_open):
+        return pa.RecordBatch.from_arrays([pa.array(dd), pa.array(ff.astype(np.int32)), pa.array(ll.astype(np.int32)), pa.array(aa), pa.array(np.full(len(dd), is_open))], names=["doc_id", "first", "last", "anchor", "open"])
+
     carry = None  # the last row of the batch before, as five values
     head = None  # (doc_id, first, last) of the first row of the anchor's first content, while that is its only one
     for batch in batches:
         if not batch.num_rows:
             continue
+        state = np.asarray(batch.column("state"))
         a, c, d, f, l = (np.asarray(batch.column(n)).astype(np.int64) for n in names)
+        sure = (state == DONE) | ((state == COUNTED) & (not keep_first))
+        if sure.any():
+            yield told(d[sure], f[sure], l[sure], a[sure], False)
+        rest = state != DONE
+        if not rest.any():
+            continue
+        a, c, d, f, l = a[rest], c[rest], d[rest], f[rest], l[rest]
         before = carry or (a[0] + 1, 0, 0, 0, 0)
         pa_, pc_, pd, pf, pl = (np.concatenate(([x], y[:-1])) for x, y in zip(before, (a, c, d, f, l)))
         if carry is None:
@@ -129,12 +163,13 @@ def _settle(batches: Iterator[pa.RecordBatch], keep_first: bool) -> Iterator[pa.
         carry = (a[-1], c[-1], d[-1], f[-1], l[-1])
         for dd, ff, ll, aa, is_open in out:
             if len(dd):
-                yield pa.RecordBatch.from_arrays([pa.array(dd), pa.array(ff.astype(np.int32)), pa.array(ll.astype(np.int32)), pa.array(aa), pa.array(np.full(len(dd), is_open))], names=["doc_id", "first", "last", "anchor", "open"])
+                yield told(dd, ff, ll, aa, is_open)
 
 
 def settled_runs(runs: DataFrame, keep_first: bool) -> DataFrame:
     """Runs whose windows all are repeats, and the runs to open. With `keep_first` an earliest occurrence is none."""
-    dealt = runs.repartition("anchor").sortWithinPartitions("anchor", "content", "doc_id", "first")
+    deal = F.when(F.col("state") == DONE, F.xxhash64("doc_id", "first")).otherwise(F.col("anchor"))
+    dealt = runs.withColumn("deal", deal).repartition("deal").drop("deal").sortWithinPartitions("anchor", "content", "doc_id", "first")
     return dealt.mapInArrow(lambda batches: _settle(batches, keep_first), SETTLED)
 
 
