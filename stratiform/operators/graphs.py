@@ -164,3 +164,44 @@ def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
     """Product of two matrices in (i, j, w) form."""
     right = b.select(F.col("i").alias("k"), F.col("j").alias("j2"), F.col("w").alias("w2"))
     return a.withColumnRenamed("j", "k").join(right, "k").groupBy("i", F.col("j2").alias("j")).agg(F.sum(F.col("w") * F.col("w2")).alias("w"))
+
+
+def moran_basis(edges: DataFrame, count: int):
+    """Leading eigenvectors of H W H as a numpy matrix, H the centring matrix; one row for each areal unit."""
+    import numpy as np
+
+    rows = edges.select("i", "j", "w").collect()
+    n = max(max(r.i, r.j) for r in rows)
+    w = np.zeros((n, n))
+    for r in rows:
+        w[r.i - 1, r.j - 1] = r.w
+    h = np.eye(n) - 1 / n
+    lam, vectors = np.linalg.eigh(h @ ((w + w.T) / 2) @ h)
+    return vectors[:, np.argsort(-lam)[:count]]
+
+
+def preceding_neighbours(points: DataFrame, m: int, cell: float) -> DataFrame:
+    """For (id, x, y) in order of x, y, id: the m nearest among the points before, by grid cells that widen to the left."""
+    order = Window.orderBy("x", "y", "id")
+    ranked = points.withColumn("ord", F.row_number().over(order))
+    own = _cells(ranked, cell)
+    spread = own.agg(F.max("gx") - F.min("gx"), F.max("gy") - F.min("gy")).collect()[0]
+    left, done, reach = own, None, 2
+    while True:
+        last = reach >= max(spread[0] or 0, spread[1] or 0) + 1
+        probes = left.withColumn("a", F.explode(F.sequence(F.lit(-reach), F.lit(0)))).withColumn("b", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
+        probes = probes.select("id", "x", "y", "ord", (F.col("gx") + F.col("a")).alias("gx"), (F.col("gy") + F.col("b")).alias("gy"))
+        other = own.select(F.col("id").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("ord").alias("ord2"), "gx", "gy")
+        d = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
+        met = probes.join(other, ["gx", "gy"]).filter("ord2 < ord").withColumn("d", d)
+        best = met.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d", "j"))).filter(F.col("rank") <= m)
+        sure = best.groupBy("id", "ord").agg(F.count("*").alias("n"), F.max("d").alias("far")).filter((F.col("n") >= F.least(F.lit(m), F.col("ord") - 1)) & (F.col("far") <= reach * cell)).select("id")
+        part = best if last else best.join(sure, "id", "left_semi")
+        part = part.select("id", "j", "d", "rank")
+        done = part if done is None else done.unionByName(part)
+        if last:
+            return done
+        left = left.join(sure, "id", "left_anti").filter("ord > 1")
+        if left.isEmpty():
+            return done
+        reach *= 3

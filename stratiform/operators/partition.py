@@ -126,3 +126,71 @@ def spatial_grid_folds(points: DataFrame, folds: int) -> DataFrame:
     cell = lambda v, a, b: F.greatest(F.lit(1), F.least(F.lit(side), F.ceil((F.col(v) - F.col(a)) / ((F.col(b) + 1e-6 - F.col(a)) / side))))
     number = (cell("y", "__y0", "__y1") - 1) * side + cell("x", "__x0", "__x1")
     return df.withColumn("fold", (F.pmod(number - 1, F.lit(folds)) + 1).cast("long")).drop("__x0", "__x1", "__y0", "__y1")
+
+
+def convex_hull(points: DataFrame) -> list[tuple[float, float]]:
+    """Hull of (x, y), counter-clockwise. Each task keeps the hull of its own points, so the driver joins small hulls."""
+    import pandas as pd
+
+    def chain(xy: list[tuple[float, float]]) -> list[tuple[float, float]]:
+        xy = sorted(set(xy))
+        if len(xy) < 3:
+            return xy
+        halves = []
+        for run in (xy, xy[::-1]):
+            half: list[tuple[float, float]] = []
+            for p in run:
+                while len(half) >= 2 and (half[-1][0] - half[-2][0]) * (p[1] - half[-2][1]) - (half[-1][1] - half[-2][1]) * (p[0] - half[-2][0]) <= 0:
+                    half.pop()
+                half.append(p)
+            halves += half[:-1]
+        return halves
+
+    def own(batches):
+        kept: list[tuple[float, float]] = []
+        for pdf in batches:
+            kept = chain(kept + list(zip(pdf["x"], pdf["y"])))
+        yield pd.DataFrame(kept, columns=["x", "y"])
+
+    return chain([(r.x, r.y) for r in points.select("x", "y").mapInPandas(own, "x double, y double").collect()])
+
+
+def voronoi_cells(centroids: DataFrame, hull: list[tuple[float, float]]) -> DataFrame:
+    """unit_id, cx, cy, ring: each centroid's cell, the hull cut by the half-plane nearer to it than to every other centroid.
+
+    One row for each areal unit; the centroids are sent to all tasks, and each task cuts its own cells.
+    """
+    import pandas as pd
+
+    others = [(r.unit_id, r.cx, r.cy) for r in centroids.select("unit_id", "cx", "cy").collect()]
+
+    def cut(ring, a, b, c):
+        """Part of the ring where a x + b y <= c."""
+        out = []
+        for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1]):
+            d0, d1 = a * x0 + b * y0 - c, a * x1 + b * y1 - c
+            if d0 <= 0:
+                out.append((x0, y0))
+            if d0 * d1 < 0:
+                t = d0 / (d0 - d1)
+                out.append((x0 + t * (x1 - x0), y0 + t * (y1 - y0)))
+        return out
+
+    def cells(batches):
+        for pdf in batches:
+            rings = []
+            for u, x, y in zip(pdf["unit_id"], pdf["cx"], pdf["cy"]):
+                ring = list(hull)
+                for v, ox, oy in others:
+                    if v != u and (ox, oy) != (x, y) and ring:
+                        ring = cut(ring, 2 * (ox - x), 2 * (oy - y), ox * ox + oy * oy - x * x - y * y)
+                rings.append([{"x": float(p), "y": float(q)} for p, q in ring])
+            yield pdf.assign(ring=rings)
+
+    return centroids.select("unit_id", "cx", "cy").mapInPandas(cells, "unit_id long, cx double, cy double, ring array<struct<x:double,y:double>>")
+
+
+def spatial_kmeans_folds(points: DataFrame, folds: int) -> DataFrame:
+    """Folds as k-means blocks; the loop costs one aggregation a round."""
+    start = [(i + 1, r.x, r.y) for i, r in enumerate(points.orderBy("id").limit(folds).collect())]
+    return nearest_unit(points, centroid_loop(points, start), "fold")

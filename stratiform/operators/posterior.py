@@ -139,3 +139,12 @@ def psis_loo(loglik: DataFrame) -> DataFrame:
         return pd.DataFrame({"obs_id": [pdf["obs_id"].iloc[0]], "elpd": [float(elpd)], "pareto_k": [k]})
 
     return loglik.select("obs_id", "ll").groupBy("obs_id").applyInPandas(one, "obs_id long, elpd double, pareto_k double")
+
+
+def compare_models(metrics: DataFrame) -> DataFrame:
+    """(model_name, metric, value) with each value's distance to the best: the largest elpd and r2, the smallest of the rest."""
+    all_of = Window.partitionBy("metric")
+    high = F.lower("metric").rlike("elpd|r2|pearson")
+    best = F.when(high, F.max("value").over(all_of)).otherwise(F.min("value").over(all_of))
+    delta = F.when(high, best - F.col("value")).otherwise(F.col("value") - best)
+    return metrics.withColumn("delta", delta).withColumn("clearly_worse", F.lower("metric").rlike("elpd") & (F.col("delta") > 4))

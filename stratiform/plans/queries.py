@@ -648,3 +648,34 @@ def plot_trajectories(spark, d):
 def plot_seasonal(spark, d):
     o = table(spark, d, "orders").select(F.month("o_orderdate").cast("long").alias("month"), "o_totalprice")
     return plotdata.seasonal(o, "month", "o_totalprice").select("month", r("mean", 3).alias("mean"), r("sd", 3).alias("sd"))
+
+
+# ---- Voronoi cells, preceding neighbours, streaming ----
+
+
+@query()
+def voronoi_units(spark, d):
+    pts = points(spark, d).select("id", "x", "y")
+    centroids = pts.filter("id % 500 = 0").select((F.col("id") + 1).alias("unit_id"), F.col("x").alias("cx"), F.col("y").alias("cy"))
+    return store.geometries(partition.voronoi_cells(centroids, partition.convex_hull(pts))).select("unit_id", r("area", 3).alias("area"))
+
+
+@query(POINTS + ", p AS (SELECT id, x, y, row_number() OVER (ORDER BY x, y, id) AS ord FROM pts WHERE id % 10 = 0), n AS (SELECT a.id, b.id AS j, row_number() OVER (PARTITION BY a.id ORDER BY sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)), b.id) AS k FROM p a JOIN p b ON b.ord < a.ord) SELECT id, j, CAST(k AS BIGINT) AS rank FROM n WHERE k <= 5")
+def nngp_neighbours(spark, d):
+    pts = points(spark, d).filter("id % 10 = 0").select("id", "x", "y")
+    return graphs.preceding_neighbours(pts, 5, 60.0).select("id", "j", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT epoch(time_bucket(INTERVAL 1 DAY, ts))::BIGINT AS window_start, event_type, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY ALL")
+def stream_window_counts(spark, d):
+    """A streaming query over the events table, run to its end; late rows would fall behind the watermark."""
+    import uuid
+
+    from ..streaming import live
+
+    source = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    source = source.withColumn("ts", F.col("ts").cast("timestamp"))
+    name = f"counts_{uuid.uuid4().hex}"
+    run = live.windowed_counts(source, "ts", ["event_type"], "1 day", "40 days", "value").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name).select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n", r("mean").alias("mean"))
