@@ -94,7 +94,7 @@ class LevelledRuns:
         """Keys of a batch that no run holds."""
         return reduce(lambda left, run: left.join(run.hint("merge"), KEY, "left_anti"), self.runs(), batch_run)
 
-    def add(self, batch_run: DataFrame, store: bool = True) -> None:
+    def add(self, batch_run: DataFrame) -> None:
         """Anti-join the batch against the runs; what they hold already is counted as an increment beside the new keys."""
         held = self.runs()
         if held:

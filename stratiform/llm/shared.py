@@ -26,14 +26,6 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def delete(df: DataFrame) -> None:
-    """Remove the files behind a stored table once nothing needs it."""
-    jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
-    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
-
-
 def columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under private names, so that no other column can clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
