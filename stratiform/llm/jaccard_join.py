@@ -10,9 +10,9 @@ The matrix holds of each set the tokens that a partner can't avoid. Tokens are o
 frequent in a bounded sample last, and otherwise by a random hash. Of n tokens a partner lacks
 at most n - ceil(t*n), so the first n - ceil(t*n) + k hold k shared ones; and since the order is
 random, the first 64 hold k shared ones but for a chance of 2**-64 a pair, as rare as two shingles
-with one 64-bit hash. The shorter prefix is taken. Tokens of one class only can't be shared, which bounds
-what a class can have in common with any other: classes that can't have k, and pairs that
-can't reach the threshold by these bounds, are left out.
+with one 64-bit hash. The shorter prefix is taken. Of a pair whose first shared token stands at some places
+of the two sets, at most what follows in either can be shared: classes that don't meet k tokens of
+others, and pairs that can't reach the threshold by this bound, are left out.
 The sample only decides the order: any order gives the same links.
 
 Groups form in rounds: in every token's list, each class is compared with one leader of
@@ -194,21 +194,20 @@ class JaccardJoin:
         self.sets = stored(_sets(self.docs, self.tokens.select(F.col("rep").alias("doc_id")).distinct(), words), "token-sets")
 
     def _shared_tokens(self) -> DataFrame:
-        """token, pos, rep, n, usable, need, copies: leading tokens that two or more classes have, of classes that can have a partner."""
+        """token, pos, rep, n, need, copies: leading tokens that two or more classes have, of classes that can have a partner."""
         reps = self.signatures.alias("s").join(self.classes.alias("c"), (F.col("s.doc_id") == F.col("c.rep")) & (F.col("s.hi") == F.col("c.hi")) & (F.col("s.lo") == F.col("c.lo")))
         reps = reps.select(F.col("c.rep").alias("rep"), F.col("s.n_shingles").alias("n"), "s.need", "c.copies", "s.prefix").dropDuplicates(["rep"])
-        rows = reps.select(F.posexplode("prefix").alias("pos", "token"), "rep", "n", F.size("prefix").alias("size"), "need", "copies").select("token", "pos", "rep", "n", "size", "need", "copies")
+        rows = reps.select(F.posexplode("prefix").alias("pos", "token"), "rep", "n", "need", "copies").select("token", "pos", "rep", "n", "need", "copies")
         rows = stored(shared_only(rows, "token"), "tokens")
         for _ in range(2):
-            usable = rows.groupBy("rep").agg((F.first("n") - F.first("size") + F.count("*")).alias("usable"), F.count("*").alias("met"), F.first("need").alias("asked"), F.first("n").alias("all"))
-            usable = usable.filter((F.col("met") >= F.col("asked")) & (100 * F.col("usable") >= self.percent * F.col("all"))).select("rep", "usable")
-            rows = stored(shared_only(rows.drop("usable").join(usable, "rep").select("token", "pos", "rep", "n", "usable", "size", "need", "copies"), "token"), "tokens")
+            able = rows.groupBy("rep").agg(F.count("*").alias("met"), F.first("need").alias("asked")).filter("met >= asked").select("rep")
+            rows = stored(shared_only(rows.join(able, "rep", "left_semi").select(*rows.columns), "token"), "tokens")
         return rows
 
     def _grouped(self, edges: list[DataFrame]) -> DataFrame:
         """Shared tokens with the group of each class, the smallest class that its links reach."""
         # first: what a class can share with another if this token is the first that they share
-        tokens = self.tokens.withColumn("first", F.least("usable", F.col("n") - F.col("pos")))
+        tokens = self.tokens.withColumn("first", F.col("n") - F.col("pos")).withColumn("all", F.col("n"))
         if not edges:
             return tokens.withColumn("grp", F.col("rep"))
         groups = components(reduce(DataFrame.unionByName, edges)).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
@@ -226,7 +225,7 @@ class JaccardJoin:
 
     def matrix(self, grouped: DataFrame) -> DataFrame:
         """The token-group matrix: token, grp, and of its members with the token the least size and need and the most they can share; only tokens of two or more groups."""
-        cells = grouped.groupBy("token", "grp").agg(F.min("n").alias("n2"), F.max("usable").alias("usable2"), F.max("first").alias("first2"), F.min("need").alias("need2"))
+        cells = grouped.groupBy("token", "grp").agg(F.min("n").alias("n2"), F.max("all").alias("all2"), F.max("first").alias("first2"), F.min("need").alias("need2"))
         several = cells.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1").select("token")
         return cells.join(several, "token")
 
@@ -238,9 +237,9 @@ class JaccardJoin:
         """
         sizes = grouped.groupBy("grp").agg(F.countDistinct("rep").alias("size"))
         other = self.matrix(grouped).join(sizes, "grp").withColumnRenamed("grp", "target").withColumnRenamed("size", "size2")
-        asking = grouped.drop("size").join(sizes, "grp").select("token", "rep", "n", "usable", "first", "need", "grp", "size").join(other, "token")
+        asking = grouped.join(sizes, "grp").select("token", "rep", "n", "all", "first", "need", "grp", "size").join(other, "token")
         asks = (F.col("size") < F.col("size2")) | ((F.col("size") == F.col("size2")) & (F.col("grp") < F.col("target")))
-        asking = asking.filter((F.col("grp") != F.col("target")) & asks & _may_link("usable", self.percent)).withColumn("opens", _may_link("first", self.percent))
+        asking = asking.filter((F.col("grp") != F.col("target")) & asks & _may_link("all", self.percent)).withColumn("opens", _may_link("first", self.percent))
         overlap = asking.groupBy("rep", "target").agg(F.count("*").alias("shared"), F.min(F.least("need", "need2")).alias("asked"), F.max("opens").alias("opens"))
         qualifying = overlap.filter(F.col("opens") & (F.col("shared") >= F.col("asked"))).select("rep", "target")
         queries = asking.filter("opens").select("rep", "n", "first", "target", "token").join(qualifying, ["rep", "target"], "left_semi")

@@ -125,6 +125,21 @@ def test_jaccard_join(docs, rows):
     held(jaccard_join.near_duplicates(docs), brute.jaccard_join(rows), ["n_shingles", "component_id"])
 
 
+def test_jaccard_join_keeps_links_of_extended_texts(spark):
+    """A text and the same with a third more words: close to the threshold, and all that differs lies on one side."""
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    rows = []
+    for k in range(60):
+        base = prose(60 + 20 * (k % 12))
+        words = len(base.split())
+        rows += [(2 * k, base), (2 * k + 1, f"{prose(int((words - 4) / 3) - k % 3)} {base}" if k % 2 else f"{base} {prose(int((words - 4) / 3) + 1)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.jaccard_join(rows)
+    assert 20 <= sum(c != d for d, (_, c) in want.items()) <= 40
+    held(jaccard_join.near_duplicates(docs), want, ["n_shingles", "component_id"])
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 3), (3, 2), (2, 1), (10, 11), (12, 11), (7, 7)]
     found = components.components(spark.createDataFrame(edges, "a long, b long"))
