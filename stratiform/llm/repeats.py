@@ -29,6 +29,7 @@ from .shared import columns, stored
 #: Windows handled at once: bounds memory for a text of any length.
 PIECE = 1 << 19
 _AT = np.uint64((1 << 24) - 1)
+_NONE = np.uint64((1 << 64) - 1)
 
 #: state of a run: OPEN to comparison, COUNTED (a copy stands in the same slice, the run still speaks for its content) or DONE (a copy that is settled already).
 OPEN, COUNTED, DONE = 0, 1, 2
@@ -43,8 +44,11 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(low[: len(values) - width + 1], low[width - step :][: len(values) - width + 1])
 
 
-def runs_of(symbols: np.ndarray, bounds: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
-    """anchor hash, content hash, text number, first and last window start (in the text) of each run."""
+def runs_of(symbols: np.ndarray, bounds: np.ndarray, size: int, gram: int, able: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """anchor hash, content hash, text number, first and last window start (in the text) of each run.
+
+    With `able`, a flag for each place, only grams that start at such places are anchors; windows without one are left out.
+    """
     parts = []
     prefix = tk.prefix_hash(symbols)
     doc_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
@@ -54,9 +58,14 @@ def runs_of(symbols: np.ndarray, bounds: np.ndarray, size: int, gram: int) -> tu
         at = np.arange(begin, end + size - gram)
         grams = tk.span_hash(prefix, at, at + gram)
         order = (grams & ~_AT) | (~(at - begin).astype(np.uint64) & _AT)
-        anchor = begin + (~sliding_min(order, size - gram + 1) & _AT).astype(np.int64)
+        if able is not None:
+            order[~able[at]] = _NONE
+        low = sliding_min(order, size - gram + 1)
+        anchor = begin + (~low & _AT).astype(np.int64)
         window = np.arange(begin, end)
         inside = doc_of[window] == doc_of[window + size - 1]
+        if able is not None:
+            inside &= low != _NONE
         window, anchor = window[inside], anchor[inside]
         if not len(window):
             continue
@@ -97,15 +106,20 @@ def _states(anchor: np.ndarray, content: np.ndarray, doc_id: np.ndarray, first:
     return order, state
 
 
+def run_batch(doc_ids: np.ndarray, runs: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    """The runs of a slice as rows; doc_ids has the id of each of its texts."""
+    anchor, content, doc, first, last = runs
+    ids = doc_ids[doc]
+    order, state = _states(anchor, content, ids, first)
+    return pa.RecordBatch.from_arrays([pa.array(tk.signed(anchor[order])), pa.array(tk.signed(content[order])), pa.array(ids[order]), pa.array(first[order].astype(np.int32)), pa.array(last[order].astype(np.int32)), pa.array(state.astype(np.int32))], names=["anchor", "content", "doc_id", "first", "last", "state"])
+
+
 def anchored_runs(docs: DataFrame, symbols_of, size: int, gram: int) -> DataFrame:
     def run(batches):
         for batch in tk.slices(batches):
-            anchor, content, doc, first, last = runs_of(*symbols_of(batch.column(1)), size, gram)
-            if not len(anchor):
-                continue
-            ids = np.asarray(batch.column(0))[doc]
-            order, state = _states(anchor, content, ids, first)
-            yield pa.RecordBatch.from_arrays([pa.array(tk.signed(anchor[order])), pa.array(tk.signed(content[order])), pa.array(ids[order]), pa.array(first[order].astype(np.int32)), pa.array(last[order].astype(np.int32)), pa.array(state.astype(np.int32))], names=["anchor", "content", "doc_id", "first", "last", "state"])
+            runs = runs_of(*symbols_of(batch.column(1)), size, gram)
+            if len(runs[0]):
+                yield run_batch(np.asarray(batch.column(0)), runs)
 
     return docs.filter("doc_id is not null").mapInArrow(run, RUNS)
 
@@ -297,9 +311,9 @@ def joined_spans(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[
     return doc[which], begin & 0xFFFFFFFF, end & 0xFFFFFFFF
 
 
-def repeat_spans(docs: DataFrame, texts: DataFrame, symbols_of, size: int, gram: int, keep_first: bool, compare, contexts: bool) -> DataFrame:
-    """doc_id, start, stop: symbols covered by repeated windows; spans may overlap."""
-    settled = stored(settled_runs(anchored_runs(docs, symbols_of, size, gram), keep_first), "runs")
+def repeat_spans(runs: DataFrame, texts: DataFrame, symbols_of, size: int, keep_first: bool, compare, contexts: bool) -> DataFrame:
+    """doc_id, start, stop: symbols covered by repeated windows of the runs; spans may overlap."""
+    settled = stored(settled_runs(runs, keep_first), "runs")
     edges = compare(opened_runs(settled, texts, symbols_of, size, contexts))
     whole = settled.filter("not open").select("doc_id", F.col("first").alias("start"), (F.col("last") + size).alias("stop"))
     return whole.unionByName(edges)

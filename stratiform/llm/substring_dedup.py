@@ -1,10 +1,15 @@
 """Substring dedup: words of 35-word passages that stand anywhere else too.
 
-Reference blocks of 18 words are indexed and probed with every rolling window of 35
-words; hits are extended to maximal exact repeats. Blocks are placed by content (see
-repeats.py): each rolling window probes the index with the one block inside it that has the
-smallest hash, so probes of neighbouring windows fall together. Blocks at fixed
-places would need a probe row for every word of the corpus; the README has the figures.
+Reference blocks are the words 0-17, 18-35, ... of each document: any passage of 35 words
+holds one whole block. They are indexed, and every rolling window of 18 words
+probes the index. A hit is a block that is indexed and found at two places or
+more; that depends on its words alone, so equal passages have equal hits. Hits are
+extended to maximal exact repeats (see repeats.py, with hits as anchors).
+
+Probes are not shuffled as rows: a slice of documents sends each bucket of the index the
+sorted hashes of its own probes, packed, once for each distinct hash, and gets back one bit for
+each. A block that fills a third of the corpus thus counts once a slice. Of the
+hash, 32 bits and the bucket are compared; a false hit costs a comparison and changes no result.
 
 Defined results: a null or empty text has no words; windows never cross documents;
 rows that repeat an id are one document, so identical repeated rows are no
@@ -14,15 +19,148 @@ copies of each other; rows with a null id neither match nor lose words; an empty
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import repeats as rp
 from . import textkit as tk
+from .shared import stored
 
 SIZE, BLOCK = 35, 18
+#: Text bytes of a slice, buckets of the index for each shuffle partition, and probes a bucket should not exceed.
+SLICE, SPREAD, BUCKET = 1 << 22, 4, 1 << 22
+_KEY = np.uint64(0xFFFFFFFF)
+#: Flags of a probe: its block is a reference block; it stands at several places of the slice.
+INDEXED, SEVERAL = 1, 2
+
+
+def text_slices(docs: DataFrame) -> DataFrame:
+    """slice, n_words, and the ids, sizes and joined bytes of its documents, compressed."""
+
+    def run(batches):
+        squeeze, number = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 32
+        for batch in tk.slices(batches, limit=SLICE):
+            data, offsets = tk.buffer_of(batch.column(1))
+            n_words = len(tk.word_spans(data, offsets)[0])
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([n_words]), pa.array([np.asarray(batch.column(0))], pa.list_(pa.int64())), pa.array([np.diff(offsets)], pa.list_(pa.int64())), pa.array([squeeze.compress(data.tobytes())], pa.binary())], names=["slice", "n_words", "ids", "sizes", "packed"])
+            number += 1
+
+    return docs.filter("doc_id is not null").mapInArrow(run, "slice long, n_words long, ids array<long>, sizes array<long>, packed binary")
+
+
+def _slice_words(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Row number, word symbols and document bounds of each slice."""
+    for i, raw in enumerate(rp.unpacked(batch.column("packed"))):
+        cuts = np.concatenate(([0], np.cumsum(np.asarray(batch.column("sizes")[i].values))))
+        yield i, *rp.word_symbols(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(raw)]))
+
+
+def _probes(symbols: np.ndarray, bounds: np.ndarray, block: int, buckets: int):
+    """Places of the rolling windows, whether each is a reference block, and its bucket and hash in one number."""
+    at = np.arange(max(len(symbols) - block + 1, 0))
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    at = at[doc[at] == doc[at + block - 1]]
+    grams = tk.span_hash(tk.prefix_hash(symbols), at, at + block)
+    return at, (at - bounds[doc[at]]) % block == 0, (grams >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | grams & _KEY
+
+
+def _squeezed(keys: np.ndarray, flags: np.ndarray) -> bytes:
+    steps = np.diff(keys, prepend=np.uint32(0)).astype(np.uint32)
+    return zstandard.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes() + flags.tobytes(), 1)
+
+
+def _expanded(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(packed), np.uint8)
+    planes = raw.reshape(5, -1)
+    return np.cumsum(np.ascontiguousarray(planes[:4].T).view(np.uint32)[:, 0], dtype=np.uint32), planes[4]
+
+
+def rolling_probes(slices: DataFrame, block: int, buckets: int) -> DataFrame:
+    """bucket, slice and the packed distinct hashes, with flags, of the slice's rolling windows."""
+
+    def run(batches):
+        for batch in batches:
+            for i, symbols, bounds in _slice_words(batch):
+                _, indexed, codes = _probes(symbols, bounds, block, buckets)
+                if not len(codes):
+                    continue
+                order = np.argsort(codes)
+                codes, indexed = codes[order], indexed[order]
+                first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+                flags = (np.logical_or.reduceat(indexed, first) * INDEXED + (np.diff(first, append=len(codes)) > 1) * SEVERAL).astype(np.uint8)
+                codes = codes[first]
+                bucket, keys = (codes >> np.uint64(32)).astype(np.int32), (codes & _KEY).astype(np.uint32)
+                cuts = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)])).tolist()
+                packed = [_squeezed(keys[a:b], flags[a:b]) for a, b in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.repeat(batch.column("slice")[i], len(packed)), pa.array(packed, pa.binary())], names=["bucket", "slice", "probes"])
+
+    return slices.select("slice", "sizes", "packed").mapInArrow(run, "bucket int, slice long, probes binary")
+
+
+def _answers(bucket: int, slices: list[int], probes: list[bytes]) -> pa.RecordBatch:
+    """One bit for each probe of a bucket: whether it is a hit."""
+    parts = [_expanded(p) for p in probes]
+    keys, flags = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], np.diff(keys[order]) != 0)))
+    flags = flags[order]
+    hit = (np.bitwise_or.reduceat(flags, first) & INDEXED > 0) & ((np.diff(first, append=len(keys)) > 1) | (np.bitwise_or.reduceat(flags, first) & SEVERAL > 0))
+    hits = np.zeros(len(keys), bool)
+    hits[order] = np.repeat(hit, np.diff(first, append=len(keys)))
+    masks = np.split(hits, np.cumsum([len(k) for k, _ in parts])[:-1])
+    found = [(s, np.packbits(m).tobytes()) for s, m in zip(slices, masks) if m.any()]
+    return pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int64()), pa.array([bucket] * len(found), pa.int32()), pa.array([m for _, m in found], pa.binary())], names=["slice", "bucket", "mask"])
+
+
+def probe_answers(probes: DataFrame) -> DataFrame:
+    """slice, bucket, mask: the index, bucket by bucket, against all its probes."""
+
+    def run(batches):
+        now, slices, held = None, [], []
+        for batch in batches:
+            for bucket, number, packed in zip(*(batch.column(n).to_pylist() for n in ("bucket", "slice", "probes"))):
+                if bucket != now and held:
+                    yield _answers(now, slices, held)
+                    slices, held = [], []
+                now = bucket
+                slices.append(number)
+                held.append(packed)
+        if held:
+            yield _answers(now, slices, held)
+
+    return probes.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "slice long, bucket int, mask binary")
+
+
+def hit_runs(docs: DataFrame, size: int, block: int) -> DataFrame:
+    """The runs of windows around hits; all windows without a hit inside stand nowhere else."""
+    slices = stored(text_slices(docs), "slices")
+    words = slices.agg(F.sum("n_words")).first()[0] or 0
+    buckets = max(SPREAD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), words // BUCKET)
+
+    def run(batches):
+        for batch in batches:
+            for i, symbols, bounds in _slice_words(batch):
+                at, _, codes = _probes(symbols, bounds, block, buckets)
+                distinct, which = np.unique(codes, return_inverse=True)
+                hits = np.zeros(len(distinct), bool)
+                starts = np.searchsorted(distinct, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
+                for bucket, mask in zip(*(batch.column("answers")[i].values.field(n).to_pylist() for n in ("bucket", "mask"))):
+                    a, b = starts[bucket : bucket + 2]
+                    hits[a:b] = np.unpackbits(np.frombuffer(mask, np.uint8), count=b - a)
+                able = np.zeros(len(symbols), bool)
+                able[at] = hits[which]
+                runs = rp.runs_of(symbols, bounds, size, block, able)
+                if len(runs[0]):
+                    yield rp.run_batch(np.asarray(batch.column("ids")[i].values), runs)
+
+    answers = probe_answers(rolling_probes(slices, block, buckets)).groupBy("slice").agg(F.collect_list(F.struct("bucket", "mask")).alias("answers"))
+    return slices.drop("n_words").join(answers, "slice").mapInArrow(run, rp.RUNS)
 
 
 def _compare(opened: DataFrame, size: int) -> DataFrame:
@@ -51,7 +189,8 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, packed text and the word spans to remove."""
     narrow = rp.narrow(docs, id_col, text_col)
     texts = rp.packed_texts(narrow)
-    return rp.with_spans(texts, rp.repeat_spans(narrow, texts, rp.word_symbols, size, block, False, lambda opened: _compare(opened, size), False))
+    runs = hit_runs(narrow, size, block)
+    return rp.with_spans(texts, rp.repeat_spans(runs, texts, rp.word_symbols, size, False, lambda opened: _compare(opened, size), False))
 
 
 def kept_words(found: DataFrame, digest: bool = False) -> DataFrame:

@@ -115,7 +115,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, packed text and the byte spans to remove."""
     narrow = rp.narrow(docs, id_col, text_col)
     texts = rp.packed_texts(narrow)
-    return rp.with_spans(texts, rp.repeat_spans(narrow, texts, rp.byte_symbols, size, gram, True, lambda opened: rp.in_anchor_groups(opened, _compare(size)), True))
+    runs = rp.anchored_runs(narrow, rp.byte_symbols, size, gram)
+    return rp.with_spans(texts, rp.repeat_spans(runs, texts, rp.byte_symbols, size, True, lambda opened: rp.in_anchor_groups(opened, _compare(size)), True))
 
 
 def digest(found: DataFrame) -> DataFrame:

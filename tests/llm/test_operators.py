@@ -4,6 +4,7 @@ import random
 
 import brute
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +158,27 @@ def test_substring_dedup(docs, rows):
     held(substring_dedup.kept_words(substring_dedup.repeated_words(docs), digest=True), brute.substring_dedup(rows), ["n_words", "n_removed", "kept_sha256"])
 
 
+def test_reference_blocks_catch_passages_at_every_offset(spark):
+    """Passages of 35 and 34 words that stand at all offsets against the blocks, in the same document, overlapping, and at its very ends."""
+    rng = random.Random(3)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    whole, short = fresh(35), fresh(34)
+    texts = [whole, fresh(7) + short, whole[:34], [*whole[1:], "x"], fresh(40) + whole * 2, ["a"] * 37, ["b"] * 35, fresh(18) + ["a"] * 35]
+    texts += [fresh(k) + whole + fresh(3) for k in range(18)] + [fresh(k) + short + fresh(3) for k in range(18)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = brute.substring_dedup(rows)
+    held(substring_dedup.kept_words(substring_dedup.repeated_words(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)), True), want, ["n_words", "n_removed", "kept_sha256"])
+    assert want[0][1] == 35 and want[1][1] == 0 and want[5][1] == 37 and want[6][1] == 0
+
+
+def test_packed_probes_round_trip():
+    rng = random.Random(5)
+    keys = np.array(sorted(rng.sample(range(1 << 32), 1000)), dtype="uint32")
+    flags = np.array([rng.randrange(4) for _ in keys], dtype="uint8")
+    back = substring_dedup._expanded(substring_dedup._squeezed(keys, flags))
+    assert (back[0] == keys).all() and (back[1] == flags).all()
+
+
 def test_pii(docs, rows):
     held(pii.digest(pii.findings(docs)), brute.pii(rows), ["n_email", "n_ip", "n_card", "n_phone", "base_sha256"])
 
