@@ -34,7 +34,7 @@ from .shared import stored
 
 SIZE, BLOCK = 35, 18
 #: Text bytes of a slice, buckets of the index for each shuffle partition, and probes a bucket should not exceed.
-SLICE, SPREAD, BUCKET = 1 << 22, 4, 1 << 22
+SLICE, SPREAD, BUCKET = 1 << 20, 4, 1 << 22
 _KEY = np.uint64(0xFFFFFFFF)
 #: Flags of a probe: its block is a reference block; it stands at several places of the slice.
 INDEXED, SEVERAL = 1, 2
