@@ -178,7 +178,10 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _may_link(most: str, percent: int):
     """Whether sets of n and n2 tokens can reach the threshold when they share at most `most` and `most`2."""
-    shared = F.least(F.col(most), F.col(f"{most}2"))
+    return _reaches(F.least(F.col(most), F.col(f"{most}2")), percent)
+
+
+def _reaches(shared, percent: int):
     return 100 * shared >= percent * (F.col("n") + F.col("n2") - shared)
 
 
@@ -239,7 +242,9 @@ class JaccardJoin:
         other = self.matrix(grouped).join(sizes, "grp").withColumnRenamed("grp", "target").withColumnRenamed("size", "size2")
         asking = grouped.join(sizes, "grp").select("token", "rep", "n", "all", "first", "need", "grp", "size").join(other, "token")
         asks = (F.col("size") < F.col("size2")) | ((F.col("size") == F.col("size2")) & (F.col("grp") < F.col("target")))
-        asking = asking.filter((F.col("grp") != F.col("target")) & asks & _may_link("all", self.percent)).withColumn("opens", _may_link("first", self.percent))
+        # the k-th token that a linking pair shares has at least as many tokens after it, itself counted, as the pair must share, less k - 1
+        counted = _reaches(F.least(F.least("first", "first2") + F.col("need") - 1, "all", "all2"), self.percent)
+        asking = asking.filter((F.col("grp") != F.col("target")) & asks & counted).withColumn("opens", _may_link("first", self.percent))
         overlap = asking.groupBy("rep", "target").agg(F.count("*").alias("shared"), F.min(F.least("need", "need2")).alias("asked"), F.max("opens").alias("opens"))
         qualifying = overlap.filter(F.col("opens") & (F.col("shared") >= F.col("asked"))).select("rep", "target")
         queries = asking.filter("opens").select("rep", "n", "first", "target", "token").join(qualifying, ["rep", "target"], "left_semi")
