@@ -1,11 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters, digits and non-ASCII bytes, in ASCII lower case. Every
 n-gram of a test item is a seed. One pass over the corpus finds each document's
-seed hits and cuts out the words around them; the hits also give each
-seed's document frequency over the whole corpus. Only seeds that are rare, corpus-wide or
-among their item's own, join a passage to the item. The passage is then
-aligned locally with the item; the score is the share of the best possible, 1 for a
+seed hits, cuts out the words around them and aligns each such passage locally with the
+item. How many documents hold a seed decides nothing: copies of an item
+make its own seeds frequent. The score is the share of the best possible, 1 for a
 verbatim copy, so edited copies score high and shared phrases do not.
 
 Test items are broadcast in parts of at most `part_bytes`, however many there are.
@@ -21,15 +20,13 @@ import numpy as np
 import pyarrow as pa
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .shared import columns, stored
+from .shared import columns
 
 SEED_WORDS, MIN_SCORE = 5, 0.6
-#: A seed is rare up to this share of documents, and in any case up to its item's own quantile.
-RARE_SHARE, ITEM_QUANTILE = 1e-4, 0.75
 PART_BYTES = 4 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -75,7 +72,7 @@ def align(item: np.ndarray, passage: np.ndarray) -> float:
     return best / (MATCH * len(item))
 
 
-PASSAGES = "doc_id long, item int, seeds array<long>, words binary"
+PASSAGES = "doc_id long, item int, words binary"
 
 
 def passages(docs: DataFrame, items) -> DataFrame:
@@ -95,14 +92,14 @@ def passages(docs: DataFrame, items) -> DataFrame:
                 many = high - low[at]
                 entry = np.repeat(low[at] + many - np.cumsum(many), many) + np.arange(many.sum())
                 at = np.repeat(at, many)
-                hits.append((doc[at], owner[entry], at, seeds[entry]))
+                hits.append((doc[at], owner[entry], at))
             if not hits:
                 continue
-            d, item, at, seed = (np.concatenate(x) for x in zip(*hits))
+            d, item, at = (np.concatenate(x) for x in zip(*hits))
             if not len(d):
                 continue
             order = np.lexsort((at, item, d))
-            d, item, at, seed = d[order], item[order], at[order], seed[order]
+            d, item, at = d[order], item[order], at[order]
             reach = np.array([part.reach[i] for i in range(len(part.ids))])[item]
             new = np.concatenate(([True], (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > reach[1:])))
             firsts = np.flatnonzero(new)
@@ -110,20 +107,11 @@ def passages(docs: DataFrame, items) -> DataFrame:
             begin = np.maximum(at[firsts] - reach[firsts], np.searchsorted(doc, d[firsts]))
             end = np.minimum(at[lasts] + reach[firsts] + 1, np.searchsorted(doc, d[firsts], side="right"))
             raw = [words[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist())]
-            cuts = np.concatenate((firsts, [len(d)])).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d[firsts])), pa.array(item[firsts].astype(np.int32)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(tk.signed(seed))), pa.array(raw, pa.binary())], names=["doc_id", "item", "seeds", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d[firsts])), pa.array(item[firsts].astype(np.int32)), pa.array(raw, pa.binary())], names=["doc_id", "item", "words"])
 
     return docs.filter("doc_id is not null").mapInArrow(run, PASSAGES)
 
 
-def rare_seeds(found: DataFrame, n_docs: int, share: float = RARE_SHARE, quantile: float = ITEM_QUANTILE) -> DataFrame:
-    """item, seed: the seeds that may join. Frequencies are of distinct documents over the whole corpus."""
-    per = found.select("doc_id", "item", F.explode("seeds").alias("seed")).distinct()
-    df = per.groupBy("item", "seed").agg(F.count("*").alias("df"))
-    own = F.expr(f"percentile(df, {quantile})").over(Window.partitionBy("item"))
-    return df.withColumn("own", own).filter((F.col("df") <= F.lit(n_docs * share)) | (F.col("df") <= F.col("own"))).select("item", "seed")
-
-
 def _scores(found: DataFrame, items) -> DataFrame:
     def run(batches):
         part = items.value
@@ -155,14 +143,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """doc_id, item_id, score of every document that holds a copy of an item, verbatim or edited."""
     spark = docs.sparkSession
     narrow = columns(docs, id_col, text_col)
-    n_docs, parts = narrow.count(), []
+    parts = []
     for ids, texts in _parts(columns(benchmark, item_col, item_text_col), part_bytes):
         items = spark.sparkContext.broadcast(Items(ids, texts, seed_words))
-        found = stored(passages(narrow, items), "passages")
-        # at most the seeds of one part of the items
-        rare = F.broadcast(rare_seeds(found, n_docs).groupBy("item").agg(F.collect_set("seed").alias("rare")))
-        joined = found.join(rare, "item").filter(F.arrays_overlap("seeds", "rare"))
-        parts.append(_scores(joined, items))
+        parts.append(_scores(passages(narrow, items), items))
     if not parts:
         return spark.createDataFrame([], "doc_id long, item_id long, score double")
     return reduce(DataFrame.unionByName, parts).groupBy("doc_id", "item_id").agg(F.max("score").alias("score")).filter(F.col("score") >= min_score)

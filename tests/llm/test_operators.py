@@ -109,6 +109,17 @@ def test_decontamination(spark, tiny_dir):
     assert {(r.doc_id, r.item_id): r.score for r in parts.collect()} == found
 
 
+def test_edited_copies_beside_verbatim_ones(spark):
+    """A copy with 6 of 38 words changed, whose few seeds all verbatim copies hold too."""
+    words = [f"w{i}" for i in range(38)]
+    edited = ["x" if i in (5, 11, 17, 23, 29, 35) else w for i, w in enumerate(words)]
+    for copies in (1, 40):
+        docs = spark.createDataFrame([*((i, " ".join(words)) for i in range(1, copies + 1)), (0, " ".join(edited))], "doc_id long, text string")
+        bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+        found = {r.doc_id: r.score for r in decontamination.contaminated(docs, bench).collect()}
+        assert set(found) == set(range(copies + 1)) and found[0] == (2 * 32 - 6) / 76
+
+
 def test_alignment_against_full_table():
     import numpy as np
 
