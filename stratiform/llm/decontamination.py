@@ -4,13 +4,14 @@ Words are runs of letters, digits and non-ASCII bytes, in ASCII lower case. Ever
 n-gram of a test item is a seed. One pass over the corpus finds each document's
 seed hits, cuts out the words around them and aligns each such passage locally with the
 item. How many documents hold a seed decides nothing: copies of an item
-make its own seeds frequent. The score is the share of the best possible, 1 for a
+make its own seeds frequent. Instead the seed length, the number of seeds and of words that a passage must
+share with the item, and its reach follow from the score asked for (see `bounds`), so every
+alignment that reaches the score is found. The score is the share of the best possible, 1 for a
 verbatim copy, so edited copies score high and shared phrases do not.
 
 Test items are broadcast in parts of at most `part_bytes`, however many there are.
 
-Defined results: null or empty texts and items match nothing; an item shorter than n words is one seed
-of its own length; repeated items (same id) keep the best score; repeated documents
+Defined results: null or empty texts and items match nothing; repeated items (same id) keep the best score; repeated documents
 are scored once for each id; null ids never match; empty tables give no rows.
 """
 
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .shared import columns
 
+#: Longest seed; shorter ones are taken where the score asked for allows more edits.
 SEED_WORDS, MIN_SCORE = 5, 0.6
 PART_BYTES = 4 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -38,24 +40,43 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tk.span_hash(tk.prefix_hash(data), starts, ends), doc
 
 
+def bounds(n: int, min_score: float, seed_words: int) -> tuple[int, int, int, int]:
+    """Seed length, least shared seeds, least shared words and greatest span in a document of an alignment that reaches `min_score` with an item of n words.
+
+    Of the best score 2n, 2n(1 - min_score) may be lost. A word put in costs 1 and breaks k - 1
+    seeds of k words; one changed or left out costs 3 and breaks k; one cut off at an end costs 2 and
+    breaks 1. So a unit lost breaks at most k - 1 seeds (half a seed for k = 1), and half a word.
+    """
+    lost = int(MATCH * n * (1 - min_score) + 1e-9)
+    need_words = max(1, n - lost // 2)
+    for k in range(min(n, seed_words), 1, -1):
+        need = n - k + 1 - (k - 1) * lost
+        if need >= 1:
+            return k, need, need_words, n + lost
+    return 1, need_words, need_words, n + lost
+
+
 class Items:
     """A part of the test items: their words, and seeds in hash order for each seed length."""
 
-    def __init__(self, ids: list[int], texts: list[str], n: int):
+    def __init__(self, ids: list[int], texts: list[str], n: int, min_score: float):
         self.ids = np.array(ids, np.int64)
         words, doc = _words(*tk.buffer_of(pa.array(texts, pa.large_string())))
-        self.words = [words[doc == i] for i in range(len(ids))]
+        cuts = np.searchsorted(doc, np.arange(len(ids) + 1))
+        self.words = [words[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
         self.seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         by_size: dict[int, list[tuple[np.ndarray, int]]] = {}
+        limits = np.zeros((len(ids), 4), np.int64)
         for i, w in enumerate(self.words):
             if len(w):
-                size = min(n, len(w))
+                limits[i] = bounds(len(w), min_score, n)
+                size = int(limits[i, 0])
                 by_size.setdefault(size, []).append((np.unique(tk.gram_hash(w, size)), i))
+        self.size, self.need, self.need_words, self.span = limits.T
         for size, grams in by_size.items():
             hashes, owner = np.concatenate([g for g, _ in grams]), np.concatenate([np.full(len(g), i) for g, i in grams])
             order = np.argsort(hashes, kind="stable")
             self.seeds[size] = hashes[order], owner[order]
-        self.reach = {i: 2 * len(w) for i, w in enumerate(self.words)}
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> float:
@@ -72,11 +93,17 @@ def align(item: np.ndarray, passage: np.ndarray) -> float:
     return best / (MATCH * len(item))
 
 
+def shared_words(item: np.ndarray, passage: np.ndarray, span: int) -> int:
+    """The most words of the item that stand in any `span` words of the passage."""
+    held = np.concatenate(([0], np.cumsum(np.isin(passage, item))))
+    return int((held[span:] - held[:-span]).max()) if len(passage) > span else int(held[-1])
+
+
 PASSAGES = "doc_id long, item int, words binary"
 
 
 def passages(docs: DataFrame, items) -> DataFrame:
-    """A row for each cluster of seed hits of one item in one document, with the words around it. `items` is a broadcast."""
+    """A row for each cluster of seed hits of one item in one document that may hold a copy, with the words around it. `items` is a broadcast."""
 
     def run(batches):
         part = items.value
@@ -100,13 +127,27 @@ def passages(docs: DataFrame, items) -> DataFrame:
                 continue
             order = np.lexsort((at, item, d))
             d, item, at = d[order], item[order], at[order]
-            reach = np.array([part.reach[i] for i in range(len(part.ids))])[item]
-            new = np.concatenate(([True], (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > reach[1:])))
+            # hits that stand with as many others as are needed within the span of an alignment
+            first = np.arange(len(d))
+            other = first + part.need[item] - 1
+            last = np.minimum(other, len(d) - 1)
+            dense = (other == last) & (d[last] == d) & (item[last] == item) & (at[last] - at <= (part.span - part.size)[item])
+            change = np.zeros(len(d) + 1, np.int64)
+            np.add.at(change, first[dense], 1)
+            np.add.at(change, last[dense] + 1, -1)
+            keep = np.cumsum(change[:-1]) > 0
+            d, item, at = d[keep], item[keep], at[keep]
+            if not len(d):
+                continue
+            span = part.span[item]
+            new = np.concatenate(([True], (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > span[1:])))
             firsts = np.flatnonzero(new)
             lasts = np.concatenate((firsts[1:], [len(d)])) - 1
-            begin = np.maximum(at[firsts] - reach[firsts], np.searchsorted(doc, d[firsts]))
-            end = np.minimum(at[lasts] + reach[firsts] + 1, np.searchsorted(doc, d[firsts], side="right"))
-            raw = [words[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist())]
+            begin = np.maximum(at[firsts] - span[firsts], np.searchsorted(doc, d[firsts]))
+            end = np.minimum(at[lasts] + span[firsts] + 1, np.searchsorted(doc, d[firsts], side="right"))
+            cut = [words[a:b] for a, b in zip(begin.tolist(), end.tolist())]
+            good = np.array([shared_words(part.words[i], w, int(part.span[i])) >= part.need_words[i] for i, w in zip(item[firsts].tolist(), cut)])
+            firsts, raw = firsts[good], [w.tobytes() for w, g in zip(cut, good) if g]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d[firsts])), pa.array(item[firsts].astype(np.int32)), pa.array(raw, pa.binary())], names=["doc_id", "item", "words"])
 
     return docs.filter("doc_id is not null").mapInArrow(run, PASSAGES)
@@ -145,7 +186,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     narrow = columns(docs, id_col, text_col)
     parts = []
     for ids, texts in _parts(columns(benchmark, item_col, item_text_col), part_bytes):
-        items = spark.sparkContext.broadcast(Items(ids, texts, seed_words))
+        items = spark.sparkContext.broadcast(Items(ids, texts, seed_words, min_score))
         parts.append(_scores(passages(narrow, items), items))
     if not parts:
         return spark.createDataFrame([], "doc_id long, item_id long, score double")

@@ -120,6 +120,27 @@ def test_edited_copies_beside_verbatim_ones(spark):
         assert set(found) == set(range(copies + 1)) and found[0] == (2 * 32 - 6) / 76
 
 
+def test_decontamination_finds_what_plain_alignment_finds(spark):
+    """Copies with words changed, put in, left out or cut off, down to the score asked for, against alignment of all pairs."""
+    rng = random.Random(11)
+    items = [[rng.choice("the of a".split()) if rng.random() < 0.4 else f"w{rng.randrange(300)}" for _ in range(n)] for n in (1, 2, 3, 4, 5, 6, 8, 11, 15, 15, 24, 38, 59)]
+    fill = lambda n: [rng.choice([*"the of a".split(), f"w{rng.randrange(300)}"]) for _ in range(n)]
+    texts = []
+    for w in items:
+        for step in (2, 3, 4, 5, 9):
+            texts.append(fill(20) + ["x" if i % step == step - 1 else v for i, v in enumerate(w)] + fill(20))
+            texts.append(fill(9) + [u for i, v in enumerate(w) for u in ([v, "x"] if i % step else [v])] + fill(9))
+            texts.append(fill(9) + [v for i, v in enumerate(w) if i % step] + fill(9))
+        texts += [w[len(w) // 3 :], fill(5) + w[: 2 * len(w) // 3] + fill(50), w + fill(3) + w, []]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    hashed = lambda w: np.array([hash(x) for x in w], np.int64)
+    scores = {(d, i): decontamination.align(hashed(w), hashed(t)) for d, t in enumerate(texts) for i, w in enumerate(items)}
+    for least in (0.3, 0.6, 0.9):
+        found = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(docs, bench, min_score=least).collect()}
+        assert found == {k: s for k, s in scores.items() if s >= least}
+
+
 def test_alignment_against_full_table():
     import numpy as np
 
