@@ -28,6 +28,8 @@ from .shared import columns, stored
 
 #: Windows handled at once: bounds memory for a text of any length.
 PIECE = 1 << 19
+#: Open runs of one anchor that are compared as one group; more are split by window.
+MOST = 8192
 _AT = np.uint64((1 << 24) - 1)
 _NONE = np.uint64((1 << 64) - 1)
 
@@ -218,19 +220,47 @@ def unpacked_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Reco
             start = stop
 
 
-def opened_runs(settled: DataFrame, texts: DataFrame, symbols_of, size: int, contexts: bool) -> DataFrame:
-    """The open runs with their windows: as hashes, or (`contexts`) as the symbols they cover."""
+def split_windows(symbols: np.ndarray, begin: np.ndarray, end: np.ndarray, doc_id: np.ndarray, shift: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Rows (key, doc_id, first, stop) of the windows that start in begin:end; `shift` is where their texts begin.
+
+    One occurrence of each window goes on under its own hash, stop -1, to meet equal windows of other
+    slices. Later ones of this slice are repeats already and go on as joined spans.
+    """
+    count = end - begin
+    at = np.repeat(begin + count - np.cumsum(count), count) + np.arange(count.sum())
+    doc, place = np.repeat(doc_id, count), at - np.repeat(shift, count)
+    key = tk.span_hash(tk.prefix_hash(symbols), at, at + size)
+    order = np.lexsort((place, doc, key))
+    key, doc, place = key[order], doc[order], place[order]
+    # a repeated row of one document is the same occurrence
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])))
+    key, doc, place = key[new], doc[new], place[new]
+    again = np.concatenate(([False], key[1:] == key[:-1]))
+    d, first, stop = joined_spans(doc[again], place[again], place[again] + size) if again.any() else (doc[:0], place[:0], place[:0])
+    keys = np.concatenate((key[~again], tk.mix(d.view(np.uint64) ^ tk.mix(first.astype(np.uint64)))))
+    return tk.signed(keys), np.concatenate((doc[~again], d)), np.concatenate((place[~again], first)), np.concatenate((np.full((~again).sum(), -1), stop))
+
+
+def opened_runs(settled: DataFrame, texts: DataFrame, symbols_of, size: int, contexts: bool, most: int = MOST) -> DataFrame:
+    """The open runs with their windows: as hashes, or (`contexts`) as the symbols they cover.
+
+    With `contexts`, an anchor of more than `most` open runs is split by window: such rows have no
+    symbols, but a `stop` (see split_windows).
+    """
 
     def run(batches):
         for batch, raw in unpacked_slices(batches):
             symbols, bounds = symbols_of(pa.array(raw, pa.large_binary()))
             prefix = None if contexts else tk.prefix_hash(symbols)
-            anchors, ids, starts, windows = [], [], [], []
+            anchors, ids, starts, windows, large = [], [], [], [], []
             for i, (doc_id, wanted) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("wanted").to_pylist())):
                 for x in wanted:
                     first, last = int(bounds[i]) + x["first"], int(bounds[i]) + x["last"]
                     if last + size > bounds[i + 1]:
                         continue  # a run of another text with the same id
+                    if contexts and x["large"]:
+                        large.append((first, last + 1, doc_id, int(bounds[i])))
+                        continue
                     anchors.append(x["anchor"])
                     ids.append(doc_id)
                     starts.append(x["first"])
@@ -239,10 +269,22 @@ def opened_runs(settled: DataFrame, texts: DataFrame, symbols_of, size: int, con
                     else:
                         at = np.arange(first, last + 1)
                         windows.append(tk.span_hash(prefix, at, at + size).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(windows, pa.binary())], names=["anchor", "doc_id", "first", "windows"])
-
-    wanted = settled.filter("open").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("wanted"))
-    return texts.join(wanted, "doc_id").mapInArrow(run, "anchor long, doc_id long, first int, windows binary")
+            columns = [pa.array(anchors, pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(windows, pa.binary())]
+            names = ["anchor", "doc_id", "first", "windows"]
+            if contexts:
+                columns, names = [*columns, pa.nulls(len(ids), pa.int32())], [*names, "stop"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+            if large:
+                key, doc, first, stop = split_windows(symbols, *(np.array(x, np.int64) for x in zip(*large)), size)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(first.astype(np.int32)), pa.nulls(len(key), pa.binary()), pa.array(stop.astype(np.int32))], names=names)
+
+    opened, fields = settled.filter("open"), ["anchor", "first", "last"]
+    if contexts:
+        # at most one row for `most` open runs
+        large = opened.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("anchor", F.lit(True).alias("large"))
+        opened, fields = opened.join(F.broadcast(large), "anchor", "left").withColumn("large", F.coalesce("large", F.lit(False))), [*fields, "large"]
+    wanted = opened.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("wanted"))
+    return texts.join(wanted, "doc_id").mapInArrow(run, "anchor long, doc_id long, first int, windows binary" + (", stop int" if contexts else ""))
 
 
 def anchor_groups(batches: Iterator[pa.RecordBatch], enough: int = 1 << 19) -> Iterator[pa.Table]:

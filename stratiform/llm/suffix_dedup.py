@@ -1,7 +1,8 @@
 """Suffix-array dedup: bytes of 100-byte strings that also start earlier.
 
 The corpus is sampled by anchors (see repeats.py); where runs of an anchor differ, their
-bytes are put into one enhanced suffix array. A stack scan of the common-prefix intervals
+bytes are put into one enhanced suffix array; an anchor with too many such runs for that is split by
+window, and equal windows meet by their hash. A stack scan of the common-prefix intervals
 finds each interval of at least `size` bytes, tests whether its occurrences
 have different bytes on their left, and puts out the maximal repeat groups with all
 their occurrences. Every occurrence but the earliest is a repeat.
@@ -17,6 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import repeats as rp
@@ -99,14 +101,29 @@ def repeat_groups(contexts: list[bytes], docs: np.ndarray, firsts: np.ndarray, s
         yield d[ranked], p[ranked], length
 
 
+def _split_repeats(table: pa.Table, size: int):
+    """(documents, starts, stops) of the rows that come split by window: told spans, and all occurrences of a window but the earliest."""
+    key, d, p, stop = (np.asarray(table[n]).astype(np.int64) for n in ("anchor", "doc_id", "first", "stop"))
+    told = stop >= 0
+    yield d[told], p[told], stop[told]
+    key, d, p = key[~told], d[~told], p[~told]
+    order = np.lexsort((p, d, key))
+    key, d, p = key[order], d[order], p[order]
+    again = np.flatnonzero((key[1:] == key[:-1]) & ((d[1:] != d[:-1]) | (p[1:] != p[:-1]))) + 1
+    yield d[again], p[again], p[again] + size
+
+
 def _compare(size: int):
     def run(batches):
         for table in rp.anchor_groups(batches):
-            docs, firsts = (np.asarray(table[n]).astype(np.int64) for n in ("doc_id", "first"))
-            found = [(d[1:], p[1:], np.full(len(d) - 1, n)) for d, p, n in repeat_groups(table["windows"].to_pylist(), docs, firsts, size)]
-            if found:
-                d, p, n = (np.concatenate(x) for x in zip(*found))
-                yield rp.span_batch(*rp.joined_spans(d, p, p + n))
+            whole = table.filter(pc.is_null(table["stop"]))
+            found = list(_split_repeats(table.filter(pc.is_valid(table["stop"])), size)) if len(whole) < len(table) else []
+            if len(whole):
+                docs, firsts = (np.asarray(whole[n]).astype(np.int64) for n in ("doc_id", "first"))
+                found += [(d[1:], p[1:], p[1:] + n) for d, p, n in repeat_groups(whole["windows"].to_pylist(), docs, firsts, size)]
+            d, p, stop = (np.concatenate(x) for x in zip(*found)) if found else ([], [], [])
+            if len(d):
+                yield rp.span_batch(*rp.joined_spans(d, p, stop))
 
     return run
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratiform.llm import chat_format, components, decontamination, jaccard_join, line_dedup, packing, pii, quality_rules, queries, substring_dedup, suffix_dedup, token_counts
+from stratiform.llm import chat_format, components, decontamination, jaccard_join, line_dedup, packing, pii, quality_rules, queries, repeats, substring_dedup, suffix_dedup, token_counts
 from stratiform.llm.token_pieces import library_tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -76,6 +76,25 @@ def test_suffix_dedup(docs, rows):
     held(suffix_dedup.digest(suffix_dedup.repeated_bytes(docs)), brute.suffix_dedup(rows), ["n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def test_anchors_with_many_contexts_are_split(spark):
+    """A phrase of 60 bytes with different text around it, and longer passages that hold it at different depths."""
+    rng = random.Random(9)
+    fresh = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    phrase = fresh(60)
+    left, right = fresh(70), fresh(70)
+    rows = [(i, fresh(90) + left[len(left) - i % 71 :] + phrase + right[: i * 7 % 71] + fresh(90)) for i in range(200)]
+    rows += [(300, phrase * 5), (301, fresh(50) + left + phrase + right), (302, left + phrase + right)]
+    narrow = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    texts, most = repeats.packed_texts(narrow), 8
+    settled = repeats.settled_runs(repeats.anchored_runs(narrow, repeats.byte_symbols, 100, 24), True)
+    assert settled.filter("open").groupBy("anchor").count().agg(F.max("count")).head()[0] > 100
+    opened = repeats.opened_runs(settled, texts, repeats.byte_symbols, 100, True, most).cache()
+    assert opened.filter("windows is not null").groupBy("anchor").count().agg(F.max("count")).head()[0] <= most
+    edges = repeats.in_anchor_groups(opened, suffix_dedup._compare(100))
+    whole = settled.filter("not open").select("doc_id", F.col("first").alias("start"), (F.col("last") + 100).alias("stop"))
+    held(suffix_dedup.digest(repeats.with_spans(texts, whole.unionByName(edges))), brute.suffix_dedup(rows), ["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
 def test_maximal_repeats_name_all_occurrences():
     import numpy as np
 
