@@ -1,8 +1,9 @@
 """Line dedup with levelled sorted runs of line hashes.
 
 A run is a table of line keys in hash order, with the number of documents that hold
-the key and the largest of their ids. Each new batch merge-joins the runs: keys that they hold
-are counted on top, keys that they lack (the anti-join) make up the batch's own new run. Runs of one level are
+the key and the largest of their ids. Each batch is added whole as a run of its own, with the keys
+that older runs hold too; runs are merged by adding up their counts. The join of a new batch with the runs only
+marks the keys that they hold; the result does not depend on it. Runs of one level are
 compacted into one of the next as soon as there are `fanout` of them. After the
 last batch the runs say how many documents hold each key and which keeps it.
 
@@ -95,7 +96,7 @@ class LevelledRuns:
         return reduce(lambda left, run: left.join(run.hint("merge"), KEY, "left_anti"), self.runs(), batch_run)
 
     def add(self, batch_run: DataFrame) -> None:
-        """Anti-join the batch against the runs; what they hold already is counted as an increment beside the new keys."""
+        """Add the whole batch as a run; `again` marks keys that the runs hold already, whose counts add up on merging."""
         held = self.runs()
         if held:
             known = reduce(DataFrame.unionByName, [r.select(*KEY) for r in held]).dropDuplicates(KEY).withColumn("known", F.lit(True))
