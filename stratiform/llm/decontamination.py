@@ -37,7 +37,7 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Word hashes and the text number of each."""
     data = tk.lowered(data)
     starts, ends, doc = tk.word_spans(data, offsets, tk.NOT_ALNUM)
-    return tk.span_hash(tk.prefix_hash(data), starts, ends), doc
+    return tk.word_symbols(data, starts, ends), doc
 
 
 def bounds(n: int, min_score: float, seed_words: int) -> tuple[int, int, int, int]:
@@ -71,7 +71,7 @@ class Items:
             if len(w):
                 limits[i] = bounds(len(w), min_score, n)
                 size = int(limits[i, 0])
-                by_size.setdefault(size, []).append((np.unique(tk.gram_hash(w, size)), i))
+                by_size.setdefault(size, []).append((np.unique(tk.window_hashes(w, size)[0]), i))
         self.size, self.need, self.need_words, self.span = limits.T
         for size, grams in by_size.items():
             hashes, owner = np.concatenate([g for g, _ in grams]), np.concatenate([np.full(len(g), i) for g, i in grams])
@@ -111,7 +111,7 @@ def passages(docs: DataFrame, items) -> DataFrame:
             words, doc = _words(*tk.buffer_of(batch.column(1)))
             hits = []
             for size, (seeds, owner) in part.seeds.items():
-                grams = tk.gram_hash(words, size)
+                grams = tk.window_hashes(words, size)[0]
                 inside = doc[: len(grams)] == doc[size - 1 :][: len(grams)]
                 low = np.searchsorted(seeds, grams)
                 at = np.flatnonzero(inside & (seeds[np.minimum(low, len(seeds) - 1)] == grams))

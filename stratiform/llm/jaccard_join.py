@@ -7,10 +7,8 @@ could hold a partner must meet in the matrix, at a size that allows the
 threshold; only such groups are opened, and only pairs from different groups are compared.
 
 The matrix holds of each set the tokens that a partner can't avoid. Tokens are ordered: those that are
-frequent in a bounded sample last, and otherwise by a random hash. Of n tokens a partner lacks
-at most n - ceil(t*n), so the first n - ceil(t*n) + k hold k shared ones; and since the order is
-random, the first 64 hold k shared ones but for a chance of 2**-64 a pair, as rare as two shingles
-with one 64-bit hash. The shorter prefix is taken. Of a pair whose first shared token stands at some places
+frequent in a bounded sample last, and otherwise by hash. Of n tokens a partner lacks
+at most n - ceil(t*n), so the first n - ceil(t*n) + k surely hold k shared ones. Of a pair whose first shared token stands at some places
 of the two sets, at most what follows in either can be shared: classes that don't meet k tokens of
 others, and pairs that can't reach the threshold by this bound, are left out.
 The sample only decides the order: any order gives the same links.
@@ -27,88 +25,68 @@ no component; an empty table gives no rows.
 
 from __future__ import annotations
 
-import math
-from functools import cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .components import components
 from .repeats import packed_texts, shared_only, unpacked_slices
-from .shared import columns, stored
+from .shared import columns, hot_join, stored
 
 WORDS, PERCENT = 5, 75
 #: Documents of the sample that frequent tokens are read off, the documents there that make a token
 #: frequent, and the most such tokens that are broadcast (they only set the order).
 SAMPLE_DOCS, SAMPLE_DF, FREQUENT = 4000, 4, 200_000
 ROUNDS, LEADERS = 2, 2
-#: Leading tokens of a large set, the chance of losing a link as a power of two, and the shared tokens asked of a small set.
-PREFIX, CHANCE_BITS, NEED = 64, 64, 8
+#: The shared tokens asked of a pair before it is compared.
+NEED = 8
 
 
-def shingles(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text in ascending order, and their bounds."""
+def shingles(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, dict[int, bytes]]:
+    """Distinct shingle hashes of each text in ascending order, their bounds, and the words of the texts that have fewer than a shingle."""
     data, offsets = tk.buffer_of(column)
     data = tk.lowered(data)
     starts, ends, doc = tk.word_spans(data, offsets)
-    word = tk.span_hash(tk.prefix_hash(data), starts, ends)
-    grams = tk.gram_hash(word, words)
+    word = tk.word_symbols(data, starts, ends)
+    grams = tk.window_hashes(word, words)[0]
     whole = doc[: len(grams)] == doc[words - 1 :][: len(grams)]
     grams, owner = grams[whole], doc[: len(grams)][whole]
     counts = np.bincount(doc, minlength=len(offsets) - 1)
     first = np.cumsum(counts) - counts
-    short = [(tk.gram_hash(word[first[i] : first[i] + counts[i]], int(counts[i])), [i]) for i in np.flatnonzero((counts > 0) & (counts < words))]
+    short = {}
+    for i in np.flatnonzero((counts > 0) & (counts < words)).tolist():
+        own = slice(first[i], first[i] + counts[i])
+        short[i] = b" ".join(data[a:b].tobytes() for a, b in zip(starts[own].tolist(), ends[own].tolist()))
     if short:
-        grams = np.concatenate([grams, *(g for g, _ in short)])
-        owner = np.concatenate([owner, *(i for _, i in short)])
+        grams = np.concatenate([grams, np.fromiter(map(xxhash.xxh3_64_intdigest, short.values()), np.uint64, len(short))])
+        owner = np.concatenate([owner, list(short)])
     order = np.lexsort((grams, owner))
     grams, owner = grams[order], owner[order]
     new = np.ones(len(grams), bool)
     new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
     grams, owner = grams[new], owner[new]
-    return grams, np.searchsorted(owner, np.arange(len(offsets)))
+    return grams, np.searchsorted(owner, np.arange(len(offsets))), short
 
 
-def prefix_length(n: int, rare: int, percent: int = PERCENT) -> tuple[int, int]:
-    """Leading tokens of a set of n, `rare` of them ordered before all frequent ones, and how many of them any partner shares.
-
-    A partner lacks at most n - ceil(t*n) tokens, so n - ceil(t*n) + k leading tokens hold k shared
-    ones. Of PREFIX rare tokens in random order, fewer than k are shared with a chance below
-    2**-CHANCE_BITS, for k from the binomial tail. The shorter prefix is taken.
-    """
+def prefix_length(n: int, percent: int = PERCENT) -> tuple[int, int]:
+    """Leading tokens of a set of n, and how many of them any partner shares: it lacks at most n - ceil(t*n)."""
     lacking = n - -(-n * percent // 100)
-    missing = n * (100 - percent) / percent  # tokens of the union that a linking pair does not share are at most this many
-    shared = _shared_of(round(missing / rare, 3) + 0.001) if rare else 0
     need = max(1, min(NEED, n - lacking))
-    if shared >= 1 and PREFIX < lacking + need and PREFIX <= rare:
-        return PREFIX, shared
     return lacking + need, need
 
 
-@cache
-def _shared_of(miss: float) -> int:
-    """Largest k with P(Binomial(PREFIX, 1 - miss) < k) <= 2**-CHANCE_BITS; 0 if there is none."""
-    if not 0 < miss < 1:
-        return 0
-    tail, k = 0.0, 0
-    while k < PREFIX:
-        tail += math.comb(PREFIX, k) * (1 - miss) ** k * miss ** (PREFIX - k)
-        if tail > 2.0**-CHANCE_BITS:
-            return k
-        k += 1
-    return k
-
-
 def frequent_tokens(docs: DataFrame, words: int, sample_docs: int, sample_df: int, most: int) -> np.ndarray:
     """Tokens of several documents of a bounded sample."""
     share = min(1.0, sample_docs / max(1, docs.count()))
 
     def run(batches):
         for batch in tk.slices(batches, text=0):
-            grams, _ = shingles(batch.column(0), words)
+            grams, _, _ = shingles(batch.column(0), words)
             yield pa.RecordBatch.from_arrays([pa.array(tk.signed(grams))], names=["token"])
 
     picked = docs.select("text", "doc_id").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
@@ -126,16 +104,20 @@ def signatures(docs: DataFrame, frequent, words: int, percent: int) -> DataFrame
     def run(batches):
         common = frequent.value
         for batch in tk.slices(batches):
-            grams, bounds = shingles(batch.column(1), words)
+            grams, bounds, short = shingles(batch.column(1), words)
             is_common = np.zeros(len(grams), bool)
             if len(common):
                 is_common = common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] == grams
             n = np.diff(bounds)
             keys = [tk.signed(np.add.reduceat(np.append(tk.mix(grams ^ np.uint64(salt)), np.uint64(0)), bounds[:-1])) * (n > 0) for salt in (0x1234567, 0x89ABCDEF01)]
+            # the only shingle of a short text has 64 bits: the text itself gives the key
+            for i, text in short.items():
+                digest = xxhash.xxh3_128_digest(text)
+                keys[0][i], keys[1][i] = (int.from_bytes(x, "big", signed=True) for x in (digest[:8], digest[8:]))
             prefixes, needs = [], []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 own, late = grams[a:b], is_common[a:b]
-                size, need = prefix_length(b - a, b - a - int(late.sum()), percent) if b > a else (0, 0)
+                size, need = prefix_length(b - a, percent) if b > a else (0, 0)
                 needs.append(need)
                 early = own[~late][:size]
                 prefixes.append(np.concatenate((early, own[late][: size - len(early)])))
@@ -151,7 +133,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         for batch, raw in unpacked_slices(batches):
-            grams, bounds = shingles(pa.array(raw, pa.large_binary()), words)
+            grams, bounds, _ = shingles(pa.array(raw, pa.large_binary()), words)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([grams[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())], names=["doc_id", "tokens"])
 
     return packed_texts(docs).join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, tokens binary").dropDuplicates(["doc_id"])
@@ -192,13 +174,15 @@ class JaccardJoin:
         self.docs, self.words, self.percent = columns(docs, id_col, text_col), words, percent
         frequent = frequent_tokens(self.docs, words, SAMPLE_DOCS, SAMPLE_DF, FREQUENT)
         self.signatures = stored(signatures(self.docs, docs.sparkSession.sparkContext.broadcast(frequent), words, percent), "sets")
-        self.classes = self.signatures.filter("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+        self.rows = self.signatures.filter("n_shingles > 0 and doc_id is not null")
+        self.classes = stored(self.rows.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
         self.tokens = stored(self._shared_tokens(), "tokens")
         self.sets = stored(_sets(self.docs, self.tokens.select(F.col("rep").alias("doc_id")).distinct(), words), "token-sets")
 
     def _shared_tokens(self) -> DataFrame:
         """token, pos, rep, n, need, copies: leading tokens that two or more classes have, of classes that can have a partner."""
-        reps = self.signatures.alias("s").join(self.classes.alias("c"), (F.col("s.doc_id") == F.col("c.rep")) & (F.col("s.hi") == F.col("c.hi")) & (F.col("s.lo") == F.col("c.lo")))
+        # a set of one or two links with equal sets alone
+        reps = self.signatures.filter("n_shingles > 2").alias("s").join(self.classes.alias("c"), (F.col("s.doc_id") == F.col("c.rep")) & (F.col("s.hi") == F.col("c.hi")) & (F.col("s.lo") == F.col("c.lo")))
         reps = reps.select(F.col("c.rep").alias("rep"), F.col("s.n_shingles").alias("n"), "s.need", "c.copies", "s.prefix").dropDuplicates(["rep"])
         rows = reps.select(F.posexplode("prefix").alias("pos", "token"), "rep", "n", "need", "copies").select("token", "pos", "rep", "n", "need", "copies")
         rows = stored(shared_only(rows, "token"), "tokens")
@@ -220,8 +204,8 @@ class JaccardJoin:
         """Each class with the leaders, of other groups, that most of its token lists have."""
         who = F.struct("rep", "n", "first", "grp")
         lead = F.min_by(who, F.struct((-F.col("copies")).alias("copies"), "rep")) if number == 0 else F.min_by(who, F.xxhash64(F.lit(number), "rep"))
-        leaders = grouped.groupBy("token").agg(lead.alias("lead"), F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low != high").select("token", F.col("lead.rep").alias("b"), F.col("lead.n").alias("n2"), F.col("lead.first").alias("first2"), F.col("lead.grp").alias("lead_grp"))
-        met = grouped.join(leaders, "token").filter((F.col("grp") != F.col("lead_grp")) & _may_link("first", self.percent))
+        leaders = grouped.groupBy("token").agg(lead.alias("lead"), F.count("*").alias("members"), F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low != high").select("token", "members", F.col("lead.rep").alias("b"), F.col("lead.n").alias("n2"), F.col("lead.first").alias("first2"), F.col("lead.grp").alias("lead_grp"))
+        met = hot_join(grouped, leaders, ["token"], "members").filter((F.col("grp") != F.col("lead_grp")) & _may_link("first", self.percent))
         votes = met.groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("votes"))
         best = Window.partitionBy("a").orderBy(F.desc("votes"), "b")
         return votes.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= LEADERS).select("a", "b")
@@ -238,9 +222,9 @@ class JaccardJoin:
         A class asks a group only if enough of its tokens lie in the group's union at sizes that could
         link, and in an opened group only members whose first shared token allows the threshold.
         """
-        sizes = grouped.groupBy("grp").agg(F.countDistinct("rep").alias("size"))
-        other = self.matrix(grouped).join(sizes, "grp").withColumnRenamed("grp", "target").withColumnRenamed("size", "size2")
-        asking = grouped.join(sizes, "grp").select("token", "rep", "n", "all", "first", "need", "grp", "size").join(other, "token")
+        sizes = stored(grouped.groupBy("grp", "rep").agg(F.count("*").alias("cells")).groupBy("grp").agg(F.count("*").alias("size"), F.sum("cells").alias("cells")), "group-sizes")
+        other = self.matrix(grouped).join(sizes.drop("cells"), "grp").withColumnRenamed("grp", "target").withColumnRenamed("size", "size2")
+        asking = hot_join(grouped, sizes, ["grp"], "cells").select("token", "rep", "n", "all", "first", "need", "grp", "size").join(other, "token")
         asks = (F.col("size") < F.col("size2")) | ((F.col("size") == F.col("size2")) & (F.col("grp") < F.col("target")))
         # the k-th token that a linking pair shares has at least as many tokens after it, itself counted, as the pair must share, less k - 1
         counted = _reaches(F.least(F.least("first", "first2") + F.col("need") - 1, "all", "all2"), self.percent)
@@ -263,9 +247,10 @@ class JaccardJoin:
     def memberships(self) -> DataFrame:
         """doc_id, n_shingles, component_id for every row."""
         found = components(self.links())
-        reps = self.classes.join(found, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("component", "rep").alias("component"))
-        rows = self.signatures.select("doc_id", "n_shingles", "hi", "lo").join(reps, ["hi", "lo"], "left")
-        return rows.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+        reps = stored(self.classes.join(found, F.col("rep") == F.col("node"), "left").select("hi", "lo", "copies", F.coalesce("component", "rep").alias("component")), "class-components")
+        linked = hot_join(self.rows.select("doc_id", "n_shingles", "hi", "lo"), reps, ["hi", "lo"], "copies").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+        alone = self.signatures.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return linked.unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

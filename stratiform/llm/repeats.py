@@ -29,7 +29,7 @@ from .shared import columns, stored
 #: Windows handled at once: bounds memory for a text of any length.
 PIECE = 1 << 19
 #: Open runs of one anchor that are compared as one group; more are split by window.
-MOST = 8192
+MOST = 4096
 _AT = np.uint64((1 << 24) - 1)
 _NONE = np.uint64((1 << 64) - 1)
 
@@ -52,13 +52,12 @@ def runs_of(symbols: np.ndarray, bounds: np.ndarray, size: int, gram: int, able:
     With `able`, a flag for each place, only grams that start at such places are anchors; windows without one are left out.
     """
     parts = []
-    prefix = tk.prefix_hash(symbols)
     doc_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     total = len(symbols) - size + 1
     for begin in range(0, max(total, 0), PIECE):
         end = min(begin + PIECE, total)
         at = np.arange(begin, end + size - gram)
-        grams = tk.span_hash(prefix, at, at + gram)
+        grams, windows = tk.window_hashes(symbols[begin : end + size - 1], gram, size)
         order = (grams & ~_AT) | (~(at - begin).astype(np.uint64) & _AT)
         if able is not None:
             order[~able[at]] = _NONE
@@ -75,7 +74,7 @@ def runs_of(symbols: np.ndarray, bounds: np.ndarray, size: int, gram: int, able:
         first = window[new]
         last = window[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(window) - 1]))]
         doc = doc_of[first]
-        parts.append((grams[anchor[new] - begin], tk.span_hash(prefix, first, last + size, salt=1), doc, first - bounds[doc], last - bounds[doc]))
+        parts.append((grams[anchor[new] - begin], tk.run_hash(windows, first - begin, last - begin), doc, first - bounds[doc], last - bounds[doc]))
     if not parts:
         none = np.zeros(0, np.int64)
         return none.view(np.uint64), none.view(np.uint64), none, none, none
@@ -89,7 +88,7 @@ def byte_symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def word_symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = tk.buffer_of(column)
     starts, ends, doc = tk.word_spans(data, offsets)
-    return tk.span_hash(tk.prefix_hash(data), starts, ends), np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(offsets) - 1))))
+    return tk.word_symbols(data, starts, ends), np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(offsets) - 1))))
 
 
 def _states(anchor: np.ndarray, content: np.ndarray, doc_id: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +228,7 @@ def split_windows(symbols: np.ndarray, begin: np.ndarray, end: np.ndarray, doc_i
     count = end - begin
     at = np.repeat(begin + count - np.cumsum(count), count) + np.arange(count.sum())
     doc, place = np.repeat(doc_id, count), at - np.repeat(shift, count)
-    key = tk.span_hash(tk.prefix_hash(symbols), at, at + size)
+    key = tk.window_hashes(symbols, size)[0][at]
     order = np.lexsort((place, doc, key))
     key, doc, place = key[order], doc[order], place[order]
     # a repeated row of one document is the same occurrence
@@ -251,7 +250,7 @@ def opened_runs(settled: DataFrame, texts: DataFrame, symbols_of, size: int, con
     def run(batches):
         for batch, raw in unpacked_slices(batches):
             symbols, bounds = symbols_of(pa.array(raw, pa.large_binary()))
-            prefix = None if contexts else tk.prefix_hash(symbols)
+            hashed = None if contexts else tk.window_hashes(symbols, size)[0]
             anchors, ids, starts, windows, large = [], [], [], [], []
             for i, (doc_id, wanted) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("wanted").to_pylist())):
                 for x in wanted:
@@ -267,8 +266,7 @@ def opened_runs(settled: DataFrame, texts: DataFrame, symbols_of, size: int, con
                     if contexts:
                         windows.append(symbols[first : last + size].tobytes())
                     else:
-                        at = np.arange(first, last + 1)
-                        windows.append(tk.span_hash(prefix, at, at + size).tobytes())
+                        windows.append(hashed[first : last + 1].tobytes())
             columns = [pa.array(anchors, pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(windows, pa.binary())]
             names = ["anchor", "doc_id", "first", "windows"]
             if contexts:
@@ -316,24 +314,24 @@ def in_anchor_groups(opened: DataFrame, compare) -> DataFrame:
     return opened.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, SPANS)
 
 
-def shared_only(rows: DataFrame, key: str) -> DataFrame:
-    """Rows whose key, their first column, two or more rows have; streamed in key order after one shuffle."""
+def shared_only(rows: DataFrame, *key: str) -> DataFrame:
+    """Rows whose key, their first columns, two or more rows have; streamed in key order after one shuffle."""
 
     def run(batches):
         held, told = None, True  # the last row so far, and whether it is put out
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.asarray(batch.column(0))
-            same = keys[1:] == keys[:-1]
-            before = np.concatenate(([held is not None and held.column(0)[0].as_py() == keys[0]], same))
+            keys = [np.asarray(batch.column(i)) for i in range(len(key))]
+            same = np.logical_and.reduce([k[1:] == k[:-1] for k in keys])
+            before = np.concatenate(([held is not None and all(held.column(i)[0].as_py() == k[0] for i, k in enumerate(keys))], same))
             after = np.concatenate((same, [False]))
             if before[0] and not told:
                 yield held
             yield batch.filter(pa.array(before | after))
             held, told = batch.slice(batch.num_rows - 1), bool(before[-1])
 
-    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, rows.schema)
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, rows.schema)
 
 
 SPANS = "doc_id long, start int, stop int"

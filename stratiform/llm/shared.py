@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +9,10 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temp one only where the session names none."""
+    """The folder that driver and executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="stratiform-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return folder
 
 
@@ -29,3 +27,24 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 def columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under private names, so that no other column can clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+#: A key is hot if it has more than this share of the rows of an even partition.
+HOT_SHARE, HOT_ROWS = 8, 1000
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, how: str = "inner") -> DataFrame:
+    """Join on `keys`, which are unique in `right`; its column `rows` says how many rows of `left` each has.
+
+    Hot keys are joined by broadcast, so that their rows stay where they are: of keys with more than one part in
+    HOT_SHARE * partitions of all rows there can't be more than HOT_SHARE * partitions, at any size of the tables.
+    `left` is read twice, so both tables should be stored ones.
+    """
+    parts = HOT_SHARE * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    limit = max(HOT_ROWS, (right.agg(F.sum(rows)).first()[0] or 0) // parts)
+    hot = right.filter(F.col(rows) > limit)
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+    warm = left.join(F.broadcast(hot), keys)
+    cold = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.filter(F.col(rows) <= limit), keys, how)
+    return warm.unionByName(cold)

@@ -66,7 +66,7 @@ def _probes(symbols: np.ndarray, bounds: np.ndarray, block: int, buckets: int):
     at = np.arange(max(len(symbols) - block + 1, 0))
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     at = at[doc[at] == doc[at + block - 1]]
-    grams = tk.span_hash(tk.prefix_hash(symbols), at, at + block)
+    grams = tk.window_hashes(symbols, block)[0][at]
     return at, (at - bounds[doc[at]]) % block == 0, (grams >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | grams & _KEY
 
 
@@ -149,9 +149,10 @@ def hit_runs(docs: DataFrame, size: int, block: int) -> DataFrame:
                 at, _, codes = _probes(symbols, bounds, block, buckets)
                 distinct, which = np.unique(codes, return_inverse=True)
                 hits = np.zeros(len(distinct), bool)
-                starts = np.searchsorted(distinct, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
-                for bucket, mask in zip(*(batch.column("answers")[i].values.field(n).to_pylist() for n in ("bucket", "mask"))):
-                    a, b = starts[bucket : bucket + 2]
+                answered, masks = (batch.column("answers")[i].values.field(n) for n in ("bucket", "mask"))
+                first = np.asarray(answered).astype(np.uint64)
+                starts, ends = (np.searchsorted(distinct, x << np.uint64(32)).tolist() for x in (first, first + np.uint64(1)))
+                for a, b, mask in zip(starts, ends, masks.to_pylist()):
                     hits[a:b] = np.unpackbits(np.frombuffer(mask, np.uint8), count=b - a)
                 able = np.zeros(len(symbols), bool)
                 able[at] = hits[which]
@@ -164,7 +165,10 @@ def hit_runs(docs: DataFrame, size: int, block: int) -> DataFrame:
 
 
 def _compare(opened: DataFrame, size: int) -> DataFrame:
-    """Spans of windows that two or more open runs share, streamed in order of their hash: an open run is the only one of its content."""
+    """Spans of windows that two or more open runs share, streamed in order of their hash: an open run is the only one of its content.
+
+    Windows are equal if their hashes and those of their anchors are, 128 bits in all.
+    """
 
     def split(batches):
         for batch in batches:
@@ -173,7 +177,7 @@ def _compare(opened: DataFrame, size: int) -> DataFrame:
             owner = np.repeat(np.arange(len(raw)), counts)
             inner = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
             start = np.asarray(batch.column("first")).astype(np.int64)[owner] + inner
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), batch.column("doc_id").take(pa.array(owner)), pa.array(start.astype(np.int32))], names=["window", "doc_id", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), batch.column("anchor").take(pa.array(owner)), batch.column("doc_id").take(pa.array(owner)), pa.array(start.astype(np.int32))], names=["window", "anchor", "doc_id", "start"])
 
     def join(batches):
         for batch in batches:
@@ -181,8 +185,8 @@ def _compare(opened: DataFrame, size: int) -> DataFrame:
             if len(doc):
                 yield rp.span_batch(*rp.joined_spans(doc, start, start + size))
 
-    windows = opened.select("doc_id", "first", "windows").mapInArrow(split, "window long, doc_id long, start int")
-    return rp.shared_only(windows, "window").mapInArrow(join, rp.SPANS)
+    windows = opened.select("anchor", "doc_id", "first", "windows").mapInArrow(split, "window long, anchor long, doc_id long, start int")
+    return rp.shared_only(windows, "window", "anchor").mapInArrow(join, rp.SPANS)
 
 
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, block: int = BLOCK) -> DataFrame:

@@ -22,58 +22,59 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import repeats as rp
+from . import textkit as tk
 
 SIZE, GRAM = 100, 24
 
 
-def suffix_array(symbols: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order of their first `reach` symbols, and the common prefix of each with the one before, up to `reach`."""
-    n = len(symbols)
-    levels, step = [np.unique(symbols, return_inverse=True)[1].astype(np.int64)], 1
-    while step < reach:
-        rank = levels[-1]
-        beyond = np.full(n, -1, np.int64)
-        beyond[: n - step] = rank[step:]
-        levels.append(np.unique(rank * (n + 1) + beyond + 1, return_inverse=True)[1].astype(np.int64))
-        step *= 2
-    order = np.argsort(levels[-1], kind="stable")
-    a, b = order[:-1].copy(), order[1:].copy()
-    common = np.zeros(max(n - 1, 0), np.int64)
-    for level in reversed(range(len(levels))):
-        rank, step = levels[level], 1 << level
-        live = (a < n) & (b < n)
-        same = np.zeros(len(a), bool)
-        same[live] = rank[a[live]] == rank[b[live]]
-        common[same] += step
-        a[same] += step
-        b[same] += step
-    return order, np.concatenate(([0], np.minimum(common, reach)))[:n]
+#: Suffixes whose common prefixes are compared at once.
+ROWS = 1 << 15
+
+
+def suffix_array(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes data[begin:end] in order of their bytes, and the common prefix of each with the one before."""
+    sizes = end - begin
+    width = int(sizes.max()) if len(sizes) else 1
+    padded = np.concatenate((data, np.zeros(width, np.uint8)))
+    rows = np.lib.stride_tricks.sliding_window_view(padded, width)[begin]
+    rows[np.arange(width) >= sizes[:, None]] = 0
+    # of suffixes that are equal but for the zeros at their ends, the shorter one is first
+    by_size = np.argsort(sizes, kind="stable")
+    order = by_size[np.argsort(rows.view(f"S{width}")[by_size, 0], kind="stable")]
+    common = np.zeros(len(order), np.int64)
+    for at in range(1, len(order), ROWS):
+        one, two = order[at - 1 : at - 1 + ROWS][: len(order) - at], order[at : at + ROWS]
+        differ = rows[one] != rows[two]
+        first = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+        common[at : at + ROWS] = np.minimum(first, np.minimum(sizes[one], sizes[two]))
+    return order, common
 
 
 def maximal_repeats(order: np.ndarray, lcp: np.ndarray, left: np.ndarray, size: int):
     """(begin, end, length) of intervals order[begin:end] that share `length` >= size symbols, are right-maximal and have different left symbols.
 
-    left[p] is the symbol before suffix p; negative values differ from everything.
+    left[p] is the symbol before suffix p; negative values differ from everything. The scan keeps the open intervals
+    of the common-prefix interval tree on a stack; stretches without any difference on the left are passed over.
     """
     n = len(order)
     deep = lcp >= size
-    starts = np.flatnonzero(deep & ~np.concatenate(([False], deep[:-1])))
+    edge = np.diff(np.concatenate(([False], deep, [False])).astype(np.int8))
     before = left[order]
-    for start in starts.tolist():
-        stack = [(int(lcp[start]), start - 1)]  # open intervals: depth and first place
-        i = start
-        while True:
-            i += 1
-            depth = int(lcp[i]) if i < n and deep[i] else 0
+    # changes[i]: places up to i where the left symbol differs from the one before, or is unlike all others
+    changes = np.cumsum(np.concatenate(([0], (before[1:] != before[:-1]) | (before[1:] < 0) | (before[:-1] < 0))))[:n].tolist()
+    depths = np.where(deep, lcp, 0).tolist()
+    for start, stop in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
+        if changes[stop - 1] == changes[start - 1]:
+            continue
+        stack = [(depths[start], start - 1)]  # open intervals: depth and first place
+        for i in range(start + 1, stop + 1):
+            depth = depths[i] if i < stop else 0
             begin = i - 1
             while stack and stack[-1][0] > depth:
                 length, begin = stack.pop()
-                own = before[begin:i]
-                if own[0] < 0 or (own != own[0]).any():
+                if changes[i - 1] > changes[begin]:
                     yield begin, i, length
-            if depth < size:
-                break
-            if not stack or stack[-1][0] < depth:
+            if depth and (not stack or stack[-1][0] < depth):
                 stack.append((depth, begin))
 
 
@@ -82,21 +83,24 @@ def repeat_groups(contexts: list[bytes], docs: np.ndarray, firsts: np.ndarray, s
 
     A context starts at the first window of its run and ends with the last, so each window of a
     document starts one suffix here. Where a context starts, the left symbol counts as different.
+    A suffix whose first `size` bytes start no other one is in no group and is left out before the sort.
     """
     lengths = np.array([len(c) for c in contexts])
-    data = np.frombuffer(b"".join(contexts), np.uint8).astype(np.int64)
+    data = np.frombuffer(b"".join(contexts), np.uint8)
     ends = np.cumsum(lengths)
-    # a separator of its own after each context
-    symbols = np.insert(data, ends, 256 + np.arange(len(contexts)))
-    owner = np.repeat(np.arange(len(contexts)), lengths + 1)
-    inner = np.arange(len(symbols)) - (np.cumsum(lengths + 1) - lengths - 1)[owner]
+    counts = lengths - size + 1
+    owner = np.repeat(np.arange(len(contexts)), counts)
+    inner = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = (ends - lengths)[owner] + inner
+    _, which, times = np.unique(tk.window_hashes(data, size)[0][at], return_inverse=True, return_counts=True)
+    several = times[which] > 1
+    owner, inner, at = owner[several], inner[several], at[several]
+    order, lcp = suffix_array(data, at, ends[owner])
+    left = np.where(inner > 0, data[at - 1].astype(np.int64), -1)
     place = firsts[owner] + inner
-    order, lcp = suffix_array(symbols, int(lengths.max()))
-    previous = np.concatenate(([-1], symbols[:-1]))
-    previous[inner == 0] = -1
-    for begin, end, length in maximal_repeats(order, lcp, previous, size):
-        at = order[begin:end]
-        d, p = docs[owner[at]], place[at]
+    for begin, end, length in maximal_repeats(order, lcp, left, size):
+        found = order[begin:end]
+        d, p = docs[owner[found]], place[found]
         ranked = np.lexsort((p, d))
         yield d[ranked], p[ranked], length
 

@@ -1,8 +1,9 @@
 """Vectorised text helpers that run inside Arrow tasks.
 
-A batch of texts is one byte buffer with offsets. All hashes are 64-bit
-polynomial hashes over that buffer, mixed so that any bit can serve as a bucket
-or an order; equal byte strings always get equal hashes.
+A batch of texts is one byte buffer with offsets. A word's symbol is made of its bytes, or of their xxh3 hash
+where there are more than eight. The hash of a run of symbols is built by doubling: the hashes of two halves
+are mixed into one, level by level, so that, unlike in a polynomial hash modulo 2**64, no text
+of a regular build (Thue-Morse words, say) collides with another by algebra.
 """
 
 from __future__ import annotations
@@ -12,12 +13,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 1 << 20
-
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Symbols hashed at once, so that their arrays stay in the cache.
+CHUNK = 1 << 15
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -55,23 +55,6 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) <= n:
-        size = max(n + 1, 2 * len(_powers["up"]))
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps)
-    return _powers["up"], _powers["down"]
-
-
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    up, _ = powers(len(data))
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=out[1:])
-    return out
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(30))
     h = h * np.uint64(0xBF58476D1CE4E5B9)
@@ -80,10 +63,36 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
-    """Hash of the bytes start:end, alike wherever they stand."""
-    _, down = powers(len(prefix))
-    return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(salt))
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def pair(a: np.ndarray, b: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
+    """Hash of two hashed parts in this order; parts may overlap if `salt` tells by how much."""
+    return mix(a * np.uint64(0x9E3779B97F4A7C15) + b + np.asarray(salt).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def window_hashes(symbols: np.ndarray, *sizes: int) -> list[np.ndarray]:
+    """For each size the hash of every run of so many symbols, bytes or 64-bit numbers; runs may cross texts, callers mask them."""
+    top, n = max(sizes), len(symbols)
+    out = [np.zeros(max(n - size + 1, 0), np.uint64) for size in sizes]
+    for begin in range(0, n, CHUNK):
+        part = symbols[begin : begin + CHUNK + top - 1]
+        level, length = _BYTE[part] if part.dtype == np.uint8 else mix(part + np.uint64(0x2545F4914F6CDD1D)), 1
+        while True:
+            for size, whole in zip(sizes, out):
+                stop = min(CHUNK, len(part) - size + 1)
+                if length <= size < 2 * length and stop > 0:
+                    whole[begin : begin + stop] = level[:stop] if size == length else pair(level[:stop], level[size - length :][:stop], size)
+            if 2 * length > top:
+                break
+            level = pair(level[:-length], level[length:], 2 * length)
+            length *= 2
+    return out
+
+
+def run_hash(windows: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hash of all symbols of the windows first..last, which must overlap or touch."""
+    return pair(windows[first], windows[last], last - first + 1)
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,15 +105,34 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPA
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def gram_hash(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of n word hashes; runs may cross texts, callers mask them."""
-    if len(words) < n:
-        return np.zeros(0, np.uint64)
-    last = len(words) - n + 1
-    h = np.zeros(last, np.uint64)
-    for k in range(n):
-        h = h * np.uint64(0x5851F42D4C957F2D) + words[k : k + last]
-    return mix(h)
+def byte_strings(column: pa.LargeBinaryArray) -> list[bytes]:
+    """The values of a column without nulls; quicker than to_pylist()."""
+    data, offsets = buffer_of(column)
+    raw, cuts = data.tobytes(), offsets.tolist()
+    return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def byte_column(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """The given spans, in order and without overlaps, as a column."""
+    cuts = np.concatenate(([0], np.cumsum(ends - starts)))
+    at = np.repeat(starts - cuts[:-1], ends - starts) + np.arange(cuts[-1])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(data[at])])
+
+
+def word_symbols(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit symbol for each word: the mixed bytes themselves up to eight, else the xxh3 hash, taken once for each distinct word."""
+    sizes = ends - starts
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))[starts]
+    out = mix(mix(eight & _LOW_BYTES[np.minimum(sizes, 8)]) + sizes.astype(np.uint64))
+    long = np.flatnonzero(sizes > 8)
+    if len(long):
+        found = byte_column(data, starts[long], ends[long]).dictionary_encode()
+        out[long] = np.fromiter(map(xxhash.xxh3_64_intdigest, byte_strings(found.dictionary)), np.uint64, len(found.dictionary))[np.asarray(found.indices)]
+    return out
 
 
 def signed(h: np.ndarray) -> np.ndarray:

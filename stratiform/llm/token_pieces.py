@@ -3,7 +3,8 @@
 Both vocabularies used here split a text before every run of white space that
 follows other characters, so a text's ids are the ids of its pieces (white space
 and the run after it) one after another. A batch is cut into pieces with
-numpy, each distinct piece goes to the library once, and the ids are gathered.
+Arrow, each distinct piece goes to the library once, and the ids are gathered. Pieces are told
+apart by their bytes, not by a hash.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ import numpy as np
 
 from . import textkit as tk
 
-#: Pieces that a worker remembers, at about 60 bytes each, and how many wait for the next merge.
-CACHE_PIECES, RECENT_PIECES = 1_500_000, 150_000
+#: Pieces that a worker remembers, at about 150 bytes each; its table starts afresh beyond that.
+CACHE_PIECES = 1_000_000
 
 
 def token_file(name: str) -> str:
@@ -98,33 +99,17 @@ class PieceEncoder:
         self.clear()
 
     def clear(self) -> None:
-        none = (np.zeros(0, np.uint64), np.zeros(0, np.int32))
-        self.tables = [none, none]  # hashes in order and their rows: a large and a recent one
+        self.rows: dict[bytes, int] = {}
         self.ids, self.begins, self.lengths = Growing(np.uint32), Growing(np.int64), Growing(np.int32)
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Row of each hash, or -1."""
-        rows = np.full(len(hashes), -1, np.int64)
-        for known, at in self.tables:
-            if len(known):
-                i = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                rows = np.where(known[i] == hashes, at[i], rows)
-        return rows
-
-    def add(self, hashes: np.ndarray, found: list[list[int]]) -> np.ndarray:
+    def add(self, pieces: list[bytes]) -> None:
+        found = self.encode([p.decode("utf-8", "replace") for p in pieces])
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        rows = self.lengths.size + np.arange(len(found), dtype=np.int32)
+        self.rows.update(zip(pieces, range(self.lengths.size, self.lengths.size + len(pieces))))
         if self.keep_ids:
             self.begins.append(self.ids.size + np.cumsum(lengths) - lengths)
             self.ids.append(np.fromiter((x for ids in found for x in ids), np.uint32, int(lengths.sum())))
         self.lengths.append(lengths)
-        large, (known, at) = self.tables
-        known, at = np.concatenate((known, hashes)), np.concatenate((at, rows))
-        if len(known) > RECENT_PIECES:
-            known, at, large = np.concatenate((large[0], known)), np.concatenate((large[1], at)), None
-        order = np.argsort(known)
-        self.tables = [large or (known[order], at[order]), (known[order], at[order]) if large else (known[:0], at[:0])]
-        return rows
 
     def pieces(self, data: np.ndarray, offsets: np.ndarray):
         starts, ends, doc = tk.word_spans(data, offsets)
@@ -147,13 +132,11 @@ class PieceEncoder:
         if self.lengths.size > CACHE_PIECES:
             self.clear()
         starts, ends, doc = self.pieces(data, offsets)
-        hashes, first, inverse = np.unique(tk.span_hash(tk.prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
-        rows = self.find(hashes)
-        if len(new := np.flatnonzero(rows < 0)):
-            raw = data.tobytes()
-            pieces = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
-            rows[new] = self.add(hashes[new], self.encode(pieces))
-        rows = rows[inverse]
+        found = tk.byte_column(data, starts, ends).dictionary_encode()
+        distinct = tk.byte_strings(found.dictionary)
+        if new := [p for p in distinct if p not in self.rows]:
+            self.add(new)
+        rows = np.fromiter(map(self.rows.__getitem__, distinct), np.int64, len(distinct))[np.asarray(found.indices)]
         counts = np.bincount(doc, weights=self.lengths.room[rows], minlength=len(offsets) - 1).astype(np.int64)
         return counts, rows
 

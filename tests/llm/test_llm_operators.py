@@ -96,11 +96,11 @@ def test_anchors_with_many_contexts_are_split(spark):
 
 
 def test_maximal_repeats_name_all_occurrences():
-    import numpy as np
-
-    data = np.frombuffer(b"xbananaybanana$zbanan#", np.uint8).astype(np.int64)
-    order, lcp = suffix_dedup.suffix_array(data, len(data))
-    assert [bytes(data[i:].astype(np.uint8)) for i in order] == sorted(bytes(data[i:].astype(np.uint8)) for i in range(len(data)))
+    data = np.frombuffer(b"xbananaybanana$zbanan#", np.uint8)
+    begin = np.arange(len(data))
+    order, lcp = suffix_dedup.suffix_array(data, begin, np.full(len(data), len(data)))
+    assert [bytes(data[i:]) for i in order] == sorted(bytes(data[i:]) for i in begin)
+    data = data.astype(np.int64)
     left = np.concatenate(([-1], data[:-1]))
     found = {(n, tuple(sorted(order[a:b].tolist()))) for a, b, n in suffix_dedup.maximal_repeats(order, lcp, left, 4)}
     assert found == {(6, (1, 8)), (5, (1, 8, 16))}
@@ -192,6 +192,28 @@ def test_jaccard_join_keeps_links_of_extended_texts(spark):
     held(jaccard_join.near_duplicates(docs), want, ["n_shingles", "component_id"])
 
 
+def thue_morse(n: int, letters: str) -> str:
+    return "".join(letters[bin(i).count("1") & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("length", [1024, 4096])
+def test_regular_words_are_told_apart(spark, length):
+    """A Thue-Morse word and its complement collide under any polynomial hash modulo 2**64."""
+    rows = [(i, thue_morse(length, x)) for i, x in enumerate(("ox", "xo", "th", "ht"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    tokenizer = library_tokenizer("word_bpe_49k.json")
+    held(token_counts.token_counts(docs), {d: (len(t), len(tokenizer.encode(t, add_special_tokens=False).ids)) for d, t in rows}, ["n_bytes", "n_tokens"])
+    byte_bpe = library_tokenizer("byte_bpe_50k.json")
+    found = [r.asDict() for r in packing.pack_documents(docs).collect()]
+    assert brute.packing_faults(rows, found, lambda t: byte_bpe.encode(t, add_special_tokens=False).ids)[0] == []
+    held(jaccard_join.near_duplicates(docs), {d: (1, d) for d, _ in rows}, ["n_shingles", "component_id"])
+    held(suffix_dedup.digest(suffix_dedup.repeated_bytes(docs)), brute.suffix_dedup(rows), ["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    words = [(d, " ".join([t] * 20 + [f"{d}"] + [t] * 20)) for d, t in rows]
+    held(substring_dedup.kept_words(substring_dedup.repeated_words(spark.createDataFrame(words, "doc_id long, text string")), True), brute.substring_dedup(words), ["n_words", "n_removed", "kept_sha256"])
+    items = spark.createDataFrame([(7, rows[0][1])], "item_id long, text string")
+    assert [(r.doc_id, r.score) for r in decontamination.contaminated(docs, items).collect()] == [(0, 1.0)]
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 3), (3, 2), (2, 1), (10, 11), (12, 11), (7, 7)]
     found = components.components(spark.createDataFrame(edges, "a long, b long"))
