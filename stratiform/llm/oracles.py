@@ -51,10 +51,10 @@ OP9 = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
 UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 c AS (SELECT *, 4 + length(role) + length(regexp_replace(role, '[^~<>\[\]]', '', 'g')) + 2 + length(text) + length(regexp_replace(text, '[^~<>\[\]]', '', 'g')) + 5 AS chars FROM t),
-o AS (SELECT *, row_number() OVER w AS pos, sum(chars) OVER w AS upto FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING))
+o AS (SELECT *, row_number() OVER w AS pos, sum(chars) OVER w AS upto, role = 'assistant' OR row_number() OVER w = count(*) OVER (PARTITION BY conv_id) AS example FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING))
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
 CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
-CAST(coalesce(sum(upto) FILTER (role = 'assistant'), 0) AS BIGINT) AS formatted_chars FROM o GROUP BY conv_id
+CAST(sum(upto) FILTER (example) AS BIGINT) AS formatted_chars FROM o GROUP BY conv_id
 """
 
 OP10 = f"""

@@ -52,7 +52,7 @@ CONTROL = "</s>[INST] ok [/INST]"
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
-    return chat_format.read_back(chat_format.segments(turns.unionByName(extra)))
+    return chat_format.read_back(chat_format.examples(turns.unionByName(extra)))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
