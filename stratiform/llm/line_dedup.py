@@ -1,13 +1,15 @@
 """Line dedup with levelled sorted runs of line hashes.
 
-A run is a table of line keys in hash order, with the number of documents that hold
-the key and the largest of their ids. Each batch is added whole as a run of its own, with the keys
-that older runs hold too; runs are merged by adding up their counts. The join of a new batch with the runs only
-marks the keys that they hold; the result does not depend on it. Runs of one level are
-compacted into one of the next as soon as there are `fanout` of them. After the
-last batch the runs say how many documents hold each key and which keeps it.
+Documents come in batches from the largest ids down, so the first batch that holds a key holds the
+document that keeps it. A run is a sorted table of line keys, each with the document that keeps its
+line and the number of documents that hold it. Each new batch is merge-anti-joined with the runs: keys that
+no run has make up the batch's own run, with their keeper; of keys that a run has, the batch adds only
+its count. Runs and counts of one level are compacted into one table of the next as soon as there are
+`fanout` of them, and no key is in two runs. After the last batch the runs say who keeps each key and how many hold it.
 
-Keys are 128-bit hashes of the stripped, lower-cased line.
+Batches double in size, so their number grows with the logarithm of the table, and
+all joins with the runs together cost a few passes over the keys. Lines are dropped by a join in which
+keys of very many documents are broadcast. Keys are 128-bit hashes of the stripped, lower-cased line.
 
 Defined results: a null or empty text is one empty line and is never dropped; a line
 counts once for each document id, however often a document or a repeated row
@@ -27,10 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .shared import columns, stored
+from .shared import columns, hot_join, stored
 
 MIN_CHARS, MIN_DOCS = 40, 5
-BATCHES, FANOUT = 4, 3
+#: Documents of the first batch; each later one is as large as all before it together. Tables of a level before it is compacted.
+FIRST_BATCH, FANOUT = 25_000, 3
 BLANK = " \t\n\x0b\x0c\r"
 KEY = ["hi", "lo"]
 
@@ -53,8 +56,20 @@ def _texts(column: pa.Array) -> pa.Array:
     return pc.fill_null(column, "")
 
 
-def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES) -> DataFrame:
+def batch_ends(docs: DataFrame, first: int) -> list[int]:
+    """Smallest document id of each batch but the last, from the largest batch number of ids down."""
+    n = docs.count()
+    sizes = [first << k for k in range(64) if first << k < n]
+    if not sizes:
+        return []
+    shares = ", ".join(f"{1 - size / n:.12f}D" for size in sizes)
+    found = docs.agg(F.expr(f"percentile_approx(doc_id, array({shares}), 10000)").alias("ends")).first()[0]
+    return sorted(set(found or []), reverse=True)
+
+
+def line_keys(docs: DataFrame, ends: list[int], min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, hi, lo, batch: each key once for each document of a record batch."""
+    limits = np.array([-e for e in ends], np.int64)
 
     def run(source):
         for batch in tk.slices(source):
@@ -62,49 +77,44 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHE
             long = pc.greater_equal(pc.utf8_length(keys), min_chars)
             row = row[long.to_numpy(zero_copy_only=False)]
             hi, lo = _digests(keys.filter(long))
-            ids = np.asarray(pc.fill_null(batch.column(0), -1))[row] if len(row) else np.zeros(0, np.int64)
-            valid = ~np.asarray(pc.is_null(batch.column(0)))[row] if len(row) else np.zeros(0, bool)
-            table = pa.table({"doc_id": ids[valid], "hi": hi[valid], "lo": lo[valid]}).group_by(["doc_id", "hi", "lo"]).aggregate([])
-            yield from table.append_column("batch", pa.array((tk.mix(np.asarray(table["doc_id"]).view(np.uint64)) % np.uint64(batches)).astype(np.int32))).to_batches()
+            table = pa.table({"doc_id": np.asarray(batch.column(0))[row], "hi": hi, "lo": lo}).group_by(["doc_id", "hi", "lo"]).aggregate([])
+            number = np.searchsorted(limits, -np.asarray(table["doc_id"]))
+            yield from table.append_column("batch", pa.array(number.astype(np.int32))).to_batches()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hi long, lo long, batch int")
+    return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, hi long, lo long, batch int")
 
 
-def as_run(keys: DataFrame) -> DataFrame:
-    """The run of one batch: documents that hold each key and the largest id."""
+def counted(keys: DataFrame) -> DataFrame:
+    """One batch's keys: documents that hold each, and the largest id."""
     return keys.dropDuplicates(["doc_id", *KEY]).groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
 
 
-def merged(runs: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, runs).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
+def merged(tables: list[DataFrame]) -> DataFrame:
+    """One table of runs and counts; a key has its keeper in one run alone."""
+    return reduce(DataFrame.unionByName, tables).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
 
 
 class LevelledRuns:
-    """Runs by level in the shared folder. A document's rows must all come in one batch."""
+    """Runs and counts by level in the shared folder. Batches come from the largest document ids down, all rows of a document in one."""
 
     def __init__(self, fanout: int = FANOUT):
         self.fanout, self.levels = fanout, [[]]
 
-    def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
-
-    def _write(self, run: DataFrame) -> DataFrame:
-        return stored(run.sortWithinPartitions(*KEY), "line-run")
-
-    def unseen(self, batch_run: DataFrame) -> DataFrame:
-        """Keys of a batch that no run holds."""
-        return reduce(lambda left, run: left.join(run.hint("merge"), KEY, "left_anti"), self.runs(), batch_run)
-
-    def add(self, batch_run: DataFrame) -> None:
-        """Add the whole batch as a run; `again` marks keys that the runs hold already, whose counts add up on merging."""
-        held = self.runs()
-        if held:
-            known = reduce(DataFrame.unionByName, [r.select(*KEY) for r in held]).dropDuplicates(KEY).withColumn("known", F.lit(True))
-            joined = batch_run.join(known.hint("merge"), KEY, "left")
-            batch_run = joined.select(*KEY, "n_docs", "keeper", F.coalesce("known", F.lit(False)).alias("again"))
-        else:
-            batch_run = batch_run.select(*KEY, "n_docs", "keeper", F.lit(False).alias("again"))
-        self.levels[0].append(self._write(batch_run))
+    def tables(self) -> list[DataFrame]:
+        return [table for level in self.levels for table in level]
+
+    def _write(self, table: DataFrame) -> DataFrame:
+        return stored(table.sortWithinPartitions(*KEY), "line-run")
+
+    def add(self, batch: DataFrame) -> None:
+        """Add what counted() gives for a batch: new keys as a run with their keepers, known keys as counts."""
+        if self.tables():
+            batch = stored(batch, "line-batch")
+            known = reduce(DataFrame.unionByName, [t.filter("keeper is not null").select(*KEY) for t in self.tables()])
+            new = batch.join(known.hint("merge"), KEY, "left_anti")
+            again = batch.join(known.hint("merge"), KEY, "left_semi").withColumn("keeper", F.lit(None).cast("long"))
+            batch = new.unionByName(again)
+        self.levels[0].append(self._write(batch))
         self.compact()
 
     def compact(self) -> None:
@@ -112,26 +122,27 @@ class LevelledRuns:
             if len(level) >= self.fanout:
                 if depth + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[depth + 1].append(self._write(merged(level).withColumn("again", F.lit(False))))
+                self.levels[depth + 1].append(self._write(merged(level)))
                 self.levels[depth] = []
 
     def frequent(self, min_docs: int) -> DataFrame:
-        return merged([r.drop("again") for r in self.runs()]).filter(F.col("n_docs") >= min_docs)
+        return merged(self.tables()).filter(F.col("n_docs") >= min_docs)
 
 
-def frequent_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> tuple[DataFrame, DataFrame]:
-    """Stored line keys of all documents, and the keys found in enough of them with their keeper."""
-    keys = stored(line_keys(docs, min_chars, batches), "line-keys", "batch")
+def frequent_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, first_batch: int = FIRST_BATCH, fanout: int = FANOUT) -> tuple[DataFrame, DataFrame]:
+    """Stored line keys of all documents, and the keys found in enough of them with their keeper and count."""
+    ends = batch_ends(docs.select("doc_id"), first_batch)
+    keys = stored(line_keys(docs, ends, min_chars), "line-keys", "batch")
     runs = LevelledRuns(fanout)
-    for number in range(batches):
-        runs.add(as_run(keys.filter(F.col("batch") == number)))
-    return keys, runs.frequent(min_docs)
+    for number in range(len(ends) + 1):
+        runs.add(counted(keys.filter(F.col("batch") == number)))
+    return keys, stored(runs.frequent(min_docs), "frequent-lines")
 
 
 def drops(docs: DataFrame, **options) -> DataFrame:
     """doc_id, dropped: for each document that loses lines, the packed keys of those lines."""
     keys, frequent = frequent_lines(docs, **options)
-    lost = keys.select("doc_id", *KEY).join(frequent, KEY).filter(F.col("doc_id") < F.col("keeper"))
+    lost = hot_join(keys.select("doc_id", *KEY), frequent, KEY, "n_docs").filter(F.col("doc_id") < F.col("keeper"))
     return lost.groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("dropped"))
 
 

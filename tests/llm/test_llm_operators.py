@@ -306,6 +306,23 @@ def test_line_dedup(docs, rows):
     assert kept[100_000] is None
 
 
+def test_line_runs_hold_each_key_once(docs, rows):
+    """Small batches, so that runs are joined and compacted: keepers come from the anti-joined keys alone."""
+    narrow = docs.select("doc_id", "text")
+    held(line_dedup.dedup_lines(docs, digest=True, first_batch=5, fanout=2), brute.line_dedup(rows), ["n_lines", "n_dropped", "kept_sha256"])
+    ends = line_dedup.batch_ends(narrow.select("doc_id"), 5)
+    assert len(ends) >= 3 and ends == sorted(ends, reverse=True)
+    keys, runs = line_dedup.line_keys(narrow, ends).cache(), line_dedup.LevelledRuns(fanout=100)
+    for number in range(len(ends) + 1):
+        runs.add(line_dedup.counted(keys.filter(F.col("batch") == number)))
+    tables = [t.collect() for t in runs.tables()]
+    new = [(r.hi, r.lo) for t in tables for r in t if r.keeper is not None]
+    again = [(r.hi, r.lo) for t in tables[1:] for r in t if r.keeper is None]
+    assert len(new) == len(set(new)) and again and set(again) <= set(new)
+    keeper = {(r.hi, r.lo): r.keeper for t in tables for r in t if r.keeper is not None}
+    assert keeper == {(r.hi, r.lo): r.last for r in keys.groupBy("hi", "lo").agg(F.max("doc_id").alias("last")).collect()}
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_empty_tables(spark, tiny_dir, tmp_path, name):
     for table in ("documents", "benchmark", "conversations"):
