@@ -19,10 +19,13 @@ c AS (SELECT doc_id, pos, dup OR coalesce(lag(dup) OVER p, false) OR coalesce(la
 n AS (SELECT doc_id, count(*) FILTER (covered) AS n_repeat_words FROM c GROUP BY 1),
 l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x, {_BLANK}) <> '') AS lines FROM d),
 m AS (SELECT d.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines FROM d JOIN l ON d.doc_id = l.doc_id LEFT JOIN n ON d.doc_id = n.doc_id),
+len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines,
+len(list_filter(words, lambda w: regexp_matches(w, '[^\x00-@\[-`{{-\x7F]'))) AS n_letter_words, len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullets,
+len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_cut_off, coalesce(list_max(map_values(list_histogram(words))), 0) AS top_word FROM d JOIN l ON d.doc_id = l.doc_id LEFT JOIN n ON d.doc_id = n.doc_id),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-NOT base_failed AND NOT (10 * n_symbols > word_chars) AND NOT (word_chars > 25 * n_words OR word_chars < 2 * n_words) AND NOT (2 * n_dup_lines > n_lines) AS kept FROM b
+NOT base_failed AND NOT (10 * n_symbols > word_chars) AND NOT (word_chars > 25 * n_words OR word_chars < 2 * n_words) AND NOT (2 * n_dup_lines > n_lines)
+AND NOT (100 * n_letter_words < 70 * n_words) AND NOT (10 * n_bullets > 9 * n_lines) AND NOT (10 * n_cut_off > 3 * n_lines) AND NOT (100 * top_word > 20 * n_words) AS kept FROM b
 """
 
 OP5 = rf"""

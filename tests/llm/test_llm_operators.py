@@ -114,6 +114,26 @@ def test_quality_rules(docs, rows):
     assert quality_rules.keep_good(docs).columns == docs.columns
 
 
+def test_rejected_documents_are_not_measured_further(spark):
+    """Rules in a given order: what one rejects has no measures of the rules behind it; the order changes no verdict."""
+    prose = " ".join(f"word{chr(97 + i)}" for i in range(26)) + " "
+    texts = {"symbols": prose * 3 + "###x $$$y %%%z " * 6, "few_letters": prose * 2 + "12 34 " * 40, "list_items": "\n".join(f"- {prose}" for _ in range(1)) + "\n* " + prose.upper(), "cut_off_lines": prose * 2 + "...", "frequent_word": prose * 2 + "same " * 30, None: prose * 3}
+    docs = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    rules = [r for r in quality_rules.RULES if r.name in texts]
+    for order in (rules, rules[::-1]):
+        df = quality_rules.measured(quality_rules.with_text(docs), ["n_words", "word_chars", "n_symbols", "n_dup_lines"], done := set())
+        found = {r["doc_id"]: r for r in quality_rules.cascade(df, order, done).collect()}
+        names = [r.name for r in order]
+        for i, name in enumerate(texts):
+            row = found[i]
+            assert row["__qr_rejected_by"] == name
+            for rule in order:
+                for measure in set(rule.needs) & {"n_letter_words", "n_bullets", "n_cut_off", "top_word"}:
+                    assert (row["__qr_" + measure] is None) == (name is not None and names.index(rule.name) > names.index(name))
+    costs = {rule.name: seconds for rule, seconds, _ in quality_rules.estimates(docs, tuple(rules))}
+    assert set(costs) == {r.name for r in rules}
+
+
 def test_decontamination(spark, tiny_dir):
     bench = spark.read.parquet(f"{tiny_dir}/benchmark.parquet")
     items = [(r.item_id, r.text) for r in bench.collect()]
