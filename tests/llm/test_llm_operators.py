@@ -117,7 +117,7 @@ def test_quality_rules(docs, rows):
 def test_rejected_documents_are_not_measured_further(spark):
     """Rules in a given order: what one rejects has no measures of the rules behind it; the order changes no verdict."""
     prose = " ".join(f"word{chr(97 + i)}" for i in range(26)) + " "
-    texts = {"symbols": prose * 3 + "###x $$$y %%%z " * 6, "few_letters": prose * 2 + "12 34 " * 40, "list_items": "\n".join(f"- {prose}" for _ in range(1)) + "\n* " + prose.upper(), "cut_off_lines": prose * 2 + "...", "frequent_word": prose * 2 + "same " * 30, None: prose * 3}
+    texts = {"symbols": prose * 3 + "###x $$$y %%%z " * 6, "few_letters": prose * 2 + " ".join(map(str, range(100, 160))), "list_items": "\n".join(f"- {prose}" for _ in range(1)) + "\n* " + prose.upper(), "cut_off_lines": prose * 2 + "...", "frequent_word": prose * 2 + "same " * 30, None: prose * 3}
     docs = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
     rules = [r for r in quality_rules.RULES if r.name in texts]
     for order in (rules, rules[::-1]):
