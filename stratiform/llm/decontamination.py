@@ -1,15 +1,15 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-Words are runs of letters, digits and non-ASCII bytes, in ASCII lower case. Every
-n-gram of a test item is a seed. One pass over the corpus finds each document's
-seed hits, cuts out the words around them and aligns each such passage locally with the
-item. How many documents hold a seed decides nothing: copies of an item
-make its own seeds frequent. Instead the seed length, the number of seeds and of words that a passage must
-share with the item, and its reach follow from the score asked for (see `bounds`), so every
-alignment that reaches the score is found. The score is the share of the best possible, 1 for a
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+
+Words are runs of letters, digits and non-ASCII bytes, in ASCII lower case. The
+n-grams of a test item are its seeds. A first pass over the corpus counts the documents that hold each seed. From the score asked
+for follows how many of an item's seeds an alignment shares at least (see `bounds`): `need` of m. So it surely
+shares one of the m - need + 1 rarest, and only those join documents to the item; the more frequent ones never do. A second
+pass joins by these rare seeds, and of each document and item that meet it cuts out the words around clusters of `need` seeds,
+rare or not, and aligns each such passage locally with the item. No alignment that
+reaches the score is lost, whatever the copies of an item do to its seeds' frequencies. The score is the share of the best possible, 1 for a
 verbatim copy, so edited copies score high and shared phrases do not.
 
-Test items are broadcast in parts of at most `part_bytes`, however many there are.
+Test items are broadcast in parts of at most `part_bytes`, however many there are; each part costs two passes.
 
 Defined results: null or empty texts and items match nothing; repeated items (same id) keep the best score; repeated documents
 are scored once for each id; null ids never match; empty tables give no rows.
@@ -29,7 +29,7 @@ from .shared import columns
 
 #: Longest seed; shorter ones are taken where the score asked for allows more edits.
 SEED_WORDS, MIN_SCORE = 5, 0.6
-PART_BYTES = 4 << 20
+PART_BYTES = 16 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
@@ -57,27 +57,42 @@ def bounds(n: int, min_score: float, seed_words: int) -> tuple[int, int, int, in
 
 
 class Items:
-    """A part of the test items: their words, and seeds in hash order for each seed length."""
+    """A part of the test items: their words, the seeds of each, and an index of seeds in hash order for each seed length."""
 
     def __init__(self, ids: list[int], texts: list[str], n: int, min_score: float):
         self.ids = np.array(ids, np.int64)
         words, doc = _words(*tk.buffer_of(pa.array(texts, pa.large_string())))
         cuts = np.searchsorted(doc, np.arange(len(ids) + 1))
         self.words = [words[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-        self.seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        by_size: dict[int, list[tuple[np.ndarray, int]]] = {}
         limits = np.zeros((len(ids), 4), np.int64)
+        self.own, self.places = [], []  # of each item: its seeds, and at how many places each stands
         for i, w in enumerate(self.words):
-            if len(w):
-                limits[i] = bounds(len(w), min_score, n)
-                size = int(limits[i, 0])
-                by_size.setdefault(size, []).append((np.unique(tk.window_hashes(w, size)[0]), i))
+            limits[i] = bounds(len(w), min_score, n) if len(w) else 0
+            seeds, places = np.unique(tk.window_hashes(w, int(limits[i, 0]))[0], return_counts=True) if len(w) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            self.own.append(seeds)
+            self.places.append(places)
         self.size, self.need, self.need_words, self.span = limits.T
-        for size, grams in by_size.items():
-            hashes, owner = np.concatenate([g for g, _ in grams]), np.concatenate([np.full(len(g), i) for g, i in grams])
+        self.index(self.own)
+
+    def index(self, seeds_of: list[np.ndarray]) -> None:
+        """Let the given seeds of each item join documents to it."""
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in np.unique(self.size[self.size > 0]).tolist():
+            items = np.flatnonzero(self.size == size)
+            hashes, owner = np.concatenate([seeds_of[i] for i in items]), np.repeat(items, [len(seeds_of[i]) for i in items])
             order = np.argsort(hashes, kind="stable")
             self.seeds[size] = hashes[order], owner[order]
 
+    def keep_rare(self, frequency: dict[int, int]) -> None:
+        """Leave out each item's most frequent seeds, at need - 1 places at most; those that no document holds are of no use either."""
+        rare = []
+        for own, places, need in zip(self.own, self.places, self.need.tolist()):
+            df = np.array([frequency.get(x, 0) for x in tk.signed(own).tolist()], np.int64)
+            order = np.lexsort((own, -df))
+            joins = (np.cumsum(places[order]) > need - 1) & (df[order] > 0)
+            rare.append(own[order][joins])
+        self.index(rare)
+
 
 def align(item: np.ndarray, passage: np.ndarray) -> float:
     """Smith-Waterman score of the best local alignment, as a share of the item's own."""
@@ -99,56 +114,76 @@ def shared_words(item: np.ndarray, passage: np.ndarray, span: int) -> int:
     return int((held[span:] - held[:-span]).max()) if len(passage) > span else int(held[-1])
 
 
+def _seed_hits(words: np.ndarray, doc: np.ndarray, items: Items):
+    """For each seed length: the hashes of all runs of so many words, whether each lies in one text, and the place and first index entry of those that are seeds."""
+    for size, (seeds, _) in items.seeds.items():
+        grams = tk.window_hashes(words, size)[0]
+        inside = doc[: len(grams)] == doc[size - 1 :][: len(grams)]
+        low = np.searchsorted(seeds, grams)
+        at = np.flatnonzero(inside & (seeds[np.minimum(low, len(seeds) - 1)] == grams)) if len(seeds) else np.zeros(0, np.int64)
+        yield size, grams, at, low[at]
+
+
+def seed_frequencies(docs: DataFrame, items) -> DataFrame:
+    """seed, df: rows of documents that hold each seed. `items` is a broadcast."""
+
+    def run(batches):
+        part = items.value
+        for batch in tk.slices(batches):
+            words, doc = _words(*tk.buffer_of(batch.column(1)))
+            for _, grams, at, _ in _seed_hits(words, doc, part):
+                if len(at):
+                    order = np.lexsort((doc[at], grams[at]))
+                    seed, holder = grams[at][order], doc[at][order]
+                    new = np.concatenate(([True], (seed[1:] != seed[:-1]) | (holder[1:] != holder[:-1])))
+                    seed, n = np.unique(seed[new], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(tk.signed(seed)), pa.array(n.astype(np.int64))], names=["seed", "n"])
+
+    return docs.filter("doc_id is not null").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("df"))
+
+
+def clusters(at: np.ndarray, need: int, size: int, span: int) -> list[tuple[int, int]]:
+    """First and last place of each cluster of seed hits: `need` of them within the span of an alignment, joined while no gap is longer than a span."""
+    if len(at) < need:
+        return []
+    dense = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] <= span - size)
+    change = np.zeros(len(at) + 1, np.int64)
+    np.add.at(change, dense, 1)
+    np.add.at(change, dense + need, -1)
+    at = at[np.cumsum(change[:-1]) > 0]
+    if not len(at):
+        return []
+    gaps = np.flatnonzero(np.diff(at) > span)
+    return list(zip(at[np.concatenate(([0], gaps + 1))].tolist(), at[np.concatenate((gaps, [len(at) - 1]))].tolist()))
+
+
 PASSAGES = "doc_id long, item int, words binary"
 
 
 def passages(docs: DataFrame, items) -> DataFrame:
-    """A row for each cluster of seed hits of one item in one document that may hold a copy, with the words around it. `items` is a broadcast."""
+    """A row for each cluster of seed hits of one item in one document that may hold a copy, with the words around it. `items` is a broadcast whose index holds rare seeds."""
 
     def run(batches):
         part = items.value
         for batch in tk.slices(batches):
             words, doc = _words(*tk.buffer_of(batch.column(1)))
-            hits = []
-            for size, (seeds, owner) in part.seeds.items():
-                grams = tk.window_hashes(words, size)[0]
-                inside = doc[: len(grams)] == doc[size - 1 :][: len(grams)]
-                low = np.searchsorted(seeds, grams)
-                at = np.flatnonzero(inside & (seeds[np.minimum(low, len(seeds) - 1)] == grams))
-                high = np.searchsorted(seeds, grams[at], side="right")
-                many = high - low[at]
-                entry = np.repeat(low[at] + many - np.cumsum(many), many) + np.arange(many.sum())
-                at = np.repeat(at, many)
-                hits.append((doc[at], owner[entry], at))
-            if not hits:
-                continue
-            d, item, at = (np.concatenate(x) for x in zip(*hits))
-            if not len(d):
-                continue
-            order = np.lexsort((at, item, d))
-            d, item, at = d[order], item[order], at[order]
-            # hits that stand with as many others as are needed within the span of an alignment
-            first = np.arange(len(d))
-            other = first + part.need[item] - 1
-            last = np.minimum(other, len(d) - 1)
-            dense = (other == last) & (d[last] == d) & (item[last] == item) & (at[last] - at <= (part.span - part.size)[item])
-            change = np.zeros(len(d) + 1, np.int64)
-            np.add.at(change, first[dense], 1)
-            np.add.at(change, last[dense] + 1, -1)
-            keep = np.cumsum(change[:-1]) > 0
-            d, item, at = d[keep], item[keep], at[keep]
-            if not len(d):
-                continue
-            span = part.span[item]
-            new = np.concatenate(([True], (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > span[1:])))
-            firsts = np.flatnonzero(new)
-            lasts = np.concatenate((firsts[1:], [len(d)])) - 1
-            begin = np.maximum(at[firsts] - span[firsts], np.searchsorted(doc, d[firsts]))
-            end = np.minimum(at[lasts] + span[firsts] + 1, np.searchsorted(doc, d[firsts], side="right"))
-            cut = [words[a:b] for a, b in zip(begin.tolist(), end.tolist())]
-            good = np.array([shared_words(part.words[i], w, int(part.span[i])) >= part.need_words[i] for i, w in zip(item[firsts].tolist(), cut)])
-            firsts, raw = firsts[good], [w.tobytes() for w, g in zip(cut, good) if g]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d[firsts])), pa.array(item[firsts].astype(np.int32)), pa.array(raw, pa.binary())], names=["doc_id", "item", "words"])
+            bounds_of = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            found = []
+            for size, grams, at, low in _seed_hits(words, doc, part):
+                seeds, owner = part.seeds[size]
+                many = np.searchsorted(seeds, grams[at], side="right") - low
+                entry = np.repeat(low + many - np.cumsum(many), many) + np.arange(many.sum())
+                met = np.unique(np.stack((np.repeat(doc[at], many), owner[entry])), axis=1)
+                for d, i in met.T.tolist():
+                    first, stop, span = int(bounds_of[d]), int(bounds_of[d + 1]), int(part.span[i])
+                    own = first + np.flatnonzero(np.isin(grams[first : stop - size + 1], part.own[i]))
+                    for a, b in clusters(own, int(part.need[i]), size, span):
+                        cut = words[max(a - span, first) : min(b + span + 1, stop)]
+                        if shared_words(part.words[i], cut, span) >= part.need_words[i]:
+                            found.append((d, i, cut.tobytes()))
+            if found:
+                d, item, raw = zip(*found)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d, pa.int64())), pa.array(item, pa.int32()), pa.array(raw, pa.binary())], names=["doc_id", "item", "words"])
 
     return docs.filter("doc_id is not null").mapInArrow(run, PASSAGES)
 
@@ -186,7 +221,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     narrow = columns(docs, id_col, text_col)
     parts = []
     for ids, texts in _parts(columns(benchmark, item_col, item_text_col), part_bytes):
-        items = spark.sparkContext.broadcast(Items(ids, texts, seed_words, min_score))
+        part = Items(ids, texts, seed_words, min_score)
+        # no more rows than the part has seeds
+        part.keep_rare({r.seed: r.df for r in seed_frequencies(narrow, spark.sparkContext.broadcast(part)).toLocalIterator()})
+        items = spark.sparkContext.broadcast(part)
         parts.append(_scores(passages(narrow, items), items))
     if not parts:
         return spark.createDataFrame([], "doc_id long, item_id long, score double")

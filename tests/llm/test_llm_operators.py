@@ -180,9 +180,26 @@ def test_decontamination_finds_what_plain_alignment_finds(spark):
         assert found == {k: s for k, s in scores.items() if s >= least}
 
 
-def test_alignment_against_full_table():
-    import numpy as np
+def test_only_rare_seeds_join(spark):
+    """Of an item's seeds, those that most documents hold don't join; a document with these alone is no candidate."""
+    words = [f"w{i}" for i in range(30)]
+    stem = " ".join(words[:12])
+    docs = spark.createDataFrame([*((i, f"{stem} other {i}") for i in range(50)), (90, " ".join(words)), (91, " ".join(words[:14] + ["x"] + words[14:22] + ["y"] + words[23:]))], "doc_id long, text string")
+    part = decontamination.Items([7], [" ".join(words)], 5, 0.8)
+    every = set(part.own[0].tolist())
+    need = int(part.need[0])
+    df = {r.seed: r.df for r in decontamination.seed_frequencies(docs, spark.sparkContext.broadcast(part)).collect()}
+    assert max(df.values()) == 52 and len(df) == len(every)
+    part.keep_rare(df)
+    size = int(part.size[0])
+    joins = set(part.seeds[size][0].tolist())
+    assert len(joins) == len(every) - need + 1 and joins < every
+    assert min(df[int(np.uint64(x).astype(np.int64))] for x in every - joins) >= max(df[int(np.uint64(x).astype(np.int64))] for x in joins)
+    bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    assert {r.doc_id for r in decontamination.contaminated(docs, bench, min_score=0.8).collect()} == {90, 91}
+
 
+def test_alignment_against_full_table():
     rng = np.random.default_rng(3)
     for _ in range(20):
         a, b = rng.integers(0, 5, 12).astype(np.uint64), rng.integers(0, 5, 30).astype(np.uint64)
@@ -360,6 +377,8 @@ OPERATORS = {
     "substring": (lambda d: substring_dedup.kept_words(substring_dedup.repeated_words(d)), 4),
     "pii": (lambda d: pii.digest(pii.findings(d)), 4),
     "lines": (line_dedup.dedup_lines, 4),
+    "contaminated": (lambda d: decontamination.contaminated(d, d.select(F.col("doc_id").alias("item_id"), "text")), 1),
+    "without_contaminated": (lambda d: decontamination.without_contaminated(d, d.select(F.lit(5).alias("item_id"), F.lit("nothing of this kind").alias("text"))), 4),
     "keep_good": (quality_rules.keep_good, 0),
     "lines_in_place": (line_dedup.dedup_lines_in_place, 4),
     "one_of_each": (jaccard_join.one_of_each, 4),
@@ -371,4 +390,4 @@ def test_repeated_rows_null_ids_and_clashing_names(odd, name):
     operator, count = OPERATORS[name]
     found = operator(odd).collect()
     assert len(found) == count
-    assert count == 0 or None in {r.doc_id for r in found}
+    assert count == 0 or name == "contaminated" or None in {r.doc_id for r in found}
