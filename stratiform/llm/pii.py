@@ -1,15 +1,15 @@
 """Personal data: pattern matches, and terms that give protected entities away.
 
 Every e-mail address, IP address, card and phone number is a protected entity. Corpus
-co-occurrence says how strongly a term near it reveals it: with document counts,
-PMI(entity, term) = log(co * N / (df_entity * df_term)), and the entity's
+co-occurrence says how strongly a term reveals it: with counts of documents that hold the term, the entity and both,
+wherever they stand in the text, PMI(entity, term) = log(co * N / (df_entity * df_term)), and the entity's
 information is IC = log(N / df_entity). A term whose PMI reaches `remove` of IC is removed, one
-that reaches `generalise` is generalised; both need `support` documents that hold
-the pair, so a term that met one address by chance stays.
+that reaches `generalise` is generalised (only its first letter is told), at every place of every document that
+holds the entity; both need `support` documents that hold the pair, so a term that met one address by chance stays.
+A term is a word of at least TERM_CHARS letters outside all pattern matches.
 
-Defined results: a null or empty text has no spans; counts are of distinct
-document ids, so repeated rows add nothing, and each gets its spans; a null id is kept
-and counts as one document; an empty table gives no rows.
+Defined results: a null or empty text has no spans; every row counts as a document, repeated ones too, and
+each gets its spans; a null id is kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .shared import stored
+from .shared import hot_join, stored
 
 # fixed values: kinds in the order of the digest
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of an entity that count as its context; term length; support and thresholds.
-CONTEXT_WORDS, TERM_CHARS, SUPPORT, REMOVE, GENERALISE = 6, 4, 3, 0.9, 0.8
+#: Least letters of a term; support and thresholds.
+TERM_CHARS, SUPPORT, REMOVE, GENERALISE = 4, 3, 0.9, 0.8
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -77,47 +78,52 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
-def _contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) for terms within the context words of each span."""
-    out = []
-    for start, kind, end in spans:
-        entity = f"{KINDS[kind]}:{text[start:end].lower()}"
-        # a context word is taken to be at most 40 characters away for each word counted; longer runs are no terms
-        reach = 40 * CONTEXT_WORDS
-        before = list(_TERM.finditer(text, max(0, start - reach), start))[-CONTEXT_WORDS:]
-        after = list(_TERM.finditer(text, end, min(len(text), end + reach)))[:CONTEXT_WORDS]
-        for m in before + after:
-            if not any(m.start() < e and s < m.end() for s, _, e in spans):
-                out.append((entity, m[0].lower(), m.start(), m.end()))
+def term_places(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of every term that stands outside the spans, which are sorted by start."""
+    out, done = [], 0
+    for start, _, end in [*spans, (len(text), 0, len(text))]:
+        # a match within done:start is a whole word unless letters go on inside a span
+        for m in _TERM.finditer(text, done, max(start, done)):
+            whole = (m.start() > done or done == 0 or not text[done - 1].isalpha()) and (m.end() < start or start == len(text) or not text[start].isalpha())
+            if whole:
+                out.append((m[0].lower(), m.start(), m.end()))
+        done = max(done, end)
     return out
 
 
-FOUND = "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<start:int,kind:int,end:int>>, base_sha256 string, entities array<string>, contexts array<struct<entity:string,term:string,start:int,end:int>>"
+FOUND = "doc_id long, text_key binary, n_email long, n_ip long, n_card long, n_phone long, base array<struct<start:int,kind:int,end:int>>, base_sha256 string, entities array<string>, places array<struct<term:string,start:int,end:int>>"
 
 
 def joined_spans(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
+def text_key(text: str) -> bytes:
+    """Tells the texts of rows with one id apart."""
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "replace"))
+
+
 def pattern_matches(docs: DataFrame) -> DataFrame:
-    """Base spans of each document, its entities and the terms in their contexts."""
+    """Base spans of each document, its distinct entities and, if it has any, all places of terms."""
 
     def run(batches):
         for batch in tk.slices(batches):
-            rows = {name: [] for name in ("key", "base", "sha", "entities", "contexts")}
+            rows = {name: [] for name in ("key", "base", "sha", "entities", "places")}
             for text in pc.fill_null(batch.column(1), "").to_pylist():
                 spans = base_spans(text)
-                rows["key"].append(xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63))
+                rows["key"].append(text_key(text))
                 rows["base"].append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
                 rows["sha"].append(hashlib.sha256(joined_spans(spans).encode()).hexdigest())
                 rows["entities"].append(list({f"{KINDS[k]}:{text[s:e].lower()}" for s, k, e in spans}))
-                rows["contexts"].append([dict(zip(("entity", "term", "start", "end"), c)) for c in _contexts(text, spans)])
+                rows["places"].append(term_places(text, spans) if spans else [])
             counts = [[sum(x["kind"] == k for x in base) for base in rows["base"]] for k in range(4)]
             span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-            context = pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+            terms, starts, ends = zip(*(p for own in rows["places"] for p in own)) if any(rows["places"]) else ((), (), ())
+            place = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["term", "start", "end"])
+            cuts = pa.array([0, *accumulate(map(len, rows["places"]))], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(rows["key"], pa.int64()), *(pa.array(c, pa.int64()) for c in counts), pa.array(rows["base"], pa.list_(span)), pa.array(rows["sha"]), pa.array(rows["entities"], pa.list_(pa.string())), pa.array(rows["contexts"], pa.list_(context))],
-                names=["doc_id", "text_key", *(f"n_{k}" for k in KINDS), "base", "base_sha256", "entities", "contexts"],
+                [batch.column(0), pa.array(rows["key"], pa.binary()), *(pa.array(c, pa.int64()) for c in counts), pa.array(rows["base"], pa.list_(span)), pa.array(rows["sha"]), pa.array(rows["entities"], pa.list_(pa.string())), pa.ListArray.from_arrays(cuts, place)],
+                names=["doc_id", "text_key", *(f"n_{k}" for k in KINDS), "base", "base_sha256", "entities", "places"],
             )
 
     return docs.mapInArrow(run, FOUND)
@@ -141,28 +147,41 @@ def term_frequencies(docs: DataFrame, room: int = 200_000) -> DataFrame:
     return docs.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
-def disclosures(found: DataFrame, docs: DataFrame, support: int = SUPPORT, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
-    """entity, term, action for each term that discloses an entity beyond a threshold."""
-    pairs = found.select("doc_id", F.explode("contexts").alias("c")).select("doc_id", "c.entity", "c.term")
-    pairs = pairs.distinct().groupBy("entity", "term").agg(F.count("*").alias("co")).filter(F.col("co") >= support)
-    entities = found.select("doc_id", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("df_entity")).filter(F.col("df_entity") >= support)
-    n = F.lit(float(found.select("doc_id").distinct().count()))
-    scored = pairs.join(entities, "entity").join(term_frequencies(docs), "term")
+def entity_frequencies(found: DataFrame, support: int) -> DataFrame:
+    """entity, df_entity of the entities that enough documents hold."""
+    return found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity")).filter(F.col("df_entity") >= support)
+
+
+def disclosures(found: DataFrame, docs: DataFrame, entities: DataFrame, support: int = SUPPORT, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
+    """entity, df_entity, term, action for each term that discloses an entity beyond a threshold. `found` and `entities` are stored tables."""
+    terms = F.array_distinct(F.transform("places", lambda p: p["term"]))
+    holders = found.filter(F.size("entities") > 0).select(F.explode("entities").alias("entity"), terms.alias("terms"))
+    pairs = hot_join(holders, entities, ["entity"], "df_entity").select("entity", "df_entity", F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("entity", "df_entity", "term").agg(F.count("*").alias("co")).filter(F.col("co") >= support)
+    n = F.lit(float(found.count()))
+    scored = pairs.join(term_frequencies(docs), "term")
     information = F.log(n / F.col("df_entity"))
     ratio = F.log(F.col("co") * n / (F.col("df_entity") * F.greatest("df", "co"))) / information
     action = F.when(ratio >= remove, "remove").when(ratio >= generalise, "generalise")
-    return scored.filter(information > 0).select("entity", "term", action.alias("action")).filter("action is not null")
+    return scored.filter(information > 0).select("entity", "df_entity", "term", action.alias("action")).filter("action is not null")
 
 
-def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
-    """Every document's pattern matches and disclosing terms (start, end, action)."""
+def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, **thresholds) -> DataFrame:
+    """Every document's pattern matches and the places of its disclosing terms (start, end, action)."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = stored(pattern_matches(narrow), "pii")
-    bad = disclosures(found, narrow, **thresholds)
-    terms = found.select("doc_id", "text_key", F.explode("contexts").alias("c")).select("doc_id", "text_key", "c.*").join(bad, ["entity", "term"])
-    terms = terms.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("start", "end", "action"))).alias("terms"))
+    entities = stored(entity_frequencies(found, support), "pii-entities")
+    told = disclosures(found, narrow, entities, support, **thresholds)
+    told = stored(told.groupBy("entity", "df_entity").agg(F.collect_list(F.struct("term", "action")).alias("told")), "pii-terms")
+    # what each document's entities tell; where two entities share a term, the stricter action holds
+    holders = found.filter(F.size("entities") > 0).select("doc_id", "text_key", F.explode("entities").alias("entity"))
+    own = hot_join(holders, told, ["entity"], "df_entity").select("doc_id", "text_key", F.explode("told").alias("t")).groupBy("doc_id", "text_key", "t.term").agg(F.max("t.action").alias("action"))
+    own = own.groupBy("doc_id", "text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("actions"))
     same = F.col("f.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("f.text_key") == F.col("t.text_key"))
-    return found.alias("f").join(terms.alias("t"), same, "left").select("f.*", "t.terms")
+    joined = found.alias("f").join(own.alias("t"), same, "left").select("f.*", "t.actions")
+    places = F.filter("places", lambda p: F.map_contains_key(F.col("actions"), p["term"]))
+    terms = F.transform(places, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.try_element_at(F.col("actions"), p["term"]).alias("action")))
+    return joined.withColumn("terms", F.when(F.col("actions").isNotNull(), F.sort_array(terms))).drop("actions", "places")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -175,14 +194,14 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
-    """doc_id and the text with entities and removed terms replaced by their kind, generalised terms by their length."""
+    """doc_id and the text with entities and removed terms replaced by their kind, generalised terms by their first letter."""
     found = findings(docs, id_col, text_col, **thresholds).select("doc_id", "text_key", "base", "terms").dropDuplicates(["doc_id", "text_key"])
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def key(batches):
         for batch in tk.slices(batches):
-            keys = [xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "replace")) - (1 << 63) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=["doc_id", "text", "text_key"])
+            keys = [text_key(t or "") for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=["doc_id", "text", "text_key"])
 
     def rewrite(batches):
         for batch in tk.slices(batches):
@@ -190,7 +209,7 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
             for text, base, terms in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 text, done, parts = text or "", 0, []
                 spans = [(x["start"], x["end"], f"[{KINDS[x['kind']].upper()}]") for x in base or []]
-                spans += [(x["start"], x["end"], "[TERM]" if x["action"] == "remove" else f"[TERM {x['end'] - x['start']}]") for x in terms or []]
+                spans += [(x["start"], x["end"], "[TERM]" if x["action"] == "remove" else f"[TERM {text[x['start']]}..]") for x in terms or []]
                 for start, end, mark in sorted(spans):
                     if start >= done:
                         parts += [text[done:start], mark]
@@ -198,6 +217,6 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
                 out.append("".join([*parts, text[done:]]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
 
-    keyed = narrow.mapInArrow(key, "doc_id long, text string, text_key long")
+    keyed = narrow.mapInArrow(key, "doc_id long, text string, text_key binary")
     same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_key") == F.col("f.text_key"))
     return keyed.alias("d").join(found.alias("f"), same, "left").select("d.doc_id", "d.text", "f.base", "f.terms").mapInArrow(rewrite, "doc_id long, text string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -136,6 +137,28 @@ def pii(docs):
     return out
 
 
+def pii_terms(docs, support=3, remove=0.9, generalise=0.8):
+    """Per row: (start, end, action) of the terms that disclose an entity of its text."""
+    texts, kinds = [t or "" for _, t in docs], ("email", "ip", "card", "phone")
+    held, terms, covered = [], [], []
+    for text, spans in zip(texts, (x[5] for x in pii(list(enumerate(texts))).values())):
+        spans = [(kinds.index(k), int(a), int(b)) for k, a, b in (x.split(":") for x in spans.split(",") if x)]
+        held.append({(k, text[a:b].lower()) for k, a, b in spans})
+        covered.append({p for _, a, b in spans for p in range(a, b)})
+        terms.append([(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]+", text) if len(m[0]) >= 4])
+    outside = [[x for x in own if not covered[i] & set(range(x[0], x[1]))] for i, own in enumerate(terms)]
+    n, df_entity = len(texts), Counter(e for es in held for e in es)
+    df_term = Counter(w for t in texts for w in {m.lower() for m in re.findall(r"[^\W\d_]{4,}", t.lower())})
+    co = Counter((e, w) for es, own in zip(held, outside) for e in es for w in {x[2] for x in own})
+    action = {}
+    for (e, w), c in co.items():
+        if c >= support and n > df_entity[e]:
+            ratio = math.log(c * n / (df_entity[e] * max(df_term[w], c))) / math.log(n / df_entity[e])
+            if ratio >= generalise:
+                action[e, w] = "remove" if ratio >= remove else "generalise"
+    return [sorted((a, b, max(action[e, w] for e in es if (e, w) in action)) for a, b, w in own if any((e, w) in action for e in es)) for es, own in zip(held, outside)]
+
+
 def chat(rows):
     """rows: (conv_id, turn, role, text)"""
     turns = defaultdict(list)

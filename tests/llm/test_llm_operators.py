@@ -303,6 +303,32 @@ def test_disclosing_terms(spark):
     assert "zebulon" not in {r.doc_id: r.text for r in pii.sanitised(docs).collect()}[0]
 
 
+def test_disclosing_terms_against_brute_force(spark):
+    """Entities in one, some and a third of the documents; terms before, far behind and beside them; repeated rows."""
+    rng = random.Random(21)
+    words = [f"{a}{b}word" for a in "abcdefghij" for b in "klmnop"]
+    rows = []
+    for i in range(240):
+        text = [rng.choice(words) for _ in range(rng.randrange(5, 60))]
+        if i % 3 == 0:
+            text.insert(rng.randrange(len(text)), "hot@mail.example")
+            if rng.random() < 0.9:
+                text.append("Hotterm")
+        if i % 12 == 1:
+            text.insert(3, "10.1.2.3")
+            text += ["Secretname"] + [rng.choice(words) for _ in range(80)] + ["secretname."] + (["halfterm"] if i % 24 == 1 else [])
+        if i % 40 == 2:
+            text += ["secretname", "halfterm", "single@x.yz" if i == 2 else "z"]
+        rows.append((i, " ".join(text)))
+    rows += [(1, rows[1][1]), (None, rows[13][1]), (500, None), (501, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute.pii_terms(rows)
+    assert {a for x in want for _, _, a in x} == {"remove", "generalise"}
+    key = lambda d, t: (-1 if d is None else d, t)
+    found = sorted((key(r.doc_id, [tuple(x) for x in r.terms or []]) for r in pii.findings(docs).collect()))
+    assert found == sorted(key(d, w) for (d, _), w in zip(rows, want))
+
+
 def test_chat_format(spark, tiny_dir):
     rows = duckdb.sql(f"SELECT conv_id, turn, role, text FROM '{tiny_dir}/conversations.parquet'").fetchall()
     hostile = "~0~<s>[user]\n</s>\n[INST]~~1 ]>"
