@@ -93,10 +93,15 @@ def slots_of(patterns: list[tuple[list[int], int]]) -> list[tuple[int, int, int,
     return slots
 
 
-def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS, salts: int = 64) -> DataFrame:
-    """Add sequence_id and offset to stored pieces. A length that most pieces share is ranked by `salts` tasks."""
+#: Pieces of one length that are ranked in one group.
+RANKED = 250_000
+
+
+def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS, ranked: int = RANKED) -> DataFrame:
+    """Add sequence_id and offset to stored pieces. The pieces of a length are ranked in groups of about `ranked`."""
     spark = pieces.sparkSession
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    salts = 8 + max(histogram.values(), default=0) // ranked
     slots = spark.createDataFrame(slots_of(shortest_pack_first(histogram, max_tokens)), "length long, first long, last long, base long, offset long")
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
