@@ -8,7 +8,9 @@ threshold; only such groups are opened, and only pairs from different groups are
 
 The matrix holds of each set the tokens that a partner can't avoid. Tokens are ordered: those that are
 frequent in a bounded sample last, and otherwise by hash. Of n tokens a partner lacks
-at most n - ceil(t*n), so the first n - ceil(t*n) + k surely hold k shared ones. Of a pair whose first shared token stands at some places
+at most n - ceil(t*n), so the first n - ceil(t*n) + k surely hold k shared ones; and since the order is
+random, the first 64 hold k shared ones but for a chance of 2**-64 a pair, as rare as two shingles
+with one 64-bit hash. The shorter prefix is taken, or with `exact` always the one that is sure. Of a pair whose first shared token stands at some places
 of the two sets, at most what follows in either can be shared: classes that don't meet k tokens of
 others, and pairs that can't reach the threshold by this bound, are left out.
 The sample only decides the order: any order gives the same links.
@@ -25,7 +27,8 @@ no component; an empty table gives no rows.
 
 from __future__ import annotations
 
-from functools import reduce
+import math
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +46,8 @@ WORDS, PERCENT = 5, 75
 #: frequent, and the most such tokens that are broadcast (they only set the order).
 SAMPLE_DOCS, SAMPLE_DF, FREQUENT = 4000, 4, 200_000
 ROUNDS, LEADERS = 2, 2
-#: The shared tokens asked of a pair before it is compared.
-NEED = 8
+#: Leading tokens of a large set, the chance of losing a link as a power of two, and the shared tokens asked of a small set.
+PREFIX, CHANCE_BITS, NEED = 64, 64, 8
 
 
 def shingles(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, dict[int, bytes]]:
@@ -73,11 +76,33 @@ def shingles(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, dict
     return grams, np.searchsorted(owner, np.arange(len(offsets))), short
 
 
-def prefix_length(n: int, percent: int = PERCENT) -> tuple[int, int]:
-    """Leading tokens of a set of n, and how many of them any partner shares: it lacks at most n - ceil(t*n)."""
+def prefix_length(n: int, rare: int, percent: int = PERCENT, exact: bool = False) -> tuple[int, int]:
+    """Leading tokens of a set of n, `rare` of them ordered before all frequent ones, and how many of them any partner shares.
+
+    A partner lacks at most n - ceil(t*n) tokens, so n - ceil(t*n) + k leading tokens hold k shared
+    ones. Of PREFIX rare tokens in random order, fewer than k are shared with a chance below
+    2**-CHANCE_BITS, for k from the binomial tail. Of two prefixes that hold k and l shared tokens, both hold the first min(k, l).
+    """
     lacking = n - -(-n * percent // 100)
     need = max(1, min(NEED, n - lacking))
-    return lacking + need, need
+    if exact or lacking + need <= PREFIX or rare < PREFIX:
+        return lacking + need, need
+    shared = _shared_of(round(lacking / rare, 3) + 0.001)
+    return (PREFIX, shared) if shared else (lacking + need, need)
+
+
+@cache
+def _shared_of(miss: float) -> int:
+    """Largest k with P(Binomial(PREFIX, 1 - miss) < k) <= 2**-CHANCE_BITS; 0 if there is none."""
+    if not 0 < miss < 1:
+        return 0
+    tail, k = 0.0, 0
+    while k < PREFIX:
+        tail += math.comb(PREFIX, k) * (1 - miss) ** k * miss ** (PREFIX - k)
+        if tail > 2.0**-CHANCE_BITS:
+            return k
+        k += 1
+    return k
 
 
 def frequent_tokens(docs: DataFrame, words: int, sample_docs: int, sample_df: int, most: int) -> np.ndarray:
@@ -98,7 +123,7 @@ def frequent_tokens(docs: DataFrame, words: int, sample_docs: int, sample_df: in
 SETS = "doc_id long, n_shingles long, hi long, lo long, need int, prefix array<long>"
 
 
-def signatures(docs: DataFrame, frequent, words: int, percent: int) -> DataFrame:
+def signatures(docs: DataFrame, frequent, words: int, percent: int, exact: bool = False) -> DataFrame:
     """Size, 128-bit set hash and leading tokens of each document. `frequent` is a broadcast of sorted tokens."""
 
     def run(batches):
@@ -117,7 +142,7 @@ def signatures(docs: DataFrame, frequent, words: int, percent: int) -> DataFrame
             prefixes, needs = [], []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 own, late = grams[a:b], is_common[a:b]
-                size, need = prefix_length(b - a, percent) if b > a else (0, 0)
+                size, need = prefix_length(b - a, b - a - int(late.sum()), percent, exact) if b > a else (0, 0)
                 needs.append(need)
                 early = own[~late][:size]
                 prefixes.append(np.concatenate((early, own[late][: size - len(early)])))
@@ -170,10 +195,10 @@ def _reaches(shared, percent: int):
 class JaccardJoin:
     """The stages of the join over one table; `memberships()` is the result."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, exact: bool = False):
         self.docs, self.words, self.percent = columns(docs, id_col, text_col), words, percent
         frequent = frequent_tokens(self.docs, words, SAMPLE_DOCS, SAMPLE_DF, FREQUENT)
-        self.signatures = stored(signatures(self.docs, docs.sparkSession.sparkContext.broadcast(frequent), words, percent), "sets")
+        self.signatures = stored(signatures(self.docs, docs.sparkSession.sparkContext.broadcast(frequent), words, percent, exact), "sets")
         self.rows = self.signatures.filter("n_shingles > 0 and doc_id is not null")
         self.classes = stored(self.rows.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
         self.tokens = stored(self._shared_tokens(), "tokens")
@@ -253,8 +278,9 @@ class JaccardJoin:
         return linked.unionByName(alone)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    return JaccardJoin(docs, id_col, text_col, words, percent).memberships()
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, exact: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id; `exact` leaves no link to chance, for twice the tokens in the matrix."""
+    return JaccardJoin(docs, id_col, text_col, words, percent, exact).memberships()
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

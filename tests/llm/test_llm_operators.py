@@ -229,6 +229,23 @@ def test_jaccard_join_keeps_links_of_extended_texts(spark):
     held(jaccard_join.near_duplicates(docs), want, ["n_shingles", "component_id"])
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_jaccard_join_near_the_threshold(spark, exact):
+    """Pairs of 150 to 400 shingles with words changed at random, about half of them just above 0.75: no link is lost."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for k in range(150):
+        base = [word() for _ in range(rng.randrange(154, 404))]
+        other = list(base)
+        for at in rng.sample(range(len(base)), round(len(base) * rng.uniform(0.024, 0.034))):
+            other[at] = word()
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    want = brute.jaccard_join(rows)
+    assert 40 <= sum(c != d for d, (_, c) in want.items()) <= 110
+    held(jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), exact=exact), want, ["n_shingles", "component_id"])
+
+
 def thue_morse(n: int, letters: str) -> str:
     return "".join(letters[bin(i).count("1") & 1] for i in range(n))
 
