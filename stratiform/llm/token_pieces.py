@@ -17,7 +17,7 @@ import numpy as np
 from . import textkit as tk
 
 #: Pieces that a worker remembers, at about 150 bytes each; its table starts afresh beyond that.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 250_000
 
 
 def token_file(name: str) -> str:
