@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .scalars import clamp, logistic, logsumexp
+from .scalars import clamp, log_difference, logistic, logsumexp
 
 DISCRETE = ("poisson", "negbin", "binomial", "bernoulli")
 
@@ -34,6 +34,25 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z >= 0, 1 - upper).otherwise(upper)
 
 
+def log_upper_tail(z: Column) -> Column:
+    """log P(Z > z) of a standard normal. Far out by the continued fraction of Mills' ratio, so it never underflows."""
+    fraction = z
+    for k in range(30, 0, -1):
+        fraction = z + k / fraction
+    far = -0.5 * z * z - 0.5 * math.log(2 * math.pi) - F.log(fraction)
+    return F.when(z > 2, far).otherwise(F.log(1 - normal_cdf(z)))
+
+
+def log_probability(p: Column) -> Column:
+    """log(p), minus infinity at 0."""
+    return F.when(p > 0, F.log(p)).when(p == 0, -math.inf)
+
+
+def softplus(x: Column) -> Column:
+    """log(1 + exp(x)) without overflow; -softplus(-eta) is the log of the logistic function."""
+    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+
+
 def log_density(family: str, y: Column, eta: Column, sigma: Column | float = 1.0, extra: Column | float | None = None, trials: Column | float = 1) -> Column:
     """log p(y | eta). `extra` is shape, precision or degrees of freedom."""
     sigma = F.lit(sigma) if not isinstance(sigma, Column) else sigma
@@ -51,8 +70,8 @@ def log_density(family: str, y: Column, eta: Column, sigma: Column | float = 1.0
         r, mean = shape(1.0), F.exp(clamp(eta, -30.0, 30.0))
         return lgamma(y + r) - lgamma(r) - log_factorial(y) + r * F.log(r / (r + mean)) + y * F.log(mean / (r + mean))
     if family in ("bernoulli", "binomial"):
-        n, p = (F.lit(trials) if not isinstance(trials, Column) else trials), logistic(eta)
-        return log_factorial(n) - log_factorial(y) - log_factorial(n - y) + y * F.log(p) + (n - y) * F.log(1 - p)
+        n = F.lit(trials) if not isinstance(trials, Column) else trials
+        return log_factorial(n) - log_factorial(y) - log_factorial(n - y) - y * softplus(-eta) - (n - y) * softplus(eta)
     if family == "exponential":
         return -eta - y * F.exp(-eta)
     if family == "gamma":
@@ -84,14 +103,14 @@ def log_density(family: str, y: Column, eta: Column, sigma: Column | float = 1.0
 def zero_inflated(family: str, y: Column, lp: Column, lp0: Column, phi: Column | float) -> Column:
     """Mixture with extra zeros of probability phi. A continuous family has no mass of its own at 0."""
     phi = F.lit(phi) if not isinstance(phi, Column) else phi
-    at_zero = logsumexp(F.log(phi), F.log(1 - phi) + lp0) if family in DISCRETE else F.log(phi)
-    return F.when(y == 0, at_zero).otherwise(F.log(1 - phi) + lp)
+    at_zero = logsumexp(log_probability(phi), log_probability(1 - phi) + lp0) if family in DISCRETE else log_probability(phi)
+    return F.when(y == 0, at_zero).otherwise(log_probability(1 - phi) + lp)
 
 
 def hurdle(y: Column, lp: Column, log_above: Column, phi: Column | float, threshold: float = 0.0) -> Column:
     """Below or at the threshold with probability 1 - phi; above it the density given that it is above."""
     phi = F.lit(phi) if not isinstance(phi, Column) else phi
-    return F.when(y <= threshold, F.log(1 - phi)).otherwise(F.log(phi) + lp - log_above)
+    return F.when(y <= threshold, log_probability(1 - phi)).otherwise(log_probability(phi) + lp - log_above)
 
 
 def censoring_state(lower: Column, upper: Column) -> Column:
@@ -102,9 +121,11 @@ def censoring_state(lower: Column, upper: Column) -> Column:
 
 def censored_gaussian(y: Column, eta: Column, sigma: Column | float, lower: Column, upper: Column) -> Column:
     s = (sigma if isinstance(sigma, Column) else F.lit(sigma)) + 1e-9
-    low, high = normal_cdf((lower - eta) / s), normal_cdf((upper - eta) / s)
+    a, b = (lower - eta) / s, (upper - eta) / s
+    # an interval on one side of the mean is a difference of tails on that side
+    interval = F.when(a > 0, log_difference(log_upper_tail(a), log_upper_tail(b))).when(b < 0, log_difference(log_upper_tail(-b), log_upper_tail(-a))).otherwise(F.log(normal_cdf(b) - normal_cdf(a)))
     state = censoring_state(lower, upper)
-    return F.when(state == "interval", F.log(high - low)).when(state == "right", F.log(1 - low)).when(state == "left", F.log(high)).otherwise(log_density("gaussian", y, eta, sigma))
+    return F.when(state == "interval", interval).when(state == "right", log_upper_tail(a)).when(state == "left", log_upper_tail(-b)).otherwise(log_density("gaussian", y, eta, sigma))
 
 
 def ordinal_probability(category: Column, eta: Column, cuts: list[float]) -> Column:

@@ -105,30 +105,42 @@ def from_neighbour_lists(lists: DataFrame) -> DataFrame:
     return lists.select("i", F.explode("nb").alias("j")).withColumn("w", F.lit(1.0))
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """id, component: smallest id that each node reaches. Labels spread and jump; lineage is cut every round."""
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, component: smallest id that each node reaches.
+
+    Large and small stars in turn, until the edges no longer change: every node then hangs on the smallest of
+    its component. The number of rounds grows with the logarithm of the nodes; lineage is cut every round.
+    """
     spark = nodes.sparkSession
-    checkpointed = bool(spark.sparkContext.getCheckpointDir())
-    if not checkpointed:
+    if not spark.sparkContext.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder:
-            spark.sparkContext.setCheckpointDir(folder)
-        else:
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stratiform-"))
-    links = edges.select("i", "j").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
-    labels = nodes.select("id", F.col("id").alias("component")).checkpoint()
-    for _ in range(rounds):
-        told = links.join(labels, F.col("j") == F.col("id")).groupBy("i").agg(F.min("component").alias("near"))
-        spread = labels.join(told, F.col("id") == F.col("i"), "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("new"))
-        jump = labels.select(F.col("id").alias("__id"), F.col("component").alias("__c"))
-        moved = spread.join(jump, F.col("new") == F.col("__id"), "left").select("id", F.col("component").alias("old"), F.least("new", F.coalesce("__c", "new")).alias("component")).checkpoint()
-        changed = moved.filter("old != component").limit(1).count()
-        labels = moved.select("id", "component")
-        if not changed:
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder)
+
+    def star(links: DataFrame, least: DataFrame) -> DataFrame:
+        return links.join(least, "a")
+
+    def size(links: DataFrame) -> tuple:
+        return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    links = edges.filter("i != j").select(F.greatest("i", "j").alias("a"), F.least("i", "j").alias("b")).distinct().checkpoint()
+    before = size(links)
+    while True:
+        # large star: the larger neighbours of a node go to the smallest neighbour (or itself)
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = star(both, least).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+        # small star: a node and its smaller neighbours go to the smallest of them
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = star(large, least).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        links = small.filter("a != b").distinct().checkpoint()
+        now = size(links)
+        if now == before:
             break
-    return labels
+        before = now
+    roots = links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root"))
+    return nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
 def connectivity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -181,27 +193,33 @@ def moran_basis(edges: DataFrame, count: int):
 
 
 def preceding_neighbours(points: DataFrame, m: int, cell: float) -> DataFrame:
-    """For (id, x, y) in order of x, y, id: the m nearest among the points before, by grid cells that widen to the left."""
-    order = Window.orderBy("x", "y", "id")
-    ranked = points.withColumn("ord", F.row_number().over(order))
-    own = _cells(ranked, cell)
-    spread = own.agg(F.max("gx") - F.min("gx"), F.max("gy") - F.min("gy")).collect()[0]
-    left, done, reach = own, None, 2
+    """For (id, x, y) in order of x, y, id: the m nearest among the points before, by grid cells that widen to the left.
+
+    Points are compared by place, so no rank over all points is needed. A point is settled once its m-th
+    neighbour is nearer than the edge of the cells searched; the few with less than m points before them see all cells.
+    """
+    own = _cells(points, cell)
+    low, spread_x, spread_y = own.agg(F.min("gx"), F.max("gx") - F.min("gx"), F.max("gy") - F.min("gy")).first()
+    most = max(spread_x or 0, spread_y or 0) + 1
+    other = own.select(F.col("id").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), "gx", "gy")
+    earlier = F.struct("x2", "y2", "j") < F.struct("x", "y", "id")
+    left, done, reach = own, None, 1
     while True:
-        last = reach >= max(spread[0] or 0, spread[1] or 0) + 1
+        last = reach >= most
         probes = left.withColumn("a", F.explode(F.sequence(F.lit(-reach), F.lit(0)))).withColumn("b", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
-        probes = probes.select("id", "x", "y", "ord", (F.col("gx") + F.col("a")).alias("gx"), (F.col("gy") + F.col("b")).alias("gy"))
-        other = own.select(F.col("id").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("ord").alias("ord2"), "gx", "gy")
+        probes = probes.select("id", "x", "y", (F.col("gx") + F.col("a")).alias("gx"), (F.col("gy") + F.col("b")).alias("gy")).filter(F.col("gx") >= F.lit(low or 0))
         d = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
-        met = probes.join(other, ["gx", "gy"]).filter("ord2 < ord").withColumn("d", d)
+        met = probes.join(other, ["gx", "gy"]).filter(earlier).withColumn("d", d)
         best = met.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d", "j"))).filter(F.col("rank") <= m)
-        sure = best.groupBy("id", "ord").agg(F.count("*").alias("n"), F.max("d").alias("far")).filter((F.col("n") >= F.least(F.lit(m), F.col("ord") - 1)) & (F.col("far") <= reach * cell)).select("id")
-        part = best if last else best.join(sure, "id", "left_semi")
+        part = best
+        if not last:
+            sure = best.groupBy("id").agg(F.count("*").alias("n"), F.max("d").alias("far")).filter((F.col("n") >= m) & (F.col("far") <= reach * cell)).select("id")
+            part = best.join(sure, "id", "left_semi")
         part = part.select("id", "j", "d", "rank")
         done = part if done is None else done.unionByName(part)
         if last:
             return done
-        left = left.join(sure, "id", "left_anti").filter("ord > 1")
+        left = left.join(sure, "id", "left_anti")
         if left.isEmpty():
             return done
-        reach *= 3
+        reach = min(most, reach * 3)

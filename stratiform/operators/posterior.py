@@ -17,6 +17,14 @@ def summary(draws: DataFrame, by: list[str], value: str = "value", alpha: float
     return found.select(*by, "mean", F.col("q")[1].alias("median"), "sd", F.col("q")[0].alias("lower"), F.col("q")[2].alias("upper"))
 
 
+def equal_chains(draws: DataFrame) -> DataFrame:
+    """The draws of each parameter's chains up to the length of its shortest chain."""
+    chain = Window.partitionBy("parameter", "chain")
+    placed = draws.withColumn("__pos", F.row_number().over(chain.orderBy("iteration")))
+    least = draws.groupBy("parameter", "chain").agg(F.count("*").alias("n")).groupBy("parameter").agg(F.min("n").alias("__least"))
+    return placed.join(least, "parameter").filter("__pos <= __least").drop("__pos", "__least")
+
+
 def rhat(draws: DataFrame) -> DataFrame:
     """Between-chain R-hat: two or more chains of equal length, four draws each at least; held within 1..10."""
     chains = draws.filter(finite(F.col("value"))).groupBy("parameter", "chain").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.var_samp("value").alias("v"))

@@ -267,23 +267,23 @@ def neighbour_lists(spark, d):
 
 
 def _places(spark, d):
-    return points(spark, d).filter("id % 5 = 0").select("id", "x", "y")
+    return points(spark, d).select("id", "x", "y")
 
 
-@query(POINTS + ", p AS (SELECT id, x, y FROM pts WHERE id % 5 = 0) SELECT a.id AS i, b.id AS j FROM p a JOIN p b ON a.id != b.id AND power(a.x - b.x, 2) + power(a.y - b.y, 2) <= 64")
+@query(POINTS + ", p AS (SELECT id, x, y FROM pts) SELECT a.id AS i, b.id AS j FROM p a JOIN p b ON a.id != b.id AND power(a.x - b.x, 2) + power(a.y - b.y, 2) <= 64")
 def radius_graph(spark, d):
     return graphs.radius_edges(_places(spark, d), 8.0).select("i", "j")
 
 
-@query(POINTS + ", p AS (SELECT id, x, y FROM pts WHERE id % 5 = 0), n AS (SELECT a.id AS i, b.id AS j, row_number() OVER (PARTITION BY a.id ORDER BY sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)), b.id) AS k FROM p a JOIN p b ON a.id != b.id) SELECT DISTINCT i, j FROM (SELECT i, j FROM n WHERE k <= 4 UNION ALL SELECT j, i FROM n WHERE k <= 4)")
+@query(POINTS + ", p AS (SELECT id, x, y FROM pts), n AS (SELECT a.id AS i, b.id AS j, row_number() OVER (PARTITION BY a.id ORDER BY sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)), b.id) AS k FROM p a JOIN p b ON a.id != b.id) SELECT DISTINCT i, j FROM (SELECT i, j FROM n WHERE k <= 4 UNION ALL SELECT j, i FROM n WHERE k <= 4)")
 def knn_graph(spark, d):
     return graphs.knn_edges(_places(spark, d), 4, 25.0).select("i", "j")
 
 
-@query("WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT a.id AS i, b.id AS j, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS k FROM v a JOIN v b ON a.id != b.id WHERE a.id < 20) SELECT i, j, CAST(k AS BIGINT) AS rank FROM n WHERE k <= 5")
+@query("WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT a.id AS i, b.id AS j, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS k FROM v a JOIN v b ON a.id != b.id WHERE a.id % 20 = 0) SELECT i, j, CAST(k AS BIGINT) AS rank FROM n WHERE k <= 5")
 def vector_neighbours(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    return graphs.vector_knn(v.filter("id < 20"), v, 5).select("i", "j", F.col("rank").cast("long").alias("rank"))
+    return graphs.vector_knn(v.filter("id % 20 = 0"), v, 5).select("i", "j", F.col("rank").cast("long").alias("rank"))
 
 
 @query()
@@ -381,20 +381,12 @@ def param_summary(spark, d):
 
 
 _RHAT = "SELECT parameter, round(greatest(1.0, least(10.0, sqrt(((n - 1.0) / n * w + vm) / w))), 6) AS rhat FROM (SELECT parameter, count(*) AS k, min(n) AS n, max(n) AS mx, var_samp(m) AS vm, avg(v) AS w FROM (SELECT parameter, chain, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM d2 GROUP BY 1, 2) GROUP BY 1) WHERE k >= 2 AND n = mx AND n >= 4 AND w > 1e-12"
-_EQUAL = ", d2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY parameter, chain ORDER BY iteration) AS pos FROM draws) WHERE pos <= 200)"
-
-
-def _equal_chains(spark, d):
-    """The first 200 draws of each chain, so that chains are of equal length: a bound of the operator's input, not of its work."""
-    from pyspark.sql import Window
-
-    pos = F.row_number().over(Window.partitionBy("parameter", "chain").orderBy("iteration"))
-    return draws(spark, d).withColumn("pos", pos).filter("pos <= 200").drop("pos")
+_EQUAL = ", n2 AS (SELECT *, row_number() OVER (PARTITION BY parameter, chain ORDER BY iteration) AS pos, count(*) OVER (PARTITION BY parameter, chain) AS size FROM draws), d2 AS (SELECT * FROM (SELECT *, min(size) OVER (PARTITION BY parameter) AS least FROM n2) WHERE pos <= least)"
 
 
 @query(DRAWS + _EQUAL + " " + _RHAT)
 def rhat_multi(spark, d):
-    return posterior.rhat(_equal_chains(spark, d)).select("parameter", r("rhat", 6).alias("rhat"))
+    return posterior.rhat(posterior.equal_chains(draws(spark, d))).select("parameter", r("rhat", 6).alias("rhat"))
 
 
 @query(DRAWS + ", s AS (SELECT parameter, value, row_number() OVER (PARTITION BY parameter ORDER BY iteration) AS it, count(*) OVER (PARTITION BY parameter) AS total FROM draws WHERE chain = 1), d2 AS (SELECT parameter, value, CASE WHEN it <= total // 2 THEN 1 ELSE 2 END AS chain FROM s WHERE total >= 20 AND it <= 2 * (total // 2)) " + _RHAT)
@@ -660,10 +652,10 @@ def voronoi_units(spark, d):
     return store.geometries(partition.voronoi_cells(centroids, partition.convex_hull(pts))).select("unit_id", r("area", 3).alias("area"))
 
 
-@query(POINTS + ", p AS (SELECT id, x, y, row_number() OVER (ORDER BY x, y, id) AS ord FROM pts WHERE id % 10 = 0), n AS (SELECT a.id, b.id AS j, row_number() OVER (PARTITION BY a.id ORDER BY sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)), b.id) AS k FROM p a JOIN p b ON b.ord < a.ord) SELECT id, j, CAST(k AS BIGINT) AS rank FROM n WHERE k <= 5")
+@query(POINTS + ", p AS (SELECT id, x, y, row_number() OVER (ORDER BY x, y, id) AS ord FROM pts), n AS (SELECT a.id, b.id AS j, row_number() OVER (PARTITION BY a.id ORDER BY sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)), b.id) AS k FROM p a JOIN p b ON b.ord < a.ord) SELECT id, j, CAST(k AS BIGINT) AS rank FROM n WHERE k <= 5")
 def nngp_neighbours(spark, d):
-    pts = points(spark, d).filter("id % 10 = 0").select("id", "x", "y")
-    return graphs.preceding_neighbours(pts, 5, 60.0).select("id", "j", F.col("rank").cast("long").alias("rank"))
+    pts = points(spark, d).select("id", "x", "y")
+    return graphs.preceding_neighbours(pts, 5, 20.0).select("id", "j", F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT epoch(time_bucket(INTERVAL 1 DAY, ts))::BIGINT AS window_start, event_type, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY ALL")

@@ -151,3 +151,37 @@ def test_streaming_transitions(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.tag, r.from_unit, r.to_unit) for r in spark.table("moves").collect()) == [(1, 10, 11), (1, 11, 10)]
+
+
+def test_log_densities_in_the_tails(spark):
+    """Values that plain formulas lose: a bound nine deviations out, a sure failure, no extra zeros."""
+    from stratiform.functions import likelihoods as lk
+
+    exact = lambda z: math.log(0.5 * math.erfc(z / math.sqrt(2)))
+    one = spark.range(1).select(F.lit(0.0).alias("eta"))
+    inf, eta = math.inf, F.col("eta")
+    value = lambda c: one.select(c.cast("double")).first()[0]
+    for z in (-3.0, 0.0, 1.5, 2.5, 5.0, 9.0, 20.0):
+        got = value(lk.censored_gaussian(F.lit(0.0), eta, 1.0, F.lit(z), F.lit(inf)))
+        assert abs(got - exact(z)) < 1e-4 * max(1, abs(exact(z)))
+        assert abs(value(lk.censored_gaussian(F.lit(0.0), eta, 1.0, F.lit(-inf), F.lit(-z))) - exact(z)) < 1e-4 * max(1, abs(exact(z)))
+    between = math.log(0.5 * math.erfc(8 / math.sqrt(2)) - 0.5 * math.erfc(9 / math.sqrt(2)))
+    assert abs(value(lk.censored_gaussian(F.lit(0.0), eta, 1.0, F.lit(8.0), F.lit(9.0))) - between) < 1e-4
+    assert abs(value(lk.log_density("bernoulli", F.lit(0), F.lit(40.0))) + 40) < 1e-9
+    assert abs(value(lk.log_density("bernoulli", F.lit(1), F.lit(-800.0))) + 800) < 1e-9
+    lp = lk.log_density("poisson", F.lit(0), eta)
+    assert abs(value(lk.zero_inflated("poisson", F.lit(0), lp, lp, 0.0)) + 1) < 1e-9
+
+
+def test_components_of_a_long_path(spark):
+    """A shuffled path of 600 nodes, a pair, and a node without edges."""
+    import random
+
+    from stratiform.operators import graphs
+
+    ids = list(range(1, 601))
+    random.Random(4).shuffle(ids)
+    edges = spark.createDataFrame([*zip(ids, ids[1:]), (900, 901), (901, 900)], "i long, j long")
+    nodes = spark.createDataFrame([(i,) for i in [*ids, 900, 901, 999]], "id long")
+    found = {r.id: r.component for r in graphs.components(nodes, edges).collect()}
+    assert found == {**{i: 1 for i in ids}, 900: 900, 901: 900, 999: 999}
