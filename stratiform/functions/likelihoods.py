@@ -4,25 +4,28 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from .scalars import clamp, log_difference, logistic, logsumexp
 
 DISCRETE = ("poisson", "negbin", "binomial", "bernoulli")
 
 
-@F.pandas_udf(DoubleType())
-def lgamma(x: pd.Series) -> pd.Series:
-    """Log-gamma, which Spark SQL lacks."""
-    return x.map(math.lgamma, na_action="ignore")
+def lgamma(x: Column | float) -> Column:
+    """Log-gamma of a positive number, which Spark SQL lacks: Stirling's series ten steps up, and back by the recurrence."""
+    x = (x if isinstance(x, Column) else F.lit(x)).cast("double")
+    z = x + 10
+    i = 1 / z
+    series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + i * (1 / 12 - i * i * (1 / 360 - i * i * (1 / 1260 - i * i / 1680)))
+    steps = x
+    for k in range(1, 10):
+        steps = steps * (x + k)
+    return series - F.log(steps)
 
 
 def log_factorial(y: Column) -> Column:
-    """log(y!) of a small integer, JVM-side."""
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(y.cast("int"), F.lit(1))), F.lit(0.0), lambda a, k: a + F.log(k.cast("double")))
+    return lgamma(y + 1)
 
 
 def normal_cdf(z: Column) -> Column:
@@ -91,6 +94,11 @@ def log_density(family: str, y: Column, eta: Column, sigma: Column | float = 1.0
         return lgamma((nu + 1) / 2) - lgamma(nu / 2) - 0.5 * F.log(nu * math.pi) - F.log(sigma) - (nu + 1) / 2 * F.log1p(z * z / nu)
     if family == "laplace":
         return -F.abs(y - eta) / sigma - F.log(2 * sigma)
+    if family == "half_student_t":
+        # twice the density of a t about 0; the predictor has no part in it
+        nu = shape(5.0)
+        full = log_density("student_t", y, F.lit(0.0), sigma, nu)
+        return F.when(y >= 0, math.log(2) + full).otherwise(-math.inf)
     if family == "half_normal":
         return F.when(y >= 0, 0.5 * math.log(2 / math.pi) - F.log(sigma) - 0.5 * F.pow(y / sigma, 2)).otherwise(-math.inf)
     if family == "pareto":
@@ -100,6 +108,19 @@ def log_density(family: str, y: Column, eta: Column, sigma: Column | float = 1.0
     raise ValueError(f"family {family} is not supported")
 
 
+def dirichlet_multinomial(counts: list[Column], etas: list[Column], concentration: Column | float) -> Column:
+    """log p of counts over categories whose probabilities are Dirichlet, with mean softmax(etas) and total `concentration`."""
+    total = F.greatest(concentration if isinstance(concentration, Column) else F.lit(concentration), F.lit(1e-6))
+    top = F.greatest(*etas)
+    powers = [F.exp(e - top) for e in etas]
+    alphas = [total * p / sum(powers[1:], powers[0]) for p in powers]
+    n = sum(counts[1:], counts[0])
+    out = log_factorial(n) + lgamma(total) - lgamma(n + total)
+    for y, a in zip(counts, alphas):
+        out = out + lgamma(y + a) - lgamma(a) - log_factorial(y)
+    return out
+
+
 def zero_inflated(family: str, y: Column, lp: Column, lp0: Column, phi: Column | float) -> Column:
     """Mixture with extra zeros of probability phi. A continuous family has no mass of its own at 0."""
     phi = F.lit(phi) if not isinstance(phi, Column) else phi

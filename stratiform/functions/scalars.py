@@ -89,6 +89,26 @@ def kernel(name: str, d: Column, lengthscale: float = 1.0, sigma: float = 1.0) -
     raise ValueError(f"unknown kernel {name}")
 
 
+def cross_kernel(name: str, at: list[Column], inducing: list[tuple[float, ...]], lengthscales: float | list[float] = 1.0, sigma: float = 1.0) -> Column:
+    """Covariances of a row's place with a bounded list of inducing points, as an array; a length-scale for each coordinate, or one for all."""
+    scales = lengthscales if isinstance(lengthscales, list) else [lengthscales] * len(at)
+    if len(scales) != len(at):
+        raise ValueError("one length-scale for each coordinate")
+    out = []
+    for point in inducing:
+        if name == "linear":
+            out.append(sigma * sigma * sum((x * p for x, p in zip(at, point)), F.lit(0.0)))
+        else:
+            out.append(kernel(name, F.sqrt(sum((F.pow((x - p) / s, 2) for x, p, s in zip(at, point, scales)), F.lit(0.0))), 1.0, sigma))
+    return F.array(*out)
+
+
+def cleaned_parameter(name: Column) -> Column:
+    """A chain's parameter name without its wrapper, prefix and leading colons."""
+    name = F.regexp_replace(F.regexp_replace(name, r"^Parameter\((.*)\)$", "$1"), r"^parameters\.", "")
+    return F.regexp_replace(name, "^:+", "")
+
+
 def sanitised_name(name: Column) -> Column:
     """A column name from a formula term."""
     name = F.replace(F.replace(name, F.lit("⊗"), F.lit("_kron_")), F.lit("∘"), F.lit("_comp_"))

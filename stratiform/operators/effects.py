@@ -29,6 +29,13 @@ def rw2(df: DataFrame, by: list[str], order: str, z: str) -> DataFrame:
     return once.withColumn("effect", F.sum("__once").over(_running(by, order))).drop("__once")
 
 
+def differences(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """Add diff1 and diff2, the first and second differences along each series; null where a series has too few rows before."""
+    w = Window.partitionBy(*by).orderBy(order)
+    x, one, two = F.col(value), F.lag(value, 1).over(w), F.lag(value, 2).over(w)
+    return df.withColumns({"diff1": x - one, "diff2": x - 2 * one + two})
+
+
 def _folded(df: DataFrame, by: list[str], order: str, columns: list[str], start: Column, step) -> DataFrame:
     """Fold a recursion over each group's rows in order, within one array; groups are one draw or unit long."""
     rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("rows"))

@@ -41,14 +41,15 @@ def radius_edges(points: DataFrame, radius: float) -> DataFrame:
     return own.join(near, ["gx", "gy"]).filter((F.col("id") != F.col("j")) & (d2 <= radius * radius)).select(F.col("id").alias("i"), "j", F.lit(1.0).alias("w"))
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float, other: Column | None = None) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float, by: tuple[str, ...] = ()) -> DataFrame:
     """The k nearest points of each query (both id, x, y), exact, by rings of grid cells that grow until none can be nearer.
 
+    `by` names columns of both tables that a query and its neighbours must share; each such group must hold k points.
     Every round joins only the queries that are not settled. A query is settled once its k-th
     neighbour is nearer than the edge of the cells searched.
     """
     spark = queries.sparkSession
-    grid, open_, done, reach = _cells(points, cell).select(F.col("id").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), "gx", "gy"), _cells(queries, cell), [], 1
+    grid, open_, done, reach = _cells(points, cell).select(F.col("id").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), "gx", "gy", *by), _cells(queries, cell), [], 1
     total = points.count()
     extent = points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).collect()[0]
     most = int(max(extent[0] or 0, extent[1] or 0) / cell) + 2
@@ -56,8 +57,8 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float, other: C
         last = reach >= most
         ring = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
         probes = open_.withColumn("a", ring).withColumn("b", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
-        probes = probes.withColumn("gx", F.col("gx") + F.col("a")).withColumn("gy", F.col("gy") + F.col("b")).select("id", "x", "y", "gx", "gy")
-        met = probes.join(grid, ["gx", "gy"]).filter(F.col("id") != F.col("j"))
+        probes = probes.withColumn("gx", F.col("gx") + F.col("a")).withColumn("gy", F.col("gy") + F.col("b")).select("id", "x", "y", "gx", "gy", *by)
+        met = probes.join(grid, ["gx", "gy", *by]).filter(F.col("id") != F.col("j"))
         d = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
         best = Window.partitionBy("id").orderBy("d", "j")
         ranked = met.withColumn("d", d).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
@@ -143,6 +144,36 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
+def connected(nodes: DataFrame, edges: DataFrame, cell: float) -> DataFrame:
+    """Edges (i, j, w) with bridges until nodes (id, x, y) are one component.
+
+    In each round every component is bridged, by the closest pair of nodes, to the component whose centroid is
+    nearest to its own; all components of a round at once, so that rounds at least halve their number. `cell` is the
+    size of grid cells of the searches, about the distance of neighbours.
+    """
+    while True:
+        labels = nodes.select("id", "x", "y").join(components(nodes, edges), "id").withColumnRenamed("component", "part").checkpoint()
+        parts = labels.groupBy("part").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).withColumnRenamed("part", "id")
+        if parts.limit(2).count() < 2:
+            return edges
+        target = nearest(parts, parts, 1, cell).select(F.col("id").alias("part"), F.col("j").alias("target"))
+        queries = labels.join(target, "part").select("id", "x", "y", F.col("target").alias("part"), F.col("part").alias("own"))
+        pairs = nearest(queries, labels, 1, cell, by=("part",)).join(queries.select("id", "own"), "id")
+        bridges = pairs.groupBy("own").agg(F.min(F.struct("d", "id", "j")).alias("b")).select(F.col("b.id").alias("i"), F.col("b.j").alias("j"))
+        edges = edges.unionByName(symmetric(bridges)).dropDuplicates(["i", "j"]).checkpoint()
+
+
+def endpoints(edges: DataFrame) -> DataFrame:
+    """Each undirected edge once, i < j."""
+    return edges.filter("i < j").select("i", "j", "w")
+
+
+def from_segments(segments: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Directed edges both ways from segments (x1, y1, x2, y2) whose ends are nodes (id, cx, cy); others are left out."""
+    ends = lambda name, k: nodes.select(F.col("id").alias(name), F.col("cx").alias(f"x{k}"), F.col("cy").alias(f"y{k}"))
+    return symmetric(segments.join(ends("i", 1), ["x1", "y1"]).join(ends("j", 2), ["x2", "y2"]).filter("i != j"))
+
+
 def connectivity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """component and members; one row means connected."""
     return components(nodes, edges).groupBy("component").agg(F.count("*").alias("members"))

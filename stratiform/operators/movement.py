@@ -16,6 +16,13 @@ def successive(df: DataFrame, tag: str, order: list[str], unit: str) -> DataFram
     return df.withColumn("next_unit", F.lead(unit).over(w)).withColumn("next_time", F.lead(order[0]).over(w)).filter("next_unit is not null")
 
 
+def advection_ratio(units: DataFrame, advection: str, diffusion: str) -> DataFrame:
+    """Add `ratio`, advection over the mean diffusion of all units (a Peclet number), and whether advection prevails."""
+    mean = F.broadcast(units.agg((F.avg(diffusion) + 1e-6).alias("__mean")))
+    found = units.join(mean).withColumn("ratio", F.col(advection) / F.col("__mean")).drop("__mean")
+    return found.withColumn("advective", F.col("ratio") > 1)
+
+
 def transition_counts(steps: DataFrame, unit: str) -> DataFrame:
     return steps.groupBy(F.col(unit).alias("i"), F.col("next_unit").alias("j")).agg(F.count("*").cast("double").alias("w"))
 

@@ -67,6 +67,32 @@ def centroid_loop(points: DataFrame, start: list[tuple[int, float, float]], roun
     return units
 
 
+def inducing_points(points: DataFrame, count: int, method: str = "kmeans", seed: int = 42) -> DataFrame:
+    """`count` representative points of (id, x, y); a method that looks for the nearest observation may give fewer.
+
+    random draws rows, kmeans gives centres (without ids of points), quantile and regular take the observation nearest to
+    targets along the marginal quantiles or ranges (the smaller id of equally near ones). Targets are a parameter's
+    worth of numbers, and all their nearest observations come from one aggregation.
+    """
+    if method == "random":
+        return points.select("id", "x", "y").orderBy(F.rand(seed), "id").limit(count)
+    if method == "kmeans":
+        start = [(i + 1, r.x, r.y) for i, r in enumerate(points.select("x", "y").distinct().orderBy(F.xxhash64("x", "y", F.lit(seed)), "x", "y").limit(count).collect())]
+        return points.sparkSession.createDataFrame(centroid_loop(points, start, rounds=200), "id long, x double, y double")
+    shares = [i / max(count - 1, 1) for i in range(count)]
+    if method == "quantile":
+        array = ", ".join(f"{s:.17g}D" for s in shares)
+        xs, ys = points.agg(*[F.expr(f"percentile({v}, array({array}))") for v in ("x", "y")]).collect()[0]
+    elif method == "regular":
+        x0, x1, y0, y1 = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).collect()[0]
+        xs, ys = ([a + (b - a) * s for s in shares] for a, b in ((x0, x1), (y0, y1)))
+    else:
+        raise ValueError(f"unknown method {method}")
+    d2 = lambda a, b: F.pow(F.col("x") - a, 2) + F.pow(F.col("y") - b, 2)
+    nearest = [F.min(F.struct(d2(a, b).alias("d2"), "id", "x", "y")).alias(f"n{i}") for i, (a, b) in enumerate(zip(xs, ys))]
+    return points.agg(*nearest).select(F.explode(F.array(*[f"n{i}" for i in range(count)])).alias("n")).select("n.id", "n.x", "n.y").distinct()
+
+
 def quadrant_units(points: DataFrame, target: int, min_points: int = 2, binary: bool = False) -> DataFrame:
     """Split every region at its medians until `target` regions or none is viable; `binary` cuts only the axis of larger variance.
 

@@ -55,6 +55,13 @@ def ess(draws: DataFrame) -> DataFrame:
     return per.filter("n >= 10 and bottom > 0").select("parameter", F.greatest(F.lit(1.0), F.least(n, n * (1 - r1) / (1 + r1))).alias("ess"))
 
 
+def diagnostics(stats: DataFrame) -> DataFrame:
+    """One row from parameter rows with rhat and ess: the mean of usable R-hat (1 without any) and the least usable ESS (0 without any)."""
+    rhats = F.when(finite(F.col("rhat")) & (F.col("rhat") > 0), F.col("rhat"))
+    sizes = F.when(finite(F.col("ess")) & (F.col("ess") >= 0), F.col("ess"))
+    return stats.agg(F.coalesce(F.avg(rhats), F.lit(1.0)).alias("mean_rhat"), F.coalesce(F.min(sizes), F.lit(0.0)).alias("min_ess"))
+
+
 def waic(loglik: DataFrame) -> DataFrame:
     """One row from (obs_id, draw, ll): -2 sum of log mean likelihood less the variance of ll."""
     top = loglik.groupBy("obs_id").agg(F.max("ll").alias("top"))

@@ -61,32 +61,72 @@ def kmeans_breaks(df: DataFrame, column: str, bins: int, rounds: int = 30) -> li
     return [low, *((a + b) / 2 for a, b in zip(centres, centres[1:])), high]
 
 
-def jenks_breaks(df: DataFrame, column: str, bins: int, cells: int = 512) -> list[float]:
-    """Natural breaks over a histogram of at most `cells` equal-width cells, whose size does not grow with the table."""
+def _cell_sums(values: DataFrame, edges: list[float], centre: float) -> list:
+    """cell, n, sum and sum of squares about `centre`, least and largest value of every cell that has values.
+
+    A cell ends with its edge. Each task adds up its own rows, so the shuffle holds a row for each task and cell.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def own(batches):
+        for pdf in batches:
+            x = np.sort(pdf["x"].to_numpy())
+            if len(x):
+                cell = np.searchsorted(edges, x, side="left")
+                first = np.flatnonzero(np.r_[True, np.diff(cell) > 0])
+                last, c = np.r_[first[1:], len(x)], x - centre
+                yield pd.DataFrame({"cell": cell[first], "n": last - first, "s": np.add.reduceat(c, first), "q": np.add.reduceat(c * c, first), "low": x[first], "high": x[last - 1]})
+
+    parts = values.mapInPandas(own, "cell long, n long, s double, q double, low double, high double")
+    return parts.groupBy("cell").agg(F.sum("n"), F.sum("s"), F.sum("q"), F.min("low"), F.max("high")).orderBy("cell").collect()
+
+
+def _best_cuts(rows: list, bins: int) -> list[int]:
+    """Where each class but the first begins, by the least sum of squares within classes of consecutive cells."""
     import numpy as np
 
-    x = F.col(column).cast("double")
-    low, high = df.agg(F.min(x), F.max(x)).collect()[0]
-    width = (high - low) / cells or 1.0
-    cell = F.least(F.floor((x - low) / width), F.lit(cells - 1))
-    rows = sorted(df.groupBy(cell.alias("cell")).agg(F.count("*"), F.sum(x), F.sum(x * x), F.max(x)).collect())
     n, s, q = (np.concatenate(([0.0], np.cumsum([r[i] for r in rows]))) for i in (1, 2, 3))
     m = len(rows)
-    bins = min(bins, m)
-    cost = lambda a, b: q[b] - q[a] - (s[b] - s[a]) ** 2 / (n[b] - n[a])
-    best, back = np.full((bins + 1, m + 1), np.inf), np.zeros((bins + 1, m + 1), int)
-    best[0, 0] = 0
+    best, back = np.full(m + 1, np.inf), np.zeros((bins + 1, m + 1), int)
+    best[0] = 0
     for k in range(1, bins + 1):
+        now = np.full(m + 1, np.inf)
         for b in range(k, m + 1):
-            starts = np.arange(k - 1, b)
-            total = best[k - 1, starts] + cost(starts, b)
-            back[k, b] = starts[np.argmin(total)]
-            best[k, b] = total.min()
+            a = np.arange(k - 1, b)
+            total = best[a] + q[b] - q[a] - (s[b] - s[a]) ** 2 / (n[b] - n[a])
+            back[k, b] = a[np.argmin(total)]
+            now[b] = total.min()
+        best = now
     cuts, b = [], m
-    for k in range(bins, 0, -1):
-        cuts.append(float(rows[b - 1][4]))
-        b = back[k, b]
-    return [low, *reversed(cuts)]
+    for k in range(bins, 1, -1):
+        b = int(back[k, b])
+        cuts.append(b)
+    return cuts[::-1]
+
+
+def jenks_breaks(df: DataFrame, column: str, bins: int, cells: int = 256) -> list[float]:
+    """Natural breaks. Cells at regular places and at quantiles are classed first; then the cells on either side of a
+    break are split and all are classed again, until each break lies between two neighbouring values.
+
+    With at most `cells` distinct values, evenly held, every value is a cell of its own and the breaks are exact. What
+    the driver holds grows with the rounds, not with the table. Null and NaN are left out; no value at all gives no break.
+    """
+    x = F.col(column).cast("double")
+    values = df.select(x.alias("x")).filter("x is not null and not isnan(x)")
+    points = ", ".join(f"{i / cells:.17g}D" for i in range(cells + 1))
+    low, high, centre, quantiles = values.agg(F.min("x"), F.max("x"), F.avg("x"), F.expr(f"approx_percentile(x, array({points}), {10 * cells})")).collect()[0]
+    if low is None:
+        return []
+    edges = sorted({*quantiles, *(low + (high - low) * i / cells for i in range(1, cells))})
+    while True:
+        rows = _cell_sums(values, edges, centre)
+        cuts = _best_cuts(rows, bins) if len(rows) > bins else list(range(1, len(rows)))
+        near = {i for c in cuts for i in (c - 1, c)} if len(rows) > bins else set(range(len(rows)))
+        wide = [rows[i] for i in sorted(near) if rows[i][4] < rows[i][5]]
+        if not wide:
+            return [low, *(rows[c - 1][5] for c in cuts), high]
+        edges = sorted({*edges, *(e for r in wide for e in (r[4], *(r[4] + (r[5] - r[4]) * i / 32 for i in range(1, 32))) if e < r[5])})
 
 
 def bin_index(x: Column, brks: Column) -> Column:
@@ -116,6 +156,18 @@ def first_seen_levels(df: DataFrame, column: str, order: str, name: str) -> Data
     return df.join(levels, column)
 
 
+def cell_means(df: DataFrame, unit: str, time: str, value: str, empty: float = 0.0) -> DataFrame:
+    """Mean of every unit at every time of the table; a pair without rows has `empty`. Units and times are dimension tables."""
+    grid = df.select(unit).distinct().join(F.broadcast(df.select(time).distinct()))
+    means = df.groupBy(unit, time).agg(F.avg(value).alias("mean"))
+    return grid.join(means, [unit, time], "left").withColumn("mean", F.coalesce("mean", F.lit(empty)))
+
+
+def repeated_values(df: DataFrame, column: str) -> DataFrame:
+    """Values that occur more than once, and how often: none for a key."""
+    return df.groupBy(column).agg(F.count("*").alias("n")).filter("n > 1")
+
+
 def space_time_index(s: Column, t: Column, units: Column | int) -> Column:
     return ((t - 1) * units + s).cast("long")
 

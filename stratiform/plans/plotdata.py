@@ -39,3 +39,30 @@ def trajectories(df: DataFrame, unit: str, time: str, value: str) -> DataFrame:
 
 def fixed_effects(stats: DataFrame) -> DataFrame:
     return stats.filter(F.col("parameter").rlike("^beta|^intercept")).select("parameter", "mean", "lower", "upper")
+
+
+def conditional_grid(df: DataFrame, target: str, points: int = 50) -> DataFrame:
+    """Rows for a conditional effect: `target` over its range (or its levels) while every other column stays at a reference.
+
+    The reference is the median of whole numbers, the mean of fractions and the first level of anything else.
+    """
+    kinds = dict(df.dtypes)
+    whole = lambda c: kinds[c] in ("tinyint", "smallint", "int", "bigint")
+    number = lambda c: whole(c) or kinds[c] in ("float", "double") or kinds[c].startswith("decimal")
+
+    def reference(c: str):
+        if whole(c):
+            return F.bround(F.expr(f"percentile(`{c}`, 0.5D)")).cast(kinds[c]).alias(c)
+        return (F.avg(c) if number(c) else F.min(c)).alias(c)
+
+    rest = [c for c in df.columns if c != target]
+    row = F.broadcast(df.agg(*map(reference, rest), F.min(target).alias("__low"), F.max(target).alias("__high")))
+    if not number(target):
+        return df.select(target).distinct().join(row).select(*df.columns)
+    low, high = F.col("__low"), F.col("__high")
+    if whole(target):
+        step = F.greatest(F.lit(1), F.bround((high - low) / max(points - 1, 1))).cast("long")
+        values = F.sequence(low.cast("long"), high.cast("long"), step)
+    else:
+        values = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: low + (high - low) * k / max(points - 1, 1))
+    return row.withColumn(target, F.explode(values)).select(*df.columns)

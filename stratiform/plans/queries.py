@@ -671,3 +671,127 @@ def stream_window_counts(spark, d):
     run = live.windowed_counts(source, "ts", ["event_type"], "1 day", "40 days", "value").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name).select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n", r("mean").alias("mean"))
+
+
+# ---- likelihoods of counts, shares and tails ----
+
+_COUNTS = "WITH x AS (SELECT l_orderkey, l_linenumber, floor(l_quantity / 10) AS y, 0.5 + l_discount AS eta, 1 / (1 + exp(-(0.5 + l_discount))) AS p, l_quantity / 60 AS share, l_quantity / 10 AS z FROM lineitem) SELECT l_orderkey, l_linenumber, round({}, 6) AS ll FROM x"
+
+
+def _likelihood(name: str, value: str, sql: str, **options):
+    def run(spark, d):
+        q, eta = F.col("l_quantity"), 0.5 + F.col("l_discount")
+        y = {"count": F.floor(q / 10).cast("double"), "share": q / 60, "z": q / 10}[value]
+        return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r(likelihoods.log_density(name, y, eta, **options), 6).alias("ll"))
+
+    run.__name__ = f"loglik_{name}"
+    query(_COUNTS.format(sql))(run)
+
+
+_likelihood("negbin", "count", "lgamma(y + 1.5) - lgamma(1.5) - lgamma(y + 1) + 1.5 * ln(1.5 / (1.5 + exp(eta))) + y * ln(exp(eta) / (1.5 + exp(eta)))", extra=1.5)
+_likelihood("binomial", "count", "lgamma(9) - lgamma(y + 1) - lgamma(9 - y) + y * ln(p) + (8 - y) * ln(1 - p)", trials=8)
+_likelihood("beta", "share", "lgamma(10) - lgamma(10 * p) - lgamma(10 * (1 - p)) + (10 * p - 1) * ln(share) + (10 * (1 - p) - 1) * ln(1 - share)", extra=10.0)
+_likelihood("half_normal", "z", "0.5 * ln(2 / pi()) - ln(1.7) - 0.5 * power(z / 1.7, 2)", sigma=1.7)
+_likelihood("half_student_t", "z", "ln(2) + lgamma(3) - lgamma(2.5) - 0.5 * ln(5 * pi()) - ln(1.7) - 3 * ln(1 + power(z / 1.7, 2) / 5)", sigma=1.7, extra=5.0)
+
+
+@query("WITH x AS (SELECT l_orderkey, l_linenumber, 1 + l_quantity / 10 AS y, exp(0.5 + l_discount) * 0.5 AS scale FROM lineitem) SELECT l_orderkey, l_linenumber, round(ln(2) + 2 * ln(scale) - 3 * ln(y), 6) AS ll FROM x")
+def loglik_pareto(spark, d):
+    ll = likelihoods.log_density("pareto", 1 + F.col("l_quantity") / 10, 0.5 + F.col("l_discount"), extra=2.0)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r(ll, 6).alias("ll"))
+
+
+@query("WITH c AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS y1, count(*) FILTER (o_orderstatus = 'O') AS y2, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS y3 FROM orders GROUP BY 1), p AS (SELECT *, y1 + y2 + y3 AS n, 4 * exp(0.4) / (exp(0.4) + exp(0.1) + exp(-0.5)) AS a1, 4 * exp(0.1) / (exp(0.4) + exp(0.1) + exp(-0.5)) AS a2, 4 * exp(-0.5) / (exp(0.4) + exp(0.1) + exp(-0.5)) AS a3 FROM c) SELECT o_custkey, round(lgamma(n + 1) + lgamma(4) - lgamma(n + 4) + lgamma(y1 + a1) - lgamma(a1) - lgamma(y1 + 1) + lgamma(y2 + a2) - lgamma(a2) - lgamma(y2 + 1) + lgamma(y3 + a3) - lgamma(a3) - lgamma(y3 + 1), 6) AS ll FROM p")
+def loglik_dirichlet_multinomial(spark, d):
+    status = F.col("o_orderstatus")
+    count = lambda c: F.sum(c.cast("long"))
+    counts = table(spark, d, "orders").groupBy("o_custkey").agg(count(status == "F").alias("y1"), count(status == "O").alias("y2"), count(~status.isin("F", "O")).alias("y3"))
+    ll = likelihoods.dirichlet_multinomial([F.col("y1"), F.col("y2"), F.col("y3")], [F.lit(0.4), F.lit(0.1), F.lit(-0.5)], 4.0)
+    return counts.select("o_custkey", r(ll, 6).alias("ll"))
+
+
+# ---- cells, differences, diagnostics ----
+
+
+@query(ORDERS + ", u AS (SELECT DISTINCT unit FROM obs), t AS (SELECT DISTINCT year FROM obs), m AS (SELECT unit, year, avg(y) AS mean FROM obs WHERE NOT (unit = 3 AND year = 1996) GROUP BY ALL) SELECT unit, year, round(coalesce(mean, 0), 3) AS mean FROM u CROSS JOIN t LEFT JOIN m USING (unit, year)")
+def cell_mean_zero(spark, d):
+    obs = orders(spark, d).filter("not (unit = 3 and year = 1996)")
+    return prepare.cell_means(obs, "unit", "year", "y").select("unit", "year", r("mean", 3).alias("mean"))
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
+def count_map(spark, d):
+    return prepare.repeated_values(table(spark, d, "orders"), "o_custkey")
+
+
+@query(_SERIES + " SELECT user_id, event_id, round(z - lag(z) OVER w, 6) AS diff1, round(z - 2 * lag(z) OVER w + lag(z, 2) OVER w, 6) AS diff2 FROM z WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def series_differences(spark, d):
+    return effects.differences(_series(spark, d), ["user_id"], "event_id", "z").select("user_id", "event_id", r("diff1", 6).alias("diff1"), r("diff2", 6).alias("diff2"))
+
+
+@query(f"SELECT round(avg(rhat), 4) AS mean_rhat, round(min(ess), 1) AS min_ess FROM ({ORACLES['rhat_multi']}) AS a FULL JOIN ({ORACLES['ess_lag1']}) AS b USING (parameter)")
+def diagnostics_rollup(spark, d):
+    stats = rhat_multi(spark, d).join(ess_lag1(spark, d), "parameter", "full")
+    return posterior.diagnostics(stats).select(r("mean_rhat").alias("mean_rhat"), r("min_ess", 1).alias("min_ess"))
+
+
+@query("SELECT n_name, upper(n_name[1:1]) || n_name[2:] AS cleaned FROM nation")
+def cleaned_parameters(spark, d):
+    """Every wrapped form of a name comes back as the name."""
+    wrapped = F.concat(F.lit("Parameter(parameters.::"), "n_name", F.lit(")"))
+    return table(spark, d, "nation").select("n_name", scalars.cleaned_parameter(wrapped).alias("cleaned"))
+
+
+@query("WITH u AS (SELECT user_id, avg(value) AS a, stddev_samp(value) AS s FROM events GROUP BY 1), m AS (SELECT avg(s) + 1e-6 AS m FROM u) SELECT user_id, round(a / m, 6) AS ratio, a / m > 1 AS advective FROM u CROSS JOIN m")
+def advection_diffusion_ratio(spark, d):
+    units = table(spark, d, "events").groupBy("user_id").agg(F.avg("value").alias("a"), F.stddev_samp("value").alias("s"))
+    return movement.advection_ratio(units, "a", "s").select("user_id", r("ratio", 6).alias("ratio"), "advective")
+
+
+# ---- inducing points, cross kernels, graph from segments, conditional grid ----
+
+_TARGETS = ", t AS (SELECT k, {} AS tx, {} AS ty FROM (SELECT CAST(unnest(range(10)) AS DOUBLE) AS k)), e AS (SELECT DISTINCT arg_min((id, x, y), (power(x - tx, 2) + power(y - ty, 2), id)) AS p FROM pts CROSS JOIN t GROUP BY k) SELECT p[1] AS id, round(p[2], 6) AS x, round(p[3], 6) AS y FROM e"
+
+
+def _inducing(method: str, sql: str):
+    def run(spark, d):
+        found = partition.inducing_points(points(spark, d).select("id", "x", "y"), 10, method)
+        return found.select("id", r("x", 6).alias("x"), r("y", 6).alias("y"))
+
+    run.__name__ = f"inducing_{method}"
+    query(POINTS + sql)(run)
+
+
+_inducing("quantile", ", q AS (SELECT quantile_cont(x, [i / 9.0 FOR i IN range(10)]) AS qx, quantile_cont(y, [i / 9.0 FOR i IN range(10)]) AS qy FROM pts)" + _TARGETS.format("(SELECT qx FROM q)[k::BIGINT + 1]", "(SELECT qy FROM q)[k::BIGINT + 1]"))
+_inducing("regular", _TARGETS.format("(SELECT min(x) FROM pts) + (SELECT max(x) - min(x) FROM pts) * (k / 9)", "(SELECT min(y) FROM pts) + (SELECT max(y) - min(y) FROM pts) * (k / 9)"))
+
+
+@query(POINTS + ", k AS (SELECT id, sqrt(power((x - 100) / 50, 2) + power((y - 300) / 200, 2)) AS d1, sqrt(power((x - 400) / 50, 2) + power((y - 900) / 200, 2)) AS d2 FROM pts) SELECT id, round(exp(-0.5 * d1 * d1), 6) AS se1, round(exp(-0.5 * d2 * d2), 6) AS se2, round((1 + sqrt(5) * d1 + 5 * d1 * d1 / 3) * exp(-sqrt(5) * d1), 6) AS matern1 FROM k")
+def cross_kernel(spark, d):
+    at, inducing, scales = [F.col("x"), F.col("y")], [(100.0, 300.0), (400.0, 900.0)], [50.0, 200.0]
+    se, matern = (scalars.cross_kernel(k, at, inducing, scales) for k in ("se", "matern52"))
+    return points(spark, d).select("id", r(se[0], 6).alias("se1"), r(se[1], 6).alias("se2"), r(matern[0], 6).alias("matern1"))
+
+
+@query("WITH c AS (SELECT unnest(range(600)) AS c), p AS (SELECT c + 1 AS id, c // 20 AS a, c % 20 AS b FROM c) SELECT m.id AS i, n.id AS j, 1.0::DOUBLE AS w FROM p m JOIN p n ON abs(m.a - n.a) + abs(m.b - n.b) = 1 AND m.id < n.id")
+def edge_endpoints(spark, d):
+    """A lattice's edges as segments, and back to the nodes at their ends."""
+    nodes = spark.range(600).select((F.col("id") + 1).alias("id"), F.floor(F.col("id") / 20).alias("cx"), (F.col("id") % 20).alias("cy"))
+    ends = graphs.endpoints(graphs.lattice_edges(spark, 30, 20, queen=False))
+    a, b = nodes.select(F.col("id").alias("i"), F.col("cx").alias("x1"), F.col("cy").alias("y1")), nodes.select(F.col("id").alias("j"), F.col("cx").alias("x2"), F.col("cy").alias("y2"))
+    segments = ends.join(a, "i").join(b, "j").select("x1", "y1", "x2", "y2")
+    return graphs.endpoints(graphs.from_segments(segments, nodes))
+
+
+@query(ORDERS + ", s AS (SELECT CAST(round_even(quantile_cont(unit, 0.5), 0) AS BIGINT) AS unit, CAST(round_even(quantile_cont(year, 0.5), 0) AS BIGINT) AS year, min(segment) AS segment, min(y) AS low, max(y) AS high FROM obs) SELECT unit, year, segment, round(low + (high - low) * k / 49, 3) AS y FROM s CROSS JOIN (SELECT unnest(range(50)) AS k)")
+def conditional_grid(spark, d):
+    grid = plotdata.conditional_grid(orders(spark, d).drop("obs_id"), "y")
+    return grid.select("unit", "year", "segment", r("y", 3).alias("y"))
+
+
+@query("SELECT 1::BIGINT AS component, 100::BIGINT AS members")
+def graph_connected(spark, d):
+    """A lattice in two halves, bridged: its components."""
+    nodes = spark.range(1, 101).select("id", (F.floor((F.col("id") - 1) / 10) * 1.0).alias("x"), ((F.col("id") - 1) % 10 * 1.0).alias("y"))
+    apart = graphs.lattice_edges(spark, 10, 10, queen=False).filter("(i <= 50) = (j <= 50)")
+    return graphs.connectivity(nodes, graphs.connected(nodes, apart, 2.0))

@@ -185,3 +185,47 @@ def test_components_of_a_long_path(spark):
     nodes = spark.createDataFrame([(i,) for i in [*ids, 900, 901, 999]], "id long")
     found = {r.id: r.component for r in graphs.components(nodes, edges).collect()}
     assert found == {**{i: 1 for i in ids}, 900: 900, 901: 900, 999: 999}
+
+
+def test_jenks_against_all_values(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for x in (np.round(rng.lognormal(0, 2, 180), 3), np.concatenate((rng.normal(0, 1, 90), [5e4, 5e4, 9e5]))):
+        v = np.sort(x)
+        n = len(v)
+        s, q = np.r_[0, np.cumsum(v)], np.r_[0, np.cumsum(v * v)]
+        cost = lambda a, b: q[b] - q[a] - (s[b] - s[a]) ** 2 / (b - a)
+        best = [0.0] + [np.inf] * n
+        for _ in range(5):
+            best = [np.inf] + [min(best[a] + cost(a, b) for a in range(b)) for b in range(1, n + 1)]
+        brks = prepare.jenks_breaks(spark.createDataFrame([(float(a),) for a in x] + [(None,), (float("nan"),)], "x double"), "x", 5)
+        assert len(brks) == 6
+        at = np.searchsorted(v, brks[1:], side="right")
+        assert sum(cost(a, b) for a, b in zip(np.r_[0, at[:-1]], at) if b > a) == pytest.approx(best[n], rel=1e-6)
+    assert prepare.jenks_breaks(spark.createDataFrame([], "x double"), "x", 5) == []
+    assert prepare.jenks_breaks(spark.createDataFrame([(1.0,), (1.0,), (2.0,)], "x double"), "x", 5) == [1.0, 1.0, 2.0]
+
+
+def test_log_gamma(spark):
+    xs = [1e-8, 0.01, 0.5, 1.0, 2.0, 3.7, 50.0, 1e5, 1e9]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", likelihoods.lgamma(F.col("x")).alias("g")).collect()
+    for row in rows:
+        assert row.g == pytest.approx(math.lgamma(row.x), rel=1e-11, abs=1e-11)
+    assert spark.range(1).select(likelihoods.log_density("half_student_t", F.lit(-1.0), F.lit(0.0))).first()[0] == -math.inf
+
+
+def test_connected_bridges_by_closest_pair(spark):
+    places = {1: (0.0, 0.0), 2: (1.0, 0.0), 3: (5.0, 0.0), 4: (6.0, 0.0), 5: (40.0, 0.0), 6: (41.0, 1.0)}
+    nodes = spark.createDataFrame([(k, *v) for k, v in places.items()], "id long, x double, y double")
+    edges = spark.createDataFrame([(a, b, 1.0) for p, q in ((1, 2), (3, 4), (5, 6)) for a, b in ((p, q), (q, p))], "i long, j long, w double")
+    found = graphs.connected(nodes, edges, 1.0)
+    assert {(r.i, r.j) for r in graphs.endpoints(found).collect()} == {(1, 2), (3, 4), (5, 6), (2, 3), (4, 5)}
+    assert graphs.connectivity(nodes, found).count() == 1
+
+
+def test_inducing_points(spark):
+    pts = spark.createDataFrame([(i, float(i % 7), float(i // 7)) for i in range(49)], "id long, x double, y double")
+    assert partition.inducing_points(pts, 5, "random").count() == 5
+    assert partition.inducing_points(pts, 4, "kmeans").count() == 4
+    assert [r.id for r in partition.inducing_points(pts, 3, "regular").orderBy("id").collect()] == [0, 24, 48]
