@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import squared_distance
+from ..sources.shared import with_checkpoints
 
 
 def lattice_edges(spark, rows: int, cols: int, queen: bool = True) -> DataFrame:
@@ -46,9 +47,10 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float, by: tupl
 
     `by` names columns of both tables that a query and its neighbours must share; each such group must hold k points.
     Every round joins only the queries that are not settled. A query is settled once its k-th
-    neighbour is nearer than the edge of the cells searched.
+    neighbour is nearer than the edge of the cells searched. A round's neighbours are checkpointed, so no round
+    does the work of those before it again.
     """
-    spark = queries.sparkSession
+    with_checkpoints(queries.sparkSession)
     grid, open_, done, reach = _cells(points, cell).select(F.col("id").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), "gx", "gy", *by), _cells(queries, cell), [], 1
     total = points.count()
     extent = points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).collect()[0]
@@ -61,12 +63,12 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float, by: tupl
         met = probes.join(grid, ["gx", "gy", *by]).filter(F.col("id") != F.col("j"))
         d = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
         best = Window.partitionBy("id").orderBy("d", "j")
-        ranked = met.withColumn("d", d).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        ranked = met.withColumn("d", d).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("id", "j", "d", "rank").checkpoint()
         if last:
-            done.append(ranked.select("id", "j", "d", "rank"))
+            done.append(ranked)
             break
         sure = ranked.groupBy("id").agg(F.count("*").alias("n"), F.max("d").alias("far")).filter((F.col("n") >= min(k, total - 1)) & (F.col("far") <= reach * cell)).select("id")
-        done.append(ranked.join(sure, "id", "left_semi").select("id", "j", "d", "rank"))
+        done.append(ranked.join(sure, "id", "left_semi"))
         open_ = open_.join(sure, "id", "left_anti")
         reach = min(most, reach * 3)
         if open_.isEmpty():
@@ -112,12 +114,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Large and small stars in turn, until the edges no longer change: every node then hangs on the smallest of
     its component. The number of rounds grows with the logarithm of the nodes; lineage is cut every round.
     """
-    spark = nodes.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(folder)
+    with_checkpoints(nodes.sparkSession)
 
     def star(links: DataFrame, least: DataFrame) -> DataFrame:
         return links.join(least, "a")

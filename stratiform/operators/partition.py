@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry
+from ..sources.shared import with_checkpoints
 from .prepare import with_scalars
 
 
@@ -98,6 +99,7 @@ def quadrant_units(points: DataFrame, target: int, min_points: int = 2, binary:
 
     All regions of a round are measured in one aggregation and split in one expression.
     """
+    with_checkpoints(points.sparkSession)
     df = points.withColumn("region", F.lit("r"))
     for _ in range(64):
         stats = df.groupBy("region").agg(F.count("*").alias("n"), F.expr("percentile(x, 0.5)").alias("mx"), F.expr("percentile(y, 0.5)").alias("my"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"))
@@ -114,7 +116,7 @@ def quadrant_units(points: DataFrame, target: int, min_points: int = 2, binary:
             label = (right if (r.vx or 0) >= (r.vy or 0) else top) if binary else F.concat(right, top)
             cut = F.when(F.col("region") == r.region, label).otherwise(cut)
         df = df.withColumn("region", F.concat("region", F.coalesce(cut, F.lit(""))))
-        df = df.checkpoint() if points.sparkSession.sparkContext.getCheckpointDir() else df
+        df = df.checkpoint()
     return df
 
 
