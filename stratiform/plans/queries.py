@@ -564,7 +564,7 @@ def ar2_forward(spark, d):
 @query()
 def icar_field(spark, d):
     edges = graphs.lattice_edges(spark, 10, 10)
-    z = table(spark, d, "events").filter("event_id < 500").select(F.floor(F.col("event_id") / 100).cast("long").alias("draw"), (F.col("event_id") % 100 + 1).alias("unit_id"), (F.col("value") / 100 - 2.5).alias("z"))
+    z = table(spark, d, "events").select(F.floor(F.col("event_id") / 100).cast("long").alias("draw"), (F.col("event_id") % 100 + 1).alias("unit_id"), (F.col("value") / 100 - 2.5).alias("z"))
     return effects.field_effect(z, effects.spectral_map(edges, "icar")).groupBy("draw").agg(r(F.sum("effect"), 5).alias("total"), r(F.var_samp("effect"), 6).alias("v"))
 
 
@@ -648,7 +648,7 @@ def plot_seasonal(spark, d):
 @query()
 def voronoi_units(spark, d):
     pts = points(spark, d).select("id", "x", "y")
-    centroids = pts.filter("id % 500 = 0").select((F.col("id") + 1).alias("unit_id"), F.col("x").alias("cx"), F.col("y").alias("cy"))
+    centroids = partition.unit_table(partition.lattice_assigned(pts, 100.0))
     return store.geometries(partition.voronoi_cells(centroids, partition.convex_hull(pts))).select("unit_id", r("area", 3).alias("area"))
 
 
