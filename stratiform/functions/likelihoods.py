@@ -39,9 +39,9 @@ def normal_cdf(z: Column) -> Column:
 
 def log_upper_tail(z: Column) -> Column:
     """log P(Z > z) of a standard normal. Far out by the continued fraction of Mills' ratio, so it never underflows."""
-    fraction = z
-    for k in range(30, 0, -1):
-        fraction = z + k / fraction
+    z = z.cast("double")
+    # a fold keeps the expression small; thirty nested quotients take minutes to plan
+    fraction = F.aggregate(F.sequence(F.lit(30), F.lit(1)), z, lambda f, k: z + k / f)
     far = -0.5 * z * z - 0.5 * math.log(2 * math.pi) - F.log(fraction)
     return F.when(z > 2, far).otherwise(F.log(1 - normal_cdf(z)))
 
