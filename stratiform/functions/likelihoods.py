@@ -108,6 +108,12 @@ def log_density(family: str, y: Column, eta: Column, sigma: Column | float = 1.0
     raise ValueError(f"family {family} is not supported")
 
 
+def weighted(ll: Column, weight: Column | float) -> Column:
+    """Log-density times the weight of its observation; without a weight it counts once, and weight 0 leaves it out whatever its density."""
+    weight = F.coalesce(weight if isinstance(weight, Column) else F.lit(weight), F.lit(1.0))
+    return F.when(weight == 0, 0.0).otherwise(weight * ll)
+
+
 def dirichlet_multinomial(counts: list[Column], etas: list[Column], concentration: Column | float) -> Column:
     """log p of counts over categories whose probabilities are Dirichlet, with mean softmax(etas) and total `concentration`."""
     total = F.greatest(concentration if isinstance(concentration, Column) else F.lit(concentration), F.lit(1e-6))

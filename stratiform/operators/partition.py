@@ -40,6 +40,22 @@ def hexagon_units(points: DataFrame, radius: float) -> DataFrame:
     return cells.select("unit_id", cx.alias("cx"), cy.alias("cy"), geometry.hexagon(cx, cy, radius).alias("ring"))
 
 
+def hexagon_assigned(points: DataFrame, radius: float) -> DataFrame:
+    """Each point's hexagon of `hexagon_units` by arithmetic, no join: the nearest of the two columns beside it in the two rows beside it; the first wins a tie."""
+    df = with_scalars(points, __x0=F.min("x"), __x1=F.max("x"), __y0=F.min("y"), __y1=F.max("y"))
+    dx, dy = math.sqrt(3) * radius, 1.5 * radius
+    nx, ny = F.ceil((F.col("__x1") - F.col("__x0")) / dx) + 2, F.ceil((F.col("__y1") - F.col("__y0")) / dy) + 2
+    found = []
+    for up in (0, 1):
+        row = F.least(F.floor((F.col("y") - F.col("__y0")) / dy) + up, ny - 1)
+        shift = F.when(row % 2 == 1, dx / 2).otherwise(0.0)
+        for right in (0, 1):
+            col = F.greatest(F.least(F.floor((F.col("x") - F.col("__x0") - shift) / dx) + right, nx - 1), F.lit(0))
+            cx, cy = F.col("__x0") + col * dx + shift, F.col("__y0") + row * dy
+            found.append(F.struct((F.pow(F.col("x") - cx, 2) + F.pow(F.col("y") - cy, 2)).alias("d"), (row * nx + col + 1).cast("long").alias("u")))
+    return df.withColumn("unit_id", F.least(*found)["u"]).drop("__x0", "__x1", "__y0", "__y1")
+
+
 def nearest_unit(points: DataFrame, units: list[tuple[int, float, float]], name: str = "unit_id") -> DataFrame:
     """Nearest of a bounded list of centroids as an expression over an array literal; the first wins a tie."""
     array = F.array(*[F.struct((F.pow(F.col("x") - cx, 2) + F.pow(F.col("y") - cy, 2)).alias("d"), F.lit(u).cast("long").alias("u")) for u, cx, cy in units])

@@ -64,8 +64,9 @@ def diagnostics(stats: DataFrame) -> DataFrame:
 
 def waic(loglik: DataFrame) -> DataFrame:
     """One row from (obs_id, draw, ll): -2 sum of log mean likelihood less the variance of ll."""
-    top = loglik.groupBy("obs_id").agg(F.max("ll").alias("top"))
-    per = loglik.join(top, "obs_id").groupBy("obs_id").agg(F.first("top").alias("top"), F.sum(F.exp(F.col("ll") - F.col("top"))).alias("s"), F.count("*").alias("draws"), F.var_samp("ll").alias("v"))
+    # the window and the grouping share one shuffle by observation
+    topped = loglik.select("obs_id", "ll", F.max("ll").over(Window.partitionBy("obs_id")).alias("top"))
+    per = topped.groupBy("obs_id").agg(F.first("top").alias("top"), F.sum(F.exp(F.col("ll") - F.col("top"))).alias("s"), F.count("*").alias("draws"), F.var_samp("ll").alias("v"))
     lppd = F.col("top") + F.log("s") - F.log(F.col("draws").cast("double"))
     return per.agg((-2 * F.sum(lppd - F.col("v"))).alias("waic"), F.sum("v").alias("p_waic"), F.sum(lppd).alias("lppd"))
 
@@ -84,10 +85,11 @@ def model_weights(models: DataFrame) -> DataFrame:
 def bma_predictions(predictions: DataFrame, weights: DataFrame) -> DataFrame:
     """Weighted mean of (model_name, obs_id, pred_mean) and the between-model sd."""
     joined = predictions.join(F.broadcast(weights.select("model_name", "bma_weight")), "model_name")
-    w, m = F.col("bma_weight"), F.col("pred_mean")
-    sums = joined.groupBy("obs_id").agg(F.sum(w).alias("w"), F.sum(w * m).alias("wm"), F.sum(w * m * m).alias("wmm"))
-    mean = F.col("wm") / F.col("w")
-    return sums.select("obs_id", mean.alias("bma_mean"), F.sqrt(F.greatest(F.col("wmm") / F.col("w") - mean * mean, F.lit(0.0))).alias("bma_sd"))
+    # one entry for each model, so the list is short; the sd is taken about the mean, for a difference of squares cancels
+    models = joined.groupBy("obs_id").agg(F.collect_list(F.struct(F.col("bma_weight").alias("w"), F.col("pred_mean").alias("m"))).alias("models"))
+    total = lambda value: F.aggregate("models", F.lit(0.0), lambda s, x: s + x["w"] * value(x["m"]))
+    means = models.withColumn("__w", total(lambda m: F.lit(1.0))).withColumn("bma_mean", total(lambda m: m) / F.col("__w"))
+    return means.select("obs_id", "bma_mean", F.sqrt(total(lambda m: F.pow(m - F.col("bma_mean"), 2)) / F.col("__w")).alias("bma_sd"))
 
 
 def priors(stats: DataFrame) -> DataFrame:
@@ -140,7 +142,6 @@ def psis_loo(loglik: DataFrame) -> DataFrame:
                 theta = 1 / x[-1] + (1 - np.sqrt(m / (np.arange(1, m + 1) - 0.5))) / (3 * x[max(int(tail / 4 + 0.5) - 1, 0)] + 1e-300)
                 ks = np.array([np.log1p(-t * x).mean() for t in theta])
                 fit = tail * (np.log(-theta / ks) - ks - 1)
-                weights = 1 / np.exp(fit[:, None] - fit[None, :]).sum(0).clip(1e-300)
                 weights = np.exp(fit - fit.max())
                 t = (theta * weights).sum() / weights.sum()
                 k = float(np.log1p(-t * x).mean())

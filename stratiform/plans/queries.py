@@ -197,8 +197,7 @@ SELECT unit_id, count(*) AS n FROM a GROUP BY 1"""
 )
 def hex_assign(spark, d):
     pts = points(spark, d)
-    units = [(u.unit_id, u.cx, u.cy) for u in partition.hexagon_units(pts, 120.0).select("unit_id", "cx", "cy").collect()]
-    return partition.nearest_unit(pts, units).groupBy("unit_id").agg(F.count("*").alias("n"))
+    return partition.hexagon_assigned(pts, 120.0).groupBy("unit_id").agg(F.count("*").alias("n"))
 
 
 @query(POINTS + f", k AS (SELECT CAST((ceil((max(x) - min(x)) / {math.sqrt(3) * 120!r}) + 2) * (ceil((max(y) - min(y)) / 180.0) + 2) AS BIGINT) AS n FROM pts) SELECT i + 1 AS unit_id, round({3 * math.sqrt(3) / 2 * 120 * 120!r}::DOUBLE, 3) AS area, CAST(7 AS BIGINT) AS wkt_points FROM k, range(n) t(i)")
@@ -402,11 +401,11 @@ def ess_lag1(spark, d):
     return posterior.ess(draws(spark, d)).select("parameter", r("ess", 1).alias("ess"))
 
 
-def _loglik(spark, d):
-    """Ten draws of a Gaussian log-likelihood for each line item."""
+def _loglik(spark, d, draws=10):
+    """Draws of a Gaussian log-likelihood for each line item."""
     li = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("obs_id"), "l_quantity")
     li = li.groupBy("obs_id").agg(F.max("l_quantity").alias("q"))
-    df = li.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(10))))
+    df = li.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     return df.select("obs_id", F.col("draw").cast("long").alias("draw"), likelihoods.log_density("gaussian", F.col("q"), 25.0 + 0.1 * F.col("draw"), 14.0).alias("ll"))
 
 
@@ -420,7 +419,7 @@ def waic(spark, d):
 
 @query()
 def psis_loo(spark, d):
-    return posterior.psis_loo(_loglik(spark, d)).select("obs_id", r("elpd").alias("elpd"))
+    return posterior.psis_loo(_loglik(spark, d, 100)).select("obs_id", r("elpd").alias("elpd"), r("pareto_k").alias("pareto_k"))
 
 
 _MODELS = ORDERS + ", p AS (SELECT 'unit' AS model_name, obs_id, y, avg(y) OVER (PARTITION BY unit) AS m FROM obs UNION ALL SELECT 'year', obs_id, y, avg(y) OVER (PARTITION BY year) FROM obs UNION ALL SELECT 'segment', obs_id, y, avg(y) OVER (PARTITION BY segment) FROM obs), s AS (SELECT model_name, avg(power(y - m, 2)) / 1e9 AS waic FROM p GROUP BY 1), w AS (SELECT model_name, waic, waic - min(waic) OVER () AS dl, exp(-(waic - min(waic) OVER ()) / 2) AS raw FROM s), g AS (SELECT model_name, waic, dl, raw / sum(raw) OVER () AS wt FROM w)"
@@ -441,10 +440,10 @@ def bma_weights(spark, d):
     return _models(spark, d)[1].select("model_name", r("waic", 6).alias("waic"), r("delta_waic", 6).alias("delta_waic"), r("bma_weight", 6).alias("bma_weight"))
 
 
-@query(_MODELS + " SELECT obs_id, round(sum(wt * m), 2) AS bma_mean FROM p JOIN g USING (model_name) GROUP BY 1")
+@query(_MODELS + ", j AS (SELECT obs_id, wt, m, sum(wt * m) OVER (PARTITION BY obs_id) AS mu FROM p JOIN g USING (model_name)) SELECT obs_id, round(any_value(mu), 2) AS bma_mean, round(sqrt(sum(wt * power(m - mu, 2))), 2) AS bma_sd FROM j GROUP BY 1")
 def bma_predictions(spark, d):
     predictions, weights = _models(spark, d)
-    return posterior.bma_predictions(predictions, weights).select("obs_id", r("bma_mean", 2).alias("bma_mean"))
+    return posterior.bma_predictions(predictions, weights).select("obs_id", r("bma_mean", 2).alias("bma_mean"), r("bma_sd", 2).alias("bma_sd"))
 
 
 @query(DRAWS + " SELECT parameter, 'Normal' AS family, round(avg(value), 4) AS mu, round(greatest(stddev_samp(value), 1e-4), 4) AS sigma FROM draws GROUP BY 1")
@@ -695,6 +694,12 @@ _likelihood("half_normal", "z", "0.5 * ln(2 / pi()) - ln(1.7) - 0.5 * power(z /
 _likelihood("half_student_t", "z", "ln(2) + lgamma(3) - lgamma(2.5) - 0.5 * ln(5 * pi()) - ln(1.7) - 3 * ln(1 + power(z / 1.7, 2) / 5)", sigma=1.7, extra=5.0)
 
 
+@query(_COUNTS.format("share * (-y * ln(1 + exp(-eta)) - (3 - y) * ln(1 + exp(eta)))").replace("floor(l_quantity / 10)", "l_linenumber % 4").replace("round(", "round(CASE l_linenumber % 4 WHEN 1 THEN ln(3) WHEN 2 THEN ln(3) ELSE 0 END * share + "))
+def loglik_weighted(spark, d):
+    ll = likelihoods.log_density("binomial", (F.col("l_linenumber") % 4).cast("double"), 0.5 + F.col("l_discount"), trials=3)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r(likelihoods.weighted(ll, F.col("l_quantity") / 60), 6).alias("ll"))
+
+
 @query("WITH x AS (SELECT l_orderkey, l_linenumber, 1 + l_quantity / 10 AS y, exp(0.5 + l_discount) * 0.5 AS scale FROM lineitem) SELECT l_orderkey, l_linenumber, round(ln(2) + 2 * ln(scale) - 3 * ln(y), 6) AS ll FROM x")
 def loglik_pareto(spark, d):
     ll = likelihoods.log_density("pareto", 1 + F.col("l_quantity") / 10, 0.5 + F.col("l_discount"), extra=2.0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +29,21 @@ class ResultStore:
             return
         df.write.mode("overwrite" if overwrite else "ignore").parquet(self._at(name))
 
+    def save(self, tables: dict[str, DataFrame], metadata: dict | None = None, metrics: dict | None = None, overwrite: bool = True) -> None:
+        """A whole result in one call; unknown names are kept as plot data."""
+        for name, df in tables.items():
+            self.write(name if name in TABLES or name.startswith("plot_data_") else f"plot_data_{name}", df, overwrite)
+        if metadata:
+            self.save_metadata(metadata)
+        if metrics:
+            self.save_metrics(metrics)
+
+    def _folder(self, path: str):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder, folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
     def names(self) -> list[str]:
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        folder, fs = self._folder(self.path)
         if not fs.exists(folder):
             return []
         found = [s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory()]
@@ -62,9 +74,15 @@ class ResultStore:
         self.write("metrics", self.spark.createDataFrame(rows, "metric string, value double"))
 
     def compact(self, name: str, files: int = 1) -> None:
-        """Rewrite a table in fewer files, beside it first."""
+        """Rewrite a table in fewer files: beside it first, then by renaming, so that no row is lost if the job ends early."""
         self.spark.read.parquet(self._at(name)).coalesce(files).write.mode("overwrite").parquet(self._at(f"__compact_{name}"))
-        self.spark.read.parquet(self._at(f"__compact_{name}")).write.mode("overwrite").parquet(self._at(name))
+        now, fs = self._folder(self._at(name))
+        new, old = self._folder(self._at(f"__compact_{name}"))[0], self._folder(self._at(f"__old_{name}"))[0]
+        fs.delete(old, True)
+        if not (fs.rename(now, old) and fs.rename(new, now)):
+            raise OSError(f"{name} could not be replaced; its rows are in {old} or {now}")
+        fs.delete(old, True)
+        self.spark.catalog.refreshByPath(self._at(name))
 
 
 def tidy_draws(draws: DataFrame, parameters: list[str]) -> DataFrame:
@@ -103,9 +121,22 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 
 def export_geojson(units: DataFrame, path: str, properties: list[str]) -> None:
-    """A FeatureCollection, one feature a line; every partition writes its own features."""
+    """Every partition writes a file of its own that is a whole FeatureCollection, one feature a line."""
+
+    def collection(batches):
+        yield pa.RecordBatch.from_pydict({"value": ['{"type":"FeatureCollection","features":[']})
+        before = ""
+        for batch in batches:
+            lines = []
+            for feature in batch.column(0).to_pylist():
+                lines.append(before + feature)
+                before = ","
+            yield pa.RecordBatch.from_pydict({"value": pa.array(lines, pa.string())})
+        yield pa.RecordBatch.from_pydict({"value": ["]}"]})
+
     good = units.filter(geometry.is_valid(F.col("ring")))
-    good.select(geometry.geojson_feature(F.col("ring"), F.struct(*properties)).alias("value")).write.mode("overwrite").text(path)
+    features = good.select(geometry.geojson_feature(F.col("ring"), F.struct(*properties)).alias("value"))
+    features.mapInArrow(collection, "value string").write.mode("overwrite").text(path)
 
 
 def geometries(units: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
 """Analytic cases, invariants and round trips of the engine's operators."""
 
+import json
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,7 +130,46 @@ def test_store_round_trip(spark, tmp_path):
     assert store.wide_draws(tidy, ["sigma", "beta[1]"]).columns == ["chain", "iteration", "sigma", "beta[1]"]
     pts = spark.createDataFrame([(0.0, 0.0), (3.0, 2.0)], "x double, y double")
     store.export_geojson(partition.lattice_units(pts, 1.0), f"file://{tmp_path}/geo", ["unit_id"])
-    assert spark.read.json(f"file://{tmp_path}/geo").count() == 6
+    parts = [json.loads(p.read_text()) for p in tmp_path.glob("geo/part-*")]
+    assert all(p["type"] == "FeatureCollection" for p in parts)
+    assert sorted(f["properties"]["unit_id"] for p in parts for f in p["features"]) == [1, 2, 3, 4, 5, 6]
+
+
+def test_store_saves_and_compacts(spark, tmp_path):
+    results = store.ResultStore(spark, f"file://{tmp_path}/store")
+    rows = spark.range(10, numPartitions=4).select("id", (F.col("id") * 2).alias("value"))
+    results.save({"predictions": rows, "spatial": rows}, metadata={"family": "poisson"}, metrics={"rmse": 1.5})
+    assert set(results.load()) == {"predictions", "plot_data_spatial", "model_metadata", "metrics"}
+    results.compact("predictions")
+    assert len(list(tmp_path.glob("store/predictions/part-*"))) == 1
+    assert sorted(r.value for r in results.read("predictions").collect()) == [2 * i for i in range(10)]
+    assert set(results.names()) == {"predictions", "plot_data_spatial", "model_metadata", "metrics"}
+
+
+def test_hexagons_by_arithmetic(spark):
+    pts = spark.range(3000).select("id", (F.rand(1) * 500).alias("x"), (F.rand(2) * 300).alias("y")).persist()
+    units = [(u.unit_id, u.cx, u.cy) for u in partition.hexagon_units(pts, 37.0).collect()]
+    want = {r.id: r.unit_id for r in partition.nearest_unit(pts, units).collect()}
+    assert {r.id: r.unit_id for r in partition.hexagon_assigned(pts, 37.0).collect()} == want
+
+
+def test_weighted_density(spark):
+    rows = spark.createDataFrame([(-2.0, 0.5), (-2.0, None), (-math.inf, 0.0)], "ll double, w double")
+    assert [r[0] for r in rows.select(likelihoods.weighted(F.col("ll"), F.col("w"))).collect()] == [-1.0, -2.0, 0.0]
+
+
+def test_psis(spark):
+    """Draws of a normal mean given n observations: elpd is close to the exact leave-one-out density, and k is small."""
+    rng = np.random.default_rng(3)
+    y = rng.normal(size=30)
+    mu = rng.normal(y.mean(), 1 / math.sqrt(len(y)), 2000)
+    ll = -0.5 * (y[:, None] - mu) ** 2 - 0.5 * math.log(2 * math.pi)
+    rows = spark.createDataFrame(pd.DataFrame({"obs_id": np.repeat(np.arange(30), 2000), "draw": np.tile(np.arange(2000), 30), "ll": ll.ravel()}))
+    for r in posterior.psis_loo(rows).collect():
+        rest = np.delete(y, r.obs_id)
+        spread = 1 + 1 / len(rest)
+        exact = -0.5 * (y[r.obs_id] - rest.mean()) ** 2 / spread - 0.5 * math.log(2 * math.pi * spread)
+        assert r.elpd == pytest.approx(exact, abs=0.03) and r.pareto_k < 0.5
 
 
 def test_bma(spark):
