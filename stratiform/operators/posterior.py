@@ -128,8 +128,7 @@ def psis_loo(loglik: DataFrame) -> DataFrame:
     import numpy as np
     import pandas as pd
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        ll = pdf["ll"].to_numpy()
+    def one(ll: np.ndarray) -> tuple[float, float]:
         lw = -ll - (-ll).max()
         order, n = np.argsort(lw), len(lw)
         tail = int(min(0.2 * n, 3 * np.sqrt(n)))
@@ -152,9 +151,16 @@ def psis_loo(loglik: DataFrame) -> DataFrame:
                 lw[order[-tail:]] = np.minimum(np.log(np.exp(cut) + smooth), 0.0)
         top = (lw + ll).max()
         elpd = top + np.log(np.exp(lw + ll - top).sum()) - (lw.max() + np.log(np.exp(lw - lw.max()).sum()))
-        return pd.DataFrame({"obs_id": [pdf["obs_id"].iloc[0]], "elpd": [float(elpd)], "pareto_k": [k]})
+        return float(elpd), k
 
-    return loglik.select("obs_id", "ll").groupBy("obs_id").applyInPandas(one, "obs_id long, elpd double, pareto_k double")
+    def run(batches):
+        for batch in batches:
+            found = [one(np.asarray(ll)) for ll in batch["draws"]]
+            yield pd.DataFrame({"obs_id": batch["obs_id"], "elpd": [e for e, _ in found], "pareto_k": [k for _, k in found]})
+
+    # a row for each observation holds its draws; a frame for each costs more than the fit
+    draws = loglik.filter("ll is not null").groupBy("obs_id").agg(F.collect_list("ll").alias("draws"))
+    return draws.mapInPandas(run, "obs_id long, elpd double, pareto_k double")
 
 
 def compare_models(metrics: DataFrame) -> DataFrame:
