@@ -69,5 +69,59 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped, sha2
 """
 
 
+#: The three assignments are alike: every part against all entries, then entries from the parts that chose them.
+def _assign(name: str, books: str) -> str:
+    return f"""{name} AS MATERIALIZED (SELECT vec_id, label, part, x, min(d) AS d, arg_min(entry, (d, entry)) AS entry FROM (SELECT p.*, b.entry, list_sum(list_transform(list_zip(p.x, b.y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN {books} b USING (part)) GROUP BY ALL)"""
+
+
+def _move(name: str, chosen: str, books: str) -> str:
+    return f"""{name}_s AS (SELECT part, entry, pos, sum(v) AS s, count(*) AS n FROM (SELECT part, entry, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM {chosen}) GROUP BY ALL),
+{name}_l AS (SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY pos) AS y FROM {name}_s GROUP BY ALL),
+{name} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(l.y, b.y) AS y FROM {books} b LEFT JOIN {name}_l l USING (part, entry))"""
+
+
+OP11 = f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, label, CAST(part AS INT) AS part, list_slice(x, part * (len(x) // 16) + 1, (part + 1) * (len(x) // 16)) AS x FROM v, range(16) t(part)),
+f AS (SELECT vec_id, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INT) AS entry FROM (SELECT DISTINCT vec_id FROM v ORDER BY vec_id LIMIT 64)),
+b0 AS MATERIALIZED (SELECT part, entry, min(x) AS y FROM p JOIN f USING (vec_id) GROUP BY ALL),
+{_assign("a1", "b0")}, {_move("b1", "a1", "b0")}, {_assign("a2", "b1")}, {_move("b2", "a2", "b1")}, {_assign("a3", "b2")},
+c AS (SELECT vec_id, label, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a3 GROUP BY ALL)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+(SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY part, entry)) FROM b2) AS codebooks_sha256 FROM c
+"""
+
+OP12 = rf"""
+WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, list_value(2, 3, 1)[1 + row_number() OVER (ORDER BY source NULLS LAST) % 3] AS weight FROM d GROUP BY source),
+o AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () - coalesce(2 * sum(source_size) OVER w, 0)::DOUBLE AS budget, (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0))::DOUBLE AS free, row_number() OVER (ORDER BY 2 * source_size / weight, source NULLS LAST) AS pos
+FROM s WINDOW w AS (ORDER BY 2 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+k AS (SELECT budget, free FROM o WHERE budget * weight / free < 2 * source_size ORDER BY pos LIMIT 1),
+t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, k.budget * weight / k.free) AS target FROM o, k),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
+c AS (SELECT doc_id, size, d.source, source_size, target, CAST(seed AS INT) AS seed, size * (floor(rate) + CASE WHEN CAST('0x' || substr(md5(concat_ws(':', seed, coalesce(CAST(doc_id AS VARCHAR), ''), size)), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source, range(16) q(seed)),
+b AS (SELECT source, seed FROM c GROUP BY source, seed QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(sum(taken) - any_value(target)), seed) = 1)
+SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source AND c.seed = b.seed
+"""
+
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER.format("coalesce(text, '')")} AS text FROM documents),
+w AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+v AS MATERIALIZED (SELECT lang, term, count(*) AS c FROM w GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+l AS (SELECT lang, count(*) AS v, sum(c) AS n FROM v GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS c FROM w JOIN v USING (lang, term) GROUP BY ALL),
+n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL),
+p AS MATERIALIZED (SELECT g.lang, g.source, v.term, coalesce(c.c, 0) AS c, 1 + 1000000000 * (coalesce(c.c, 0) + 5) // (coalesce(n.n, 0) + 5 * l.v) AS p, 1 + 1000000000 * (v.c + 5) // (l.n + 5 * l.v) AS q
+FROM g JOIN v USING (lang) JOIN l USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+LEFT JOIN (SELECT a.lang, a.source AS s, b.source AS t, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) x ON x.lang = a.lang AND x.s = a.source AND x.t = b.source
+UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE c > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM o)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, rank FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3, "op5_jaccard_join": OP5, "op7_substring_dedup": OP7, "op9_chat_format": OP9, "op10_line_dedup": OP10}
+    return {"op3_quality_rules": OP3, "op5_jaccard_join": OP5, "op7_substring_dedup": OP7, "op9_chat_format": OP9, "op10_line_dedup": OP10, "op11_vector_codes": OP11, "op12_source_mix": OP12, "op13_source_divergence": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, jaccard_join, line_dedup, packing, pii, quality_rules, substring_dedup, suffix_dedup, token_counts
+from . import chat_format, decontamination, jaccard_join, line_dedup, packing, pii, quality_rules, source_divergence, source_mix, substring_dedup, suffix_dedup, token_counts, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.label_errors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.plan(table(spark, sf_dir, "documents")).drop("copies")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_suffix_dedup, op3_quality_rules, op4_decontamination, op5_jaccard_join, op6_token_counts, op7_substring_dedup, op8_pii, op9_chat_format, op10_line_dedup]
+    found = [op1_packing, op2_suffix_dedup, op3_quality_rules, op4_decontamination, op5_jaccard_join, op6_token_counts, op7_substring_dedup, op8_pii, op9_chat_format, op10_line_dedup, op11_vector_codes, op12_source_mix, op13_source_divergence]
     return {f.__name__: f for f in found}
