@@ -100,7 +100,7 @@ k AS (SELECT budget, free FROM o WHERE budget * weight / free < 2 * source_size
 t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, k.budget * weight / k.free) AS target FROM o, k),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
 c AS (SELECT doc_id, size, d.source, source_size, target, CAST(seed AS INT) AS seed, size * (floor(rate) + CASE WHEN CAST('0x' || substr(md5(concat_ws(':', seed, coalesce(CAST(doc_id AS VARCHAR), ''), size)), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
-FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source, range(16) q(seed)),
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source, range(64) q(seed)),
 b AS (SELECT source, seed FROM c GROUP BY source, seed QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(sum(taken) - any_value(target)), seed) = 1)
 SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source AND c.seed = b.seed
 """

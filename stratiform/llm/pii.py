@@ -4,9 +4,13 @@ Every e-mail address, IP address, card and phone number is a protected entity. C
 co-occurrence says how strongly a term reveals it: with counts of documents that hold the term, the entity and both,
 wherever they stand in the text, PMI(entity, term) = log(co * N / (df_entity * df_term)), and the entity's
 information is IC = log(N / df_entity). A term whose PMI reaches `remove` of IC is removed, one
-that reaches `generalise` is generalised (only its first letter is told), at every place of every document that
+that reaches `generalise` is generalised, at every place of every document that
 holds the entity; both need `support` documents that hold the pair, so a term that met one address by chance stays.
-A term is a word of at least TERM_CHARS letters outside all pattern matches.
+A term is a word of at least TERM_CHARS letters, and counts only where it stands outside all pattern matches.
+
+As co <= df_entity, no term of more than N * (df_entity / N) ** generalise documents can disclose an entity. So a document's entities
+meet only its terms within that bound, and not all its terms. The same bound says how a term is generalised: it is
+replaced by its longest beginning that it shares with a term beyond the bound, whose class is then too frequent to disclose.
 
 Defined results: a null or empty text has no spans; every row counts as a document, repeated ones too, and
 each gets its spans; a null id is kept; an empty table gives no rows.
@@ -129,22 +133,23 @@ def pattern_matches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, FOUND)
 
 
-def term_frequencies(docs: DataFrame, room: int = 200_000) -> DataFrame:
-    """term, df: documents of the whole corpus that hold each term; counted in each task before the shuffle."""
+def term_frequencies(docs: DataFrame, support: int, room: int = 200_000) -> DataFrame:
+    """term, df: documents of the whole corpus that hold each term outside pattern matches, if enough do; counted in each task before the shuffle."""
 
     def run(batches):
         counts: Counter[str] = Counter()
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
         for batch in tk.slices(batches):
             for text in pc.fill_null(batch.column(1), "").to_pylist():
-                counts.update(set(_TERM.findall(text.lower())))
+                spans = base_spans(text)
+                counts.update({t for t, _, _ in term_places(text, spans)} if spans else {t.lower() for t in set(_TERM.findall(text))})
             if len(counts) > room:
                 yield flush()
                 counts.clear()
         if counts:
             yield flush()
 
-    return docs.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    return docs.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df")).filter(F.col("df") >= support)
 
 
 def entity_frequencies(found: DataFrame, support: int) -> DataFrame:
@@ -152,36 +157,53 @@ def entity_frequencies(found: DataFrame, support: int) -> DataFrame:
     return found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity")).filter(F.col("df_entity") >= support)
 
 
-def disclosures(found: DataFrame, docs: DataFrame, entities: DataFrame, support: int = SUPPORT, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
-    """entity, df_entity, term, action for each term that discloses an entity beyond a threshold. `found` and `entities` are stored tables."""
-    terms = F.array_distinct(F.transform("places", lambda p: p["term"]))
-    holders = found.filter(F.size("entities") > 0).select(F.explode("entities").alias("entity"), terms.alias("terms"))
-    pairs = hot_join(holders, entities, ["entity"], "df_entity").select("entity", "df_entity", F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("entity", "df_entity", "term").agg(F.count("*").alias("co")).filter(F.col("co") >= support)
-    n = F.lit(float(found.count()))
-    scored = pairs.join(term_frequencies(docs), "term")
-    information = F.log(n / F.col("df_entity"))
-    ratio = F.log(F.col("co") * n / (F.col("df_entity") * F.greatest("df", "co"))) / information
+def disclosable_pairs(found: DataFrame, entities: DataFrame, terms: DataFrame, n: int, generalise: float = GENERALISE) -> DataFrame:
+    """row, entity, df_entity, bound, term, df: of each document the entities and those of its terms that are rare enough to disclose them. All three are stored tables."""
+    bound = n * F.pow(F.col("df_entity") / n, generalise) * (1 + 1e-9)
+    entities = entities.filter(F.col("df_entity") < n).withColumn("bound", bound)
+    most = entities.agg(F.max("bound")).first()[0] or 0.0
+    holding = found.filter(F.size("entities") > 0)
+    own = hot_join(holding.select("row", F.explode("entities").alias("entity")), entities, ["entity"], "df_entity")
+    words = holding.select("row", F.explode(F.array_distinct(F.transform("places", lambda p: p["term"]))).alias("term"))
+    rare = hot_join(words, terms.filter(F.col("df") <= most), ["term"], "df")
+    return own.join(rare, "row").filter(F.col("df") <= F.col("bound")).select("row", "entity", "df_entity", "bound", "term", "df")
+
+
+def disclosures(pairs: DataFrame, n: int, support: int = SUPPORT, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
+    """entity, term, co, bound, action for each term that discloses an entity beyond a threshold."""
+    counted = pairs.groupBy("entity", "df_entity", "bound", "term", "df").agg(F.count("*").alias("co")).filter(F.col("co") >= support)
+    ratio = F.log(F.col("co") * F.lit(float(n)) / (F.col("df_entity") * F.col("df"))) / F.log(F.lit(float(n)) / F.col("df_entity"))
     action = F.when(ratio >= remove, "remove").when(ratio >= generalise, "generalise")
-    return scored.filter(information > 0).select("entity", "df_entity", "term", action.alias("action")).filter("action is not null")
+    return counted.select("entity", "term", "co", "bound", action.alias("action")).filter("action is not null")
+
+
+def classes(told: DataFrame, terms: DataFrame) -> DataFrame:
+    """entity, term, class: the longest beginning of a term to be generalised that a term beyond the entity's bound has too."""
+    beginnings = lambda: F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda k: F.substring("term", F.lit(1), k))).alias("class")
+    wanted = told.filter("action = 'generalise'").select("entity", "term", "bound", beginnings())
+    least = told.agg(F.min("bound")).first()[0] or 0.0
+    frequent = terms.filter(F.col("df") > least).select("df", beginnings()).groupBy("class").agg(F.max("df").alias("most"))
+    return wanted.join(frequent, "class").filter(F.col("most") > F.col("bound")).groupBy("entity", "term").agg(F.max_by("class", F.length("class")).alias("class"))
 
 
-def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, **thresholds) -> DataFrame:
-    """Every document's pattern matches and the places of its disclosing terms (start, end, action)."""
+def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
+    """Every document's pattern matches, the places of its disclosing terms (start, end, action), and the classes of those to be generalised."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = stored(pattern_matches(narrow), "pii")
+    found = stored(pattern_matches(narrow).withColumn("row", F.monotonically_increasing_id()), "pii")
+    n = found.count()
     entities = stored(entity_frequencies(found, support), "pii-entities")
-    told = disclosures(found, narrow, entities, support, **thresholds)
-    told = stored(told.groupBy("entity", "df_entity").agg(F.collect_list(F.struct("term", "action")).alias("told")), "pii-terms")
-    # what each document's entities tell; where two entities share a term, the stricter action holds
-    holders = found.filter(F.size("entities") > 0).select("doc_id", "text_key", F.explode("entities").alias("entity"))
-    own = hot_join(holders, told, ["entity"], "df_entity").select("doc_id", "text_key", F.explode("told").alias("t")).groupBy("doc_id", "text_key", "t.term").agg(F.max("t.action").alias("action"))
-    own = own.groupBy("doc_id", "text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("actions"))
-    same = F.col("f.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("f.text_key") == F.col("t.text_key"))
-    joined = found.alias("f").join(own.alias("t"), same, "left").select("f.*", "t.actions")
+    terms = stored(term_frequencies(narrow, support), "pii-frequencies")
+    pairs = stored(disclosable_pairs(found, entities, terms, n, generalise), "pii-pairs")
+    told = stored(disclosures(pairs, n, support, remove, generalise), "pii-told")
+    told = stored(told.join(classes(told, terms), ["entity", "term"], "left").select("entity", "term", "co", "action", "class"), "pii-terms")
+    # where two entities share a term, the stricter action and the wider class hold
+    own = hot_join(pairs.select("row", "entity", "term"), told, ["entity", "term"], "co").groupBy("row", "term").agg(F.max("action").alias("action"), F.min_by("class", F.length("class")).alias("class"))
+    entry = lambda value: F.map_from_entries(F.collect_list(F.struct("term", value)))
+    own = own.groupBy("row").agg(entry("action").alias("actions"), entry("class").alias("classes"))
+    joined = found.join(own, "row", "left")
     places = F.filter("places", lambda p: F.map_contains_key(F.col("actions"), p["term"]))
-    terms = F.transform(places, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.try_element_at(F.col("actions"), p["term"]).alias("action")))
-    return joined.withColumn("terms", F.when(F.col("actions").isNotNull(), F.sort_array(terms))).drop("actions", "places")
+    spans = F.transform(places, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.try_element_at(F.col("actions"), p["term"]).alias("action")))
+    return joined.withColumn("terms", F.when(F.col("actions").isNotNull(), F.sort_array(spans))).drop("row", "actions", "places")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -194,8 +216,8 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
-    """doc_id and the text with entities and removed terms replaced by their kind, generalised terms by their first letter."""
-    found = findings(docs, id_col, text_col, **thresholds).select("doc_id", "text_key", "base", "terms").dropDuplicates(["doc_id", "text_key"])
+    """doc_id and the text with entities and removed terms replaced by their kind, generalised terms by their class if they have one."""
+    found = findings(docs, id_col, text_col, **thresholds).select("doc_id", "text_key", "base", "terms", "classes").groupBy("doc_id", "text_key").agg(*[F.first(c).alias(c) for c in ("base", "terms", "classes")])
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def key(batches):
@@ -206,10 +228,12 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     def rewrite(batches):
         for batch in tk.slices(batches):
             out = []
-            for text, base, terms in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                text, done, parts = text or "", 0, []
+            for text, base, terms, classes in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
+                text, done, parts, classes = text or "", 0, [], dict(classes or [])
                 spans = [(x["start"], x["end"], f"[{KINDS[x['kind']].upper()}]") for x in base or []]
-                spans += [(x["start"], x["end"], "[TERM]" if x["action"] == "remove" else f"[TERM {text[x['start']]}..]") for x in terms or []]
+                for x in terms or []:
+                    wide = classes.get(text[x["start"] : x["end"]].lower()) if x["action"] == "generalise" else None
+                    spans.append((x["start"], x["end"], f"[TERM {wide}..]" if wide else "[TERM]"))
                 for start, end, mark in sorted(spans):
                     if start >= done:
                         parts += [text[done:start], mark]
@@ -219,4 +243,4 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
     keyed = narrow.mapInArrow(key, "doc_id long, text string, text_key binary")
     same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_key") == F.col("f.text_key"))
-    return keyed.alias("d").join(found.alias("f"), same, "left").select("d.doc_id", "d.text", "f.base", "f.terms").mapInArrow(rewrite, "doc_id long, text string")
+    return keyed.alias("d").join(found.alias("f"), same, "left").select("d.doc_id", "d.text", "f.base", "f.terms", "f.classes").mapInArrow(rewrite, "doc_id long, text string")

@@ -100,14 +100,17 @@ class Audit:
 
     def heavy_sums(self, tile_terms: int = TILE_TERMS, tile_groups: int = TILE_GROUPS) -> DataFrame:
         """lang, g, h, value (g < h): heavy terms' part of the distances, from dense tiles."""
-        heavy = self.kept.filter(F.col("n_groups") > self.light).groupBy("lang").agg(F.ceil(F.count("*") / tile_terms).alias("tiles"))
+        many = self.kept.filter(F.col("n_groups") > self.light)
+        heavy = many.groupBy("lang").agg(F.ceil(F.count("*") / tile_terms).alias("tiles"))
+        tile = F.pmod(F.xxhash64("term"), F.col("tiles")).alias("tile")
         blocks = self.groups.groupBy("lang").agg(F.floor(F.max("gid") / tile_groups).alias("last"))
-        # every tile holds the floors of its groups (a null term), and the entries of its terms
-        floors = self.groups.join(heavy, "lang").select("lang", "gid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"), F.lit(None).cast("string").alias("term"), F.col("p0").alias("p"))
-        entries = self.postings.filter(F.col("n_groups") > self.light).join(heavy, "lang").select("lang", "gid", F.pmod(F.xxhash64("term"), F.col("tiles")).alias("tile"), "term", "p")
+        # every tile holds its number of terms with the floors of its groups (a null term), and the entries of its terms
+        sizes = many.join(heavy, "lang").select("lang", tile).groupBy("lang", "tile").agg(F.count("*").alias("terms"))
+        floors = self.groups.join(sizes, "lang").select("lang", "gid", "tile", F.lit(None).cast("string").alias("term"), F.col("p0").alias("p"), "terms")
+        entries = self.postings.filter(F.col("n_groups") > self.light).join(heavy, "lang").select("lang", "gid", tile, "term", "p", F.lit(0).cast("long").alias("terms"))
         block = F.floor(F.col("gid") / tile_groups)
         sides = F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda o: F.struct(F.least(o, block).alias("a"), F.greatest(o, block).alias("b")))
-        placed = floors.unionByName(entries).join(blocks, "lang").withColumn("side", F.explode(sides)).select("lang", "tile", "side.a", "side.b", "gid", "term", "p")
+        placed = floors.unionByName(entries).join(blocks, "lang").withColumn("side", F.explode(sides)).select("lang", "tile", "side.a", "side.b", "gid", "term", "p", "terms")
         return placed.groupBy("lang", "tile", "a", "b").applyInArrow(tile_sums(tile_groups), PAIRS)
 
     def light_floors(self) -> DataFrame:
@@ -206,6 +209,8 @@ def tile_sums(tile_groups: int):
         terms = pc.drop_null(table["term"]).combine_chunks().dictionary_encode()
         dense = np.repeat(floors[:, None], len(terms.dictionary), axis=1)
         dense[np.searchsorted(gids, all_gids[~missing]), np.asarray(terms.indices)] = all_p[~missing]
+        # terms that none of these groups has leave the floors apart
+        absent = int(pc.max(table["terms"]).as_py()) - len(terms.dictionary)
         # within a block each pair once; between two blocks every group with every other
         split = int(np.searchsorted(gids, (a + 1) * tile_groups))
         starts = range(len(gids)) if a == b else range(split)
@@ -214,7 +219,7 @@ def tile_sums(tile_groups: int):
             first = i + 1 if a == b else split
             g.append(np.full(len(gids) - first, gids[i]))
             h.append(gids[first:])
-            value.append(np.abs(dense[first:] - dense[i]).sum(axis=1))
+            value.append(np.abs(dense[first:] - dense[i]).sum(axis=1) + absent * np.abs(floors[first:] - floors[i]))
         g, h, value = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (g, h, value))
         return pa.table({"lang": pa.array([lang] * len(g), pa.string()), "g": g, "h": h, "value": value})
 

@@ -26,7 +26,7 @@ from .shared import hot_join, stored
 
 # fixed values: the weights of sources in turn
 WEIGHTS = (3, 1, 2)
-SHARE, MOST, SEEDS = 1.5, 2, 16
+SHARE, MOST, SEEDS = 1.5, 2, 64
 KEY = ["__has", "__source"]
 
 

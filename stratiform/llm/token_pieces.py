@@ -1,8 +1,8 @@
 """Token ids of whole texts, each distinct piece of text encoded once per task.
 
-Both vocabularies used here split a text before every run of white space that
+Both vocabularies used here split a text before every run of Unicode white space that
 follows other characters, so a text's ids are the ids of its pieces (white space
-and the run after it) one after another. A batch is cut into pieces with
+and the run after it) one after another. Cuts are made where such a run begins with ASCII white space. A batch is cut into pieces with
 Arrow, each distinct piece goes to the library once, and the ids are gathered. Pieces are told
 apart by their bytes, not by a hash.
 """
@@ -66,6 +66,22 @@ def byte_bpe_encoder(json_name: str, ranks_name: str | None):
     return encode
 
 
+# fixed values: UTF-8 of the characters beyond ASCII that have the White_Space property
+_BLANKS = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+def after_blank(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the places `at` follow a white-space character beyond ASCII."""
+    out = np.zeros(len(at), bool)
+    for size in (2, 3):
+        back = np.flatnonzero(at >= size)
+        code = np.zeros(len(back), np.int64)
+        for k in range(size, 0, -1):
+            code = code << 8 | data[at[back] - k]
+        out[back] |= np.isin(code, [int.from_bytes(b) for b in _BLANKS if len(b) == size])
+    return out
+
+
 _encoders: dict[tuple, "PieceEncoder"] = {}
 
 
@@ -125,6 +141,10 @@ class PieceEncoder:
             starts, ends, doc = np.concatenate((starts, begin)), np.concatenate((ends, offsets[rest + 1])), np.concatenate((doc, rest))
             order = np.argsort(starts, kind="stable")
             starts, ends, doc = starts[order], ends[order], doc[order]
+            # white space beyond ASCII before a cut goes on across it
+            cut = ~after_blank(data, starts) | (starts == offsets[doc])
+            starts, doc = starts[cut], doc[cut]
+            ends = ends[np.concatenate((np.flatnonzero(cut)[1:] - 1, [len(cut) - 1]))] if len(starts) else ends
         return starts, ends, doc
 
     def slice(self, data: np.ndarray, offsets: np.ndarray):

@@ -148,12 +148,12 @@ def pii_terms(docs, support=3, remove=0.9, generalise=0.8):
         terms.append([(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]+", text) if len(m[0]) >= 4])
     outside = [[x for x in own if not covered[i] & set(range(x[0], x[1]))] for i, own in enumerate(terms)]
     n, df_entity = len(texts), Counter(e for es in held for e in es)
-    df_term = Counter(w for t in texts for w in {m.lower() for m in re.findall(r"[^\W\d_]{4,}", t.lower())})
+    df_term = Counter(w for own in outside for w in {x[2] for x in own})
     co = Counter((e, w) for es, own in zip(held, outside) for e in es for w in {x[2] for x in own})
     action = {}
     for (e, w), c in co.items():
         if c >= support and n > df_entity[e]:
-            ratio = math.log(c * n / (df_entity[e] * max(df_term[w], c))) / math.log(n / df_entity[e])
+            ratio = math.log(c * n / (df_entity[e] * df_term[w])) / math.log(n / df_entity[e])
             if ratio >= generalise:
                 action[e, w] = "remove" if ratio >= remove else "generalise"
     return [sorted((a, b, max(action[e, w] for e in es if (e, w) in action)) for a, b, w in own if any((e, w) in action for e in es)) for es, own in zip(held, outside)]
@@ -192,3 +192,64 @@ def packing_faults(docs, rows, encode, size=2048, end=1):
         if at > size:
             faults.append(("long", s))
     return faults, 1 - sum(r["length"] for r in rows) / (size * max(1, len(by_seq)))
+
+
+def vector_codes(rows, parts=16, entries=64, rounds=2):
+    """rows: (vec_id, vector, label) with distinct ids and one dimension."""
+    kept = {i: ([math.floor(256 * x) for x in v], label) for i, v, label in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    cut = lambda v: [tuple(v[k * len(v) // parts : (k + 1) * len(v) // parts]) for k in range(parts)]
+    cuts = {i: cut(v) for i, (v, _) in kept.items()}
+    books = [[cuts[i][k] for i in sorted(cuts)[:entries]] for k in range(parts)]
+    apart = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    assign = lambda: {i: [min((apart(c[k], e), n) for n, e in enumerate(books[k])) for k in range(parts)] for i, c in cuts.items()}
+    for _ in range(rounds):
+        chosen = assign()
+        for k in range(parts):
+            for n in range(len(books[k])):
+                mine = [c[k] for i, c in cuts.items() if chosen[i][k][1] == n]
+                if mine:
+                    books[k][n] = tuple(sum(x) // len(mine) for x in zip(*mine))
+    final, by_label = assign(), Counter()
+    for i, c in final.items():
+        by_label[kept[i][1]] += sum(d for d, _ in c)
+    digest = sha(",".join(str(x) for book in books for e in book for x in e))
+    return {i: ("".join(f"{n:02x}" for _, n in c), sum(d for d, _ in c), by_label[kept[i][1]], digest) for i, c in final.items()}
+
+
+def mix_targets(sizes, share=1.5, most=2, weights=(3, 1, 2)):
+    """sizes: of each source by name, None last."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    target, full, left = {}, set(), share * sum(sizes.values())
+    while True:
+        free = [s for s in names if s not in full]
+        spare = left - sum(most * sizes[s] for s in full)
+        target = {s: most * sizes[s] if s in full else spare * weight[s] / sum(weight[x] for x in free) for s in names}
+        over = {s for s in free if target[s] > most * sizes[s]}
+        if not over:
+            return target
+        full |= over
+
+
+def divergence(rows, min_docs=30, top=50, added=5):
+    """rows: (lang, source, text). Rows of the report as tuples."""
+    terms = [(lang or "", source or "", re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lower(t or ""))) for lang, source, t in rows]
+    out = []
+    for lang in {x[0] for x in terms}:
+        own = [(s, w) for g, s, w in terms if g == lang]
+        df = Counter(w for _, ws in own for w in set(ws))
+        kept = sorted(w for w, n in df.items() if n >= min_docs)
+        scale = lambda c, n: 1 + 10**9 * (c + added) // (n + added * len(kept))
+
+        def chances(counts):
+            n = sum(counts[w] for w in kept)
+            return [scale(counts[w], n) for w in kept]
+
+        counts = {s: Counter(w for o, ws in own if o == s for w in ws) for s, _ in own}
+        p, q = {s: chances(c) for s, c in counts.items()}, chances(Counter(w for _, ws in own for w in ws))
+        for s in counts:
+            pairs = [(-sum(abs(a - b) for a, b in zip(p[s], p[o])), o.encode(), o) for o in counts if o != s]
+            more = [(b - a, w.encode(), w) for w, a, b in zip(kept, p[s], q) if counts[s][w] and a > b]
+            for part, found in (("pair", sorted(pairs)), ("term", sorted(more)[:top])):
+                out += [(lang, s, part, item, -v, r + 1) for r, (v, _, item) in enumerate(found)]
+    return out
