@@ -5,7 +5,7 @@ gives each kept term p = 1 + floor(10^9 * (count + a) / (N + a * V)), so a term
 is the sum over all kept terms of |p - q|, split into a heavy and a light part:
 
 * Heavy terms stand in more than `light` groups. They fill dense numpy tiles of terms by two blocks of groups, so a
-  term's pairs of groups are never rows.
+  term's pairs of groups are never rows. A tile adds what its terms change against the two floors.
 * Light terms are sparse. As if no term were in both groups, a pair's sum follows from how often each count occurs in either group and from the
   two floors. Terms in both are then put right from their posting lists, which have at most `light` entries.
 
@@ -86,40 +86,34 @@ class Audit:
         terms = counts.filter("term is not null").groupBy("lang", "term").agg(F.sum("df").alias("df"), F.sum("n").alias("n_lang"), F.count("*").alias("n_groups"))
         kept = stored(terms.filter(F.col("df") >= min_docs).drop("df"), "kept-terms")
         postings = stored(counts.filter("term is not null").drop("df").join(kept, ["lang", "term"]), "postings")
-        langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n_lang").alias("mass_lang"), F.sum((F.col("n_groups") <= light).cast("long")).alias("v_light"))
+        langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n_lang").alias("mass_lang"), F.sum((F.col("n_groups") > light).cast("long")).alias("v_heavy"))
         sums = postings.groupBy("lang", "source").agg(F.sum("n").alias("mass"), F.count("*").alias("rows"))
         groups = counts.filter("term is null").select("lang", "source").join(langs, "lang", "left").join(sums, ["lang", "source"], "left").na.fill(0)
         number = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
         whole = {c: F.col(c) + added * F.col("v") for c in ("mass", "mass_lang")}
         floor = F.when(F.col("v") > 0, probability(F.lit(added).cast("long"), F.greatest(F.col("mass"), F.lit(1)))).otherwise(0)
-        self.groups = stored(groups.withColumn("gid", number).withColumns(whole).withColumn("p0", floor), "groups")
-        self.kept = kept
-        placed = hot_join(postings, self.groups.select("lang", "source", "gid", "mass", "mass_lang", "p0", "rows"), ["lang", "source"], "rows")
+        self.groups = stored(groups.withColumns({"gid": number, "sources": F.count("*").over(Window.partitionBy("lang"))}).withColumns(whole).withColumn("p0", floor), "groups")
+        placed = hot_join(postings, self.groups.select("lang", "source", "gid", "mass", "mass_lang", "p0", "v_heavy", "sources", "rows"), ["lang", "source"], "rows")
         p, q = (probability(F.col(n) + added, F.col(m)) for n, m in (("n", "mass"), ("n_lang", "mass_lang")))
-        self.postings = stored(placed.select("lang", "source", "gid", "term", "n", "n_groups", p.alias("p"), q.alias("q"), "p0"), "placed")
+        self.postings = stored(placed.select("lang", "source", "gid", "term", "n", "n_groups", p.alias("p"), q.alias("q"), "p0", "v_heavy", "sources"), "placed")
 
     def heavy_sums(self, tile_terms: int = TILE_TERMS, tile_groups: int = TILE_GROUPS) -> DataFrame:
-        """lang, g, h, value (g < h): heavy terms' part of the distances, from dense tiles."""
-        many = self.kept.filter(F.col("n_groups") > self.light)
-        heavy = many.groupBy("lang").agg(F.ceil(F.count("*") / tile_terms).alias("tiles"))
-        tile = F.pmod(F.xxhash64("term"), F.col("tiles")).alias("tile")
-        blocks = self.groups.groupBy("lang").agg(F.floor(F.max("gid") / tile_groups).alias("last"))
-        # every tile holds its number of terms with the floors of its groups (a null term), and the entries of its terms
-        sizes = many.join(heavy, "lang").select("lang", tile).groupBy("lang", "tile").agg(F.count("*").alias("terms"))
-        floors = self.groups.join(sizes, "lang").select("lang", "gid", "tile", F.lit(None).cast("string").alias("term"), F.col("p0").alias("p"), "terms")
-        entries = self.postings.filter(F.col("n_groups") > self.light).join(heavy, "lang").select("lang", "gid", tile, "term", "p", F.lit(0).cast("long").alias("terms"))
-        block = F.floor(F.col("gid") / tile_groups)
+        """lang, g, h, value (g < h): what heavy terms add to the distance of the floors, from dense tiles."""
+        tiles, last, block = (F.ceil(F.col("v_heavy") / tile_terms), F.floor((F.col("sources") - 1) / tile_groups), F.floor(F.col("gid") / tile_groups))
+        # every tile holds the floors of its groups (a null term), and the entries of its terms
+        floors = self.groups.filter("v_heavy > 0").repartition("lang", "gid").select("lang", "gid", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("tile"), F.lit(None).cast("string").alias("term"), F.col("p0").alias("p"), last.alias("last"))
+        entries = self.postings.filter(F.col("n_groups") > self.light).select("lang", "gid", F.pmod(F.xxhash64("term"), tiles).alias("tile"), "term", "p", last.alias("last"))
         sides = F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda o: F.struct(F.least(o, block).alias("a"), F.greatest(o, block).alias("b")))
-        placed = floors.unionByName(entries).join(blocks, "lang").withColumn("side", F.explode(sides)).select("lang", "tile", "side.a", "side.b", "gid", "term", "p", "terms")
+        placed = floors.unionByName(entries).withColumn("side", F.explode(sides)).select("lang", "tile", "side.a", "side.b", "gid", "term", "p")
         return placed.groupBy("lang", "tile", "a", "b").applyInArrow(tile_sums(tile_groups), PAIRS)
 
     def light_floors(self) -> DataFrame:
-        """Light terms' part as if no term were in both groups: each group's counts against every other group's floor."""
+        """All terms as if no group had any, and light terms as if none were in both groups: each group's counts against every other group's floor."""
         light, added = self.light, self.added
         own = self.postings.filter(F.col("n_groups") <= light).groupBy("lang", "gid", "n").agg(F.count("*").alias("times"))
         own = own.groupBy("lang", "gid").agg(F.collect_list(F.struct("n", "times")).alias("counts"))
         floors = self.groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("gid", "p0"))).alias("floors"))
-        each = self.groups.select("lang", "gid", "mass", "v_light", "p0").join(own, ["lang", "gid"], "left").join(floors, "lang")
+        each = self.groups.select("lang", "gid", "mass", "v", "p0").join(own, ["lang", "gid"], "left").join(floors, "lang")
 
         def run(batches):
             for batch in batches:
@@ -136,7 +130,7 @@ class Audit:
                     number, total = np.concatenate(([0], np.cumsum(times))), np.concatenate(([0], np.cumsum(p * times)))
                     at = np.searchsorted(p, other)
                     value = other * number[at] - total[at] + (total[-1] - total[at]) - other * (number[-1] - number[at]) - apart * number[-1]
-                    value += np.where(h > row["gid"], row["v_light"] * apart, 0)
+                    value += np.where(h > row["gid"], row["v"] * apart, 0)
                     away = h != row["gid"]
                     g, h = np.minimum(h, row["gid"])[away], np.maximum(h, row["gid"])[away]
                     yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(g), pa.string()), pa.array(g), pa.array(h), pa.array(value[away])], names=["lang", "g", "h", "value"])
@@ -198,7 +192,7 @@ PAIRS = "lang string, g long, h long, value long"
 
 
 def tile_sums(tile_groups: int):
-    """For applyInArrow: distances of the groups of block a to those of block b over one tile's terms."""
+    """For applyInArrow: by how much one tile's terms bring the groups of block a and those of block b further apart than their floors."""
 
     def run(key, table):
         lang, _, a, b = (k.as_py() for k in key)
@@ -209,8 +203,6 @@ def tile_sums(tile_groups: int):
         terms = pc.drop_null(table["term"]).combine_chunks().dictionary_encode()
         dense = np.repeat(floors[:, None], len(terms.dictionary), axis=1)
         dense[np.searchsorted(gids, all_gids[~missing]), np.asarray(terms.indices)] = all_p[~missing]
-        # terms that none of these groups has leave the floors apart
-        absent = int(pc.max(table["terms"]).as_py()) - len(terms.dictionary)
         # within a block each pair once; between two blocks every group with every other
         split = int(np.searchsorted(gids, (a + 1) * tile_groups))
         starts = range(len(gids)) if a == b else range(split)
@@ -219,7 +211,7 @@ def tile_sums(tile_groups: int):
             first = i + 1 if a == b else split
             g.append(np.full(len(gids) - first, gids[i]))
             h.append(gids[first:])
-            value.append(np.abs(dense[first:] - dense[i]).sum(axis=1) + absent * np.abs(floors[first:] - floors[i]))
+            value.append(np.abs(dense[first:] - dense[i]).sum(axis=1) - len(terms.dictionary) * np.abs(floors[first:] - floors[i]))
         g, h, value = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (g, h, value))
         return pa.table({"lang": pa.array([lang] * len(g), pa.string()), "g": g, "h": h, "value": value})
 
