@@ -3,13 +3,14 @@
 Words are runs of letters, digits and non-ASCII bytes, in ASCII lower case. The
 n-grams of a test item are its seeds. A first pass over the corpus counts the documents that hold each seed. From the score asked
 for follows how many of an item's seeds an alignment shares at least (see `bounds`): `need` of m. So it surely
-shares one of the m - need + 1 rarest, and only those join documents to the item; the more frequent ones never do. A second
-pass joins by these rare seeds, and of each document and item that meet it cuts out the words around clusters of `need` seeds,
+shares `hits` of the m - need + hits rarest, about half of `need`; the more frequent ones never join. A second
+pass joins by these rare seeds, and a document meets an item only where `hits` places of rare seeds lie within the span of an alignment,
+which leaves next to none of the pairs that share a common phrase or two. Of each document and item that meet it cuts out the words around clusters of `need` seeds,
 rare or not, and aligns each such passage locally with the item. No alignment that
 reaches the score is lost, whatever the copies of an item do to its seeds' frequencies. The score is the share of the best possible, 1 for a
 verbatim copy, so edited copies score high and shared phrases do not.
 
-Test items are broadcast in parts of at most `part_bytes`, however many there are; each part costs two passes.
+Test items are broadcast in parts of at most `part_bytes`, however many there are; each part costs two passes, after which it is given up.
 
 Defined results: null or empty texts and items match nothing; repeated items (same id) keep the best score; repeated documents
 are scored once for each id; null ids never match; empty tables give no rows.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .shared import columns
+from .shared import columns, stored
 
 #: Longest seed; shorter ones are taken where the score asked for allows more edits.
 SEED_WORDS, MIN_SCORE = 5, 0.6
@@ -72,6 +73,7 @@ class Items:
             self.own.append(seeds)
             self.places.append(places)
         self.size, self.need, self.need_words, self.span = limits.T
+        self.hits = np.minimum(self.need, 1)
         self.index(self.own)
 
     def index(self, seeds_of: list[np.ndarray]) -> None:
@@ -83,13 +85,18 @@ class Items:
             order = np.argsort(hashes, kind="stable")
             self.seeds[size] = hashes[order], owner[order]
 
-    def keep_rare(self, frequency: dict[int, int]) -> None:
-        """Leave out each item's most frequent seeds, at need - 1 places at most; those that no document holds are of no use either."""
+    def some(self) -> np.ndarray:
+        """How many rare seeds of each item a document is asked for: about half of what an alignment shares."""
+        return np.maximum(np.minimum(self.need, 2), (self.need + 1) // 2)
+
+    def keep_rare(self, frequency: dict[int, int], hits: np.ndarray | None = None) -> None:
+        """Ask for `hits` (one) rare seeds of each item and leave out its most frequent ones, at need - hits places at most; seeds that no document holds are of no use either."""
         rare = []
-        for own, places, need in zip(self.own, self.places, self.need.tolist()):
+        self.hits = self.hits if hits is None else hits
+        for own, places, spare in zip(self.own, self.places, (self.need - self.hits).tolist()):
             df = np.array([frequency.get(x, 0) for x in tk.signed(own).tolist()], np.int64)
             order = np.lexsort((own, -df))
-            joins = (np.cumsum(places[order]) > need - 1) & (df[order] > 0)
+            joins = (np.cumsum(places[order]) > spare) & (df[order] > 0)
             rare.append(own[order][joins])
         self.index(rare)
 
@@ -157,6 +164,21 @@ def clusters(at: np.ndarray, need: int, size: int, span: int) -> list[tuple[int,
     return list(zip(at[np.concatenate(([0], gaps + 1))].tolist(), at[np.concatenate((gaps, [len(at) - 1]))].tolist()))
 
 
+def meetings(doc: np.ndarray, at: np.ndarray, low: np.ndarray, size: int, items: Items) -> np.ndarray:
+    """Text numbers and items (two rows) that share enough rare seeds within the span of an alignment; `at` and `low` are the seed hits of one length."""
+    seeds, owner = items.seeds[size]
+    many = np.searchsorted(seeds, seeds[low], side="right") - low
+    place = np.repeat(at, many)
+    item = owner[np.repeat(low + many - np.cumsum(many), many) + np.arange(many.sum())]
+    order = np.lexsort((place, item, doc[place]))
+    place, item = place[order], item[order]
+    text = doc[place]
+    first = np.arange(len(place))
+    last = np.minimum(first + items.hits[item] - 1, len(place) - 1)
+    enough = (last - first == items.hits[item] - 1) & (text[last] == text) & (item[last] == item) & (place[last] - place <= items.span[item] - size)
+    return np.unique(np.stack((text[enough], item[enough])), axis=1)
+
+
 PASSAGES = "doc_id long, item int, words binary"
 
 
@@ -170,11 +192,7 @@ def passages(docs: DataFrame, items) -> DataFrame:
             bounds_of = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             found = []
             for size, grams, at, low in _seed_hits(words, doc, part):
-                seeds, owner = part.seeds[size]
-                many = np.searchsorted(seeds, grams[at], side="right") - low
-                entry = np.repeat(low + many - np.cumsum(many), many) + np.arange(many.sum())
-                met = np.unique(np.stack((np.repeat(doc[at], many), owner[entry])), axis=1)
-                for d, i in met.T.tolist():
+                for d, i in meetings(doc, at, low, size, part).T.tolist():
                     first, stop, span = int(bounds_of[d]), int(bounds_of[d + 1]), int(part.span[i])
                     own = first + np.flatnonzero(np.isin(grams[first : stop - size + 1], part.own[i]))
                     for a, b in clusters(own, int(part.need[i]), size, span):
@@ -223,9 +241,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for ids, texts in _parts(columns(benchmark, item_col, item_text_col), part_bytes):
         part = Items(ids, texts, seed_words, min_score)
         # no more rows than the part has seeds
-        part.keep_rare({r.seed: r.df for r in seed_frequencies(narrow, spark.sparkContext.broadcast(part)).toLocalIterator()})
         items = spark.sparkContext.broadcast(part)
-        parts.append(_scores(passages(narrow, items), items))
+        part.keep_rare({r.seed: r.df for r in seed_frequencies(narrow, items).toLocalIterator()}, part.some())
+        items.unpersist()
+        items = spark.sparkContext.broadcast(part)
+        parts.append(stored(_scores(passages(narrow, items), items), "scores"))
+        items.unpersist()
     if not parts:
         return spark.createDataFrame([], "doc_id long, item_id long, score double")
     return reduce(DataFrame.unionByName, parts).groupBy("doc_id", "item_id").agg(F.max("score").alias("score")).filter(F.col("score") >= min_score)
