@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import squared_distance
@@ -42,41 +42,111 @@ def radius_edges(points: DataFrame, radius: float) -> DataFrame:
     return own.join(near, ["gx", "gy"]).filter((F.col("id") != F.col("j")) & (d2 <= radius * radius)).select(F.col("id").alias("i"), "j", F.lit(1.0).alias("w"))
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float, by: tuple[str, ...] = ()) -> DataFrame:
-    """The k nearest points of each query (both id, x, y), exact, by rings of grid cells that grow until none can be nearer.
+#: Most points around a query for it to look at them all; a step of the pyramid of cells; points of a cell that is not divided further.
+CROWD, FACTOR, DIVIDED, FINEST = 512, 4, 32, 12
+_AROUND = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+
+
+def _first_of_places(points: DataFrame, k: int, by: tuple[str, ...]) -> DataFrame:
+    """Of points at one place only the k smallest ids can be among k nearest ones."""
+    return points.withColumn("__n", F.row_number().over(Window.partitionBy("x", "y", *by).orderBy("id"))).filter(F.col("__n") <= k).select("id", "x", "y", *by)
+
+
+def _distance():
+    return F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
 
-    `by` names columns of both tables that a query and its neighbours must share; each such group must hold k points.
-    Every round joins only the queries that are not settled. A query is settled once its k-th
-    neighbour is nearer than the edge of the cells searched. A round's neighbours are checkpointed, so no round
-    does the work of those before it again.
+
+def _best(met: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("id").orderBy("d", "j")
+    return met.withColumn("d", _distance()).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("id", "j", "d", "rank")
+
+
+def _descent(queries: DataFrame, points: DataFrame, k: int, cell: float, by: tuple[str, ...], before: Column | None) -> DataFrame:
+    """The k nearest points by a pyramid of occupied cells, from the few that hold all points down to cells of few points.
+
+    At each level a query keeps the cells that can hold one of its neighbours: those not farther than
+    the distance within which the cells surely hold k + 1 points. Empty cells are in no table, so neither far outliers
+    nor small cells cost anything. `before` tells for rows with x2, y2, j whether a point is allowed; then
+    only cells that lie wholly to the left of the query count as holding points, and cells to its right are dropped.
     """
-    with_checkpoints(queries.sparkSession)
-    grid, open_, done, reach = _cells(points, cell).select(F.col("id").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), "gx", "gy", *by), _cells(queries, cell), [], 1
-    total = points.count()
-    extent = points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).collect()[0]
-    most = int(max(extent[0] or 0, extent[1] or 0) / cell) + 2
+    spread = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if spread[0] is None:
+        return queries.select("id", F.col("id").alias("j"), F.lit(0.0).alias("d"), F.lit(1).alias("rank")).limit(0)
+    widest = max(spread[1] - spread[0], spread[3] - spread[2])
+    side, levels = cell, []
+    grid = points
+    for _ in range(FINEST):
+        if (_cells(points, side).groupBy("gx", "gy", *by).count().agg(F.max("count")).first()[0] or 0) <= DIVIDED or widest / side > 1e12:
+            break
+        side /= FACTOR
+    finest = side
+    level = _cells(grid, side).groupBy("gx", "gy", *by).agg(F.count("*").alias("n")).checkpoint()
     while True:
-        last = reach >= most
-        ring = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
-        probes = open_.withColumn("a", ring).withColumn("b", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
-        probes = probes.withColumn("gx", F.col("gx") + F.col("a")).withColumn("gy", F.col("gy") + F.col("b")).select("id", "x", "y", "gx", "gy", *by)
-        met = probes.join(grid, ["gx", "gy", *by]).filter(F.col("id") != F.col("j"))
-        d = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
-        best = Window.partitionBy("id").orderBy("d", "j")
-        ranked = met.withColumn("d", d).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("id", "j", "d", "rank").checkpoint()
-        if last:
-            done.append(ranked)
+        levels.append((side, level))
+        if side > widest:
             break
-        sure = ranked.groupBy("id").agg(F.count("*").alias("n"), F.max("d").alias("far")).filter((F.col("n") >= min(k, total - 1)) & (F.col("far") <= reach * cell)).select("id")
-        done.append(ranked.join(sure, "id", "left_semi"))
-        open_ = open_.join(sure, "id", "left_anti")
-        reach = min(most, reach * 3)
-        if open_.isEmpty():
+        side *= FACTOR
+        level = level.groupBy(F.floor(F.col("gx") / FACTOR).alias("gx"), F.floor(F.col("gy") / FACTOR).alias("gy"), *by).agg(F.sum("n").alias("n")).checkpoint()
+    side, level = levels.pop()
+    # at most four cells hold all points of the top level
+    top = level.select("gx", "gy").distinct().collect()
+    cells = F.explode(F.array(*[F.struct(F.lit(r.gx).alias("gx"), F.lit(r.gy).alias("gy")) for r in top])).alias("c")
+    held = queries.select("id", "x", "y", *by, cells).select("id", "x", "y", *by, "c.gx", "c.gy").join(level, ["gx", "gy", *by])
+    while True:
+        edge = 1e-9 * side
+        low_x, low_y = F.col("gx") * side - edge, F.col("gy") * side - edge
+        high_x, high_y = low_x + side + 2 * edge, low_y + side + 2 * edge
+        near = lambda v, low, high: F.greatest(low - F.col(v), F.col(v) - high, F.lit(0.0))
+        far = lambda v, low, high: F.greatest(F.col(v) - low, high - F.col(v))
+        lo = F.hypot(near("x", low_x, high_x), near("y", low_y, high_y))
+        hi = F.hypot(far("x", low_x, high_x), far("y", low_y, high_y))
+        if before is not None:
+            held = held.filter(low_x <= F.col("x"))
+            hi = F.when(high_x < F.col("x"), hi)
+        sure = F.sum(F.when(F.col("hi").isNotNull(), F.col("n")).otherwise(0)).over(Window.partitionBy("id").orderBy(F.col("hi").asc_nulls_last()))
+        reach = F.min(F.when(F.col("sure") > k, F.col("hi"))).over(Window.partitionBy("id"))
+        held = held.withColumns({"lo": lo, "hi": hi}).withColumn("sure", sure).withColumn("reach", reach).filter(F.col("reach").isNull() | (F.col("lo") <= F.col("reach"))).select("id", "x", "y", "gx", "gy", *by)
+        if not levels:
             break
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+        side, level = levels.pop()
+        children = level.select(F.col("gx").alias("cx"), F.col("gy").alias("cy"), "n", *by, F.floor(F.col("gx") / FACTOR).alias("gx"), F.floor(F.col("gy") / FACTOR).alias("gy"))
+        held = held.join(children, ["gx", "gy", *by]).select("id", "x", "y", F.col("cx").alias("gx"), F.col("cy").alias("gy"), "n", *by).checkpoint()
+    own = _cells(grid, finest).select(F.col("id").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), "gx", "gy", *by)
+    met = held.join(own, ["gx", "gy", *by])
+    return _best(met.filter(F.col("id") != F.col("j") if before is None else before), k)
+
+
+def _settled_nearby(queries: DataFrame, points: DataFrame, k: int, cell: float, by: tuple[str, ...], before: Column | None) -> tuple[DataFrame, DataFrame]:
+    """Neighbours of the queries that the nine cells around settle, and the queries that they don't: those with more than CROWD points around, or too few near ones."""
+    grid = _cells(points, cell)
+    offsets = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _AROUND])).alias("o")
+    probes = _cells(queries, cell).select("id", "x", "y", "gx", "gy", *by, offsets).select("id", "x", "y", *by, (F.col("gx") + F.col("o.a")).alias("gx"), (F.col("gy") + F.col("o.b")).alias("gy"))
+    around = probes.join(grid.groupBy("gx", "gy", *by).agg(F.count("*").alias("n")), ["gx", "gy", *by]).groupBy("id").agg(F.sum("n").alias("n"))
+    calm = around.filter((F.col("n") > 1) & (F.col("n") <= CROWD)).select("id")
+    near = grid.select(F.col("id").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), "gx", "gy", *by)
+    met = probes.join(calm, "id").join(near, ["gx", "gy", *by]).filter(F.col("id") != F.col("j") if before is None else before)
+    ranked = _best(met, k).checkpoint()
+    sure = ranked.groupBy("id").agg(F.count("*").alias("n"), F.max("d").alias("far")).filter((F.col("n") >= k) & (F.col("far") <= cell)).select("id")
+    return ranked.join(sure, "id", "left_semi"), queries.join(sure, "id", "left_anti")
+
+
+def _neighbours(queries: DataFrame, points: DataFrame, k: int, cell: float, by: tuple[str, ...] = (), before: Column | None = None) -> DataFrame:
+    with_checkpoints(queries.sparkSession)
+    points = _first_of_places(points, k + 1, by).checkpoint()
+    done, open_ = _settled_nearby(queries, points, k, cell, by, before)
+    open_ = open_.checkpoint()
+    if open_.isEmpty():
+        return done
+    return done.unionByName(_descent(open_, points, k, cell, by, before))
+
+
+def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """The k nearest points of each query (both id, x, y), exact; all there are if there are fewer.
+
+    Most queries are settled by the cells of size `cell` around them; the rest, in crowded or empty places, by a descent
+    through a pyramid of occupied cells. `by` names columns of both tables that a query and its neighbours must share. Rounds are checkpointed.
+    """
+    return _neighbours(queries, points, k, cell, by)
 
 
 def symmetric(arcs: DataFrame) -> DataFrame:
@@ -221,33 +291,10 @@ def moran_basis(edges: DataFrame, count: int):
 
 
 def preceding_neighbours(points: DataFrame, m: int, cell: float) -> DataFrame:
-    """For (id, x, y) in order of x, y, id: the m nearest among the points before, by grid cells that widen to the left.
+    """For (id, x, y) in order of x, y, id: the m nearest among the points before, all there are if there are fewer.
 
-    Points are compared by place, so no rank over all points is needed. A point is settled once its m-th
-    neighbour is nearer than the edge of the cells searched; the few with less than m points before them see all cells.
+    Points are compared by place, so no rank over all points is needed.
     """
-    own = _cells(points, cell)
-    low, spread_x, spread_y = own.agg(F.min("gx"), F.max("gx") - F.min("gx"), F.max("gy") - F.min("gy")).first()
-    most = max(spread_x or 0, spread_y or 0) + 1
-    other = own.select(F.col("id").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), "gx", "gy")
+    points = points.select("id", "x", "y")
     earlier = F.struct("x2", "y2", "j") < F.struct("x", "y", "id")
-    left, done, reach = own, None, 1
-    while True:
-        last = reach >= most
-        probes = left.withColumn("a", F.explode(F.sequence(F.lit(-reach), F.lit(0)))).withColumn("b", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
-        probes = probes.select("id", "x", "y", (F.col("gx") + F.col("a")).alias("gx"), (F.col("gy") + F.col("b")).alias("gy")).filter(F.col("gx") >= F.lit(low or 0))
-        d = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
-        met = probes.join(other, ["gx", "gy"]).filter(earlier).withColumn("d", d)
-        best = met.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d", "j"))).filter(F.col("rank") <= m)
-        part = best
-        if not last:
-            sure = best.groupBy("id").agg(F.count("*").alias("n"), F.max("d").alias("far")).filter((F.col("n") >= m) & (F.col("far") <= reach * cell)).select("id")
-            part = best.join(sure, "id", "left_semi")
-        part = part.select("id", "j", "d", "rank")
-        done = part if done is None else done.unionByName(part)
-        if last:
-            return done
-        left = left.join(sure, "id", "left_anti")
-        if left.isEmpty():
-            return done
-        reach = min(most, reach * 3)
+    return _neighbours(points, points, m, cell, before=earlier)
