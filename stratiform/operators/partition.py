@@ -172,24 +172,26 @@ def spatial_grid_folds(points: DataFrame, folds: int) -> DataFrame:
     return df.withColumn("fold", (F.pmod(number - 1, F.lit(folds)) + 1).cast("long")).drop("__x0", "__x1", "__y0", "__y1")
 
 
+def chain(xy: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Hull of places, counter-clockwise."""
+    xy = sorted(set(xy))
+    if len(xy) < 3:
+        return xy
+    halves = []
+    for run in (xy, xy[::-1]):
+        half: list[tuple[float, float]] = []
+        for p in run:
+            while len(half) >= 2 and (half[-1][0] - half[-2][0]) * (p[1] - half[-2][1]) - (half[-1][1] - half[-2][1]) * (p[0] - half[-2][0]) <= 0:
+                half.pop()
+            half.append(p)
+        halves += half[:-1]
+    return halves
+
+
 def convex_hull(points: DataFrame) -> list[tuple[float, float]]:
     """Hull of (x, y), counter-clockwise. Each task keeps the hull of its own points, so the driver joins small hulls."""
     import pandas as pd
 
-    def chain(xy: list[tuple[float, float]]) -> list[tuple[float, float]]:
-        xy = sorted(set(xy))
-        if len(xy) < 3:
-            return xy
-        halves = []
-        for run in (xy, xy[::-1]):
-            half: list[tuple[float, float]] = []
-            for p in run:
-                while len(half) >= 2 and (half[-1][0] - half[-2][0]) * (p[1] - half[-2][1]) - (half[-1][1] - half[-2][1]) * (p[0] - half[-2][0]) <= 0:
-                    half.pop()
-                half.append(p)
-            halves += half[:-1]
-        return halves
-
     def own(batches):
         kept: list[tuple[float, float]] = []
         for pdf in batches:
@@ -202,11 +204,14 @@ def convex_hull(points: DataFrame) -> list[tuple[float, float]]:
 def voronoi_cells(centroids: DataFrame, hull: list[tuple[float, float]]) -> DataFrame:
     """unit_id, cx, cy, ring: each centroid's cell, the hull cut by the half-plane nearer to it than to every other centroid.
 
-    One row for each areal unit; the centroids are sent to all tasks, and each task cuts its own cells.
+    One row for each areal unit. The centroids are sent to all tasks; a task cuts its own cells by the others from near to
+    far, and stops where none can reach the cell any more.
     """
+    import numpy as np
     import pandas as pd
 
-    others = [(r.unit_id, r.cx, r.cy) for r in centroids.select("unit_id", "cx", "cy").collect()]
+    rows = [(r.unit_id, r.cx, r.cy) for r in centroids.select("unit_id", "cx", "cy").collect()]
+    places = centroids.sparkSession.sparkContext.broadcast(np.array([(x, y) for _, x, y in rows], float).reshape(-1, 2))
 
     def cut(ring, a, b, c):
         """Part of the ring where a x + b y <= c."""
@@ -221,13 +226,20 @@ def voronoi_cells(centroids: DataFrame, hull: list[tuple[float, float]]) -> Data
         return out
 
     def cells(batches):
+        others = places.value
         for pdf in batches:
             rings = []
-            for u, x, y in zip(pdf["unit_id"], pdf["cx"], pdf["cy"]):
+            for x, y in zip(pdf["cx"], pdf["cy"]):
                 ring = list(hull)
-                for v, ox, oy in others:
-                    if v != u and (ox, oy) != (x, y) and ring:
+                apart = np.hypot(others[:, 0] - x, others[:, 1] - y)
+                reach = max((np.hypot(p - x, q - y) for p, q in ring), default=0.0)
+                for k in np.argsort(apart, kind="stable"):
+                    if not ring or apart[k] > 2 * reach:
+                        break
+                    if apart[k] > 0:
+                        ox, oy = others[k].tolist()
                         ring = cut(ring, 2 * (ox - x), 2 * (oy - y), ox * ox + oy * oy - x * x - y * y)
+                        reach = max((np.hypot(p - x, q - y) for p, q in ring), default=0.0)
                 rings.append([{"x": float(p), "y": float(q)} for p, q in ring])
             yield pdf.assign(ring=rings)
 
