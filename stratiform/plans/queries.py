@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bases, geometry, likelihoods, scalars
-from ..operators import crossval, effects, graphs, movement, partition, posterior, prepare
+from ..operators import crossval, effects, graphs, movement, partition, polygons, posterior, prepare, tessellation
 from ..sources import store
 from . import plotdata
 
@@ -800,3 +800,83 @@ def graph_connected(spark, d):
     nodes = spark.range(1, 101).select("id", (F.floor((F.col("id") - 1) / 10) * 1.0).alias("x"), ((F.col("id") - 1) % 10 * 1.0).alias("y"))
     apart = graphs.lattice_edges(spark, 10, 10, queen=False).filter("(i <= 50) = (j <= 50)")
     return graphs.connectivity(nodes, graphs.connected(nodes, apart, 2.0))
+
+
+# ---- user polygons: a sheared district with a lozenge-shaped hole for each nation ----
+
+
+def districts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """unit_id, region and the district as WKT and as rings."""
+    row, col = F.floor(F.col("n_nationkey") / 5), F.col("n_nationkey") % 5
+    x, y = col * 98.0 + row * 12.0, row * 288.0
+    place = lambda dx, dy: F.concat_ws(" ", (x + dx).cast("string"), (y + dy).cast("string"))
+    ring = lambda *offsets: F.concat(F.lit("("), F.concat_ws(", ", *[place(*o) for o in (*offsets, offsets[0])]), F.lit(")"))
+    text = F.concat(F.lit("POLYGON("), ring((0, 0), (98, 0), (110, 288), (12, 288)), F.lit(", "), ring((35, 144), (55, 174), (75, 144), (55, 114)), F.lit(")"))
+    nations = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).cast("long").alias("unit_id"), F.col("n_regionkey").cast("long").alias("region"), text.alias("wkt"))
+    return nations.withColumn("rings", polygons.from_wkt(F.col("wkt")))
+
+
+DISTRICTS = """, n AS (SELECT CAST(n_nationkey + 1 AS BIGINT) AS unit_id, CAST(n_regionkey AS BIGINT) AS region, n_nationkey // 5 AS r, n_nationkey % 5 AS c, c * 98.0::DOUBLE + r * 12 AS px, r * 288.0::DOUBLE AS py FROM nation),
+v AS (SELECT unit_id, [px, px + 98, px + 110, px + 12] AS xs, [py, py, py + 288, py + 288] AS ys FROM n UNION ALL SELECT unit_id, [px + 35, px + 55, px + 75, px + 55], [py + 144, py + 174, py + 144, py + 114] FROM n),
+e AS (SELECT unit_id, xs[i] AS x1, ys[i] AS y1, xs[i % 4 + 1] AS x2, ys[i % 4 + 1] AS y2 FROM v, range(1, 5) t(i)),
+h AS (SELECT id, unit_id FROM pts JOIN e ON (y1 > y) <> (y2 > y) AND CASE WHEN y1 < y2 THEN x1 + (y - y1) / (y2 - y1) * (x2 - x1) ELSE x2 + (y - y2) / (y1 - y2) * (x1 - x2) END > x GROUP BY ALL HAVING count(*) % 2 = 1),
+f AS (SELECT id, min(unit_id) AS unit_id FROM h GROUP BY 1)"""
+
+
+@query(POINTS + DISTRICTS + " SELECT pts.id, f.unit_id FROM pts LEFT JOIN f USING (id)")
+def polygon_assign(spark, d):
+    """Events in user polygons with holes; places in holes and outside of all have no unit."""
+    return polygons.assigned(points(spark, d), districts(spark, d)).select("id", "unit_id")
+
+
+@query(POINTS + DISTRICTS + ", o AS (SELECT pts.id, arg_min(unit_id, (power(x - px - 55, 2) + power(y - py - 144, 2), unit_id)) AS near FROM pts, n GROUP BY pts.id) SELECT coalesce(f.unit_id, near) AS unit_id, count(*) AS point_count, round(98.0 * 288 - 1200, 3)::DOUBLE AS area FROM o LEFT JOIN f USING (id) GROUP BY 1")
+def user_units(spark, d):
+    """The same as units of the one entry for all methods; what no polygon holds goes to the nearest centroid."""
+    found = tessellation.spatial_units(points(spark, d).select("id", "x", "y"), "user", user_polygons=districts(spark, d))
+    return found.units.filter("point_count > 0").select("unit_id", F.col("point_count").cast("long").alias("point_count"), r("area", 3).alias("area"))
+
+
+@query("WITH n AS (SELECT CAST(n_nationkey + 1 AS BIGINT) AS u, n_nationkey // 5 AS r, n_nationkey % 5 AS c FROM nation) SELECT a.u AS i, b.u AS j, round(CASE WHEN a.c = b.c THEN 98.0 WHEN a.r = b.r THEN sqrt(144 + 288.0 * 288) ELSE 0.0 END, 4)::DOUBLE AS shared FROM n a JOIN n b ON a.u <> b.u AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1")
+def polygon_adjacency(spark, d):
+    return polygons.borders(districts(spark, d)).select("i", "j", r("shared").alias("shared"))
+
+
+@query(
+    """WITH n AS (SELECT n_nationkey // 5 AS r, n_nationkey % 5 AS c, CAST(n_regionkey AS BIGINT) AS g FROM nation),
+s AS (SELECT n.g, CASE WHEN t.dr = 0 THEN sqrt(144 + 288.0 * 288) ELSE 98.0 END AS length, coalesce(m.g = n.g, false) AS inner_one FROM n CROSS JOIN (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) t(dr, dc) LEFT JOIN n m ON m.r = n.r + t.dr AND m.c = n.c + t.dc),
+b AS (SELECT g, sum(length) FILTER (NOT inner_one) AS outer_length FROM s GROUP BY g)
+SELECT g AS region, round(count(*) * (98.0 * 288 - 1200), 3)::DOUBLE AS area, round(any_value(outer_length) + count(*) * 4 * sqrt(400 + 900.0), 3)::DOUBLE AS border FROM n JOIN b USING (g) GROUP BY g"""
+)
+def polygon_dissolve(spark, d):
+    """Districts united by region: area and length of border, holes included."""
+    own = districts(spark, d)
+    united = polygons.dissolved(own, own.select("unit_id", F.col("region").alias("group_id")))
+    border = polygons.directed_edges(united).groupBy("unit_id").agg(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("border"))
+    return polygons.measures(united).join(border, "unit_id").select(F.col("unit_id").alias("region"), r("area", 3).alias("area"), r("border", 3).alias("border"))
+
+
+@query("SELECT CAST(12 AS BIGINT) AS n_units, round(count(*) * (98.0 * 288 - 1200), 2)::DOUBLE AS area FROM nation")
+def polygon_exact_units(spark, d):
+    """All districts brought to twelve units."""
+    units = polygons.measures(tessellation.exact_units(districts(spark, d), 12))
+    return units.agg(F.count("*").alias("n_units"), r(F.sum("area"), 2).alias("area"))
+
+
+@query("SELECT count(*) AS n_points, true AS limits_kept FROM events")
+def avt_units(spark, d):
+    """Agglomerative units of all events: each has at least one in two hundred of them, and at least three times of the day in quarters."""
+    pts = points(spark, d).select("id", "x", "y", F.floor(F.col("y") / 360).alias("t"))
+    least = pts.count() // 200
+    seeds = partition.density_seeds(pts.dropDuplicates(["x", "y"]), 24, 25.0).select("x", "y").orderBy("x", "y").collect()
+    units, reason = tessellation.agglomerated(pts, [(k + 1, q.x, q.y) for k, q in enumerate(seeds)], [], tessellation.Limits(least, 3))
+    counts = tessellation.nearest_units(pts, units).groupBy("unit_id").agg(F.count("*").alias("n"), F.count_distinct("t").alias("times"))
+    kept = (F.min("n") >= least) & (F.min("times") >= 3) | F.lit(reason == "min_units_reached")
+    return counts.agg(F.sum("n").alias("n_points"), kept.alias("limits_kept"))
+
+
+@query("SELECT CAST(7 AS BIGINT) AS n_units, count(*) AS n_points, true AS neighbours_connected FROM events")
+def avt_exact_units(spark, d):
+    """The default method with an exact number of units, their points and the graph of those that touch."""
+    found = tessellation.spatial_units(points(spark, d).select("id", "x", "y"), target_units=7, exact=True)
+    connected = graphs.connectivity(found.units.select(F.col("unit_id").alias("id")), found.edges).count() == 1
+    return found.units.agg(F.count("*").alias("n_units"), F.sum("point_count").alias("n_points"), F.lit(connected).alias("neighbours_connected"))
