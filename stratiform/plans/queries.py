@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bases, geometry, likelihoods, scalars
-from ..operators import crossval, effects, graphs, movement, partition, polygons, posterior, prepare, tessellation
+from ..operators import crossval, effects, fields, graphs, mesh, movement, partition, polygons, posterior, prepare, tessellation
 from ..sources import store
 from . import plotdata
 
@@ -880,3 +880,37 @@ def avt_exact_units(spark, d):
     found = tessellation.spatial_units(points(spark, d).select("id", "x", "y"), target_units=7, exact=True)
     connected = graphs.connectivity(found.units.select(F.col("unit_id").alias("id")), found.edges).count() == 1
     return found.units.agg(F.count("*").alias("n_units"), F.sum("point_count").alias("n_points"), F.lit(connected).alias("neighbours_connected"))
+
+
+# ---- fields on the districts' graph, and a basis on knots ----
+
+
+@query(
+    "WITH RECURSIVE obs AS (SELECT CAST(c_nationkey + 1 AS BIGINT) AS i, CAST(year(o_orderdate) AS BIGINT) AS draw, avg(o_totalprice) / 100000 AS b FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL), "
+    "n AS (SELECT CAST(n_nationkey + 1 AS BIGINT) AS i, n_nationkey // 5 AS r, n_nationkey % 5 AS c FROM nation), y AS (SELECT DISTINCT draw FROM obs), "
+    "e AS (SELECT a.i, b.i AS j, CASE WHEN a.c = b.c THEN 0.98 ELSE sqrt(144 + 288.0 * 288) / 100 END::DOUBLE AS w FROM n a JOIN n b ON abs(a.r - b.r) + abs(a.c - b.c) = 1), "
+    "d AS (SELECT i, sum(w) + 4 AS d FROM e GROUP BY i), a AS (SELECT n.i, y.draw, coalesce(obs.b, 0) * 4 AS b FROM n CROSS JOIN y LEFT JOIN obs ON obs.i = n.i AND obs.draw = y.draw), "
+    "s AS (SELECT 0 AS k, i, draw, 0.0::DOUBLE AS x FROM a UNION ALL SELECT s.k + 1, a.i, a.draw, (any_value(a.b) + sum(e.w * s.x)) / any_value(d.d) FROM a JOIN d ON d.i = a.i JOIN e ON e.i = a.i JOIN s ON s.i = e.j AND s.draw = a.draw WHERE s.k < 160 GROUP BY s.k, a.i, a.draw) "
+    "SELECT i AS unit, draw AS year, round(x, 5) AS value FROM s WHERE k = 160"
+)
+def field_smooth(spark, d):
+    """Mean order values by nation, smoothed over neighbouring districts, all years at once; the SQL repeats Jacobi steps."""
+    o = orders(spark, d).groupBy(F.col("unit").alias("i"), F.col("year").alias("draw")).agg((F.avg("y") / 100_000).alias("total"))
+    own = districts(spark, d)
+    border = polygons.borders(own).filter("shared > 1").select("i", "j", (F.col("shared") / 100).alias("w"))
+    nodes = own.select(F.col("unit_id").alias("i"))
+    # a row for each nation and year, also where there were no orders
+    years = [y.draw for y in o.select("draw").distinct().orderBy("draw").collect()]
+    cells = nodes.select("i", F.explode(F.array(*[F.lit(y) for y in years])).alias("draw"))
+    observed = cells.join(o, ["draw", "i"], "left").select("draw", "i", F.lit(1).alias("n"), F.coalesce("total", F.lit(0.0)).alias("total"))
+    found = fields.smoothed(fields.precision(border, nodes, "icar"), observed, 0.5)
+    return found.select(F.col("i").alias("unit"), F.col("draw").alias("year"), r("value", 5).alias("value"))
+
+
+@query(POINTS + " SELECT id, CAST(3 AS BIGINT) AS corners, round(2 * x - 3 * y + 1, 3) AS value FROM pts WHERE x <= 480 AND y <= 1400")
+def barycentric_basis(spark, d):
+    """Events in triangles of knots, one for each nation: a linear function of place comes back from its values at the knots."""
+    knots = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), (F.col("n_nationkey") % 5 * 120.0).alias("x"), (F.floor(F.col("n_nationkey") / 5) * 350.0).alias("y"))
+    basis = mesh.barycentric(points(spark, d), mesh.delaunay(knots))
+    values = knots.select(F.col("id").alias("knot"), (2 * F.col("x") - 3 * F.col("y") + 1).alias("value"))
+    return basis.join(values, "knot").groupBy("id").agg(F.count("*").alias("corners"), r(F.sum(F.col("weight") * F.col("value")), 3).alias("value"))
