@@ -19,6 +19,13 @@ def lattice_edges(spark, rows: int, cols: int, queen: bool = True) -> DataFrame:
     return cells.filter(inside).select((F.col("r") * cols + F.col("c") + 1).alias("i"), (r2 * cols + c2 + 1).alias("j"), F.lit(1.0).alias("w"))
 
 
+def raster_edges(cells: DataFrame, queen: bool = True) -> DataFrame:
+    """Directed edges between those cells (id, r, c) of a raster that are there: each cell's neighbouring places joined with the cells."""
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (queen or not (a and b))])
+    beside = cells.select(F.col("id").alias("i"), "r", "c", F.explode(steps).alias("o")).select("i", (F.col("r") + F.col("o.a")).alias("r"), (F.col("c") + F.col("o.b")).alias("c"))
+    return beside.join(cells.select(F.col("id").alias("j"), "r", "c"), ["r", "c"]).select("i", "j", F.lit(1.0).alias("w"))
+
+
 def weighted(edges: DataFrame, style: str = "binary") -> DataFrame:
     """binary, row_standardized (rows sum to 1) or variance_stabilized (1 / sqrt of the row sum)."""
     if style == "binary":

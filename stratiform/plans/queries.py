@@ -241,27 +241,42 @@ def cv_grid(spark, d):
 
 # ---- graphs ----
 
-_LATTICE = "WITH c AS (SELECT i // 30 AS rr, i % 30 AS cc FROM range(1200) t(i)), o AS (SELECT a, b FROM range(-1, 2) x(a), range(-1, 2) y(b) WHERE a != 0 OR b != 0), e AS (SELECT rr * 30 + cc + 1 AS i, (rr + a) * 30 + cc + b + 1 AS j FROM c, o WHERE rr + a BETWEEN 0 AND 39 AND cc + b BETWEEN 0 AND 29)"
+def raster(spark: SparkSession, sf_dir: str, size: float) -> DataFrame:
+    """id, r, c, n, mean: the square cells that hold events, with their number and mean value."""
+    at = points(spark, sf_dir).withColumns({"r": F.floor(F.col("y") / size), "c": F.floor(F.col("x") / size)})
+    return at.groupBy("r", "c").agg(F.count("*").alias("n"), F.avg("x").alias("mean")).withColumn("id", F.col("r") * 1000 + F.col("c") + 1)
 
 
-@query(_LATTICE + " SELECT i, j, 1.0::DOUBLE AS w FROM e")
+def _raster_sql(size: int) -> str:
+    return POINTS + f", c AS (SELECT CAST(floor(y / {size}) AS BIGINT) AS rr, CAST(floor(x / {size}) AS BIGINT) AS cc, count(*) AS n, avg(x) AS mean, rr * 1000 + cc + 1 AS id FROM pts GROUP BY ALL)"
+
+
+_RASTER = _raster_sql(10) + ", e AS (SELECT a.id AS i, b.id AS j FROM c a JOIN c b ON abs(a.rr - b.rr) <= 1 AND abs(a.cc - b.cc) <= 1 AND a.id <> b.id)"
+
+
+def _raster_edges(spark, d):
+    return graphs.raster_edges(raster(spark, d, 10.0))
+
+
+@query(_RASTER + " SELECT i, j, 1.0::DOUBLE AS w FROM e")
 def lattice_adjacency(spark, d):
-    return graphs.lattice_edges(spark, 40, 30)
+    """The graph of those cells of a lattice that hold events."""
+    return _raster_edges(spark, d)
 
 
-@query(_LATTICE + " SELECT i, j, round(1.0 / count(*) OVER (PARTITION BY i), 6)::DOUBLE AS w FROM e")
+@query(_RASTER + " SELECT i, j, round(1.0 / count(*) OVER (PARTITION BY i), 6)::DOUBLE AS w FROM e")
 def weights_row_std(spark, d):
-    return graphs.weighted(graphs.lattice_edges(spark, 40, 30), "row_standardized").select("i", "j", r("w", 6).alias("w"))
+    return graphs.weighted(_raster_edges(spark, d), "row_standardized").select("i", "j", r("w", 6).alias("w"))
 
 
-@query(_LATTICE + " SELECT i, j, round(1.0 / sqrt(count(*) OVER (PARTITION BY i)), 6)::DOUBLE AS w FROM e")
+@query(_RASTER + " SELECT i, j, round(1.0 / sqrt(count(*) OVER (PARTITION BY i)), 6)::DOUBLE AS w FROM e")
 def weights_var_stab(spark, d):
-    return graphs.weighted(graphs.lattice_edges(spark, 40, 30), "variance_stabilized").select("i", "j", r("w", 6).alias("w"))
+    return graphs.weighted(_raster_edges(spark, d), "variance_stabilized").select("i", "j", r("w", 6).alias("w"))
 
 
-@query(_LATTICE + " SELECT i, CAST(count(*) AS BIGINT) AS degree, CAST(sum(j) AS BIGINT) AS neighbour_sum FROM e GROUP BY i")
+@query(_RASTER + " SELECT i, CAST(count(*) AS BIGINT) AS degree, CAST(sum(j) AS BIGINT) AS neighbour_sum FROM e GROUP BY i")
 def neighbour_lists(spark, d):
-    lists = graphs.neighbour_lists(graphs.lattice_edges(spark, 40, 30))
+    lists = graphs.neighbour_lists(_raster_edges(spark, d))
     return lists.select("i", F.size("nb").cast("long").alias("degree"), F.aggregate("nb", F.lit(0).cast("long"), lambda a, x: a + x).alias("neighbour_sum"))
 
 
@@ -291,9 +306,11 @@ def graph_components(spark, d):
     return graphs.connectivity(p.select("id"), graphs.radius_edges(p, 3.0))
 
 
-@query("WITH q AS (SELECT i, j, q FROM (SELECT i AS i, i AS j, CASE WHEN i IN (1, 40) THEN 1.0 WHEN i IN (2, 39) THEN 5.0 ELSE 6.0 END AS q FROM range(1, 41) t(i) UNION ALL SELECT i, j, CASE WHEN abs(i - j) = 2 THEN 1.0 WHEN least(i, j) = 1 OR greatest(i, j) = 40 THEN -2.0 ELSE -4.0 END FROM range(1, 41) a(i), range(1, 41) b(j) WHERE abs(i - j) IN (1, 2))) SELECT i, j, q::DOUBLE AS q FROM q")
+@query("WITH n AS (SELECT count(DISTINCT CAST(ts AS DATE)) AS n FROM events), t AS (SELECT unnest(range(1, n + 1)) AS i, n FROM n) SELECT a.i AS i, b.i AS j, (CASE abs(a.i - b.i) WHEN 0 THEN CASE WHEN a.i IN (1, a.n) THEN 1 WHEN a.i IN (2, a.n - 1) THEN 5 ELSE 6 END WHEN 1 THEN CASE WHEN least(a.i, b.i) = 1 OR greatest(a.i, b.i) = a.n THEN -2 ELSE -4 END ELSE 1 END)::DOUBLE AS q FROM t a JOIN t b ON abs(a.i - b.i) <= 2")
 def structure_rw2(spark, d):
-    return graphs.structure(spark, "rw2", 40)
+    """The structure of a random walk over the days that have events."""
+    days = table(spark, d, "events").select(F.count_distinct(F.to_date("ts"))).first()[0]
+    return graphs.structure(spark, "rw2", days)
 
 
 # ---- movement ----
@@ -332,17 +349,22 @@ def regional_connectivity(spark, d):
     return movement.regional(g, strata).select("i", "j", r("w", 6).alias("w"))
 
 
-@query("WITH e AS (SELECT i // 10 AS a, i % 10 AS b, i + 1 AS id FROM range(100) t(i)), s AS (SELECT id, a, b, sin(id::DOUBLE) AS s FROM e), m AS (SELECT p.id AS i, q.id AS j, CASE WHEN p.id = q.id THEN exp(0.5 * p.s) ELSE exp(0.5 * q.s) + 0.1 END AS w FROM s p JOIN s q ON abs(p.a - q.a) + abs(p.b - q.b) <= 1) SELECT i, j, round(w / sum(w) OVER (PARTITION BY i), 6) AS w FROM m")
+@query(_raster_sql(60) + ", m AS (SELECT p.id AS i, q.id AS j, CASE WHEN p.id = q.id THEN exp(0.005 * p.mean) ELSE exp(0.005 * q.mean) + 0.1 END AS w FROM c p JOIN c q ON abs(p.rr - q.rr) + abs(p.cc - q.cc) <= 1) SELECT i, j, round(w / sum(w) OVER (PARTITION BY i), 6) AS w FROM m")
 def suitability_kernel(spark, d):
-    s = spark.range(1, 101).select("id", F.sin(F.col("id").cast("double")).alias("s"))
-    return movement.suitability_kernel(s, graphs.lattice_edges(spark, 10, 10, queen=False), 0.5).select("i", "j", r("w", 6).alias("w"))
+    cells = raster(spark, d, 60.0)
+    kernel = movement.suitability_kernel(cells.select("id", (F.col("mean") / 100).alias("s")), graphs.raster_edges(cells, queen=False), 0.5)
+    return kernel.select("i", "j", r("w", 6).alias("w"))
 
 
-@query("WITH g AS (SELECT i // 20 AS r, i % 20 AS c, exp(-power(i // 20 - 9, 2) / 50.0 - power(i % 20 - 7, 2) / 30.0) AS p FROM range(400) t(i)), v AS (SELECT r, c, p, lag(p) OVER x AS xb, lead(p) OVER x AS xa, lag(p) OVER y AS yb, lead(p) OVER y AS ya FROM g WINDOW x AS (PARTITION BY r ORDER BY c), y AS (PARTITION BY c ORDER BY r)) SELECT r, c, round(CASE WHEN xb IS NULL THEN xa - p WHEN xa IS NULL THEN p - xb ELSE (xa - xb) / 2 END * 2 / greatest(p, 1e-6), 6) AS vx, round(CASE WHEN yb IS NULL THEN ya - p WHEN ya IS NULL THEN p - yb ELSE (ya - yb) / 2 END * 2 / greatest(p, 1e-6), 6) AS vy FROM v")
+@query(POINTS + ", h AS (SELECT CAST(least(floor(y / 72), 19) AS BIGINT) AS r, CAST(least(floor(x / 24.5), 19) AS BIGINT) AS c, count(*) AS n FROM pts GROUP BY ALL), g AS (SELECT i // 20 AS r, i % 20 AS c, coalesce(h.n, 0) / (SELECT count(*) FROM pts) AS p FROM range(400) t(i) LEFT JOIN h ON h.r = i // 20 AND h.c = i % 20), v AS (SELECT r, c, p, lag(p) OVER x AS xb, lead(p) OVER x AS xa, lag(p) OVER y AS yb, lead(p) OVER y AS ya FROM g WINDOW x AS (PARTITION BY r ORDER BY c), y AS (PARTITION BY c ORDER BY r)) SELECT r, c, round(CASE WHEN xb IS NULL THEN xa - p WHEN xa IS NULL THEN p - xb ELSE (xa - xb) / 2 END * 2 / greatest(p, 1e-6), 4) AS vx, round(CASE WHEN yb IS NULL THEN ya - p WHEN ya IS NULL THEN p - yb ELSE (ya - yb) / 2 END * 2 / greatest(p, 1e-6), 4) AS vy FROM v")
 def velocity_field(spark, d):
-    at_r, at_c = F.floor(F.col("id") / 20), F.col("id") % 20
-    grid = spark.range(400).select(at_r.alias("r"), at_c.alias("c"), F.exp(-F.pow(at_r - 9, 2) / 50.0 - F.pow(at_c - 7, 2) / 30.0).alias("p"))
-    return movement.velocity(grid, 2.0).select("r", "c", r("vx", 6).alias("vx"), r("vy", 6).alias("vy"))
+    """Drift along the density of events on a grid of 20 by 20."""
+    pts = points(spark, d)
+    at = lambda v, step: F.least(F.floor(F.col(v) / step), F.lit(19)).cast("long")
+    counts = pts.groupBy(at("y", 72.0).alias("r"), at("x", 24.5).alias("c")).agg(F.count("*").alias("n"))
+    grid = spark.range(400).select(F.floor(F.col("id") / 20).alias("r"), (F.col("id") % 20).alias("c")).join(counts, ["r", "c"], "left")
+    shares = grid.select("r", "c", (F.coalesce("n", F.lit(0)) / F.lit(pts.count())).alias("p"))
+    return movement.velocity(shares, 2.0).select("r", "c", r("vx").alias("vx"), r("vy").alias("vy"))
 
 
 @query()
@@ -778,11 +800,12 @@ def cross_kernel(spark, d):
     return points(spark, d).select("id", r(se[0], 6).alias("se1"), r(se[1], 6).alias("se2"), r(matern[0], 6).alias("matern1"))
 
 
-@query("WITH c AS (SELECT unnest(range(600)) AS c), p AS (SELECT c + 1 AS id, c // 20 AS a, c % 20 AS b FROM c) SELECT m.id AS i, n.id AS j, 1.0::DOUBLE AS w FROM p m JOIN p n ON abs(m.a - n.a) + abs(m.b - n.b) = 1 AND m.id < n.id")
+@query(_raster_sql(20) + " SELECT a.id AS i, b.id AS j, 1.0::DOUBLE AS w FROM c a JOIN c b ON abs(a.rr - b.rr) + abs(a.cc - b.cc) = 1 AND a.id < b.id")
 def edge_endpoints(spark, d):
-    """A lattice's edges as segments, and back to the nodes at their ends."""
-    nodes = spark.range(600).select((F.col("id") + 1).alias("id"), F.floor(F.col("id") / 20).alias("cx"), (F.col("id") % 20).alias("cy"))
-    ends = graphs.endpoints(graphs.lattice_edges(spark, 30, 20, queen=False))
+    """The raster's edges as segments, and back to the nodes at their ends."""
+    cells = raster(spark, d, 20.0)
+    nodes = cells.select("id", F.col("r").alias("cx"), F.col("c").alias("cy"))
+    ends = graphs.endpoints(graphs.raster_edges(cells, queen=False))
     a, b = nodes.select(F.col("id").alias("i"), F.col("cx").alias("x1"), F.col("cy").alias("y1")), nodes.select(F.col("id").alias("j"), F.col("cx").alias("x2"), F.col("cy").alias("y2"))
     segments = ends.join(a, "i").join(b, "j").select("x1", "y1", "x2", "y2")
     return graphs.endpoints(graphs.from_segments(segments, nodes))
@@ -794,11 +817,12 @@ def conditional_grid(spark, d):
     return grid.select("unit", "year", "segment", r("y", 3).alias("y"))
 
 
-@query("SELECT 1::BIGINT AS component, 100::BIGINT AS members")
+@query(_raster_sql(60) + " SELECT min(id) AS component, count(*) AS members FROM c")
 def graph_connected(spark, d):
-    """A lattice in two halves, bridged: its components."""
-    nodes = spark.range(1, 101).select("id", (F.floor((F.col("id") - 1) / 10) * 1.0).alias("x"), ((F.col("id") - 1) % 10 * 1.0).alias("y"))
-    apart = graphs.lattice_edges(spark, 10, 10, queen=False).filter("(i <= 50) = (j <= 50)")
+    """The raster of events cut in two at midday, bridged: its components."""
+    cells = raster(spark, d, 60.0)
+    nodes = cells.select("id", F.col("r").cast("double").alias("x"), F.col("c").cast("double").alias("y"))
+    apart = graphs.raster_edges(cells, queen=False).filter("(i <= 12000) = (j <= 12000)")
     return graphs.connectivity(nodes, graphs.connected(nodes, apart, 2.0))
 
 
