@@ -18,6 +18,8 @@ from . import textkit as tk
 
 #: Pieces that a worker remembers, at about 150 bytes each; its table starts afresh beyond that.
 CACHE_PIECES = 250_000
+#: Pieces given to the library at once.
+ADDED = 8192
 
 
 def token_file(name: str) -> str:
@@ -119,13 +121,16 @@ class PieceEncoder:
         self.ids, self.begins, self.lengths = Growing(np.uint32), Growing(np.int64), Growing(np.int32)
 
     def add(self, pieces: list[bytes]) -> None:
-        found = self.encode([p.decode("utf-8", "replace") for p in pieces])
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self.rows.update(zip(pieces, range(self.lengths.size, self.lengths.size + len(pieces))))
-        if self.keep_ids:
-            self.begins.append(self.ids.size + np.cumsum(lengths) - lengths)
-            self.ids.append(np.fromiter((x for ids in found for x in ids), np.uint32, int(lengths.sum())))
-        self.lengths.append(lengths)
+        """Encode new pieces, a part of them at a time: the library's lists are far larger than the ids."""
+        for at in range(0, len(pieces), ADDED):
+            part = pieces[at : at + ADDED]
+            found = self.encode([p.decode("utf-8", "replace") for p in part])
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            self.rows.update(zip(part, range(self.lengths.size, self.lengths.size + len(part))))
+            if self.keep_ids:
+                self.begins.append(self.ids.size + np.cumsum(lengths) - lengths)
+                self.ids.append(np.fromiter((x for ids in found for x in ids), np.uint32, int(lengths.sum())))
+            self.lengths.append(lengths)
 
     def pieces(self, data: np.ndarray, offsets: np.ndarray):
         starts, ends, doc = tk.word_spans(data, offsets)
