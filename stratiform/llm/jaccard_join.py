@@ -45,7 +45,7 @@ WORDS, PERCENT = 5, 75
 #: Documents of the sample that frequent tokens are read off, the documents there that make a token
 #: frequent, and the most such tokens that are broadcast (they only set the order).
 SAMPLE_DOCS, SAMPLE_DF, FREQUENT = 4000, 4, 200_000
-ROUNDS, LEADERS = 2, 2
+ROUNDS, PROBES, LEADERS = 2, 1, 2
 #: Leading tokens of a large set, the chance of losing a link as a power of two, and the shared tokens asked of a small set.
 PREFIX, CHANCE_BITS, NEED = 64, 64, 8
 
@@ -235,30 +235,46 @@ class JaccardJoin:
         best = Window.partitionBy("a").orderBy(F.desc("votes"), "b")
         return votes.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= LEADERS).select("a", "b")
 
-    def matrix(self, grouped: DataFrame) -> DataFrame:
+    def matrix(self, grouped: DataFrame, number: int | None = None) -> DataFrame:
         """The token-group matrix: token, grp, and of its members with the token the least size and need and the most they can share; only tokens of two or more groups."""
-        cells = grouped.groupBy("token", "grp").agg(F.min("n").alias("n2"), F.max("all").alias("all2"), F.max("first").alias("first2"), F.min("need").alias("need2"))
+        cells = grouped.groupBy("token", "grp").agg(F.min("n").alias("n2"), F.max("all").alias("all2"), F.max("first").alias("first2"), F.min("need").alias("need2"), F.count("*").alias("held"), *([] if number is None else [F.min_by("rep", F.xxhash64(F.lit(number), "rep")).alias("member")]))
         several = cells.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1").select("token")
         return cells.join(several, "token")
 
-    def _opened_pairs(self, grouped: DataFrame) -> DataFrame:
-        """Class pairs of different groups that the matrix can't rule out. The smaller group asks, the larger one is opened.
-
-        A class asks a group only if enough of its tokens lie in the group's union at sizes that could
-        link, and in an opened group only members whose first shared token allows the threshold.
-        """
+    def _asking(self, grouped: DataFrame, number: int | None = None) -> DataFrame:
+        """Tokens of each class beside the cells of other groups; the smaller group asks. `number` lets each cell name one of its members, another one for each number."""
         sizes = stored(grouped.groupBy("grp", "rep").agg(F.count("*").alias("cells")).groupBy("grp").agg(F.count("*").alias("size"), F.sum("cells").alias("cells")), "group-sizes")
-        other = self.matrix(grouped).join(sizes.drop("cells"), "grp").withColumnRenamed("grp", "target").withColumnRenamed("size", "size2")
+        other = self.matrix(grouped, number).join(sizes.drop("cells"), "grp").withColumnRenamed("grp", "target").withColumnRenamed("size", "size2")
         asking = hot_join(grouped, sizes, ["grp"], "cells").select("token", "rep", "n", "all", "first", "need", "grp", "size").join(other, "token")
         asks = (F.col("size") < F.col("size2")) | ((F.col("size") == F.col("size2")) & (F.col("grp") < F.col("target")))
         # the k-th token that a linking pair shares has at least as many tokens after it, itself counted, as the pair must share, less k - 1
         counted = _reaches(F.least(F.least("first", "first2") + F.col("need") - 1, "all", "all2"), self.percent)
-        asking = asking.filter((F.col("grp") != F.col("target")) & asks & counted).withColumn("opens", _may_link("first", self.percent))
-        overlap = asking.groupBy("rep", "target").agg(F.count("*").alias("shared"), F.min(F.least("need", "need2")).alias("asked"), F.max("opens").alias("opens"))
-        qualifying = overlap.filter(F.col("opens") & (F.col("shared") >= F.col("asked"))).select("rep", "target")
-        queries = asking.filter("opens").select("rep", "n", "first", "target", "token").join(qualifying, ["rep", "target"], "left_semi")
+        return asking.filter((F.col("grp") != F.col("target")) & asks & counted).withColumn("opens", _may_link("first", self.percent))
+
+    def _probe_pairs(self, grouped: DataFrame, number: int) -> DataFrame:
+        """Each class with one member of each of the few groups whose unions hold most of its tokens: the member that most of its cells there name."""
+        asking = self._asking(grouped, number).groupBy("rep", "target", "member").agg(F.count("*").alias("votes"), F.min(F.least("need", "need2")).alias("asked"), F.max("opens").alias("opens"))
+        overlap = asking.groupBy("rep", "target").agg(F.sum("votes").alias("shared"), F.min("asked").alias("asked"), F.max("opens").alias("opens"), F.max_by("member", F.struct("votes", "member")).alias("b"))
+        most = Window.partitionBy("rep").orderBy(F.desc("shared"), "target")
+        return overlap.filter(F.col("opens") & (F.col("shared") >= F.col("asked"))).withColumn("place", F.row_number().over(most)).filter(F.col("place") <= LEADERS).select(F.col("rep").alias("a"), "b")
+
+    def _opened_pairs(self, grouped: DataFrame) -> DataFrame:
+        """Class pairs of different groups that the matrix can't rule out. The smaller group asks, the larger one is opened.
+
+        A class asks a group only if enough of its tokens lie in the group's union at sizes that could link. It meets members of an opened
+        group by the tokens that can be the first ones that they share, or by all but the most frequent of its tokens there:
+        as a link shares `asked` of them, it shares one however many less than that are left out. The way with fewer rows is taken.
+        """
+        asking = self._asking(grouped)
+        own, order = Window.partitionBy("rep", "target"), Window.partitionBy("rep", "target").orderBy("held", "token")
+        asking = asking.withColumns({"shared": F.count("*").over(own), "asked": F.min(F.least("need", "need2")).over(own), "rank": F.row_number().over(order)})
+        asking = asking.withColumn("rare", F.col("rank") <= F.col("shared") - F.col("asked") + 1)
+        rows = lambda flag: F.sum(F.when(F.col(flag), F.col("held")).otherwise(0)).over(own)
+        asking = asking.filter("shared >= asked").withColumns({"by_first": rows("opens"), "by_rare": rows("rare")})
+        chosen = F.when(F.col("by_first") <= F.col("by_rare"), F.col("opens")).otherwise(F.col("rare"))
+        queries = asking.filter((F.col("by_first") > 0) & chosen).select("rep", "n", "first", "target", "token", (F.col("by_first") <= F.col("by_rare")).alias("firsts"))
         members = grouped.select("token", F.col("grp").alias("target"), F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("first").alias("first2"))
-        return queries.join(members, ["token", "target"]).filter(_may_link("first", self.percent)).select(F.col("rep").alias("a"), "b").distinct()
+        return queries.join(members, ["token", "target"]).filter(~F.col("firsts") | _may_link("first", self.percent)).select(F.col("rep").alias("a"), "b").distinct()
 
     def links(self) -> DataFrame:
         """Links between classes that give the same components as all links do."""
@@ -266,6 +282,9 @@ class JaccardJoin:
         for number in range(ROUNDS):
             pairs = self._leader_pairs(self._grouped(edges), number)
             edges.append(stored(_linked(pairs, self.sets, self.percent), "links"))
+        for number in range(PROBES):
+            pairs = self._probe_pairs(self._grouped(edges), number)
+            edges.append(stored(_linked(pairs, self.sets, self.percent), "links"))
         edges.append(stored(_linked(self._opened_pairs(self._grouped(edges)), self.sets, self.percent), "links"))
         return reduce(DataFrame.unionByName, edges)
 
