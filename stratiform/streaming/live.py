@@ -36,6 +36,35 @@ def transitions(events: DataFrame, tag: str, time: str, unit: str) -> DataFrame:
     return events.groupBy(tag).applyInPandasWithState(step, f"tag long, from_unit long, to_unit long, time {kind}", "unit long", "append", GroupStateTimeout.NoTimeout)
 
 
+def ar1_states(innovations: DataFrame, rho: float, sigma: float = 1.0, first: int = 1, eps: float = 1e-6) -> DataFrame:
+    """unit, t, x: the AR(1) recursion x_t = rho x_(t-1) + sigma z_t of each unit as a stream of innovations (unit, t, z), stationary at t = `first`.
+
+    Kept as state are the last period and its value, and the innovations that arrived before their turn. A period is emitted once, as soon as
+    all before it are there, so the rows do not depend on how the input falls into micro-batches nor on its order. Of repeated rows of a period the
+    first to arrive counts (the smallest of one batch); rows of periods that are done or lie before the first are dropped, and a null innovation is 0.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, x, ahead_t, ahead_z = state.get if state.exists else (first - 1, 0.0, [], [])
+        ahead = dict(zip(ahead_t, ahead_z))
+        for pdf in batches:
+            for t, z in sorted(zip(pdf["t"].tolist(), pdf["z"].fillna(0.0).tolist())):
+                if t > last:
+                    ahead.setdefault(t, z)
+        out = []
+        while last + 1 in ahead:
+            last += 1
+            z = sigma * ahead.pop(last)
+            x = z / (1 - rho * rho + eps) ** 0.5 if last == first else rho * x + z
+            out.append((key[0], last, x))
+        times = sorted(ahead)
+        state.update((last, x, times, [ahead[t] for t in times]))
+        yield pd.DataFrame(out, columns=["unit", "t", "x"]).astype({"unit": "int64", "t": "int64", "x": "float64"})
+
+    kept = "last long, x double, ahead_t array<long>, ahead_z array<double>"
+    return innovations.select("unit", "t", "z").groupBy("unit").applyInPandasWithState(step, "unit long, t long, x double", kept, "append", GroupStateTimeout.NoTimeout)
+
+
 def sequential_normal(batch: DataFrame, prior: dict[str, tuple[float, float]], noise: float) -> dict[str, tuple[float, float]]:
     """Normal prior (mean, sd) per parameter, updated by one micro-batch; meant for foreachBatch, whose state is a row per parameter."""
     out = dict(prior)
