@@ -224,7 +224,13 @@ def centroid_units(spark, d):
     return partition.unit_table(partition.nearest_unit(pts, units)).select("unit_id", r("cx").alias("cx"), r("cy").alias("cy"), "point_count")
 
 
-@query()
+@query(
+    POINTS
+    + """, k AS (SELECT min(x) AS x0, min(y) AS y0, greatest(0.25 * stddev_samp(x), 1e-4) AS bx, greatest(0.25 * stddev_samp(y), 1e-4) AS b_y, (max(x) - min(x)) / 19 AS gx, (max(y) - min(y)) / 19 AS gy FROM pts),
+n AS (SELECT a, b, sum(exp(-0.5 * (power((x - (x0 + a * gx)) / bx, 2) + power((y - (y0 + b * gy)) / b_y, 2)))) AS w FROM pts, k, range(20) s(a), range(20) t(b)
+WHERE a BETWEEN ceil((x - 5 * bx - x0) / gx) AND floor((x + 5 * bx - x0) / gx) AND b BETWEEN ceil((y - 5 * b_y - y0) / gy) AND floor((y + 5 * b_y - y0) / gy) GROUP BY a, b)
+SELECT a, b, round(w / sum(w) OVER (), 9) AS density FROM n"""
+)
 def kde_density(spark, d):
     return partition.kde_grid(points(spark, d).select("x", "y"), 20).select("a", "b", r("density", 9).alias("density"))
 
@@ -577,7 +583,7 @@ def ar1_forward(spark, d):
     return effects.ar1(_series(spark, d), ["user_id"], "event_id", "z", 0.6).select("user_id", "event_id", r("effect", 6).alias("effect"))
 
 
-@query()
+@query(_SERIES.replace("WITH", "WITH RECURSIVE") + ", k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS t FROM z), s AS (SELECT user_id, event_id, t, z AS x, 0.0::DOUBLE AS y FROM k WHERE t = 1 UNION ALL SELECT k.user_id, k.event_id, k.t, k.z + 0.4 * s.x + 0.2 * s.y, s.x FROM s JOIN k ON k.user_id = s.user_id AND k.t = s.t + 1) SELECT user_id, event_id, round(x, 6) AS effect FROM s")
 def ar2_forward(spark, d):
     return effects.ar2(_series(spark, d), ["user_id"], "event_id", "z", 0.5, 0.2).select("user_id", "event_id", r("effect", 6).alias("effect"))
 
