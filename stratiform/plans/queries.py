@@ -306,7 +306,13 @@ def vector_neighbours(spark, d):
     return graphs.vector_knn(v.filter("id % 20 = 0"), v, 5).select("i", "j", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query(
+    POINTS.replace("WITH", "WITH RECURSIVE")
+    + """, g AS (SELECT id, x, y, CAST(floor(x / 3) AS BIGINT) AS gx, CAST(floor(y / 3) AS BIGINT) AS gy FROM pts),
+e AS MATERIALIZED (SELECT a.id AS i, b.id AS j FROM g a JOIN (SELECT g.*, gx + u AS hx, gy + v AS hy FROM g, range(-1, 2) s(u), range(-1, 2) t(v)) b ON a.gx = b.hx AND a.gy = b.hy AND a.id <> b.id AND power(a.x - b.x, 2) + power(a.y - b.y, 2) <= 9),
+c(id, m) USING KEY (id) AS (SELECT id, id FROM pts UNION SELECT e.i, min(c.m) FROM c JOIN e ON e.j = c.id JOIN recurring.c r ON r.id = e.i WHERE c.m < r.m GROUP BY e.i)
+SELECT m AS component, count(*) AS members FROM c GROUP BY m"""
+)
 def graph_components(spark, d):
     p = _places(spark, d)
     return graphs.connectivity(p.select("id"), graphs.radius_edges(p, 3.0))
