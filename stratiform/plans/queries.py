@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bases, geometry, likelihoods, scalars
-from ..operators import crossval, effects, fields, graphs, mesh, movement, partition, polygons, posterior, prepare, tessellation
+from ..operators import crossval, effects, fields, graphs, mesh, movement, partition, polygons, posterior, prepare, tessellation, wavelets
 from ..sources import store
 from . import plotdata
 
@@ -950,3 +950,18 @@ def barycentric_basis(spark, d):
     basis = mesh.barycentric(points(spark, d), mesh.delaunay(knots))
     values = knots.select(F.col("id").alias("knot"), (2 * F.col("x") - 3 * F.col("y") + 1).alias("value"))
     return basis.join(values, "knot").groupBy("id").agg(F.count("*").alias("corners"), r(F.sum(F.col("weight") * F.col("value")), 3).alias("value"))
+
+
+# ---- wavelets ----
+
+
+@query(
+    "WITH l AS (SELECT unnest(range(1, 5)) AS level), b AS (SELECT level, event_id // CAST(power(2, level) AS BIGINT) AS k, count(*) AS n, sum(value) AS s, sum(CASE WHEN event_id % CAST(power(2, level) AS BIGINT) >= power(2, level - 1) THEN value ELSE -value END) AS d FROM events, l GROUP BY ALL HAVING count(*) = power(2, level)) "
+    "SELECT CAST(level AS INT) AS level, k, round(CASE WHEN level = 4 THEN s / 4 END, 4) AS smooth, round(d / power(2, level / 2.0), 4) AS detail FROM b"
+)
+def haar_transform(spark, d):
+    """Four levels of the values of all events in order of their ids; whole blocks."""
+    found = wavelets.haar(table(spark, d, "events").select("event_id", "value"), [], "event_id", "value", 4)
+    n = table(spark, d, "events").count()
+    whole = (F.col("k") + 1) * F.pow(F.lit(2.0), F.col("level")) <= n
+    return found.filter(whole).select("level", "k", r("s").alias("smooth"), r("d").alias("detail"))
