@@ -62,11 +62,26 @@ def diagnostics(stats: DataFrame) -> DataFrame:
     return stats.agg(F.coalesce(F.avg(rhats), F.lit(1.0)).alias("mean_rhat"), F.coalesce(F.min(sizes), F.lit(0.0)).alias("min_ess"))
 
 
+def by_observation(loglik: DataFrame) -> DataFrame:
+    """obs_id, draws: an observation's log-likelihoods as an array, from rows (obs_id, draw, ll) or from a table that has the arrays already."""
+    if "draws" in loglik.columns:
+        return loglik.select("obs_id", F.filter("draws", lambda ll: ll.isNotNull()).alias("draws")).filter(F.size("draws") > 0)
+    return loglik.filter("ll is not null").groupBy("obs_id").agg(F.collect_list("ll").alias("draws"))
+
+
 def waic(loglik: DataFrame) -> DataFrame:
-    """One row from (obs_id, draw, ll): -2 sum of log mean likelihood less the variance of ll."""
-    # the window and the grouping share one shuffle by observation
-    topped = loglik.select("obs_id", "ll", F.max("ll").over(Window.partitionBy("obs_id")).alias("top"))
-    per = topped.groupBy("obs_id").agg(F.first("top").alias("top"), F.sum(F.exp(F.col("ll") - F.col("top"))).alias("s"), F.count("*").alias("draws"), F.var_samp("ll").alias("v"))
+    """One row from (obs_id, draw, ll), or (obs_id, draws): -2 sum of log mean likelihood less the variance of ll.
+
+    Where a row holds an observation's draws, nothing is shuffled and a task holds one observation at a time.
+    """
+    if "draws" in loglik.columns:
+        ll, sums = F.col("draws"), lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x))
+        sized = by_observation(loglik).withColumns({"top": F.array_max(ll), "n": F.size(ll).cast("double"), "mean": sums(ll, lambda x: x) / F.size(ll)})
+        per = sized.select("top", F.col("n").alias("draws"), sums(ll, lambda x: F.exp(x - F.col("top"))).alias("s"), F.when(F.col("n") > 1, sums(ll, lambda x: F.pow(x - F.col("mean"), 2)) / (F.col("n") - 1)).alias("v"))
+    else:
+        # the window and the grouping share one shuffle by observation
+        topped = loglik.select("obs_id", "ll", F.max("ll").over(Window.partitionBy("obs_id")).alias("top"))
+        per = topped.groupBy("obs_id").agg(F.first("top").alias("top"), F.sum(F.exp(F.col("ll") - F.col("top"))).alias("s"), F.count("*").alias("draws"), F.var_samp("ll").alias("v"))
     lppd = F.col("top") + F.log("s") - F.log(F.col("draws").cast("double"))
     return per.agg((-2 * F.sum(lppd - F.col("v"))).alias("waic"), F.sum("v").alias("p_waic"), F.sum(lppd).alias("lppd"))
 
@@ -124,43 +139,53 @@ def standardised_rate(df: DataFrame, unit: str, y: str, log_offset: str) -> Data
 
 
 def psis_loo(loglik: DataFrame) -> DataFrame:
-    """obs_id, elpd, pareto_k from (obs_id, draw, ll); a generalised Pareto tail is fitted for each observation."""
+    """obs_id, elpd, pareto_k from (obs_id, draw, ll), or (obs_id, draws); a generalised Pareto tail is fitted for each observation.
+
+    Observations of a batch with as many draws are fitted together, as rows of a matrix.
+    """
     import numpy as np
     import pandas as pd
 
-    def one(ll: np.ndarray) -> tuple[float, float]:
-        lw = -ll - (-ll).max()
-        order, n = np.argsort(lw), len(lw)
-        tail = int(min(0.2 * n, 3 * np.sqrt(n)))
-        k = float("nan")
+    def fitted(ll: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lw = -ll - (-ll).max(axis=1, keepdims=True)
+        rows, n = lw.shape
+        k, tail = np.full(rows, np.nan), int(min(0.2 * n, 3 * np.sqrt(n)))
         if tail >= 5:
-            cut = lw[order[-tail - 1]]
-            x = np.exp(lw[order[-tail:]]) - np.exp(cut)
-            if x.max() > 0:
-                m = 30 + int(np.sqrt(tail))
-                theta = 1 / x[-1] + (1 - np.sqrt(m / (np.arange(1, m + 1) - 0.5))) / (3 * x[max(int(tail / 4 + 0.5) - 1, 0)] + 1e-300)
-                ks = np.array([np.log1p(-t * x).mean() for t in theta])
-                fit = tail * (np.log(-theta / ks) - ks - 1)
-                weights = np.exp(fit - fit.max())
-                t = (theta * weights).sum() / weights.sum()
-                k = float(np.log1p(-t * x).mean())
-                sigma = -k / t
-                k = (k * tail + 5) / (tail + 10)
-                p = (np.arange(1, tail + 1) - 0.5) / tail
-                smooth = sigma * np.expm1(-k * np.log1p(-p)) / k if abs(k) > 1e-12 else -sigma * np.log1p(-p)
-                lw[order[-tail:]] = np.minimum(np.log(np.exp(cut) + smooth), 0.0)
-        top = (lw + ll).max()
-        elpd = top + np.log(np.exp(lw + ll - top).sum()) - (lw.max() + np.log(np.exp(lw - lw.max()).sum()))
-        return float(elpd), k
+            order = np.argsort(lw, axis=1)
+            cut = np.take_along_axis(lw, order[:, -tail - 1 : -tail], 1)
+            x = np.exp(np.take_along_axis(lw, order[:, -tail:], 1)) - np.exp(cut)
+            fit = np.flatnonzero(x.max(axis=1) > 0)
+            x, m = x[fit], 30 + int(np.sqrt(tail))
+            theta = 1 / x[:, -1:] + (1 - np.sqrt(m / (np.arange(1, m + 1) - 0.5))) / (3 * x[:, [max(int(tail / 4 + 0.5) - 1, 0)]] + 1e-300)
+            ks = np.stack([np.log1p(-theta[:, [i]] * x).mean(axis=1) for i in range(m)], axis=1)
+            score = tail * (np.log(-theta / ks) - ks - 1)
+            weights = np.exp(score - score.max(axis=1, keepdims=True))
+            t = (theta * weights).sum(axis=1) / weights.sum(axis=1)
+            shape = np.log1p(-t[:, None] * x).mean(axis=1)
+            sigma = (-shape / t)[:, None]
+            shape = (shape * tail + 5) / (tail + 10)
+            p, s = (np.arange(1, tail + 1) - 0.5) / tail, shape[:, None]
+            smooth = np.where(np.abs(s) > 1e-12, sigma * np.expm1(-s * np.log1p(-p)) / np.where(s == 0, 1, s), -sigma * np.log1p(-p))
+            lw[fit[:, None], order[fit, -tail:]] = np.minimum(np.log(np.exp(cut[fit]) + smooth), 0.0)
+            k[fit] = shape
+        top, most = (lw + ll).max(axis=1, keepdims=True), lw.max(axis=1, keepdims=True)
+        elpd = top[:, 0] + np.log(np.exp(lw + ll - top).sum(axis=1)) - (most[:, 0] + np.log(np.exp(lw - most).sum(axis=1)))
+        return elpd, k
 
     def run(batches):
         for batch in batches:
-            found = [one(np.asarray(ll)) for ll in batch["draws"]]
-            yield pd.DataFrame({"obs_id": batch["obs_id"], "elpd": [e for e, _ in found], "pareto_k": [k for _, k in found]})
-
-    # a row for each observation holds its draws; a frame for each costs more than the fit
-    draws = loglik.filter("ll is not null").groupBy("obs_id").agg(F.collect_list("ll").alias("draws"))
-    return draws.mapInPandas(run, "obs_id long, elpd double, pareto_k double")
+            draws = batch["draws"].to_numpy()
+            sizes = np.array([len(ll) for ll in draws])
+            elpd, k = np.empty(len(draws)), np.empty(len(draws))
+            for n in np.unique(sizes):
+                same = np.flatnonzero(sizes == n)
+                step = max(1, 200_000 // n)
+                for part in (same[i : i + step] for i in range(0, len(same), step)):
+                    with np.errstate(all="ignore"):
+                        elpd[part], k[part] = fitted(np.stack(draws[part]).astype(float))
+            yield pd.DataFrame({"obs_id": batch["obs_id"], "elpd": elpd, "pareto_k": k})
+
+    return by_observation(loglik).mapInPandas(run, "obs_id long, elpd double, pareto_k double")
 
 
 def compare_models(metrics: DataFrame) -> DataFrame:

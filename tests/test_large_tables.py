@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from stratiform.operators import graphs
+from stratiform.operators import graphs, posterior, prepare
 from stratiform.plans import queries as plans
 
 
@@ -65,3 +65,33 @@ def test_component_query_makes_no_edges(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(graphs, "radius_edges", None)
     events = pd.DataFrame({"event_id": range(400), "user_id": 1, "value": 1.0, "event_type": "a", "ts": pd.Timestamp("2024-01-01")})
     assert [tuple(r) for r in plans.graph_components(spark, saved(spark, tmp_path, events=events)).collect()] == [(0, 400)]
+
+
+@pytest.mark.parametrize("shift", [0.0, float("inf"), float("nan")])
+def test_quantiles_without_a_table_of_all_values(spark, monkeypatch, shift):
+    """The numbers of percentile(), in rounds of counts; copies, wide ranges and infinite values included."""
+    monkeypatch.setattr(prepare, "BUCKETS", 8)
+    rng = np.random.default_rng(5)
+    x = [*rng.normal(0, 1, 150), *([3.25] * 40), *(10 ** rng.uniform(-9, 9, 60)), 0.0 if shift == 0 else shift]
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
+    shares = [0.0, 0.025, 1 / 3, 0.5, 0.9, 0.975]
+    want = df.selectExpr(f"percentile(v, array({', '.join(f'{s:.17g}D' for s in shares)}))").first()[0]
+    assert prepare.exact_quantiles(df, "v", shares) == want
+    plan = prepare.breaks(df, "v", "quantile_regular")._jdf.queryExecution().toString()
+    assert "percentile" not in plan
+    assert prepare.exact_quantiles(df.limit(0), "v", shares) is None
+
+
+def test_draws_are_held_by_observation(spark):
+    """Rows of draws and arrays of draws give the same, and the arrays are neither exploded nor grouped again."""
+    rng = np.random.default_rng(2)
+    ll = rng.normal(-2, 0.7, (40, 100))
+    ll[0] = -1.0
+    arrays = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(ll)], "obs_id long, draws array<double>")
+    rows = arrays.selectExpr("obs_id", "posexplode(draws) as (draw, ll)")
+    for f, by in ((posterior.waic, "waic"), (posterior.psis_loo, "obs_id")):
+        a, b = f(arrays).orderBy(by).collect(), f(rows).orderBy(by).collect()
+        number = lambda r: [float("nan") if v is None else v for v in r]
+        assert [number(r) for r in a] == [pytest.approx(number(r), rel=1e-9, nan_ok=True) for r in b]
+    plan = posterior.waic(arrays)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange") == 1
