@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -87,25 +89,37 @@ def trajectories(starts: DataFrame, gamma: DataFrame, centroids: DataFrame, step
     for i, rows in pd.DataFrame([tuple(r) for r in gamma.select("i", "j", "w").collect()], columns=["i", "j", "w"]).groupby("i"):
         kernel[i] = rows["j"].to_numpy(), rows["w"].to_numpy()
 
+    def moves(before: int | None, at: int) -> tuple[np.ndarray, np.ndarray]:
+        """Next units and their cumulative shares, as Generator.choice adds them up."""
+        j, w = kernel.get(at, (np.array([at]), np.array([1.0])))
+        if persistence and before in place and at in place:
+            heading = np.subtract(place[at], place[before])
+            ways = np.array([np.subtract(place.get(k, place[at]), place[at]) for k in j])
+            norm = np.linalg.norm(ways, axis=1) * np.linalg.norm(heading)
+            cos = np.divide(ways @ heading, norm, out=np.zeros(len(j)), where=norm > 0)
+            w = w * np.exp(persistence * cos)
+        total = (w / w.sum()).cumsum()
+        return j, total / total[-1]
+
     def walk(batches):
+        known = lru_cache(maxsize=1 << 14)(moves)
         for pdf in batches:
-            out = []
-            for indiv, at in zip(pdf["indiv"], pdf["unit_id"]):
-                rng, before = np.random.default_rng([seed, int(indiv)]), None
-                out.append((indiv, 0, at))
-                for step in range(1, steps + 1):
-                    j, w = kernel.get(at, (np.array([at]), np.array([1.0])))
-                    if persistence and before in place and at in place:
-                        heading = np.subtract(place[at], place[before])
-                        moves = np.array([np.subtract(place.get(k, place[at]), place[at]) for k in j])
-                        norm = np.linalg.norm(moves, axis=1) * np.linalg.norm(heading)
-                        cos = np.divide(moves @ heading, norm, out=np.zeros(len(j)), where=norm > 0)
-                        w = w * np.exp(persistence * cos)
-                    before, at = at, int(rng.choice(j, p=w / w.sum()))
-                    out.append((indiv, step, at))
-            yield pd.DataFrame(out, columns=["indiv", "step", "unit_id"])
-
-    return starts.select("indiv", "unit_id").mapInPandas(walk, "indiv long, step long, unit_id long")
+            start = pdf["unit_id"].to_numpy()
+            draws = np.array([np.random.default_rng([seed, int(i)]).random(steps) for i in pdf["indiv"]]).reshape(len(pdf), steps)
+            before, at, path = None, start, [start]
+            for step in range(steps):
+                # all individuals that made the same move share its shares
+                turns = pd.DataFrame({"before": at if before is None else before, "at": at})
+                after = np.empty(len(at), np.int64)
+                for (b, a), rows in turns.groupby(["before", "at"], sort=False).indices.items():
+                    j, total = known(None if before is None else int(b), int(a))
+                    after[rows] = j[total.searchsorted(draws[rows, step], side="right")]
+                before, at = at, after
+                path.append(at)
+            yield pd.DataFrame({"indiv": np.repeat(pdf["indiv"].to_numpy(), steps + 1), "step": np.tile(np.arange(steps + 1), len(pdf)), "unit_id": np.stack(path, axis=1).ravel()})
+
+    # a file of individuals is small beside the work that their walks are
+    return starts.select("indiv", "unit_id").repartition("indiv").mapInPandas(walk, "indiv long, step long, unit_id long")
 
 
 def population(units: DataFrame, times: int, model: str = "logistic", **p: float) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from stratiform.operators import graphs, posterior, prepare
+from stratiform.operators import graphs, movement, posterior, prepare
 from stratiform.plans import queries as plans
 
 
@@ -95,3 +95,24 @@ def test_draws_are_held_by_observation(spark):
         assert [number(r) for r in a] == [pytest.approx(number(r), rel=1e-9, nan_ok=True) for r in b]
     plan = posterior.waic(arrays)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and plan.count("Exchange") == 1
+
+
+def test_walks_are_dealt_and_stay_the_same(spark):
+    """Individuals are dealt to tasks, however few files they come from, and walk as one drawn alone does."""
+    gamma = spark.createDataFrame([(i, j, float(1 + (i * j) % 3)) for i in range(4) for j in range(4)], "i long, j long, w double")
+    place = [(i, float(i), float(i % 2)) for i in range(4)]
+    starts = spark.range(60).selectExpr("id as indiv", "id % 4 as unit_id").coalesce(1)
+    walks = movement.trajectories(starts, gamma, spark.createDataFrame(place, "id long, cx double, cy double"), 6, persistence=0.7)
+    assert "hashpartitioning(indiv" in walks._jdf.queryExecution().executedPlan().toString()
+    got, at = {(r.indiv, r.step): r.unit_id for r in walks.collect()}, {i: np.array([x, y]) for i, x, y in place}
+    weights = {i: np.array([float(1 + (i * j) % 3) for j in range(4)]) for i in range(4)}
+    for indiv in range(60):
+        rng, before, here = np.random.default_rng([42, indiv]), None, indiv % 4
+        for step in range(7):
+            assert got[indiv, step] == here
+            w = weights[here]
+            if before is not None:
+                heading, ways = at[here] - at[before], np.array([at[j] - at[here] for j in range(4)])
+                norm = np.linalg.norm(ways, axis=1) * np.linalg.norm(heading)
+                w = w * np.exp(0.7 * np.divide(ways @ heading, norm, out=np.zeros(4), where=norm > 0))
+            before, here = here, int(rng.choice(4, p=w / w.sum()))
