@@ -16,8 +16,8 @@ import numpy as np
 
 from . import textkit as tk
 
-#: Pieces that a worker remembers, at about 150 bytes each; its table starts afresh beyond that.
-CACHE_PIECES = 250_000
+#: Pieces that a worker remembers, at about 150 bytes each, and where only their counts are kept; its table starts afresh beyond that.
+CACHE_PIECES, COUNTED_PIECES = 250_000, 1_500_000
 #: Pieces given to the library at once.
 ADDED = 8192
 
@@ -114,6 +114,7 @@ class PieceEncoder:
 
     def __init__(self, encode, keep_space: bool, keep_ids: bool):
         self.encode, self.keep_space, self.keep_ids = encode, keep_space, keep_ids
+        self.most = CACHE_PIECES if keep_ids else COUNTED_PIECES
         self.clear()
 
     def clear(self) -> None:
@@ -154,7 +155,7 @@ class PieceEncoder:
 
     def slice(self, data: np.ndarray, offsets: np.ndarray):
         """Token count of each text, and for each piece its row in the table."""
-        if self.lengths.size > CACHE_PIECES:
+        if self.lengths.size > self.most:
             self.clear()
         starts, ends, doc = self.pieces(data, offsets)
         found = tk.byte_column(data, starts, ends).dictionary_encode()

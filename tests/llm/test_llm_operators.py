@@ -434,3 +434,16 @@ def test_repeated_rows_null_ids_and_clashing_names(odd, name):
     found = operator(odd).collect()
     assert len(found) == count
     assert count == 0 or name == "contaminated" or None in {r.doc_id for r in found}
+
+
+def test_counted_pieces_are_encoded_once():
+    """A worker keeps the counts of many more pieces than it keeps ids of, so texts of many words don't go to the library again."""
+    from stratiform.llm.token_pieces import PieceEncoder
+
+    seen = []
+    encoder = PieceEncoder(lambda pieces: seen.extend(pieces) or [[7] * len(p) for p in pieces], keep_space=False, keep_ids=False)
+    texts = [" ".join(f"w{i:06d}" for i in range(begin, begin + 100_000)).encode() for begin in range(0, 400_000, 100_000)]
+    for text in texts * 2:
+        counts, _ = encoder.slice(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert counts.tolist() == [700_000]
+    assert len(seen) == 400_000
