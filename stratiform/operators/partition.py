@@ -62,12 +62,11 @@ def nearest_unit(points: DataFrame, units: list[tuple[int, float, float]], name:
     return points.withColumn(name, F.array_min(array)["u"])
 
 
-def density_seeds(points: DataFrame, target: int, cell: float, seed: int = 42) -> DataFrame:
-    """Seeds drawn without replacement, denser places more likely: weights 1 / mean distance to five neighbours."""
-    from .graphs import nearest
+def density_seeds(points: DataFrame, target: int, cell: float, seed: int = 42) -> list[tuple[int, float, float]]:
+    """Seeds (number, x, y) drawn without replacement from the places of points, denser ones more likely: weights 1 / mean distance to five neighbours."""
+    from .graphs import drawn_by_density
 
-    near = nearest(points, points, 5, cell).groupBy("id").agg((1 / (F.avg("d") + 1e-6)).alias("weight"))
-    return points.join(near, "id").withColumn("__key", -F.log(F.rand(seed)) / F.col("weight")).orderBy("__key", "id").limit(target).drop("__key")
+    return [(k + 1, x, y) for k, (x, y) in enumerate(drawn_by_density(points, target, 5, cell, seed))]
 
 
 def centroid_loop(points: DataFrame, start: list[tuple[int, float, float]], rounds: int = 20, damping: float = 1.0, tolerance: float = 1e-6) -> list[tuple[int, float, float]]:

@@ -215,9 +215,7 @@ def spatial_units(
             regions = partition.quadrant_units(flat, target, binary=method == "bvt").groupBy("region").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).orderBy("region").collect()
             seeds, reason = [(k + 1, r.x, r.y) for k, r in enumerate(regions)], "regions_split"
         else:
-            places = flat.dropDuplicates(["x", "y"])
-            chosen = partition.density_seeds(places, target if method != "avt" else max_units or 2 * target, side, seed).select("x", "y").orderBy("x", "y").collect()
-            seeds, reason = [(k + 1, r.x, r.y) for k, r in enumerate(chosen)], "centroids_settled"
+            seeds, reason = partition.density_seeds(flat, target if method != "avt" else max_units or 2 * target, side, seed), "centroids_settled"
         if method == "avt":
             seeds, reason = agglomerated(points, seeds, hull, limits, min_units)
         elif method in ("cvt", "kvt"):

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from stratiform.operators import graphs, movement, posterior, prepare
+from stratiform.operators import graphs, movement, partition, posterior, prepare
 from stratiform.plans import queries as plans
 
 
@@ -131,3 +131,34 @@ def test_vectors_are_compared_in_parts(spark, monkeypatch):
         near = sorted((float(np.sqrt(((v[i] - v[j]) ** 2).cumsum()[-1])), j) for j in range(len(v)) if j != i)
         want |= {(i, j, r + 1) for r, (_, j) in enumerate(near[:5])}
     assert got == want
+
+
+def test_places_are_drawn_by_density_without_stored_neighbours(spark, monkeypatch):
+    """Each place's key has its mean distance to five others, by tiles and by the rest; of all places only the least keys and the open ones are written."""
+    p = scattered(np.random.default_rng(5), 600)
+    places = p[["x", "y"]].drop_duplicates()
+    written = []
+    keep = graphs.saved
+    monkeypatch.setattr(graphs, "saved", lambda df: (lambda out: written.append((out.columns, out.count())) or out)(keep(df)))
+    monkeypatch.setattr(graphs, "FEW", 20)
+    monkeypatch.setattr(graphs, "CROWD", 900)
+    monkeypatch.setattr(graphs, "nearest", None)
+    means = []
+    apart = graphs._mean_apart
+    for number, (x, y) in enumerate(places.to_numpy()[:: len(places) // 20]):
+        d = np.sort(np.hypot(places.x - x, places.y - y))[1:6]
+        got = apart(np.array([x]), np.array([y]), places.x.to_numpy(), places.y.to_numpy(), 5)
+        means.append((got[0][0], got[1][0], d.mean(), d.max()))
+    for mean, far, want, furthest in means:
+        assert mean == pytest.approx(want) and far == pytest.approx(furthest)
+    df = spark.createDataFrame(p)
+    got = partition.density_seeds(df, 12, 25.0)
+    assert [k for k, _, _ in got] == list(range(1, 13)) and len(set(got)) == 12 and {(x, y) for _, x, y in got} <= set(map(tuple, places.to_numpy()))
+    assert got == partition.density_seeds(df.repartition(7), 12, 25.0)
+    assert not any(set(columns) & {"j", "d", "near"} for columns, _ in written)
+    assert max(n for columns, n in written if "key" in columns) < len(places)
+    # all are drawn where as many are asked for, whichever way they are settled
+    assert {(x, y) for _, x, y in partition.density_seeds(df, len(places) + 5, 25.0)} == set(map(tuple, places.to_numpy()))
+    # a cluster a thousand times as dense takes nearly all
+    dense = sum(abs(x - 50) < 1 and abs(y - 50) < 1 for _, x, y in got)
+    assert dense >= 10
