@@ -48,6 +48,8 @@ SAMPLE_DOCS, SAMPLE_DF, FREQUENT = 4000, 4, 200_000
 ROUNDS, LEADERS = 2, 2
 #: Leading tokens of a large set, the chance of losing a link as a power of two, and the shared tokens asked of a small set.
 PREFIX, CHANCE_BITS, NEED = 64, 64, 8
+#: Members of an opened group that are met together.
+BLOCK = 256
 
 
 def shingles(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, dict[int, bytes]]:
@@ -236,8 +238,8 @@ class JaccardJoin:
         return votes.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= LEADERS).select("a", "b")
 
     def matrix(self, grouped: DataFrame) -> DataFrame:
-        """The token-group matrix: token, grp, and of its members with the token the least size and need and the most they can share; only tokens of two or more groups."""
-        cells = grouped.groupBy("token", "grp").agg(F.min("n").alias("n2"), F.max("all").alias("all2"), F.max("first").alias("first2"), F.min("need").alias("need2"))
+        """The token-group matrix: token, grp, and of its members with the token the least size and need, the most they can share and their number; only tokens of two or more groups."""
+        cells = grouped.groupBy("token", "grp").agg(F.min("n").alias("n2"), F.max("all").alias("all2"), F.max("first").alias("first2"), F.min("need").alias("need2"), F.count("*").alias("held"))
         several = cells.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1").select("token")
         return cells.join(several, "token")
 
@@ -245,7 +247,9 @@ class JaccardJoin:
         """Class pairs of different groups that the matrix can't rule out. The smaller group asks, the larger one is opened.
 
         A class asks a group only if enough of its tokens lie in the group's union at sizes that could
-        link, and in an opened group only members whose first shared token allows the threshold.
+        link, and in an opened group only members whose first shared token allows the threshold. Members of a group of near
+        copies have most tokens of the class in common. Where they would be met at more tokens than there are members, each is met once instead,
+        with its tokens as an array.
         """
         sizes = stored(grouped.groupBy("grp", "rep").agg(F.count("*").alias("cells")).groupBy("grp").agg(F.count("*").alias("size"), F.sum("cells").alias("cells")), "group-sizes")
         other = self.matrix(grouped).join(sizes.drop("cells"), "grp").withColumnRenamed("grp", "target").withColumnRenamed("size", "size2")
@@ -254,11 +258,32 @@ class JaccardJoin:
         # the k-th token that a linking pair shares has at least as many tokens after it, itself counted, as the pair must share, less k - 1
         counted = _reaches(F.least(F.least("first", "first2") + F.col("need") - 1, "all", "all2"), self.percent)
         asking = asking.filter((F.col("grp") != F.col("target")) & asks & counted).withColumn("opens", _may_link("first", self.percent))
-        overlap = asking.groupBy("rep", "target").agg(F.count("*").alias("shared"), F.min(F.least("need", "need2")).alias("asked"), F.max("opens").alias("opens"))
-        qualifying = overlap.filter(F.col("opens") & (F.col("shared") >= F.col("asked"))).select("rep", "target")
-        queries = asking.filter("opens").select("rep", "n", "first", "target", "token").join(qualifying, ["rep", "target"], "left_semi")
+        by_tokens = F.sum(F.when(F.col("opens"), F.col("held")))
+        overlap = asking.groupBy("rep", "target").agg(F.count("*").alias("shared"), F.min(F.least("need", "need2")).alias("asked"), F.max("opens").alias("opens"), (by_tokens > F.first("size2")).alias("whole"), F.first("size2").alias("size2"))
+        qualifying = stored(overlap.filter(F.col("opens") & (F.col("shared") >= F.col("asked"))).select("rep", "target", "whole", "size2"), "qualifying")
+        queries = asking.filter("opens").select("rep", "n", "first", "target", "token").join(qualifying.filter("not whole").select("rep", "target"), ["rep", "target"], "left_semi")
         members = grouped.select("token", F.col("grp").alias("target"), F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("first").alias("first2"))
-        return queries.join(members, ["token", "target"]).filter(_may_link("first", self.percent)).select(F.col("rep").alias("a"), "b").distinct()
+        few = queries.join(members, ["token", "target"]).filter(_may_link("first", self.percent)).select(F.col("rep").alias("a"), "b").distinct()
+        return few.unionByName(self._met_once(grouped, qualifying.filter("whole")))
+
+    def _met_once(self, grouped: DataFrame, asked: DataFrame) -> DataFrame:
+        """Pairs a, b of classes (rep) and members of groups (target, of size2 members): those that share as many leading tokens as a linking pair does, the first of them at places that allow the threshold.
+
+        The members of a group are dealt to blocks of about BLOCK, so that a large one is no single key.
+        """
+        # tokens in the order of their places, each with what can be shared from there on; n is the same for all of a class
+        tokens = F.array_sort(F.collect_list(F.struct(F.col("pos"), F.col("token"), F.col("first"))))
+        blocks = F.ceil(F.col("size2") / BLOCK).cast("int")
+        targets = asked.groupBy("target").agg(F.max(blocks).alias("blocks"))
+        askers = asked.select("rep").distinct()
+        member = grouped.join(targets, grouped["grp"] == targets["target"], "left_semi").groupBy("grp", "rep").agg(tokens.alias("own"), F.first("n").alias("n2"), F.first("need").alias("need2"))
+        member = member.join(targets, F.col("grp") == F.col("target")).select("target", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.col("rep").alias("b"), "n2", "need2", F.col("own.token").alias("tokens2"), F.col("own.first").alias("first2"))
+        asker = grouped.join(askers, "rep", "left_semi").groupBy("rep").agg(tokens.alias("own"), F.first("n").alias("n"), F.first("need").alias("need")).select("rep", "n", "need", F.col("own.token").alias("tokens"), F.col("own.first").alias("first"))
+        asker = asked.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).select("rep", "target", "block").join(asker, "rep")
+        met = asker.join(member, ["target", "block"])
+        at = lambda name: F.get(F.col(f"first{name}"), (F.array_position(f"tokens{name}", F.get("common", F.lit(0))) - 1).cast("int"))
+        met = met.withColumn("common", F.array_intersect("tokens", "tokens2")).filter(F.size("common") >= F.least("need", "need2"))
+        return met.filter(_reaches(F.least(at(""), at("2")), self.percent)).select(F.col("rep").alias("a"), "b")
 
     def links(self) -> DataFrame:
         """Links between classes that give the same components as all links do."""

@@ -447,3 +447,35 @@ def test_counted_pieces_are_encoded_once():
         counts, _ = encoder.slice(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
         assert counts.tolist() == [700_000]
     assert len(seen) == 400_000
+
+
+def test_members_of_an_opened_group_are_met_once(spark, monkeypatch):
+    """Two groups of near copies whose texts share two thirds of their shingles: a class meets each member of the other group once, not at every token that they share; the links are those of brute force."""
+    rng = random.Random(4)
+    core = [f"c{i}" for i in range(600)]
+    texts = []
+    for side in range(2):
+        own = core[:480] + [f"s{side}x{i}" for i in range(120)]
+        texts += [" ".join(own[:k] + [f"v{side}y{k}"] + own[k + 1 :]) for k in rng.sample(range(5, 590), 30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    met, whole = [], jaccard_join.JaccardJoin._met_once
+
+    def seen(self, grouped, asked):
+        met.append(sum(r.size2 for r in asked.collect()))
+        return whole(self, grouped, asked)
+
+    monkeypatch.setattr(jaccard_join.JaccardJoin, "_met_once", seen)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    join = jaccard_join.JaccardJoin(docs)
+    got = {r.doc_id: r.component_id for r in join.memberships().collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for _ in texts:
+        root = [min(root[b] for b, y in enumerate(sets) if 100 * len(x & y) >= 75 * len(x | y)) for x in sets]
+    assert got == dict(enumerate(root)) and len(set(root)) == 2
+    assert sum(met) == 900
+    # two groups of which no pair is linked: opened in blocks, each pair once
+    grouped = join._grouped([spark.createDataFrame([(0, k) for k in range(1, 30)] + [(30, k) for k in range(31, 60)], "a long, b long")])
+    met.clear()
+    pairs = [tuple(r) for r in join._opened_pairs(grouped).collect()]
+    assert len(pairs) == len(set(pairs)) and sum(met) == 900 and 0 < len({p for p in pairs if {p[0] // 30, p[1] // 30} == {0, 1}})
