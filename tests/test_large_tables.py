@@ -61,6 +61,25 @@ def test_components_without_edges(spark):
         assert sorted(map(tuple, graphs.radius_components(df, radius).collect())) == sorted(map(tuple, want))
 
 
+def test_edges_of_copies_are_made_after_the_join(spark, monkeypatch):
+    """Places meet, not their points: what is joined does not grow with the square of the copies."""
+    rng = np.random.default_rng(11)
+    xy = rng.uniform(-30, 30, (60, 2))
+    for held, copies in ((1024, 7), (3, 40)):
+        monkeypatch.setattr(graphs, "HELD", held)
+        p = pd.DataFrame(np.repeat(xy, copies, axis=0), columns=["x", "y"])
+        p["id"] = rng.permutation(len(p))
+        df = spark.createDataFrame(p).unionByName(spark.createDataFrame([(10**6, None, 1.0), (10**6 + 1, float("nan"), 1.0), (10**6 + 2, float("nan"), 1.0)], "id long, x double, y double"))
+        x, y, ids = (p[c].to_numpy() for c in ("x", "y", "id"))
+        near = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2 <= 64.0
+        np.fill_diagonal(near, False)
+        a, b = np.nonzero(near)
+        got = [(r.i, r.j) for r in graphs.radius_edges(df, 8.0).collect()]
+        assert len(got) == len(a) and set(got) == set(zip(ids[a].tolist(), ids[b].tolist()))
+        if held > copies:
+            assert graphs._place_pairs(df, 8.0).count() < len(a) / copies**2 + len(xy)
+
+
 def test_component_query_makes_no_edges(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(graphs, "radius_edges", None)
     events = pd.DataFrame({"event_id": range(400), "user_id": 1, "value": 1.0, "event_type": "a", "ts": pd.Timestamp("2024-01-01")})
