@@ -245,7 +245,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         part.keep_rare({r.seed: r.df for r in seed_frequencies(narrow, items).toLocalIterator()}, part.some())
         items.unpersist()
         items = spark.sparkContext.broadcast(part)
-        parts.append(stored(_scores(passages(narrow, items), items), "scores"))
+        # a stage of its own for the scores: two Python operators in a stage take two workers for each task
+        parts.append(stored(_scores(stored(passages(narrow, items), "passages"), items), "scores"))
         items.unpersist()
     if not parts:
         return spark.createDataFrame([], "doc_id long, item_id long, score double")

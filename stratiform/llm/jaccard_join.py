@@ -163,7 +163,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             grams, bounds, _ = shingles(pa.array(raw, pa.large_binary()), words)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([grams[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())], names=["doc_id", "tokens"])
 
-    return packed_texts(docs).join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, tokens binary").dropDuplicates(["doc_id"])
+    # merged, not broadcast, however small: two Python operators in a stage take two workers for each task
+    return packed_texts(docs).join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, tokens binary").dropDuplicates(["doc_id"])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -102,7 +102,10 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS, ranked: int = RANKED)
     spark = pieces.sparkSession
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     salts = 8 + max(histogram.values(), default=0) // ranked
-    slots = spark.createDataFrame(slots_of(shortest_pack_first(histogram, max_tokens)), "length long, first long, last long, base long, offset long")
+    names = ["length", "first", "last", "base", "offset"]
+    rows = np.array(slots_of(shortest_pack_first(histogram, max_tokens)), np.int64).reshape(-1, len(names))
+    # an Arrow table: tuples would go through Python workers of their own kind, which stay beside the others
+    slots = spark.createDataFrame(pa.table(dict(zip(names, rows.T.copy()))), ", ".join(f"{n} long" for n in names))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)

@@ -8,6 +8,7 @@ of a regular build (Thue-Morse words, say) collides with another by algebra.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = SLICE_
             stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    batch = None
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker waits for its next task with what that needs, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -50,6 +50,29 @@ def test_stages_keep_columns(spark, tiny_dir):
         assert stage(spark, docs, tiny_dir).dtypes == docs.dtypes
 
 
+def test_one_python_worker_for_each_task(spark, tiny_dir, monkeypatch):
+    """An executor's Python workers are as many as its cores: no stage runs two Python operators, and no rows are made by workers of another kind."""
+    import re
+
+    import corpus_pipeline
+    from pyspark import SparkContext
+    from stratiform.llm import decontamination, jaccard_join, packing, shared
+
+    seen = []
+
+    def watched(df, name, *more):
+        stages = re.split(r"(?<!Broadcast)Exchange", df._jdf.queryExecution().executedPlan().toString())
+        seen.append((name, max(len(re.findall(r"MapInArrow", x)) for x in stages)))
+        return shared.stored(df, name, *more)
+
+    for module in (corpus_pipeline, decontamination, jaccard_join, packing):
+        monkeypatch.setattr(module, "stored", watched)
+    monkeypatch.setattr(SparkContext, "parallelize", None)
+    assert corpus_pipeline.run(spark, tiny_dir).count()
+    assert {"scores", "token-sets", "pieces"} <= {name for name, _ in seen}
+    assert [x for x in seen if x[1] > 1] == []
+
+
 def test_entry_without_llm(tmp_path):
     code = "import sys; sys.path.insert(0, r'%s'); import __spark_entry__ as e; print(sum(n.startswith('op') for n in e.queries()), 'unit_time_fit' in e.queries())"
     subprocess.run(["cp", "-r", str(ROOT / "stratiform"), str(ROOT / "__spark_entry__.py"), str(tmp_path)], check=True)
