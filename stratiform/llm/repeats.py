@@ -240,6 +240,35 @@ def split_windows(symbols: np.ndarray, begin: np.ndarray, end: np.ndarray, doc_i
     return tk.signed(keys), np.concatenate((doc[~again], d)), np.concatenate((place[~again], first)), np.concatenate((np.full((~again).sum(), -1), stop))
 
 
+def opened_windows(symbols: np.ndarray, bounds: np.ndarray, doc_ids: list[int], wanted: list[list[dict]], size: int, contexts: bool) -> Iterator[pa.RecordBatch]:
+    """The windows of each text's wanted runs (see opened_runs)."""
+    hashed = None if contexts else tk.window_hashes(symbols, size)[0]
+    anchors, ids, starts, windows, large = [], [], [], [], []
+    for i, (doc_id, runs) in enumerate(zip(doc_ids, wanted)):
+        for x in runs:
+            first, last = int(bounds[i]) + x["first"], int(bounds[i]) + x["last"]
+            if last + size > bounds[i + 1]:
+                continue  # a run of another text with the same id
+            if contexts and x["large"]:
+                large.append((first, last + 1, doc_id, int(bounds[i])))
+                continue
+            anchors.append(x["anchor"])
+            ids.append(doc_id)
+            starts.append(x["first"])
+            if contexts:
+                windows.append(symbols[first : last + size].tobytes())
+            else:
+                windows.append(hashed[first : last + 1].tobytes())
+    columns = [pa.array(anchors, pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(windows, pa.binary())]
+    names = ["anchor", "doc_id", "first", "windows"]
+    if contexts:
+        columns, names = [*columns, pa.nulls(len(ids), pa.int32())], [*names, "stop"]
+    yield pa.RecordBatch.from_arrays(columns, names=names)
+    if large:
+        key, doc, first, stop = split_windows(symbols, *(np.array(x, np.int64) for x in zip(*large)), size)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(first.astype(np.int32)), pa.nulls(len(key), pa.binary()), pa.array(stop.astype(np.int32))], names=names)
+
+
 def opened_runs(settled: DataFrame, texts: DataFrame, symbols_of, size: int, contexts: bool, most: int = MOST) -> DataFrame:
     """The open runs with their windows: as hashes, or (`contexts`) as the symbols they cover.
 
@@ -249,32 +278,7 @@ def opened_runs(settled: DataFrame, texts: DataFrame, symbols_of, size: int, con
 
     def run(batches):
         for batch, raw in unpacked_slices(batches):
-            symbols, bounds = symbols_of(pa.array(raw, pa.large_binary()))
-            hashed = None if contexts else tk.window_hashes(symbols, size)[0]
-            anchors, ids, starts, windows, large = [], [], [], [], []
-            for i, (doc_id, wanted) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("wanted").to_pylist())):
-                for x in wanted:
-                    first, last = int(bounds[i]) + x["first"], int(bounds[i]) + x["last"]
-                    if last + size > bounds[i + 1]:
-                        continue  # a run of another text with the same id
-                    if contexts and x["large"]:
-                        large.append((first, last + 1, doc_id, int(bounds[i])))
-                        continue
-                    anchors.append(x["anchor"])
-                    ids.append(doc_id)
-                    starts.append(x["first"])
-                    if contexts:
-                        windows.append(symbols[first : last + size].tobytes())
-                    else:
-                        windows.append(hashed[first : last + 1].tobytes())
-            columns = [pa.array(anchors, pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(windows, pa.binary())]
-            names = ["anchor", "doc_id", "first", "windows"]
-            if contexts:
-                columns, names = [*columns, pa.nulls(len(ids), pa.int32())], [*names, "stop"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-            if large:
-                key, doc, first, stop = split_windows(symbols, *(np.array(x, np.int64) for x in zip(*large)), size)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(first.astype(np.int32)), pa.nulls(len(key), pa.binary()), pa.array(stop.astype(np.int32))], names=names)
+            yield from opened_windows(*symbols_of(pa.array(raw, pa.large_binary())), batch.column("doc_id").to_pylist(), batch.column("wanted").to_pylist(), size, contexts)
 
     opened, fields = settled.filter("open"), ["anchor", "first", "last"]
     if contexts:
@@ -351,18 +355,20 @@ def joined_spans(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[
     return doc[which], begin & 0xFFFFFFFF, end & 0xFFFFFFFF
 
 
-def repeat_spans(runs: DataFrame, texts: DataFrame, symbols_of, size: int, keep_first: bool, compare, contexts: bool) -> DataFrame:
-    """doc_id, start, stop: symbols covered by repeated windows of the runs; spans may overlap."""
+def repeat_spans(runs: DataFrame, size: int, keep_first: bool, edges) -> DataFrame:
+    """doc_id, start, stop: symbols covered by repeated windows of the runs; spans may overlap. `edges` gives those of the open runs."""
     settled = stored(settled_runs(runs, keep_first), "runs")
-    edges = compare(opened_runs(settled, texts, symbols_of, size, contexts))
     whole = settled.filter("not open").select("doc_id", F.col("first").alias("start"), (F.col("last") + size).alias("stop"))
-    return whole.unionByName(edges)
+    return whole.unionByName(edges(settled))
 
 
 def with_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
     """Packed texts with all their spans, one row each."""
-    gathered = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    return texts.join(gathered, "doc_id", "left")
+    return texts.join(gathered_spans(spans), "doc_id", "left")
+
+
+def gathered_spans(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
 def merged_spans(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:

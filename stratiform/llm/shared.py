@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..sources.shared import shared_folder
 
 
+#: Spark takes no more buckets by default.
+MOST_BUCKETS = 100_000
+
+
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write a table to the shared folder and read it back: a lost executor costs no recomputation."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -18,6 +22,17 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As `stored`, in buckets of `key`, so that no join on it shuffles the table again. A task makes a file for each
+    bucket it has rows of, so it should hold few keys. The table's name goes at once, its files stay."""
+    spark = df.sparkSession
+    table, buckets = f"{name}_{uuid.uuid4().hex}", min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
+    df.write.option("compression", "zstd").option("path", f"{shared_folder(spark)}/{table}").bucketBy(buckets, key).saveAsTable(table)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return found
+
+
 def columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under private names, so that no other column can clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -11,6 +11,9 @@ sorted hashes of its own probes, packed, once for each distinct hash, and gets b
 each. A block that fills a third of the corpus thus counts once a slice. Of the
 hash, 32 bits and the bucket are compared; a false hit costs a comparison and changes no result.
 
+Texts are never shuffled. Slices are stored once, in buckets by part, a few slices of one task; answers,
+runs to open and spans are brought to them by part.
+
 Defined results: a null or empty text has no words; windows never cross documents;
 rows that repeat an id are one document, so identical repeated rows are no
 copies of each other; rows with a null id neither match nor lose words; an empty table gives no rows.
@@ -30,28 +33,44 @@ from pyspark.sql import functions as F
 
 from . import repeats as rp
 from . import textkit as tk
-from .shared import stored
+from .shared import stored_by
 
 SIZE, BLOCK = 35, 18
 #: Text bytes of a slice, buckets of the index for each shuffle partition, and probes a bucket should not exceed.
 SLICE, SPREAD, BUCKET = 1 << 20, 4, 1 << 22
+#: Slices are dealt to so many parts at once, so that small tables are spread too; a part is full at 1 << DEPTH slices.
+PARTS, DEPTH = 8, 4
 _KEY = np.uint64(0xFFFFFFFF)
 #: Flags of a probe: its block is a reference block; it stands at several places of the slice.
 INDEXED, SEVERAL = 1, 2
 
 
 def text_slices(docs: DataFrame) -> DataFrame:
-    """slice, n_words, and the ids, sizes and joined bytes of its documents, compressed."""
+    """part, slice, n_words, and the ids, sizes and joined bytes of its documents, compressed. The number of a slice begins with that of its part."""
 
     def run(batches):
-        squeeze, number = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 32
+        squeeze, number, task = zstandard.ZstdCompressor(level=3), 0, TaskContext.get().partitionId() << 32
         for batch in tk.slices(batches, limit=SLICE):
             data, offsets = tk.buffer_of(batch.column(1))
             n_words = len(tk.word_spans(data, offsets)[0])
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([n_words]), pa.array([np.asarray(batch.column(0))], pa.list_(pa.int64())), pa.array([np.diff(offsets)], pa.list_(pa.int64())), pa.array([squeeze.compress(data.tobytes())], pa.binary())], names=["slice", "n_words", "ids", "sizes", "packed"])
+            level, at = divmod(number, PARTS)
+            part = task + (level >> DEPTH) * PARTS + at
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([part << DEPTH | level % (1 << DEPTH)]), pa.array([n_words]), pa.ListArray.from_arrays([0, batch.num_rows], batch.column(0)), pa.array([np.diff(offsets)], pa.list_(pa.int64())), pa.array([squeeze.compress(data.tobytes())], pa.binary())], names=["part", "slice", "n_words", "ids", "sizes", "packed"])
             number += 1
 
-    return docs.filter("doc_id is not null").mapInArrow(run, "slice long, n_words long, ids array<long>, sizes array<long>, packed binary")
+    return docs.mapInArrow(run, "part long, slice long, n_words long, ids array<long>, sizes array<long>, packed binary")
+
+
+def brought(rows: DataFrame, slices: DataFrame, name: str, how: str = "inner") -> DataFrame:
+    """The slices, each with its own of `rows` (by `slice`) as an array of structs; only `rows` are shuffled."""
+    by_part = rows.groupBy(F.shiftright("slice", DEPTH).alias("part")).agg(F.collect_list(F.struct(*rows.columns)).alias("all"))
+    own = F.filter("all", lambda x: x["slice"] == F.col("slice"))
+    return slices.join(by_part, "part", how).select("slice", "ids", "sizes", "packed", own.alias(name))
+
+
+def placed(rows: DataFrame, slices: DataFrame) -> DataFrame:
+    """Rows by doc_id, each for every slice that holds its document."""
+    return rows.join(slices.select(F.explode("ids").alias("doc_id"), "slice").distinct().hint("merge"), "doc_id")
 
 
 def _slice_words(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -137,11 +156,10 @@ def probe_answers(probes: DataFrame) -> DataFrame:
     return probes.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "slice long, bucket int, mask binary")
 
 
-def hit_runs(docs: DataFrame, size: int, block: int) -> DataFrame:
+def hit_runs(slices: DataFrame, size: int, block: int) -> DataFrame:
     """The runs of windows around hits; all windows without a hit inside stand nowhere else."""
-    slices = stored(text_slices(docs), "slices")
     words = slices.agg(F.sum("n_words")).first()[0] or 0
-    buckets = max(SPREAD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), words // BUCKET)
+    buckets = max(SPREAD * int(slices.sparkSession.conf.get("spark.sql.shuffle.partitions")), words // BUCKET)
 
     def run(batches):
         for batch in batches:
@@ -160,8 +178,23 @@ def hit_runs(docs: DataFrame, size: int, block: int) -> DataFrame:
                 if len(runs[0]):
                     yield rp.run_batch(np.asarray(batch.column("ids")[i].values), runs)
 
-    answers = probe_answers(rolling_probes(slices, block, buckets)).groupBy("slice").agg(F.collect_list(F.struct("bucket", "mask")).alias("answers"))
-    return slices.drop("n_words").join(answers, "slice").mapInArrow(run, rp.RUNS)
+    answers = probe_answers(rolling_probes(slices, block, buckets))
+    return brought(answers, slices, "answers").mapInArrow(run, rp.RUNS)
+
+
+def opened_runs(settled: DataFrame, slices: DataFrame, size: int) -> DataFrame:
+    """The open runs with the hashes of their windows."""
+
+    def run(batches):
+        for batch in batches:
+            for i, symbols, bounds in _slice_words(batch):
+                wanted = {x["doc_id"]: x["runs"] for x in batch.column("wanted")[i].as_py()}
+                if wanted:
+                    ids = batch.column("ids")[i].as_py()
+                    yield from rp.opened_windows(symbols, bounds, ids, [wanted.get(d, ()) for d in ids], size, False)
+
+    wanted = settled.filter("open").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("runs"))
+    return brought(placed(wanted, slices), slices, "wanted").mapInArrow(run, "anchor long, doc_id long, first int, windows binary")
 
 
 def _compare(opened: DataFrame, size: int) -> DataFrame:
@@ -189,12 +222,25 @@ def _compare(opened: DataFrame, size: int) -> DataFrame:
     return rp.shared_only(windows, "window", "anchor").mapInArrow(join, rp.SPANS)
 
 
+def _merged(spans: DataFrame) -> DataFrame:
+    """slice, doc_id, starts and stops: the maximal runs of each document's spans."""
+
+    def run(batches):
+        for batch in batches:
+            starts, stops = zip(*rp.merged_spans(batch.column("spans"))) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column("slice"), batch.column("doc_id"), pa.array(starts, pa.list_(pa.int32())), pa.array(stops, pa.list_(pa.int32()))], names=["slice", "doc_id", "starts", "stops"])
+
+    return spans.mapInArrow(run, "slice long, doc_id long, starts array<int>, stops array<int>")
+
+
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, block: int = BLOCK) -> DataFrame:
-    """doc_id, packed text and the word spans to remove."""
+    """Slices of documents, with the word spans to remove from each that has any."""
     narrow = rp.narrow(docs, id_col, text_col)
-    texts = rp.packed_texts(narrow)
-    runs = hit_runs(narrow, size, block)
-    return rp.with_spans(texts, rp.repeat_spans(runs, texts, rp.word_symbols, size, False, lambda opened: _compare(opened, size), False))
+    slices = stored_by(text_slices(narrow.filter("doc_id is not null")), "slices", "part")
+    spans = rp.repeat_spans(hit_runs(slices, size, block), size, False, lambda settled: _compare(opened_runs(settled, slices, size), size))
+    found = brought(_merged(placed(rp.gathered_spans(spans), slices)), slices, "spans", "left")
+    nameless = text_slices(narrow.filter("doc_id is null"))
+    return found.unionByName(nameless.select("slice", "ids", "sizes", "packed"), allowMissingColumns=True)
 
 
 def kept_words(found: DataFrame, digest: bool = False) -> DataFrame:
@@ -202,20 +248,23 @@ def kept_words(found: DataFrame, digest: bool = False) -> DataFrame:
     name = "kept_sha256" if digest else "kept"
 
     def run(batches):
-        for batch, raw in rp.unpacked_slices(batches):
-            data, offsets = tk.buffer_of(pa.array(raw, pa.large_binary()))
-            starts, ends, doc = tk.word_spans(data, offsets)
-            bounds = np.searchsorted(doc, np.arange(len(raw) + 1))
-            rows = []
-            for i, (text, (first, stop)) in enumerate(zip(raw, rp.merged_spans(batch.column("spans")))):
-                own = slice(bounds[i], bounds[i + 1])
-                stay = np.ones(bounds[i + 1] - bounds[i], bool)
-                for a, b in zip(first.tolist(), stop.tolist()):
-                    stay[a:b] = False
-                words = [text[a:b] for a, b in zip((starts[own][stay] - offsets[i]).tolist(), (ends[own][stay] - offsets[i]).tolist())]
-                kept = b" ".join(words)
-                rows.append((len(stay), len(stay) - len(words), hashlib.sha256(kept).hexdigest() if digest else kept.decode()))
-            n, removed, kept = zip(*rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", name])
+        for batch in batches:
+            for i, raw in enumerate(rp.unpacked(batch.column("packed"))):
+                cuts = np.concatenate(([0], np.cumsum(np.asarray(batch.column("sizes")[i].values))))
+                starts, ends, doc = tk.word_spans(np.frombuffer(raw, np.uint8), cuts)
+                bounds = np.searchsorted(doc, np.arange(len(cuts)))
+                ids, spans = batch.column("ids")[i].values, {x["doc_id"]: x for x in batch.column("spans")[i].as_py() or ()}
+                rows = []
+                for k, doc_id in enumerate(ids.to_pylist()):
+                    own = slice(bounds[k], bounds[k + 1])
+                    stay = np.ones(bounds[k + 1] - bounds[k], bool)
+                    if doc_id in spans:
+                        for a, b in zip(spans[doc_id]["starts"], spans[doc_id]["stops"]):
+                            stay[a:b] = False
+                    words = [raw[a:b] for a, b in zip(starts[own][stay].tolist(), ends[own][stay].tolist())]
+                    kept = b" ".join(words)
+                    rows.append((len(stay), len(stay) - len(words), hashlib.sha256(kept).hexdigest() if digest else kept.decode()))
+                n, removed, kept = zip(*rows)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", name])
 
     return found.mapInArrow(run, f"doc_id long, n_words long, n_removed long, {name} string")

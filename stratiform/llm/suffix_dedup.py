@@ -137,7 +137,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     narrow = rp.narrow(docs, id_col, text_col)
     texts = rp.packed_texts(narrow)
     runs = rp.anchored_runs(narrow, rp.byte_symbols, size, gram)
-    return rp.with_spans(texts, rp.repeat_spans(runs, texts, rp.byte_symbols, size, True, lambda opened: rp.in_anchor_groups(opened, _compare(size)), True))
+    return rp.with_spans(texts, rp.repeat_spans(runs, size, True, lambda settled: rp.in_anchor_groups(rp.opened_runs(settled, texts, rp.byte_symbols, size, True), _compare(size))))
 
 
 def digest(found: DataFrame) -> DataFrame:

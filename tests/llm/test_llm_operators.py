@@ -298,6 +298,32 @@ def test_reference_blocks_catch_passages_at_every_offset(spark):
     assert want[0][1] == 35 and want[1][1] == 0 and want[5][1] == 37 and want[6][1] == 0
 
 
+def test_texts_are_shuffled_by_no_join(spark, docs, monkeypatch, capsys):
+    """No shuffle of the substring dedup, stored steps included, carries the texts; they are stored once."""
+    whole, limit = repeats.stored, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(repeats, "stored", lambda df, *a: df.explain("formatted") or whole(df, *a))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        substring_dedup.kept_words(substring_dedup.repeated_words(docs)).explain("formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    shuffles = [x for x in capsys.readouterr().out.split("\n\n") if x.strip().split("\n")[0].endswith(") Exchange")]
+    assert len(shuffles) >= 8 and [x for x in shuffles if "packed#" in x] == []
+
+
+def test_slices_of_one_task_in_many_parts(spark, rows, monkeypatch):
+    """Small slices, so that a task fills its first parts and starts more of them."""
+    monkeypatch.setattr(substring_dedup, "SLICE", 3000)
+    monkeypatch.setattr(substring_dedup, "PARTS", 3)
+    monkeypatch.setattr(substring_dedup, "DEPTH", 1)
+    few = rows[-120:]
+    docs = spark.createDataFrame(few, "doc_id long, text string").coalesce(1)
+    slices = [(r.part, r.slice, len(r.ids)) for r in substring_dedup.text_slices(docs).collect()]
+    assert len({s for _, s, _ in slices}) == len(slices) > 12 and sum(n for _, _, n in slices) == len(few)
+    assert len({p for p, _, _ in slices}) > 6 and all(p == s >> 1 for p, s, _ in slices)
+    held(substring_dedup.kept_words(substring_dedup.repeated_words(docs), True), brute.substring_dedup(few), ["n_words", "n_removed", "kept_sha256"])
+
+
 def test_packed_probes_round_trip():
     rng = random.Random(5)
     keys = np.array(sorted(rng.sample(range(1 << 32), 1000)), dtype="uint32")
