@@ -277,7 +277,7 @@ def opened_runs(settled: DataFrame, texts: DataFrame, symbols_of, size: int, con
     """
 
     def run(batches):
-        for batch, raw in unpacked_slices(batches):
+        for batch, raw in unpacked_slices(batch.filter(pc.is_valid(batch.column("wanted"))) for batch in batches):
             yield from opened_windows(*symbols_of(pa.array(raw, pa.large_binary())), batch.column("doc_id").to_pylist(), batch.column("wanted").to_pylist(), size, contexts)
 
     opened, fields = settled.filter("open"), ["anchor", "first", "last"]
@@ -286,7 +286,8 @@ def opened_runs(settled: DataFrame, texts: DataFrame, symbols_of, size: int, con
         large = opened.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("anchor", F.lit(True).alias("large"))
         opened, fields = opened.join(F.broadcast(large), "anchor", "left").withColumn("large", F.coalesce("large", F.lit(False))), [*fields, "large"]
     wanted = opened.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("wanted"))
-    return texts.join(wanted, "doc_id").mapInArrow(run, "anchor long, doc_id long, first int, windows binary" + (", stop int" if contexts else ""))
+    # a left join like that of with_spans, so that Spark shuffles the texts once for both
+    return texts.join(wanted, "doc_id", "left").mapInArrow(run, "anchor long, doc_id long, first int, windows binary" + (", stop int" if contexts else ""))
 
 
 def anchor_groups(batches: Iterator[pa.RecordBatch], enough: int = 1 << 19) -> Iterator[pa.Table]:
@@ -318,12 +319,17 @@ def in_anchor_groups(opened: DataFrame, compare) -> DataFrame:
     return opened.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, SPANS)
 
 
-def shared_only(rows: DataFrame, *key: str) -> DataFrame:
-    """Rows whose key, their first columns, two or more rows have; streamed in key order after one shuffle."""
+def shared_only(rows: DataFrame, *key: str, once: bool = False) -> DataFrame:
+    """Rows whose key, their first columns, two or more rows have; streamed in key order after one shuffle. With `once`, equal rows are one."""
 
     def run(batches):
         held, told = None, True  # the last row so far, and whether it is put out
         for batch in batches:
+            if once and batch.num_rows:
+                values = [np.asarray(x) for x in batch.columns]
+                again = np.logical_and.reduce([x[1:] == x[:-1] for x in values])
+                start = held is not None and all(held.column(i)[0].as_py() == x[0] for i, x in enumerate(values))
+                batch = batch.filter(pa.array(~np.concatenate(([start], again))))
             if not batch.num_rows:
                 continue
             keys = [np.asarray(batch.column(i)) for i in range(len(key))]
@@ -335,7 +341,7 @@ def shared_only(rows: DataFrame, *key: str) -> DataFrame:
             yield batch.filter(pa.array(before | after))
             held, told = batch.slice(batch.num_rows - 1), bool(before[-1])
 
-    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, rows.schema)
+    return rows.repartition(*key).sortWithinPartitions(*(rows.columns if once else key)).mapInArrow(run, rows.schema)
 
 
 SPANS = "doc_id long, start int, stop int"

@@ -124,7 +124,9 @@ def _compare(size: int):
             found = list(_split_repeats(table.filter(pc.is_valid(table["stop"])), size)) if len(whole) < len(table) else []
             if len(whole):
                 docs, firsts = (np.asarray(whole[n]).astype(np.int64) for n in ("doc_id", "first"))
-                found += [(d[1:], p[1:], p[1:] + n) for d, p, n in repeat_groups(whole["windows"].to_pylist(), docs, firsts, size)]
+                for d, p, n in repeat_groups(whole["windows"].to_pylist(), docs, firsts, size):
+                    later = (d > d[0]) | (p > p[0])  # repeated rows of one document are the same occurrence
+                    found.append((d[later], p[later], p[later] + n))
             d, p, stop = (np.concatenate(x) for x in zip(*found)) if found else ([], [], [])
             if len(d):
                 yield rp.span_batch(*rp.joined_spans(d, p, stop))

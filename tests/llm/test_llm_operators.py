@@ -311,6 +311,24 @@ def test_texts_are_shuffled_by_no_join(spark, docs, monkeypatch, capsys):
     assert len(shuffles) >= 8 and [x for x in shuffles if "packed#" in x] == []
 
 
+def test_texts_of_suffix_dedup_are_shuffled_once(spark, docs):
+    """Both joins with the texts share one shuffle."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        narrow = docs.select("doc_id", "text")
+        texts = repeats.packed_texts(narrow)
+        settled = repeats.settled_runs(repeats.anchored_runs(narrow, repeats.byte_symbols, 100, 24), True).cache()
+        edges = repeats.in_anchor_groups(repeats.opened_runs(settled, texts, repeats.byte_symbols, 100, True), suffix_dedup._compare(100))
+        found = repeats.with_spans(texts, edges)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "ReusedExchange [doc_id" in plan and "packed" in plan.split("ReusedExchange")[1].split("\n")[0]
+
+
 def test_slices_of_one_task_in_many_parts(spark, rows, monkeypatch):
     """Small slices, so that a task fills its first parts and starts more of them."""
     monkeypatch.setattr(substring_dedup, "SLICE", 3000)
