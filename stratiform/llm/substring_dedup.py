@@ -200,7 +200,7 @@ def opened_runs(settled: DataFrame, slices: DataFrame, size: int) -> DataFrame:
 def _compare(opened: DataFrame, size: int) -> DataFrame:
     """Spans of windows that two or more open runs share, streamed in order of their hash: an open run is the only one of its content.
 
-    Windows are equal if their hashes and those of their anchors are, 128 bits in all.
+    Windows are equal if their hashes and those of their anchors are, 128 bits in all. Repeated rows of one document open the same window, which counts once.
     """
 
     def split(batches):
@@ -219,7 +219,7 @@ def _compare(opened: DataFrame, size: int) -> DataFrame:
                 yield rp.span_batch(*rp.joined_spans(doc, start, start + size))
 
     windows = opened.select("anchor", "doc_id", "first", "windows").mapInArrow(split, "window long, anchor long, doc_id long, start int")
-    return rp.shared_only(windows, "window", "anchor").mapInArrow(join, rp.SPANS)
+    return rp.shared_only(windows, "window", "anchor", once=True).mapInArrow(join, rp.SPANS)
 
 
 def _merged(spans: DataFrame) -> DataFrame:

@@ -329,6 +329,17 @@ def test_texts_of_suffix_dedup_are_shuffled_once(spark, docs):
     assert "ReusedExchange [doc_id" in plan and "packed" in plan.split("ReusedExchange")[1].split("\n")[0]
 
 
+def test_repeated_rows_of_opened_runs_are_one_document(spark):
+    """A document in three equal rows, whose passage others share in parts, so that its windows are compared one by one."""
+    rng = random.Random(9)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    p = fresh(120)
+    rows = [(i, " ".join(t)) for i, t in enumerate([fresh(5) + p[:80] + fresh(60), fresh(9) + p[20:70] + fresh(50), fresh(40) + p[30:] + fresh(7), fresh(200)])]
+    docs = spark.createDataFrame(rows + rows[:1] * 2 + rows[3:], "doc_id long, text string").repartition(5)
+    held(substring_dedup.kept_words(substring_dedup.repeated_words(docs), True), brute.substring_dedup(rows), ["n_words", "n_removed", "kept_sha256"])
+    held(suffix_dedup.digest(suffix_dedup.repeated_bytes(docs)), brute.suffix_dedup(rows), ["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
 def test_slices_of_one_task_in_many_parts(spark, rows, monkeypatch):
     """Small slices, so that a task fills its first parts and starts more of them."""
     monkeypatch.setattr(substring_dedup, "SLICE", 3000)
