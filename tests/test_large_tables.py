@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from stratiform.operators import graphs, movement, partition, posterior, prepare
@@ -81,6 +82,38 @@ def test_edges_of_copies_are_made_after_the_join(spark, monkeypatch):
             assert graphs._place_pairs(df, 8.0).count() < len(a) / copies**2 + len(xy)
 
 
+@pytest.mark.parametrize("pairs", [1_000_000_000, 900])
+def test_neighbours_of_distinct_places_travel_together(spark, monkeypatch, pairs):
+    """A row for each place and piece of its neighbours, not for each pair of places; tiles dealt to groups, values of any size, repeated ids."""
+    monkeypatch.setattr(graphs, "PAIRS", pairs)
+    rng = np.random.default_rng(3)
+    xy = np.vstack([rng.uniform(-20, 20, (200, 2)), rng.integers(-3, 3, (30, 2)) * 8.0, [[1e18, 0], [1e18, 3], [-1e300, 2], [-1e300, 9.5], [np.inf, 0], [np.inf, 0], [np.nan, 0]]])
+    ids = np.arange(len(xy)) - 5
+    ids[::40] = 7
+    df = spark.createDataFrame(pd.DataFrame({"id": ids, "x": xy[:, 0], "y": xy[:, 1]})).unionByName(spark.createDataFrame([(None, 0.0, 0.0), (500, None, 0.0)], "id long, x double, y double"))
+    d2 = (xy[:, None, 0] - xy[:, 0]) ** 2 + (xy[:, None, 1] - xy[:, 1]) ** 2
+    a, b = np.nonzero((d2 <= 64.0) & (ids[:, None] != ids))
+    assert sorted((r.i, r.j) for r in graphs.radius_edges(df, 8.0).collect()) == sorted(zip(ids[a].tolist(), ids[b].tolist()))
+    assert graphs._place_pairs(df, 8.0).count() <= len(xy) < len(a) / 10
+
+
+def test_neighbours_of_a_tile_come_in_pieces(monkeypatch):
+    """Whatever is compared at once and held in a row, each own place gets all points within reach once."""
+    rng = np.random.default_rng(8)
+    x, y, own = rng.uniform(-8, 40, 90), rng.uniform(-8, 16, 90), rng.random(90) < 0.4
+    ids = [[1000 * n + m for m in range(1 + n % 3)] for n in range(90)]
+    tile = pa.table({"x": x, "y": y, "ids": pa.array(ids, pa.list_(pa.int64())), "own": own})
+    want = {n: {i for m in range(90) if (x[n] - x[m]) ** 2 + (y[n] - y[m]) ** 2 <= 64 for i in ids[m]} for n in np.flatnonzero(own)}
+    for at_once, edges in ((1 << 16, 1 << 16), (50, 4), (1, 1)):
+        monkeypatch.setattr(graphs, "AT_ONCE", at_once)
+        monkeypatch.setattr(graphs, "EDGES", edges)
+        rows = [row for batch in graphs._within(tile, 8.0) for row in batch.to_pylist()]
+        got = {n: [i for row in rows if row["a"] == ids[n] for i in row["b"]] for n in want}
+        assert {n: set(b) for n, b in got.items()} == want and all(len(got[n]) == len(want[n]) for n in want)
+        assert sum(len(row["b"]) for row in rows) == sum(map(len, want.values())) and all(len(row["b"]) <= max(1, edges // len(row["a"])) for row in rows)
+    assert not [*graphs._within(tile.set_column(3, "own", pa.array([False] * 90)), 8.0)]
+
+
 def test_component_query_makes_no_edges(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(graphs, "radius_edges", None)
     events = pd.DataFrame({"event_id": range(400), "user_id": 1, "value": 1.0, "event_type": "a", "ts": pd.Timestamp("2024-01-01")})
